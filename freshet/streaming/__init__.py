@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The work re-expressed here is batch: the nearest thing to a stream is a run per
+issue date with a strict cut, which is a parameter of the as-of operators in
+``freshet.operators.asof``; lateness is the lag argument there and the checks in
+``freshet.operators.quality``.
+"""
