@@ -130,9 +130,9 @@ class Domain:
             self.order_day.where(F.month("d") <= 7)
             .groupBy("site", F.year("d").alias("yr"), F.month("d").alias("m"), "member")
             .agg(
-                (F.min("lo") / 1000.0).alias("q10"),
-                (F.round(F.sum("s"), 2) / F.sum("n") / 1000.0).alias("q50"),
-                (F.max("hi") / 1000.0).alias("q90"),
+                F.min("lo").alias("q10"),
+                (F.round(F.sum("s"), 2) / F.sum("n")).alias("q50"),
+                F.max("hi").alias("q90"),
             )
             .withColumn("issue_date", F.make_date("yr", "m", F.lit(1)))
         )
@@ -143,7 +143,7 @@ class Domain:
         the shipped lines."""
         return (
             self.station_day.groupBy("site", F.year("d").alias("yr"), F.month("d").alias("m"))
-            .agg((F.avg("v") * 10.0).alias("y"))
+            .agg((F.avg("v") * 10000.0).alias("y"))
         )
 
     @cached_property
@@ -155,9 +155,9 @@ class Domain:
             self.order_day.where(F.month("d") <= 7)
             .groupBy("site", F.year("d").alias("yr"), F.month("d").alias("m"), dd.alias("dd"))
             .agg(
-                (F.min("lo") / 1000.0).alias("q10"),
-                (F.round(F.sum("s"), 2) / F.sum("n") / 1000.0).alias("q50"),
-                (F.max("hi") / 1000.0).alias("q90"),
+                F.min("lo").alias("q10"),
+                (F.round(F.sum("s"), 2) / F.sum("n")).alias("q50"),
+                F.max("hi").alias("q90"),
             )
         )
         return rows.join(self.truth, ["site", "yr", "m"]).withColumns(
@@ -292,17 +292,17 @@ SELECT site, season_start, season_end, yr, m, dd, make_date(yr, m, dd) AS issue_
   (m - 1) * 4 + (dd - 1) // 7 AS md_id
 FROM site_meta, range({FIRST_YEAR}, {LAST_YEAR + 1}) y(yr), range(1, 8) mm(m), unnest([1, 8, 15, 22]) t(dd)""",
     "members": """
-SELECT site, year(d) AS yr, month(d) AS m, member, min(price) / 1000.0 AS q10,
-  round(sum(price), 2) / count(*) / 1000.0 AS q50, max(price) / 1000.0 AS q90,
+SELECT site, year(d) AS yr, month(d) AS m, member, min(price) AS q10,
+  round(sum(price), 2) / count(*) AS q50, max(price) AS q90,
   make_date(year(d), month(d), 1) AS issue_date
 FROM site_orders WHERE month(d) <= 7 GROUP BY site, year(d), month(d), member""",
     "truth": """
-SELECT site, year(d) AS yr, month(d) AS m, avg(v) * 10.0 AS y FROM station_day GROUP BY 1, 2, 3""",
+SELECT site, year(d) AS yr, month(d) AS m, avg(v) * 10000.0 AS y FROM station_day GROUP BY 1, 2, 3""",
     "pred": """
 SELECT p.*, t.y, make_date(p.yr, p.m, p.dd) AS issue_date, (p.m - 1) * 4 + (p.dd - 1) // 7 AS md_id FROM (
   SELECT site, year(d) AS yr, month(d) AS m,
     CASE WHEN day(d) >= 22 THEN 22 WHEN day(d) >= 15 THEN 15 WHEN day(d) >= 8 THEN 8 ELSE 1 END AS dd,
-    min(price) / 1000.0 AS q10, round(sum(price), 2) / count(*) / 1000.0 AS q50, max(price) / 1000.0 AS q90
+    min(price) AS q10, round(sum(price), 2) / count(*) AS q50, max(price) AS q90
   FROM site_orders WHERE month(d) <= 7 GROUP BY 1, 2, 3, 4) p
 JOIN truth t ON p.site = t.site AND p.yr = t.yr AND p.m = t.m""",
     "contrib_wide": """
