@@ -16,6 +16,7 @@ from freshet.functions.calendar import md_id, water_year
 from freshet.operators.frames import scaffold
 
 FIRST_YEAR, LAST_YEAR = 1995, 2001
+KAF = 0.0019834591996927  # one cfs day in thousand acre-feet
 
 
 class Domain:
@@ -100,13 +101,13 @@ class Domain:
 
     @cached_property
     def flow_day(self) -> DataFrame:
-        return self.order_day.groupBy("site", "d").agg((F.round(F.sum("s"), 2) / 1000.0).alias("vol"))
+        return self.order_day.groupBy("site", "d").agg((F.round(F.sum("s"), 2) * KAF).alias("vol"))
 
     @cached_property
     def flow_month(self) -> DataFrame:
         t = F.trunc("d", "MM")
         return self.order_day.groupBy("site", t.alias("t")).agg(
-            (F.round(F.sum("s"), 2) / 1000.0).alias("vol")
+            (F.round(F.sum("s"), 2) * KAF).alias("vol")
         ).select("site", water_year("t").alias("wy"), F.year("t").alias("yr"), F.month("t").alias("m"), "t", "vol")
 
     @cached_property
@@ -116,7 +117,7 @@ class Domain:
             self.order_day.join(season, "site")
             .where(F.month("d").between(F.col("season_start"), F.col("season_end")))
             .groupBy("site", F.year("d").alias("yr"))
-            .agg((F.round(F.sum("s"), 2) / 1000.0).alias("vol"))
+            .agg((F.round(F.sum("s"), 2) * KAF).alias("vol"))
         )
 
     @cached_property
@@ -130,9 +131,9 @@ class Domain:
             self.order_day.where(F.month("d") <= 7)
             .groupBy("site", F.year("d").alias("yr"), F.month("d").alias("m"), "member")
             .agg(
-                F.min("lo").alias("q10"),
-                (F.round(F.sum("s"), 2) / F.sum("n")).alias("q50"),
-                F.max("hi").alias("q90"),
+                (F.min("lo") * KAF).alias("q10"),
+                (F.round(F.sum("s"), 2) / F.sum("n") * KAF).alias("q50"),
+                (F.max("hi") * KAF).alias("q90"),
             )
             .withColumn("issue_date", F.make_date("yr", "m", F.lit(1)))
         )
@@ -143,7 +144,7 @@ class Domain:
         the shipped lines."""
         return (
             self.station_day.groupBy("site", F.year("d").alias("yr"), F.month("d").alias("m"))
-            .agg((F.avg("v") * 10000.0).alias("y"))
+            .agg((F.avg("v") * (10000.0 * KAF)).alias("y"))
         )
 
     @cached_property
@@ -155,9 +156,9 @@ class Domain:
             self.order_day.where(F.month("d") <= 7)
             .groupBy("site", F.year("d").alias("yr"), F.month("d").alias("m"), dd.alias("dd"))
             .agg(
-                F.min("lo").alias("q10"),
-                (F.round(F.sum("s"), 2) / F.sum("n")).alias("q50"),
-                F.max("hi").alias("q90"),
+                (F.min("lo") * KAF).alias("q10"),
+                (F.round(F.sum("s"), 2) / F.sum("n") * KAF).alias("q50"),
+                (F.max("hi") * KAF).alias("q90"),
             )
         )
         return rows.join(self.truth, ["site", "yr", "m"]).withColumns(
@@ -278,31 +279,31 @@ SELECT station, site, date_trunc('month', d)::DATE AS t, sum(v) AS v FROM statio
     "site_orders": """
 SELECT c_nationkey AS site, o_orderdate::DATE AS d, o_orderpriority AS member, o_totalprice AS price
 FROM orders JOIN customer ON o_custkey = c_custkey""",
-    "flow_day": "SELECT site, d, round(sum(price), 2) / 1000.0 AS vol FROM site_orders GROUP BY site, d",
-    "flow_month": """
+    "flow_day": f"SELECT site, d, round(sum(price), 2) * {KAF}::DOUBLE AS vol FROM site_orders GROUP BY site, d",
+    "flow_month": f"""
 SELECT site, year(t) + (month(t) >= 10)::INTEGER AS wy, year(t) AS yr, month(t) AS m, t, vol FROM (
-  SELECT site, date_trunc('month', d)::DATE AS t, round(sum(price), 2) / 1000.0 AS vol
+  SELECT site, date_trunc('month', d)::DATE AS t, round(sum(price), 2) * {KAF}::DOUBLE AS vol
   FROM site_orders GROUP BY 1, 2)""",
-    "site_year": """
-SELECT o.site, year(d) AS yr, round(sum(price), 2) / 1000.0 AS vol
+    "site_year": f"""
+SELECT o.site, year(d) AS yr, round(sum(price), 2) * {KAF}::DOUBLE AS vol
 FROM site_orders o JOIN site_meta s ON o.site = s.site AND month(d) BETWEEN season_start AND season_end
 GROUP BY 1, 2""",
     "issue_grid": f"""
 SELECT site, season_start, season_end, yr, m, dd, make_date(yr, m, dd) AS issue_date,
   (m - 1) * 4 + (dd - 1) // 7 AS md_id
 FROM site_meta, range({FIRST_YEAR}, {LAST_YEAR + 1}) y(yr), range(1, 8) mm(m), unnest([1, 8, 15, 22]) t(dd)""",
-    "members": """
-SELECT site, year(d) AS yr, month(d) AS m, member, min(price) AS q10,
-  round(sum(price), 2) / count(*) AS q50, max(price) AS q90,
+    "members": f"""
+SELECT site, year(d) AS yr, month(d) AS m, member, min(price) * {KAF}::DOUBLE AS q10,
+  round(sum(price), 2) / count(*) * {KAF}::DOUBLE AS q50, max(price) * {KAF}::DOUBLE AS q90,
   make_date(year(d), month(d), 1) AS issue_date
 FROM site_orders WHERE month(d) <= 7 GROUP BY site, year(d), month(d), member""",
-    "truth": """
-SELECT site, year(d) AS yr, month(d) AS m, avg(v) * 10000.0 AS y FROM station_day GROUP BY 1, 2, 3""",
-    "pred": """
+    "truth": f"""
+SELECT site, year(d) AS yr, month(d) AS m, avg(v) * (10000.0::DOUBLE * {KAF}::DOUBLE) AS y FROM station_day GROUP BY 1, 2, 3""",
+    "pred": f"""
 SELECT p.*, t.y, make_date(p.yr, p.m, p.dd) AS issue_date, (p.m - 1) * 4 + (p.dd - 1) // 7 AS md_id FROM (
   SELECT site, year(d) AS yr, month(d) AS m,
     CASE WHEN day(d) >= 22 THEN 22 WHEN day(d) >= 15 THEN 15 WHEN day(d) >= 8 THEN 8 ELSE 1 END AS dd,
-    min(price) AS q10, round(sum(price), 2) / count(*) AS q50, max(price) AS q90
+    min(price) * {KAF}::DOUBLE AS q10, round(sum(price), 2) / count(*) * {KAF}::DOUBLE AS q50, max(price) * {KAF}::DOUBLE AS q90
   FROM site_orders WHERE month(d) <= 7 GROUP BY 1, 2, 3, 4) p
 JOIN truth t ON p.site = t.site AND p.yr = t.yr AND p.m = t.m""",
     "contrib_wide": """

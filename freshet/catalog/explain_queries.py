@@ -1 +1,12 @@
-"""Queries."""
+"""Queries for explanation tables."""
+
+from pyspark.sql import functions as F
+
+from freshet.catalog.registry import query
+from freshet.plans import explain, models
+
+GROUPS = {"snow": "weather", "rain": "weather", "flow_deviation_10": "flow", "elevation": "elevation"}
+
+
+def contrib_long(d):
+    return explain.shap_long(d.contrib_wide, GROUPS)

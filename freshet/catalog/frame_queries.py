@@ -134,7 +134,7 @@ def _(d):
 
 @query(
     "d9_fill_group_mean",
-    "site int, yr int, m int, vol num3",
+    "site int, yr int, m int, vol num",
     """SELECT site, yr, m, coalesce(x, avg(x) OVER (PARTITION BY site, m)) AS vol
     FROM (SELECT site, yr, m, CASE WHEN (yr + site) % 5 <> 0 THEN vol END AS x FROM flow_month)""",
 )
@@ -168,7 +168,7 @@ def _(d):
 
 @query(
     "d12_outliers_zscore",
-    "site int, yr int, vol num3, z num",
+    "site int, yr int, vol num, z num",
     """SELECT * FROM (SELECT site, yr, vol, (vol - avg(vol) OVER w) / stddev_pop(vol) OVER w AS z FROM site_year
     WINDOW w AS (PARTITION BY site)) WHERE abs(z) >= 1.5""",
 )

@@ -22,7 +22,7 @@ def _(d):
 
 @query(
     "e2_integrate",
-    "site int, issue_date iso, v num, vol num3",
+    "site int, issue_date iso, v num, vol num",
     """SELECT g.site, g.issue_date, s.v, f.vol FROM issue_grid g
     LEFT JOIN site_day s ON g.site = s.site AND g.issue_date = s.d
     LEFT JOIN flow_day f ON g.site = f.site AND g.issue_date = f.d""",
@@ -48,7 +48,7 @@ def _(d):
 
 @query(
     "e4_cross_pairs",
-    "site int, station int, gap num3",
+    "site int, station int, gap num",
     """SELECT si.site, st.station, abs(si.elev - st.elev) AS gap FROM site_meta si, station_meta st""",
 )
 def _(d):
@@ -132,7 +132,7 @@ def _(d):
 
 @query(
     "e9_prev_month_value",
-    "site int, issue_date iso, on_first num3, on_fifth num3",
+    "site int, issue_date iso, on_first num, on_fifth num",
     """SELECT g.site, g.issue_date, a.vol AS on_first, b.vol AS on_fifth FROM issue_grid g
     LEFT JOIN flow_month a ON g.site = a.site AND a.t = date_trunc('month', g.issue_date) - INTERVAL 1 MONTH
     LEFT JOIN flow_month b ON g.site = b.site
@@ -218,7 +218,7 @@ FROM site_meta si, station_meta st"""
 
 @query(
     "e13_nearest",
-    "site int, station int, dist num3, rnk int",
+    "site int, station int, dist num, rnk int",
     f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY dist, station) AS rnk FROM ({_DIST}))
     WHERE rnk <= 10 OR dist <= 300""",
 )
@@ -228,7 +228,7 @@ def _(d):
 
 @query(
     "e13_nearest_cut",
-    "site int, station int, dist num3, rnk int",
+    "site int, station int, dist num, rnk int",
     f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY dist, station) AS rnk FROM ({_DIST}))
     WHERE rnk <= 10 AND dist < 200""",
 )
@@ -239,7 +239,7 @@ def _(d):
 
 @query(
     "e14_huc_join",
-    "site int, huc4 str, n_stations big, elev num3",
+    "site int, huc4 str, n_stations big, elev num",
     """SELECT a.site, a.huc AS huc4, count(*) AS n_stations, avg(b.elev) AS elev
     FROM site_meta a JOIN station_meta b ON substr(a.huc, 1, 4) = substr(b.huc, 1, 4) GROUP BY 1, 2""",
 )
@@ -250,7 +250,7 @@ def _(d):
 
 @query(
     "e15_site_station_pairs",
-    "site int, station int, method str, dist num3, rnk int",
+    "site int, station int, method str, dist num, rnk int",
     f"""WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY dist, station) AS rnk FROM ({_DIST})),
     tagged AS (
       SELECT site, station, 'around' AS method, dist, rnk FROM ranked WHERE rnk <= 5 UNION ALL
@@ -279,7 +279,7 @@ def _(d):
 
 @query(
     "e16_target_months",
-    "site int, issue_date iso, pred_month int, month_vol num3",
+    "site int, issue_date iso, pred_month int, month_vol num",
     """SELECT g.site, g.issue_date, f.m AS pred_month, f.vol AS month_vol FROM issue_grid g
     JOIN flow_month f ON g.site = f.site AND g.yr = f.yr AND f.m BETWEEN season_start AND season_end AND g.m <= f.m""",
 )
@@ -289,7 +289,7 @@ def _(d):
 
 @query(
     "e17_merge_all",
-    "site int, yr int, vol num3, y num3, q50 num3",
+    "site int, yr int, vol num, y num, q50 num",
     """SELECT a.site, a.yr, a.vol, b.y, c.q50 FROM site_year a
     LEFT JOIN (SELECT site, yr, avg(y) AS y FROM truth GROUP BY 1, 2) b ON a.site = b.site AND a.yr = b.yr
     LEFT JOIN (SELECT site, yr, max(q50) AS q50 FROM members WHERE m = 4 GROUP BY 1, 2) c ON a.site = c.site AND a.yr = c.yr""",

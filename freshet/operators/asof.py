@@ -114,19 +114,18 @@ def agg_since(
     rows = obs.where(_since_order(F.month(date)) >= start)
     if keep is not None:
         rows = rows.where(keep)
-    part = rows.groupBy(*by, snap_up(F.date_add(date, 1)).alias("_t")).agg(
+    # The water year is that of the observation: late September snaps into October.
+    part = rows.groupBy(
+        *by, water_year(F.col(date)).alias("_wy"), snap_up(F.date_add(date, 1)).alias("_t")
+    ).agg(
         F.sum(value).alias("_s"),
         F.count(value).alias("_n"),
         F.min(value).alias("_lo"),
         F.max(value).alias("_hi"),
     )
-    marks = issues.select(*by, F.col(issue).alias("_t")).distinct()
-    w = (
-        Window.partitionBy(*by, water_year(F.col("_t")))
-        .orderBy("_t")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    grown = marks.withColumn("_mark", F.lit(1)).join(part, [*by, "_t"], "full").withColumns(
+    marks = issues.select(*by, water_year(F.col(issue)).alias("_wy"), F.col(issue).alias("_t")).distinct()
+    w = Window.partitionBy(*by, "_wy").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    grown = marks.withColumn("_mark", F.lit(1)).join(part, [*by, "_wy", "_t"], "full").withColumns(
         {
             "_cs": F.sum("_s").over(w),
             "_cn": F.coalesce(F.sum("_n").over(w), F.lit(0)),

@@ -38,7 +38,7 @@ def roll_sum(df: DataFrame, by: Sequence[str], order: str, col: str, n: int) ->
 def roll_median(df: DataFrame, by: Sequence[str], order: str, col: str, n: int) -> DataFrame:
     """Trailing median, null until the window is full."""
     w = _w(by, order).rowsBetween(-(n - 1), 0)
-    value = F.when(F.count(col).over(w) >= n, F.median(col).over(w))
+    value = F.when(F.count(col).over(w) >= n, F.percentile(col, F.lit(0.5)).over(w))
     return df.withColumn(f"{col}_med{n}", value)
 
 
