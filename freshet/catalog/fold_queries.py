@@ -161,7 +161,7 @@ def _(d):
 @query(
     "j7_donors",
     "site int, station int, score num",
-    f"""WITH sel AS (SELECT DISTINCT site, station FROM ({_J4}) WHERE fold = 2000 AND rnk <= site % 4 + 1),
+    f"""WITH sel AS (SELECT DISTINCT site, station FROM ({_J4}) WHERE fold = 2000 AND r > 0.6),
     poor AS (SELECT m.site, m.huc FROM site_meta m LEFT JOIN (SELECT site, count(*) AS n FROM sel GROUP BY site) c
       ON m.site = c.site WHERE coalesce(n, 0) < 3)
     SELECT site, station, score FROM (SELECT p.site, s.station, s.elev AS score,
@@ -170,7 +170,7 @@ def _(d):
       WHERE NOT EXISTS (SELECT 1 FROM sel WHERE sel.site = p.site AND sel.station = s.station)) WHERE k = 1""",
 )
 def _(d):
-    sel = chosen(d).where((F.col("fold") == 2000) & (F.col("rnk") <= F.col("site") % 4 + 1))
+    sel = chosen(d).where((F.col("fold") == 2000) & (F.col("r") > 0.6))
     cand = d.station_meta.select(F.substring("huc", 1, 4).alias("huc"), "station", F.col("elev").alias("score"))
     return selection.donors(sel, d.site_meta.select("site", "huc"), cand)
 
@@ -247,11 +247,11 @@ def _(d):
 @query(
     "j12_deviation",
     "fold int, site int, d iso, dev num, dev_5 num, dev_30 num",
-    f"""WITH sel AS (SELECT fold, site, station FROM ({_J4}) WHERE fold IN (1999, 2001) AND rnk <= 2),
+    f"""WITH sel AS (SELECT fold, site, station FROM ({_J4}) ),
     o AS (SELECT station, d, v, strftime(d, '%m%d') AS season, CASE WHEN month(d) < 8 THEN year(d) ELSE year(d) + 1 END AS fy
       FROM station_day),
     st AS (SELECT o.station, season, fold, avg(v) AS m, CASE WHEN max(v) > min(v) THEN stddev_samp(v) END AS s
-      FROM o, (SELECT unnest([1999, 2001]) AS fold) f WHERE fy <> fold GROUP BY 1, 2, 3),
+      FROM o, {YEARS} f(fold) WHERE fy <> fold GROUP BY 1, 2, 3),
     z AS (SELECT sel.fold, sel.site, o.fy, o.d, avg((o.v - st.m) / st.s) AS dev FROM o
       JOIN sel ON o.station = sel.station
       JOIN st ON st.station = o.station AND st.season = o.season AND st.fold = sel.fold GROUP BY 1, 2, 3, 4)
@@ -259,8 +259,7 @@ def _(d):
     FROM z WINDOW p AS (PARTITION BY fold, site, fy ORDER BY d)""",
 )
 def _(d):
-    sel = chosen(d).where(F.col("fold").isin(1999, 2001) & (F.col("rnk") <= 2))
-    return features.deviation(d.station_day.drop("site"), sel, [5, 30], FIRST_YEAR, LAST_YEAR)
+    return features.deviation(d.station_day.drop("site"), chosen(d), [5, 30], FIRST_YEAR, LAST_YEAR)
 
 
 @query(
@@ -414,14 +413,14 @@ def _(d):
     "j23_regression_fill",
     "s_suppkey big, s_acctbal num",
     """SELECT s_suppkey, coalesce(y, a + b * x) AS s_acctbal FROM (
-      SELECT s_suppkey, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS y, s_nationkey::DOUBLE AS x FROM supplier),
+      SELECT s_suppkey, CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS y, s_nationkey::DOUBLE AS x FROM supplier),
     (SELECT regr_slope(s_acctbal, s_nationkey) AS b, regr_intercept(s_acctbal, s_nationkey) AS a FROM supplier
-      WHERE s_suppkey % 7 <> 0)""",
+      WHERE s_acctbal >= 0)""",
 )
 def _(d):
     rows = d.table("supplier").select(
         "s_suppkey",
-        F.when(F.col("s_suppkey") % 7 != 0, F.col("s_acctbal")).alias("s_acctbal"),
+        F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).alias("s_acctbal"),
         F.col("s_nationkey").cast("double").alias("x"),
     )
     return selection.regr_fill(rows, "s_acctbal", "x")

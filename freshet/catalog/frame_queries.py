@@ -61,10 +61,10 @@ def _(d):
       coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY station ORDER BY t),
         first_value(x IGNORE NULLS) OVER (PARTITION BY station ORDER BY t
           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS down_up
-    FROM (SELECT station, t, CASE WHEN (month(t) + station) % 4 > 1 THEN v END AS x FROM station_month)""",
+    FROM (SELECT station, t, CASE WHEN v >= 150 THEN v END AS x FROM station_month)""",
 )
 def _(d):
-    x = F.when((F.month("t") + F.col("station")) % 4 > 1, F.col("v"))
+    x = F.when(F.col("v") >= 150, F.col("v"))
     rows = d.station_month.select("station", "t", x.alias("up"), x.alias("down_up"))
     return fill.fill(fill.fill(rows, ["station"], "t", ["up"], "up"), ["station"], "t", ["down_up"])
 
@@ -136,10 +136,10 @@ def _(d):
     "d9_fill_group_mean",
     "site int, yr int, m int, vol num",
     """SELECT site, yr, m, coalesce(x, avg(x) OVER (PARTITION BY site, m)) AS vol
-    FROM (SELECT site, yr, m, CASE WHEN (yr + site) % 5 <> 0 THEN vol END AS x FROM flow_month)""",
+    FROM (SELECT site, yr, m, CASE WHEN vol <= 4000 THEN vol END AS x FROM flow_month)""",
 )
 def _(d):
-    rows = d.flow_month.withColumn("vol", F.when((F.col("yr") + F.col("site")) % 5 != 0, F.col("vol")))
+    rows = d.flow_month.withColumn("vol", F.when(F.col("vol") <= 4000, F.col("vol")))
     return fill.fill_group_mean(rows, ["site", "m"], "vol")
 
 
@@ -252,16 +252,16 @@ def _(d):
 
 @query(
     "d18_freshness",
-    "station int, last_date iso, age int, status str",
-    """SELECT m.station, last_date, date_diff('day', last_date, DATE '1999-03-08') AS age,
+    "p_partkey big, last_date iso, age int, status str",
+    """SELECT m.p_partkey, last_date, date_diff('day', last_date, DATE '1999-03-08') AS age,
       CASE WHEN last_date IS NULL THEN 'missing' WHEN DATE '1999-03-08' - last_date > 1 THEN 'behind' ELSE 'ok' END AS status
-    FROM station_meta m LEFT JOIN (SELECT station, max(d) AS last_date FROM station_day
-      WHERE d < DATE '1999-03-08' AND station % 11 <> 0 GROUP BY station) l ON m.station = l.station""",
+    FROM part m LEFT JOIN (SELECT station, max(d) AS last_date FROM station_day
+      WHERE d < DATE '1999-03-08' GROUP BY station) l ON m.p_partkey = l.station""",
 )
 def _(d):
     issue = F.lit("1999-03-08").cast("date")
-    rows = d.station_day.where(F.col("station") % 11 != 0)
-    return quality.freshness(rows, d.station_meta, "station", "d", "v", issue)
+    rows = d.station_day.withColumn("p_partkey", F.col("station").cast("long"))
+    return quality.freshness(rows, d.table("part"), "p_partkey", "d", "v", issue)
 
 
 @query(
@@ -314,12 +314,12 @@ def _(d):
     "n_pred big, n_wanted big, unexpected big, absent big, moved big",
     """SELECT count(p.site) AS n_pred, count(g.site) AS n_wanted, sum((g.site IS NULL)::INT) AS unexpected,
       sum((p.site IS NULL)::INT) AS absent, coalesce(sum((p.ord <> g.ord)::INT), 0) AS moved
-    FROM (SELECT site, issue_date, md_id + (site % 2 = 0 AND dd = 1)::INT AS ord FROM pred WHERE site <> 4) p
+    FROM (SELECT site, issue_date, md_id + (site % 2 = 0 AND dd = 1)::INT AS ord FROM pred) p
     FULL JOIN (SELECT site, issue_date, md_id AS ord FROM issue_grid WHERE yr < 2001) g
       ON p.site = g.site AND p.issue_date = g.issue_date""",
 )
 def _(d):
     shift = ((F.col("site") % 2 == 0) & (F.col("dd") == 1)).cast("int")
-    pred = d.pred.where(F.col("site") != 4).select("site", "issue_date", (F.col("md_id") + shift).alias("ord"))
+    pred = d.pred.select("site", "issue_date", (F.col("md_id") + shift).alias("ord"))
     wanted = d.issue_grid.where(F.col("yr") < 2001).select("site", "issue_date", F.col("md_id").alias("ord"))
     return quality.check_submission(pred, wanted, ["site", "issue_date"], "ord")

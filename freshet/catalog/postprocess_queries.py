@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from freshet.catalog.domain import KAF
 from freshet.catalog.registry import query
 from freshet.plans import postprocess as pp
 
@@ -22,14 +23,15 @@ def _(d):
 
 
 def month_model(d):
-    """Mean of the members of the issue month, absent for some sites."""
-    return d.members.where(F.col("site") % 6 != 0).groupBy("site", "yr", "m").agg(
-        *[F.avg(q).alias(q) for q in pp.Q]
+    """Mean of the members of the issue month, absent below four members."""
+    means = d.members.groupBy("site", "yr", "m").agg(
+        *[F.avg(q).alias(q) for q in pp.Q], F.count(F.lit(1)).alias("_n")
     )
+    return means.where(F.col("_n") >= 4).drop("_n")
 
 
 _MONTH_MODEL = """SELECT site, yr, m, avg(q10) AS q10, avg(q50) AS q50, avg(q90) AS q90 FROM members
-WHERE site % 6 <> 0 GROUP BY 1, 2, 3"""
+GROUP BY 1, 2, 3 HAVING count(*) >= 4"""
 
 
 def _mix(q: str) -> str:
@@ -57,11 +59,11 @@ _K3 = ", ".join(
     f"site int, issue_date iso, {Q3}",
     f"""SELECT g.site, g.issue_date, {_K3} FROM issue_grid g
     JOIN ({_MONTH_MODEL}) f ON g.site = f.site AND g.yr = f.yr
-    LEFT JOIN (SELECT * FROM flow_month WHERE (yr + m) % 5 <> 0) o ON o.site = f.site AND o.yr = f.yr AND o.m = f.m
+    LEFT JOIN (SELECT * FROM flow_month WHERE yr < 2001) o ON o.site = f.site AND o.yr = f.yr AND o.m = f.m
     WHERE f.m BETWEEN season_start AND season_end GROUP BY 1, 2""",
 )
 def _(d):
-    observed = d.flow_month.where((F.col("yr") + F.col("m")) % 5 != 0).select(
+    observed = d.flow_month.where("yr < 2001").select(
         "site", "yr", F.col("m").alias("pm"), F.col("vol").alias("obs")
     )
     rows = (
@@ -136,37 +138,50 @@ def _(d):
     "k7_ensemble_by_site",
     f"site int, issue_date iso, {Q3}, n_members big",
     """SELECT site, issue_date, avg(q10) AS q10, avg(q50) AS q50, avg(q90) AS q90, count(*) AS n_members FROM members
-    WHERE substr(member, 1, 1)::INTEGER <= 2 + site % 3 GROUP BY 1, 2""",
+    WHERE site NOT IN (1, 4, 9) OR substr(member, 1, 1) <= '2' GROUP BY 1, 2""",
 )
 def _(d):
-    rank = F.substring("member", 1, 1).cast("int")
-    routes = (
-        d.site_meta.select("site")
-        .join(d.table("orders").select(F.col("o_orderpriority").alias("member")).distinct())
-        .where(rank <= 2 + F.col("site") % 3)
-    )
+    # Two members for three sites, all for the rest.
+    some = F.col("site").isin(1, 4, 9)
+    listed = d.members.select("site", "member").distinct()
+    routes = listed.where(~some | (F.substring("member", 1, 1) <= "2"))
     return pp.ensemble_by_site(d.members, KEYS, routes, ["site", "member"])
 
 
-_SORTED = """SELECT site, yr, member, l[1] AS q10, l[2] AS q50, l[3] AS q90 FROM (
-  SELECT site, yr, m * 10 + substr(member, 1, 1)::INTEGER AS member, list_sort([q10, q50 * 1.3::DOUBLE, q90]) AS l FROM members
-  WHERE m <= 3 AND substr(member, 1, 1)::INTEGER <= 3)"""
+_MEMBER_LINES = """SELECT s_nationkey AS site, year(l_shipdate) AS yr, l_linenumber AS member,
+  list_sort([min(l_extendedprice), round(sum(l_extendedprice), 2) / count(*) * 4.0, max(l_extendedprice)]) AS l
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3"""
 
 
 @query(
     "k8_rerank_members",
     f"site int, yr int, {Q3}",
     f"""SELECT site, yr, sum(q10 * CASE r10 WHEN 1 THEN 0.2::DOUBLE WHEN 2 THEN 0.8::DOUBLE END) AS q10, avg(q50) AS q50,
-      sum(q90 * CASE r90 WHEN 8 THEN 0.8::DOUBLE WHEN 9 THEN 0.2::DOUBLE END) AS q90 FROM (
-      SELECT *, row_number() OVER (PARTITION BY site, yr ORDER BY q10, member) AS r10,
-        row_number() OVER (PARTITION BY site, yr ORDER BY q90, member) AS r90 FROM ({_SORTED})) GROUP BY 1, 2""",
+      sum(q90 * CASE r90 WHEN 6 THEN 0.8::DOUBLE WHEN 7 THEN 0.2::DOUBLE END) AS q90 FROM (
+      SELECT site, yr, l[1] * {KAF}::DOUBLE AS q10, l[2] * {KAF}::DOUBLE AS q50, l[3] * {KAF}::DOUBLE AS q90,
+        row_number() OVER (PARTITION BY site, yr ORDER BY l[1], member) AS r10,
+        row_number() OVER (PARTITION BY site, yr ORDER BY l[3], member) AS r90 FROM ({_MEMBER_LINES})) GROUP BY 1, 2""",
 )
 def _(d):
-    rank = F.substring("member", 1, 1).cast("int")
-    rows = d.members.where((F.col("m") <= 3) & (rank <= 3)).select(
-        "site", "yr", (F.col("m") * 10 + rank).alias("member"), "q10", (F.col("q50") * 1.3).alias("q50"), "q90"
+    # Seven members (line numbers), so the upper extremes are ranks 6 and 7.
+    price = F.col("l_extendedprice")
+    rows = (
+        d.table("lineitem")
+        .groupBy(
+            F.col("l_suppkey").cast("int").alias("station"),
+            F.year("l_shipdate").alias("yr"),
+            F.col("l_linenumber").alias("member"),
+        )
+        .agg(F.min(price).alias("lo"), F.round(F.sum(price), 2).alias("s"), F.count(price).alias("n"), F.max(price).alias("hi"))
+        .join(d.station_meta.select("station", "site"), "station")
+        .groupBy("site", "yr", "member")
+        .agg(
+            (F.min("lo") * KAF).alias("q10"),
+            (F.round(F.sum("s"), 2) / F.sum("n") * 4.0 * KAF).alias("q50"),
+            (F.max("hi") * KAF).alias("q90"),
+        )
     )
-    return pp.rerank_members(rows, ["site", "yr"], "member")
+    return pp.rerank_members(rows, ["site", "yr"], "member", {1: 0.2, 2: 0.8, 6: 0.8, 7: 0.2})
 
 
 @query(

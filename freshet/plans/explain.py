@@ -161,12 +161,12 @@ def feature_context(
     )
 
 
-def guard_outliers(context: DataFrame, by: Sequence[str]) -> DataFrame:
-    """M8: blank a shown percentage above 2.5 x its group's median, when that
-    median is above 100."""
+def guard_outliers(context: DataFrame, by: Sequence[str], ratio: float = 2.5) -> DataFrame:
+    """M8: blank a shown percentage above ``ratio`` x its group's median, when
+    that median is above 100."""
     med = context.groupBy(*by).agg(F.median("value_shown").alias("_m"))
     out = context.join(med, list(by))
-    far = F.col("use_percent") & (F.col("_m") > 100) & (F.col("value_shown") / F.col("_m") > 2.5)
+    far = F.col("use_percent") & (F.col("_m") > 100) & (F.col("value_shown") / F.col("_m") > ratio)
     return out.withColumn("value_shown", F.when(F.coalesce(~far, F.lit(True)), F.col("value_shown"))).drop("_m")
 
 
