@@ -1 +1,48 @@
-"""Queries."""
+"""Queries for model jobs."""
+
+from pyspark.sql import functions as F
+
+from freshet.catalog.domain import FIRST_YEAR, LAST_YEAR
+from freshet.catalog.registry import query
+from freshet.plans import folds, models, selection
+
+
+def site_month_features(d):
+    """One row per site, month and year: snow, index and volume."""
+    swe = d.station_day.groupBy("site", F.year("d").alias("yr"), F.month("d").alias("m")).agg(F.avg("v").alias("swe"))
+    rows = swe.join(d.flow_month.select("site", "yr", "m", "vol"), ["site", "yr", "m"])
+    return rows.join(d.index_month, ["yr", "m"])
+
+
+@query("j22_pca", "vec_id big, pc1 num4, pc2 num4, pc3 num4")
+def _(d):
+    return models.pca(d.table("embeddings"), "vec_id", "embedding", 3)
+
+
+@query("j24_greedy_stations", "fold int, site int, n_stations int, rmse num4")
+def _(d):
+    yearly = d.station_month.drop("site").groupBy("station", F.year("t").alias("yr")).agg(F.max("v").alias("x"))
+    rows = yearly.join(d.area_pairs, "station").join(d.site_year, ["site", "yr"])
+    best = selection.greedy_stations(folds.loocv(rows, "yr", FIRST_YEAR, LAST_YEAR), rounds=3, min_years=5)
+    return best.withColumn("n_stations", F.size("stations"))
+
+
+@query("k16_quantile_regression", "site int, yr int, m int, q10 num4, q50 num4, q90 num4")
+def _(d):
+    rows = site_month_features(d)
+    feats = ["swe", "val"]
+    coefs = models.fit_quantile(rows, ["site"], feats, "vol", bags=2, row_share=0.9, row_key=["site", "yr", "m"], iterations=6)
+    return models.predict_quantile(rows.select("site", "yr", "m", *feats), coefs, ["site"], feats)
+
+
+@query("k17_partial_least_squares", "site int, m int, fold int, q10 num4, q50 num4, q90 num4, ncomp int, n_train int")
+def _(d):
+    rows = site_month_features(d).withColumn("cross", F.col("swe") * F.col("val"))
+    return models.fit_pls(rows, ["site", "m"], "yr", ["swe", "val", "cross"], "vol", max_comp=3)
+
+
+@query("k18_boosted_trees", "site int, yr int, m int, q10 num4, q50 num4, q90 num4")
+def _(d):
+    rows = site_month_features(d).withColumn("fold", F.col("yr") % 2)
+    feats = ["site", "m", "swe", "val"]
+    return models.fit_gbt(rows, feats, "vol", "fold", [0, 1], ["m"], max_iter=5, max_depth=4)

@@ -1 +1,323 @@
-"""Queries."""
+"""Queries for readers and sinks.
+
+Text and JSON inputs are written from the given tables with Spark, in the
+layouts the readers expect, and read back by the parsers.
+"""
+
+from pyspark.sql import functions as F
+
+from freshet.catalog.domain import KAF
+from freshet.catalog.registry import query
+from freshet.functions.calendar import forecast_year
+from freshet.session import run_path
+from freshet.sources import tables, text
+from freshet.sources.schemas import DISCHARGE
+
+
+def joined(lines: str, order: str):
+    """Lines of one file in order; a file holds at most one site-year."""
+    rows = F.sort_array(F.collect_list(F.struct(order, lines)))
+    return F.array_join(F.transform(rows, lambda r: r[lines]), "\n")
+
+
+def station_files(d):
+    """``FY{year}/{station}.csv`` files; early years lack the second measure."""
+    rows = d.station_day.withColumn("fy", forecast_year("d"))
+    late = F.col("fy") >= 1998
+    line = F.concat_ws(",", F.col("d").cast("string"), F.col("v").cast("string"), F.when(late, (F.col("v") * 2).cast("string")))
+    files = rows.withColumn("line", line).groupBy("station", "fy").agg(joined("line", "d").alias("body"))
+    head = F.when(late, "date,WTEQ_DAILY,PREC_DAILY").otherwise("date,WTEQ_DAILY")
+    return files.select(
+        F.format_string("/landed/FY%d/%d.csv", "fy", "station").alias("path"), F.concat_ws("\n", head, "body").alias("value")
+    )
+
+
+@query(
+    "a1_station_years",
+    "station str, forecast_year int, date iso, wteq num, prec num, tavg num",
+    """SELECT station, fy AS forecast_year, d AS date, v AS wteq, CASE WHEN fy >= 1998 THEN v * 2 END AS prec, NULL AS tavg
+    FROM (SELECT *, CASE WHEN month(d) < 8 THEN year(d) ELSE year(d) + 1 END AS fy FROM station_day)""",
+)
+def _(d):
+    rows = text.parse_station_years(station_files(d))
+    return rows.withColumnsRenamed({"WTEQ_DAILY": "wteq", "PREC_DAILY": "prec", "TAVG_DAILY": "tavg"})
+
+
+@query(
+    "a2_discharge_csv",
+    "site_no str, date iso, discharge_cfs_mean num",
+    """SELECT lpad(site::VARCHAR, 8, '0') AS site_no, d AS date, CASE WHEN vol >= 200 THEN vol END AS discharge_cfs_mean
+    FROM flow_day""",
+)
+def _(d):
+    path = run_path(d.spark, "discharge")
+    d.flow_day.select(
+        F.col("d").cast("timestamp_ntz").alias("datetime"),
+        F.lpad(F.col("site").cast("string"), 8, "0").alias("site_no"),
+        F.when(F.col("vol") >= 200, F.col("vol")).otherwise(-999999.0).alias("00060_Mean"),
+        F.lit("A").alias("00060_Mean_cd"),
+    ).write.csv(path, header=True)
+    return text.read_discharge_csv(d.spark, path)
+
+
+@query(
+    "a2_discharge_drop_negative",
+    "site_no str, date iso, discharge_cfs_mean num",
+    "SELECT lpad(site::VARCHAR, 8, '0') AS site_no, d AS date, vol - 500 AS discharge_cfs_mean FROM flow_day WHERE vol >= 500",
+)
+def _(d):
+    raw = d.flow_day.select(
+        F.col("d").cast("timestamp_ntz").alias("datetime"),
+        F.lpad(F.col("site").cast("string"), 8, "0").alias("site_no"),
+        (F.col("vol") - 500).alias("00060_Mean"),
+    )
+    return text.clean_discharge(raw, drop_negative=True)
+
+
+@query(
+    "a3_rdb",
+    "site_no str, date str, flow num",
+    """SELECT lpad(site::VARCHAR, 8, '0') AS site_no, d::VARCHAR AS date, CASE WHEN v > 20 THEN v END AS flow FROM site_day""",
+)
+def _(d):
+    flow = F.when(F.col("v") > 20, F.col("v").cast("string")).otherwise("Ice")
+    data = d.site_day.select(
+        F.concat_ws("\t", F.lit("USGS"), F.lpad(F.col("site").cast("string"), 8, "0"), F.col("d").cast("string"), flow).alias("value")
+    )
+    # Each site's file starts with comments, a header and a format line.
+    heads = d.site_meta.select(
+        F.explode(
+            F.array(
+                F.concat(F.lit("# site "), F.col("name")), F.lit("agency_cd\tsite_no\tdatetime\tflow"), F.lit("5s\t15s\t20d\t14n")
+            )
+        ).alias("value")
+    )
+    return text.parse_rdb(heads.unionByName(data), ["agency_cd", "site_no", "date", "flow"], ["flow"])
+
+
+@query(
+    "a4_reservoir_csv",
+    "site_id str, date iso, volume num",
+    f"""SELECT 'site_' || site AS site_id, d AS date, vol * {KAF}::DOUBLE AS volume FROM flow_day f WHERE vol > 300""",
+)
+def _(d):
+    names = d.site_meta.select("site", "name")
+    unit = F.when(F.col("vol") > 300, "cfs").otherwise("af")
+    line = F.concat_ws(",", "name", F.lit("Inflow"), F.col("vol").cast("string"), unit, F.concat(F.col("d").cast("string"), F.lit(" 00:00:00")))
+    files = (
+        d.flow_day.join(names, "site").withColumn("line", line)
+        .groupBy("site", F.year("d").alias("yr")).agg(joined("line", "d").alias("body"))
+    )
+    preamble = "\n".join([f"note {i}" for i in range(7)] + ["Location,Parameter,Result,Units,Datetime (UTC)"])
+    files = files.select(
+        F.format_string("/landed/%d-%d.csv", "site", "yr").alias("path"), F.concat_ws("\n", F.lit(preamble), "body").alias("value")
+    )
+    return text.parse_reservoir(files, {f"NATION_{i}": f"site_{i}" for i in range(25)}, "Inflow", unit="cfs")
+
+
+def monthly_lines(d, width: int, digits: int, scale: float = 1.0):
+    """Per station and year twelve fixed-width cells, 99.99 where absent."""
+    entries = F.map_from_entries(F.collect_list(F.struct(F.month("t").alias("k"), F.col("v").alias("v"))))
+    rows = d.station_month.groupBy("station", F.year("t").alias("yr")).agg(entries.alias("e"))
+    cells = F.transform(
+        F.sequence(F.lit(1), F.lit(12)),
+        lambda m: F.coalesce(
+            F.format_string(f"%{width}.{digits}f", F.element_at("e", m) * scale), F.lpad(F.lit("99.99"), width, " ")
+        ),
+    )
+    return rows.select("station", "yr", F.concat(F.format_string("%4d", "yr"), F.array_join(cells, "")).alias("line"))
+
+
+@query(
+    "a5_fixed_width",
+    "path str, year int, m1 num, m6 num, m12 num",
+    """SELECT station AS path, year(t) AS year, max(v) FILTER (month(t) = 1) AS m1, max(v) FILTER (month(t) = 6) AS m6,
+    max(v) FILTER (month(t) = 12) AS m12 FROM station_month GROUP BY 1, 2""",
+)
+def _(d):
+    files = monthly_lines(d, 9, 1).groupBy("station").agg(joined("line", "yr").alias("body"))
+    files = files.select(F.col("station").cast("string").alias("path"), F.concat(F.lit("INDEX\nYEAR  JAN  FEB\n"), "body").alias("value"))
+    return text.parse_fwf(files, (4, *[9] * 12), ("year", *[f"m{m}" for m in range(1, 13)]))
+
+
+@query(
+    "a5_fixed_width_after_marker",
+    "path str, year int, m1 num, m7 num",
+    """SELECT station AS path, year(t) AS year, max(v) FILTER (month(t) = 1) AS m1, max(v) FILTER (month(t) = 7) AS m7
+    FROM station_month GROUP BY 1, 2""",
+)
+def _(d):
+    plain = monthly_lines(d, 9, 1, 3.0).groupBy("station").agg(joined("line", "yr").alias("first"))
+    second = monthly_lines(d, 9, 1).groupBy("station").agg(joined("line", "yr").alias("second"))
+    files = plain.join(second, "station").select(
+        F.col("station").cast("string").alias("path"),
+        F.concat_ws("\n", F.lit("ANOMALY"), "first", F.lit("  STANDARDIZED    DATA  "), F.lit("YEAR JAN"), "second").alias("value"),
+    )
+    return text.parse_fwf(
+        files, (4, *[9] * 12), ("year", *[f"m{m}" for m in range(1, 13)]), marker="STANDARDIZED    DATA"
+    )
+
+
+@query(
+    "a6_whitespace",
+    "station int, yr int, m int, v num, anom num",
+    """SELECT station, year(t) AS yr, month(t) AS m, v, CASE WHEN v > 100 THEN v - 100 END AS anom FROM station_month""",
+)
+def _(d):
+    anom = F.when(F.col("v") > 100, F.format_string("%8.2f", F.col("v") - 100)).otherwise("*****")
+    lines = d.station_month.select(
+        F.concat_ws("  ", F.format_string(" %5d %d   %d", "station", F.year("t"), F.month("t")), F.format_string("%9.2f", "v"), anom).alias("value")
+    )
+    heads = d.station_meta.select(F.explode(F.array(F.lit("STN YR MON VALUE ANOM"), F.lit(""))).alias("value"))
+    rows = text.parse_ws(heads.unionByName(lines), ["station", "yr", "m", "v", "anom"], skip=("STN",))
+    return rows.select(*[F.col(c).try_cast("int").alias(c) for c in ("station", "yr", "m")], *[F.col(c).try_cast("double").alias(c) for c in ("v", "anom")])
+
+
+@query(
+    "a7_sectioned",
+    "issue_date iso, cd int, lead int, v num",
+    "SELECT date_trunc('month', d)::DATE AS issue_date, site AS cd, day(d) AS lead, v FROM site_day",
+)
+def _(d):
+    wide = F.year("d") == 1998
+    data = F.when(
+        wide, F.concat(F.format_string("%4d%5d%5d%5d", F.year("d"), F.month("d"), F.dayofmonth("d"), "site"), F.format_string("%14.8f", "v"))
+    ).otherwise(
+        F.concat(F.format_string("%4d%3d%3d%4d", F.year("d"), F.month("d"), F.dayofmonth("d"), "site"), F.format_string("%12.8f", "v"))
+    )
+    month = F.trunc("d", "MM")
+    rows = d.site_day.select("site", F.struct(month.alias("t"), F.dayofmonth("d").alias("k")).alias("o"), data.alias("line"))
+    heads = d.site_day.select("site", month.alias("t")).distinct().select(
+        "site",
+        F.struct("t", F.lit(0).alias("k")).alias("o"),
+        F.concat_ws("\n", F.concat(F.format_string("%2d%2d %4d", F.month("t"), F.dayofmonth("t"), F.year("t")), F.lit("  FORECAST TEMPERATURE PERCENTILES")), F.lit("YEAR MN LEAD CD VALUE")).alias("line"),
+    )
+    files = rows.unionByName(heads).groupBy("site", F.year("o.t").alias("yr")).agg(joined("line", "o").alias("body"))
+    files = files.select(
+        F.format_string("/landed/%d-%d.txt", "site", "yr").alias("path"),
+        F.concat_ws("\n", "body", F.lit("9999"), F.lit("2050  1  1   1  1.0")).alias("value"),
+    )
+    normal = [("year", 4), ("mn", 3), ("lead", 3), ("cd", 4), ("v", 12)]
+    return text.parse_sectioned(
+        files, "FORECAST TEMPERATURE PERCENTILES", {1998: [("year", 4), ("mn", 5), ("lead", 5), ("cd", 5), ("v", 14)]}, normal
+    )
+
+
+@query(
+    "a8_array_json",
+    "station str, date iso, precip num, maxt num",
+    """SELECT y.station, y.date, CASE WHEN s.v < 5 THEN 0 ELSE s.v END AS precip, s.v * 2 AS maxt FROM (
+      SELECT DISTINCT station, make_date(year(d), 1, 1) + i::INTEGER AS date FROM station_day, range(365) r(i)) y
+    LEFT JOIN station_day s ON s.station = y.station AND s.d = y.date""",
+)
+def _(d):
+    day = F.dayofyear("d")
+    known = F.map_from_entries(F.collect_list(F.struct(day.alias("k"), F.col("v").alias("v"))))
+    rows = d.station_day.groupBy("station", F.make_date(F.year("d"), F.lit(1), F.lit(1)).alias("start")).agg(known.alias("e"))
+
+    def cell(i):
+        v = F.element_at("e", i + 1)
+        precip = F.when(v < 5, "T").otherwise(F.coalesce(v.cast("string"), F.lit("M")))
+        return F.array(precip, F.coalesce((v * 2).cast("string"), F.lit("M")))
+
+    station = F.struct(
+        F.struct(F.col("station").cast("string").alias("name")).alias("meta"),
+        F.transform(F.sequence(F.lit(0), F.lit(364)), cell).alias("data"),
+    )
+    payload = rows.select("start", F.to_json(F.struct(F.array(station).alias("data"))).alias("payload"))
+    return tables.flatten_station_json(payload, "payload", "start")
+
+
+@query(
+    "a8_element_json",
+    "station str, element str, date iso, value num",
+    """SELECT station || ':X:SNTL' AS station, 'WTEQ' AS element, d AS date, v AS value FROM station_day UNION ALL
+    SELECT station || ':X:SNTL', 'PREC', d, v + 1 FROM station_day""",
+)
+def _(d):
+    def values(shift: float):
+        return F.collect_list(F.struct(F.col("d").cast("string").alias("date"), (F.col("v") + shift).alias("value")))
+
+    rows = d.station_day.groupBy("station", F.year("d").alias("yr")).agg(values(0.0).alias("w"), values(1.0).alias("p"))
+
+    def element(code: str, col: str):
+        return F.struct(F.struct(F.lit(code).alias("elementCode")).alias("stationElement"), F.col(col).alias("values"))
+
+    payload = F.to_json(
+        F.array(
+            F.struct(
+                F.concat(F.col("station").cast("string"), F.lit(":X:SNTL")).alias("stationTriplet"),
+                F.array(element("WTEQ", "w"), element("PREC", "p")).alias("data"),
+            )
+        )
+    )
+    return tables.flatten_element_json(rows.select(payload.alias("payload")), "payload")
+
+
+@query(
+    "a8_attribute_json",
+    "site int, date iso, value num",
+    "SELECT site, d AS date, vol AS value FROM flow_day",
+)
+def _(d):
+    point = F.struct(F.struct(F.col("d").cast("string").alias("dateTime"), F.col("vol").alias("result")).alias("attributes"))
+    rows = d.flow_day.groupBy("site", F.year("d").alias("yr")).agg(F.collect_list(point).alias("data"))
+    payload = rows.select("site", F.to_json(F.struct("data")).alias("payload"))
+    return tables.flatten_attribute_json(payload, "payload", ["site"])
+
+
+@query(
+    "a9_grid_scan",
+    "t iso, lat num, lon num, v num",
+    "SELECT t, lat, lon, v FROM grid WHERE lat BETWEEN 34 AND 41 AND lon BETWEEN -112 AND -104",
+)
+def _(d):
+    path = run_path(d.spark, "grid")
+    tables.write_table(d.grid, path)
+    return tables.scan_grid(d.spark, path, (34.0, 41.0), (-112.0, -104.0))
+
+
+@query(
+    "a10_history_union",
+    "site int, yr int, vol num",
+    """SELECT CASE WHEN site = 3 THEN 103 ELSE site END AS site, yr, vol FROM site_year WHERE yr < 1999 AND vol <= 4000 UNION ALL
+    SELECT CASE WHEN site = 3 THEN 103 ELSE site END, yr, vol FROM site_year WHERE yr >= 1999""",
+)
+def _(d):
+    prior = d.site_year.where("yr < 1999").withColumn("vol", F.when(F.col("vol") <= 4000, F.col("vol")))
+    cv = d.site_year.where("yr >= 1999").select("yr", "site", "vol")
+    return tables.read_history(prior, cv, "vol", "site", {3: 103})
+
+
+@query(
+    "a11_metadata",
+    "site int, gauge str, elev num",
+    """SELECT site, lpad((site * 101)::VARCHAR, 8, '0') AS gauge, CASE WHEN site IN (2, 5) THEN 1.5 ELSE elev END AS elev
+    FROM site_meta""",
+)
+def _(d):
+    meta = d.site_meta.select("site", (F.col("site") * 101).alias("gauge"), "elev")
+    fixes = d.site_meta.where("site in (2, 5)").select("site", F.lit(1.5).alias("elev"))
+    return tables.read_metadata(meta, "gauge", fixes)
+
+
+@query(
+    "a12_table_reuse",
+    "site int, wy int, n big, vol num",
+    "SELECT site, wy, count(*) AS n, sum(vol) AS vol FROM flow_month GROUP BY 1, 2",
+)
+def _(d):
+    table = tables.read_or_build(d.spark, run_path(d.spark, "flow").rsplit("/", 1)[1], lambda: d.flow_month, ["wy"])
+    return table.groupBy("site", "wy").agg(F.count(F.lit(1)).alias("n"), F.sum("vol").alias("vol"))
+
+
+@query(
+    "a13_submission_order",
+    "ordinal int, site int, issue_date iso, q10 num, q50 num, q90 num",
+    """SELECT g.site * 1000 + (g.yr - 1995) * 28 + g.md_id AS ordinal, g.site, g.issue_date, q10, q50, q90 FROM issue_grid g
+    LEFT JOIN pred p ON g.site = p.site AND g.issue_date = p.issue_date ORDER BY 1""",
+)
+def _(d):
+    ordinal = F.col("site") * 1000 + (F.col("yr") - 1995) * 28 + F.col("md_id")
+    wanted = d.issue_grid.withColumn("ordinal", ordinal)
+    return tables.submission(d.pred, wanted, ["site", "issue_date"], "ordinal")

@@ -307,6 +307,21 @@ def fit_gbt(
 Score = Callable[[DataFrame], DataFrame]
 
 
+def _tried_points(f: str, n: int) -> list[Column]:
+    """Arrays of the grid, current and reference values of one feature."""
+    lo, hi = F.col(f"_lo_{f}"), F.col(f"_hi_{f}")
+
+    def point(v: Column, kind: str) -> Column:
+        return F.struct(F.lit(f).alias("feature"), v.cast("double").alias("v"), F.lit(kind).alias("data_type"))
+
+    grid = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: point(lo + (hi - lo) * i / (n - 1), "grid"))
+    return [
+        grid,
+        F.array(point(F.col(f), "current")),
+        F.transform(f"_ref_{f}", lambda v: point(v, "reference")),
+    ]
+
+
 def what_if(
     rows: DataFrame, reference: DataFrame, by: Sequence[str], features: Sequence[str], score: Score, n: int = 30
 ) -> DataFrame:
@@ -322,22 +337,7 @@ def what_if(
         *[F.max(f).alias(f"_hi_{f}") for f in features],
         *[F.collect_set(f).alias(f"_ref_{f}") for f in features],
     )
-    tries = []
-    for f in features:
-        lo, hi = F.col(f"_lo_{f}"), F.col(f"_hi_{f}")
-
-        def point(v: Column, kind: str, name: str = f) -> Column:
-            return F.struct(F.lit(name).alias("feature"), v.cast("double").alias("v"), F.lit(kind).alias("data_type"))
-
-        def at(i: Column, lo: Column = lo, hi: Column = hi, name: str = f) -> Column:
-            return point(lo + (hi - lo) * i / (n - 1), "grid", name)
-
-        def seen(v: Column, name: str = f) -> Column:
-            return point(v, "reference", name)
-
-        tries.append(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at))
-        tries.append(F.array(point(F.col(f), "current")))
-        tries.append(F.transform(f"_ref_{f}", seen))
+    tries = [t for f in features for t in _tried_points(f, n)]
     exploded = rows.join(spans, list(by)).withColumn("_t", F.explode(F.concat(*tries)))
     changed = exploded.select(
         *[
