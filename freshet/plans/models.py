@@ -234,21 +234,28 @@ def fit_pls(
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x_all = pdf[list(features)].to_numpy(dtype=float)
+        y_all = pdf[y].to_numpy(dtype=float)
+        years = pdf[year].to_numpy()
+        key = [pdf[b].iloc[0] for b in by]
         out = []
-        for fold in sorted(pdf[year].unique()):
-            test = pdf[pdf[year] == fold].iloc[0]
-            train = pdf[(pdf[year] != fold) & pdf[y].notna()]
-            cols = [c for c in features if pd.notna(test[c]) and train[c].isna().mean() < 0.5]
-            train = train.dropna(subset=cols) if cols else train
-            cols = [c for c in cols if (train[c] == 0).mean() <= 0.6 and train[c].nunique() > 1]
-            distinct = []
-            for c in cols:
-                if not any(train[c].equals(train[d].rename(c)) for d in distinct):
-                    distinct.append(c)
-            n = len(train)
+        for fold in np.unique(years):
+            test = x_all[np.argmax(years == fold)]
+            rows = (years != fold) & ~np.isnan(y_all)
+            cols = [
+                j for j in range(len(features)) if not np.isnan(test[j]) and np.isnan(x_all[rows, j]).mean() < 0.5
+            ]
+            rows &= ~np.isnan(x_all[:, cols]).any(axis=1)
+            x, t = x_all[rows], y_all[rows]
+            distinct: list[int] = []
+            for j in cols:
+                usable = len(t) and (x[:, j] == 0).mean() <= 0.6 and np.ptp(x[:, j]) > 0
+                if usable and not any(np.array_equal(x[:, j], x[:, k]) for k in distinct):
+                    distinct.append(j)
+            n = len(t)
             if not distinct or n < 4:
                 continue
-            x, t = train[distinct].to_numpy(dtype=float), train[y].to_numpy(dtype=float)
+            x, new = x[:, distinct], test[distinct]
             comps = min(max_comp, len(distinct), n - 2)
             errors = np.zeros(comps)
             for i in range(n):
@@ -256,10 +263,9 @@ def fit_pls(
                 errors += (np.array(_pls_predict(x[keep], t[keep], x[i], comps)) - t[i]) ** 2
             best = int(np.argmin(errors))
             rmse = math.sqrt(errors[best] / n)
-            centre = _pls_predict(x, t, test[distinct].to_numpy(dtype=float), comps)[best]
+            centre = _pls_predict(x, t, new, comps)[best]
             out.append(
-                [*[test[b] for b in by], int(fold), centre - 1.2816 * rmse, centre, centre + 1.2816 * rmse,
-                 rmse, best + 1, n]
+                [*key, int(fold), centre - 1.2816 * rmse, centre, centre + 1.2816 * rmse, rmse, best + 1, n]
             )
         return pd.DataFrame(out, columns=[f.name for f in schema.fields])
 

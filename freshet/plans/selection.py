@@ -11,10 +11,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from freshet.operators.windows import top_k
 from freshet.plans.folds import loocv
+from freshet.session import cut_lineage
 
 
 def yearly_station_mean(
@@ -228,56 +230,58 @@ def _robust_rmse(x: np.ndarray, y: np.ndarray) -> float:
 def greedy_stations(rows: DataFrame, rounds: int = 5, min_years: int = 30) -> DataFrame:
     """Per (fold, site) the station set with the lowest fit error.
 
-    ``rows``: fold, site, station, yr, x, vol (training rows). Each round offers
-    every other station to the best set so far. One task sees one candidate set
-    over the years of one site, never all stations of a site.
+    ``rows``: fold, site, station, yr, x, vol (training rows). Every single
+    station is scored, then in each round the best set so far is merged with
+    every other scored set. One task sees one candidate set over the years of
+    one site, never all stations of a site; scored sets are checkpointed per
+    round so that the plan does not grow.
     """
-    base = rows.where(F.col("x").isNotNull() & F.col("vol").isNotNull()).select(
-        "fold", "site", "station", "yr", "x", "vol"
-    )
     keys = ["fold", "site"]
-    types = dict(base.dtypes)
-    schema = ", ".join([*[f"{c} {types[c]}" for c in (*keys, "station")], "rmse double"])
+    base = cut_lineage(
+        rows.where(F.col("x").isNotNull() & F.col("vol").isNotNull()).select(*keys, "station", "yr", "x", "vol")
+    )
+    fields = [f for f in base.schema.fields if f.name in (*keys, "station")]
+    schema = T.StructType(
+        [
+            *[f for f in fields if f.name != "station"],
+            T.StructField("stations", T.ArrayType(next(f.dataType for f in fields if f.name == "station"))),
+            T.StructField("rmse", T.DoubleType()),
+        ]
+    )
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        usable = pdf[pdf["xs"].map(len) == first["width"]]
-        if len(usable) < min_years:
-            return pd.DataFrame(columns=["fold", "site", "station", "rmse"])
-        rmse = _robust_rmse(np.vstack(usable["xs"].to_numpy()), usable["vol"].to_numpy(dtype=float))
+        stations = list(pdf["stations"].iloc[0])
+        table = pdf.pivot(index="yr", columns="station", values="x").dropna()
+        if len(table) < min_years or table.shape[1] < len(stations):
+            return pd.DataFrame(columns=[*keys, "stations", "rmse"])
+        y = pdf.drop_duplicates("yr").set_index("yr")["vol"].loc[table.index].to_numpy(dtype=float)
+        rmse = _robust_rmse(table.to_numpy(dtype=float), y)
         return pd.DataFrame(
-            {"fold": [first["fold"]], "site": [first["site"]], "station": [first["station"]], "rmse": [rmse]}
+            {"fold": [pdf["fold"].iloc[0]], "site": [pdf["site"].iloc[0]], "stations": [stations], "rmse": [rmse]}
         )
 
-    def best(scored: DataFrame) -> DataFrame:
-        return top_k(scored, keys, F.round("rmse", 9).asc(), ["station"], 1).drop("rnk")
-
-    single = base.withColumns({"xs": F.array("x"), "width": F.lit(1)})
-    scored = single.groupBy(*keys, "station").applyInPandas(score, schema)
-    chosen = best(scored).select(*keys, F.array("station").alias("stations"), "rmse")
-    for _ in range(1, rounds):
-        member = chosen.select(*keys, F.explode("stations").alias("station"))
-        have = (
-            base.join(member, [*keys, "station"])
-            .groupBy(*keys, "yr")
-            .agg(F.transform(F.sort_array(F.collect_list(F.struct("station", "x"))), lambda s: s["x"]).alias("_set"))
-        )
-        width = chosen.select(*keys, (F.size("stations") + 1).alias("width"))
-        offered = (
-            base.join(member, [*keys, "station"], "left_anti")
-            .join(have, [*keys, "yr"])
-            .join(width, keys)
-            .withColumn("xs", F.concat("_set", F.array("x")))
-            .drop("_set")
-        )
-        better = (
-            best(offered.groupBy(*keys, "station").applyInPandas(score, schema))
-            .withColumnsRenamed({"station": "_add", "rmse": "_rmse"})
+    def scored(candidates: DataFrame) -> DataFrame:
+        members = candidates.withColumn("station", F.explode("stations"))
+        joined = members.join(base, [*keys, "station"])
+        return joined.groupBy(*keys, "stations").applyInPandas(score, schema)
+
+    def best(sets: DataFrame) -> DataFrame:
+        # Rounded so that equal fits fall to the smaller, then lower, set.
+        rank = F.struct(F.round("rmse", 9), F.size("stations"), F.col("stations"))
+        return sets.groupBy(*keys).agg(F.min_by(F.struct("stations", "rmse"), rank).alias("_b")).select(
+            *keys, F.col("_b.stations").alias("stations"), F.col("_b.rmse").alias("rmse")
         )
-        gain = F.col("_rmse") < F.col("rmse")
-        chosen = chosen.join(better, keys, "left").select(
-            *keys,
-            F.when(gain, F.array_sort(F.array_append("stations", F.col("_add")))).otherwise(F.col("stations")).alias("stations"),
-            F.when(gain, F.col("_rmse")).otherwise(F.col("rmse")).alias("rmse"),
+
+    sets = cut_lineage(scored(base.select(*keys, F.array("station").alias("stations")).distinct()))
+    for _ in range(rounds):
+        top = best(sets).select(*keys, F.col("stations").alias("_top"))
+        merged = sets.join(top, keys).withColumn("_new", F.array_sort(F.array_union("_top", "stations")))
+        wider = (F.size("_new") > F.size("_top")) & (F.size("_new") > F.size("stations"))
+        fresh = (
+            merged.where(wider)
+            .select(*keys, F.col("_new").alias("stations"))
+            .distinct()
+            .join(sets.select(*keys, "stations"), [*keys, "stations"], "left_anti")
         )
-    return chosen
+        sets = cut_lineage(sets.unionByName(scored(fresh)))
+    return best(sets)
