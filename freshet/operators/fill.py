@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from freshet.operators.frames import expand_span
+from freshet.session import spread
 
 
 def _past(by: Sequence[str], order: str, limit: int | None = None):
@@ -114,7 +115,7 @@ def interpolate(
         pdf[col] = np.where(np.isnan(y), np.nan, np.maximum(y, floor))
         return pdf
 
-    filled = df.groupBy(*by).applyInPandas(run, df.schema)
+    filled = spread(df, list(by)).groupBy(*by).applyInPandas(run, df.schema)
     return filled.withColumn(col, F.when(~F.isnan(col), F.col(col)))
 
 

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
+from freshet.session import spread
+
 
 def _w(by: Sequence[str], order: str | Sequence[str]):
     return Window.partitionBy(*by).orderBy(*([order] if isinstance(order, str) else order))
@@ -55,7 +57,7 @@ def ewm(df: DataFrame, by: Sequence[str], order: str, col: str, span: int) -> Da
         pdf[name] = pdf[col].astype(float).ewm(span=span, adjust=False, min_periods=span).mean()
         return pdf
 
-    out = df.groupBy(*by).applyInPandas(run, schema)
+    out = spread(df, list(by)).groupBy(*by).applyInPandas(run, schema)
     return out.withColumn(name, F.when(~F.isnan(name), F.col(name)))
 
 
@@ -138,9 +140,16 @@ def pct_by_doy(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return df.withColumn("pct", F.when(F.col(value).isNotNull(), 100 * F.percent_rank().over(known)))
 
 
-def share(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """100 x value / group sum. The sum is an aggregate joined back, so a
-    hot group is combined before it is shuffled."""
+def share(df: DataFrame, by: Sequence[str], value: str, few: bool = False) -> DataFrame:
+    """100 x value / group sum, with the sum as ``total``.
+
+    The sum is an aggregate joined back, so a hot group is combined before it is
+    shuffled. ``few=True`` says that a group is bounded (the features of one
+    prediction) and uses one window instead of the join.
+    """
+    if few:
+        total = F.sum(value).over(Window.partitionBy(*by))
+        return df.withColumn("total", total).withColumn("share", F.try_divide(100 * F.col(value), F.col("total")))
     totals = df.groupBy(*by).agg(F.sum(value).alias("total"))
     return df.join(totals, list(by)).withColumn("share", F.try_divide(100 * F.col(value), F.col("total")))
 

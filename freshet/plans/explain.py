@@ -16,17 +16,21 @@ def shap_long(
     wide: DataFrame, groups: Mapping[str, str], keys: Sequence[str] = MEMBER_KEYS, prefix: str = "shap__"
 ) -> DataFrame:
     """M1: contribution columns to rows, without nulls, with the feature's group
-    and the sum over features."""
+    and the sums of contributions and of their sizes over features."""
     cols = [c for c in wide.columns if c.startswith(prefix) and "total" not in c]
-    rows = melt(wide.select(*keys, "pred", *cols), [*keys, "pred"], cols, "feature", "shap")
-    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in cols[1:]), F.coalesce(F.col(cols[0]), F.lit(0.0)))
-    totals = wide.select(*keys, total.alias("shap_total"))
-    name = F.regexp_replace("feature", f"^{prefix}", "")
+
+    def over_columns(fn) -> Column:
+        parts = [F.coalesce(fn(F.col(c)), F.lit(0.0)) for c in cols]
+        return sum(parts[1:], parts[0])
+
+    # Sums over features are taken while they are still one row: no shuffle.
+    summed = wide.withColumns({"shap_total": over_columns(lambda c: c), "abs_total": over_columns(F.abs)})
+    ids = [*keys, "pred", "shap_total", "abs_total"]
+    rows = melt(summed.select(*ids, *cols), ids, cols, "feature", "shap")
     table = F.create_map(*[F.lit(x) for kv in groups.items() for x in kv])
     return (
         rows.where(F.col("shap").isNotNull())
-        .join(totals, list(keys))
-        .withColumn("feature", name)
+        .withColumn("feature", F.regexp_replace("feature", f"^{prefix}", ""))
         .withColumn("feature_group", F.coalesce(F.element_at(table, F.col("feature")), F.col("feature")))
     )
 
@@ -40,7 +44,7 @@ def contrib_pct(long: DataFrame, keys: Sequence[str] = MEMBER_KEYS, item: str =
     """M2: 100 x |c| / sum |c| per member, averaged over members, with the sign
     of the summed contribution."""
     across = [k for k in keys if k != "member"]
-    sized = share(long.withColumn("_abs", F.abs("shap")), keys, "_abs")
+    sized = share(long.withColumn("_abs", F.abs("shap")), keys, "_abs", few=True)
     return sized.groupBy(*across, item).agg(
         (F.avg(F.coalesce("share", F.lit(0.0))) * F.signum(F.sum("shap"))).alias("contrib")
     )
@@ -51,13 +55,13 @@ def global_importance(
 ) -> DataFrame:
     """M3: share per site, averaged and renormalised per date, one column per
     quantile, with a ``total`` row per feature group."""
-    per_member = share(long.withColumn("_abs", F.abs("shap")), MEMBER_KEYS, "_abs")
+    per_member = long.withColumn("share", F.try_divide(100 * F.abs("shap"), F.col("abs_total")))
     site_keys = ["quantile", "site", *date]
     item = ["feature_group", "feature"]
     per_site = per_member.groupBy(*site_keys, *item).agg(F.avg(F.coalesce("share", F.lit(0.0))).alias("c"))
-    per_site = share(per_site, site_keys, "c").drop("c", "total").withColumnRenamed("share", "c")
+    per_site = share(per_site, site_keys, "c", few=True).drop("c", "total").withColumnRenamed("share", "c")
     per_date = per_site.groupBy("quantile", *date, *item).agg(F.avg("c").alias("c"))
-    per_date = share(per_date, ["quantile", *date], "c").drop("c", "total").withColumnRenamed("share", "c")
+    per_date = share(per_date, ["quantile", *date], "c", few=True).drop("c", "total").withColumnRenamed("share", "c")
     wide = pivot(per_date, [*date, *item], "quantile", "c", list(quantiles)).dropna(subset=list(quantiles))
     totals = wide.groupBy(*date, "feature_group").agg(*[F.sum(q).alias(q) for q in quantiles])
     return wide.unionByName(totals.withColumn("feature", F.lit("total")))
@@ -69,7 +73,7 @@ def importance_by_group(importance: DataFrame, patterns: Mapping[str, str], valu
     for name, pattern in reversed(list(patterns.items())):
         group = F.when(F.col("feature").rlike(pattern), F.lit(name)).otherwise(group)
     sums = importance.groupBy("site", group.alias("grp")).agg(F.sum(value).alias("importance"))
-    return share(sums, ["site"], "importance")
+    return share(sums, ["site"], "importance", few=True)
 
 
 def ensemble_contrib(

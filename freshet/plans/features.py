@@ -23,19 +23,11 @@ def deviation(
     """
     rows = obs.withColumns({"fy": forecast_year("d"), "season": month_day("d")})
     stats = loo_stats(rows, ["station", "season"], "fy", value, first, last)
-    used = chosen.select("station", "fold").distinct()
-    z = (
-        rows.join(used, "station")
-        .join(stats, ["station", "season", "fold"])
-        .select(
-            "station", "fold", "d", "fy",
-            F.try_divide(F.col(value) - F.col("loo_mean"), F.col("loo_std")).alias("z"),
-        )
-    )
     daily = (
-        z.join(chosen.select("fold", "site", "station"), ["fold", "station"])
+        rows.join(chosen.select("fold", "site", "station"), "station")
+        .join(stats, ["station", "season", "fold"])
         .groupBy("fold", "site", "fy", "d")
-        .agg(F.avg("z").alias("dev"))
+        .agg(F.avg(F.try_divide(F.col(value) - F.col("loo_mean"), F.col("loo_std"))).alias("dev"))
     )
     return roll_mean(daily, ["fold", "site", "fy"], "d", "dev", windows)
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from freshet.plans.postprocess import conformal
-from freshet.session import cut_lineage
+from freshet.session import cut_lineage, spread
 
 
 def pca(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
@@ -269,7 +269,7 @@ def fit_pls(
             )
         return pd.DataFrame(out, columns=[f.name for f in schema.fields])
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    return spread(df, list(by)).groupBy(*by).applyInPandas(run, schema)
 
 
 def fit_gbt(

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from freshet.operators.windows import top_k
 from freshet.plans.folds import loocv
-from freshet.session import cut_lineage
+from freshet.session import cut_lineage, spread
 
 
 def yearly_station_mean(
@@ -216,54 +216,51 @@ def regr_fill(df: DataFrame, y: str, x: str) -> DataFrame:
 def _robust_rmse(x: np.ndarray, y: np.ndarray) -> float:
     """RMSE over all rows of a least-squares fit refitted without far residuals."""
     design = np.column_stack([np.ones(len(x)), x])
-    keep = np.ones(len(y), dtype=bool)
     coef = np.linalg.lstsq(design, y, rcond=None)[0]
     for _ in range(3):
         resid = np.abs(y - design @ coef)
-        keep = resid <= 3.0 * max(np.median(resid), 1e-12)
+        keep = resid <= 3.0 * max(float(np.median(resid)), 1e-12)
         if keep.sum() <= design.shape[1]:
             break
         coef = np.linalg.lstsq(design[keep], y[keep], rcond=None)[0]
     return float(np.sqrt(np.mean((y - design @ coef) ** 2)))
 
 
+@F.pandas_udf(T.DoubleType())
+def _set_rmse(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    """Fit error of each candidate set from its yearly station values."""
+    return pd.Series([_robust_rmse(np.vstack(x), np.asarray(y, dtype=float)) for x, y in zip(xs, ys)], dtype=float)
+
+
 def greedy_stations(rows: DataFrame, rounds: int = 5, min_years: int = 30) -> DataFrame:
     """Per (fold, site) the station set with the lowest fit error.
 
     ``rows``: fold, site, station, yr, x, vol (training rows). Every single
     station is scored, then in each round the best set so far is merged with
-    every other scored set. One task sees one candidate set over the years of
-    one site, never all stations of a site; scored sets are checkpointed per
-    round so that the plan does not grow.
+    every other scored set. A candidate set is one row holding the yearly values
+    of its stations, so no task gathers the stations of a site; scored sets are
+    checkpointed per round so that the plan does not grow.
     """
     keys = ["fold", "site"]
     base = cut_lineage(
         rows.where(F.col("x").isNotNull() & F.col("vol").isNotNull()).select(*keys, "station", "yr", "x", "vol")
     )
-    fields = [f for f in base.schema.fields if f.name in (*keys, "station")]
-    schema = T.StructType(
-        [
-            *[f for f in fields if f.name != "station"],
-            T.StructField("stations", T.ArrayType(next(f.dataType for f in fields if f.name == "station"))),
-            T.StructField("rmse", T.DoubleType()),
-        ]
-    )
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        stations = list(pdf["stations"].iloc[0])
-        table = pdf.pivot(index="yr", columns="station", values="x").dropna()
-        if len(table) < min_years or table.shape[1] < len(stations):
-            return pd.DataFrame(columns=[*keys, "stations", "rmse"])
-        y = pdf.drop_duplicates("yr").set_index("yr")["vol"].loc[table.index].to_numpy(dtype=float)
-        rmse = _robust_rmse(table.to_numpy(dtype=float), y)
-        return pd.DataFrame(
-            {"fold": [pdf["fold"].iloc[0]], "site": [pdf["site"].iloc[0]], "stations": [stations], "rmse": [rmse]}
-        )
 
     def scored(candidates: DataFrame) -> DataFrame:
-        members = candidates.withColumn("station", F.explode("stations"))
-        joined = members.join(base, [*keys, "station"])
-        return joined.groupBy(*keys, "stations").applyInPandas(score, schema)
+        yearly = (
+            candidates.withColumn("station", F.explode("stations"))
+            .join(base, [*keys, "station"])
+            .groupBy(*keys, "stations", "yr")
+            .agg(F.sort_array(F.collect_list(F.struct("station", "x"))).alias("_s"), F.max("vol").alias("_y"))
+            .where(F.size("_s") == F.size("stations"))
+            .withColumn("_x", F.transform("_s", lambda s: s["x"]))
+        )
+        sets = yearly.groupBy(*keys, "stations").agg(
+            F.sort_array(F.collect_list(F.struct("yr", "_x", "_y"))).alias("_rows")
+        )
+        usable = spread(sets.where(F.size("_rows") >= min_years), [*keys, "stations"])
+        rmse = _set_rmse(F.transform("_rows", lambda r: r["_x"]), F.transform("_rows", lambda r: r["_y"]))
+        return usable.select(*keys, "stations", rmse.alias("rmse"))
 
     def best(sets: DataFrame) -> DataFrame:
         # Rounded so that equal fits fall to the smaller, then lower, set.

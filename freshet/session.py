@@ -56,3 +56,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, by: list[str]) -> DataFrame:
+    """Hash-partition by key before a Python step over groups.
+
+    Python work is not proportional to bytes, so these shuffles must not be
+    coalesced by size; the grouping reuses this partitioning.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *by)
