@@ -34,46 +34,39 @@ def group_quantiles(
 def _octave_bucket(v: Column, per_octave: float) -> Column:
     # Monotone in v: log and floor both keep order, and the sign mirrors it.
     magnitude = F.floor((F.log(2.0, F.abs(v)) + 1100.0) * per_octave)
-    return F.when(v == 0, F.lit(0).cast("long")).otherwise(F.signum(v).cast("long") * magnitude)
+    return F.coalesce(F.when(v != 0, F.signum(v).cast("long") * magnitude), F.lit(0).cast("long"))
 
 
-def _locate(hist: DataFrame, part: list[str], bucket: str, targets: DataFrame | None, probs) -> DataFrame:
-    """Bucket that holds each wanted rank, with the rank made local to it."""
-    order = Window.partitionBy(*part).orderBy(bucket)
-    cum = hist.withColumn("_upto", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    if targets is None:
-        total = F.sum("_n").over(Window.partitionBy(*part))
-        wanted = F.array(
-            *[
+def _wanted(probs: Sequence[float]) -> Column:
+    """The two ranks around each probability, from the group's row count."""
+    ranks = []
+    for i, p in enumerate(probs):
+        at = F.lit(float(p)) * (F.col("_total") - 1)
+        for side, edge in ((0, F.floor), (1, F.ceil)):
+            ranks.append(
                 F.struct(
                     F.lit(i).alias("i"),
                     F.lit(side).alias("side"),
-                    (F.floor if side == 0 else F.ceil)(F.lit(float(p)) * (F.col("_total") - 1))
-                    .cast("long")
-                    .alias("rank"),
-                    (F.lit(float(p)) * (F.col("_total") - 1)).alias("pos"),
+                    edge(at).cast("long").alias("rank"),
+                    at.alias("pos"),
                 )
-                for i, p in enumerate(probs)
-                for side in (0, 1)
-            ]
-        )
-        cum = cum.withColumn("_total", total).withColumn("_want", wanted)
-        before = F.col("_upto") - F.col("_n")
-        hit = F.filter("_want", lambda w: (w["rank"] >= before) & (w["rank"] < F.col("_upto")))
-        rows = cum.withColumn("_w", F.explode(hit))
-        return rows.select(
-            *part,
-            bucket,
-            F.col("_w.i").alias("_i"),
-            F.col("_w.side").alias("_side"),
-            (F.col("_w.rank") - (F.col("_upto") - F.col("_n"))).alias("_rank"),
-            F.col("_w.pos").alias("_pos"),
-        )
-    rows = cum.join(targets, part)
+            )
+    return F.array(*ranks)
+
+
+def _narrow(hist: DataFrame, part: list[str], bucket: str) -> DataFrame:
+    """Buckets that hold a wanted rank, with the ranks made local to them."""
+    order = Window.partitionBy(*part).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
+    cum = hist.withColumn("_upto", F.sum("_n").over(order))
     before = F.col("_upto") - F.col("_n")
-    return rows.where((F.col("_rank") >= before) & (F.col("_rank") < F.col("_upto"))).select(
-        *part, bucket, "_i", "_side", (F.col("_rank") - before).alias("_rank"), "_pos"
+    hit = F.filter("_want", lambda w: (w["rank"] >= before) & (w["rank"] < F.col("_upto")))
+    local = F.transform(
+        hit,
+        lambda w: F.struct(
+            w["i"].alias("i"), w["side"].alias("side"), (w["rank"] - before).alias("rank"), w["pos"].alias("pos")
+        ),
     )
+    return cum.select(*part, bucket, local.alias("_want")).where(F.size("_want") > 0)
 
 
 def spread_quantiles(
@@ -84,34 +77,37 @@ def spread_quantiles(
     Equal values are counted first (map-side combined, spread over the value),
     then each rank is narrowed to one of 64 buckets per octave, then to one of
     a million per octave; only the distinct values of that last bucket are
-    ordered.
+    ordered. The wanted ranks travel with the buckets that hold them.
     """
-    keys = list(by) or ["_all"]
-    src = df if by else df.withColumn("_all", F.lit(0))
+    # One never-null key column: joins on it match null keys and add no filters,
+    # so that all three uses of the counts share one shuffle.
     v = F.col(col).cast("double")
+    keys = ["_g"]
     counts = (
-        src.where(v.isNotNull())
-        .groupBy(*keys, v.alias("_v"))
+        df.where(v.isNotNull())
+        .groupBy(F.struct(*(by or [F.lit(0).alias("_all")])).alias("_g"), v.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumns({"_b1": _octave_bucket(F.col("_v"), COARSE), "_b2": _octave_bucket(F.col("_v"), FINE)})
     )
-    t1 = _locate(
-        counts.groupBy(*keys, "_b1").agg(F.sum("_n").alias("_n")), keys, "_b1", None, probs
-    )
-    part1 = [*keys, "_b1"]
-    near = counts.join(t1.select(*part1).distinct(), part1, "left_semi")
-    t2 = _locate(near.groupBy(*part1, "_b2").agg(F.sum("_n").alias("_n")), part1, "_b2", t1, probs)
-    part2 = [*part1, "_b2"]
-    last = near.join(t2.select(*part2).distinct(), part2, "left_semi")
-    t3 = _locate(last.select(*part2, "_v", "_n"), part2, "_v", t2, probs)
-    ends = t3.groupBy(*keys, "_i").agg(
-        F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_lo"),
-        F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_hi"),
-        F.max("_pos").alias("_pos"),
-    )
-    frac = F.col("_pos") - F.floor("_pos")
-    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac
-    out = ends.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, value)).alias(n) for i, n in enumerate(names)]
+    coarse = (
+        counts.groupBy(*keys, "_b1")
+        .agg(F.sum("_n").alias("_n"))
+        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
+        .withColumn("_want", _wanted(probs))
     )
-    return out if by else out.drop("_all")
+    part1, part2 = [*keys, "_b1"], [*keys, "_b1", "_b2"]
+    near = counts.join(_narrow(coarse, keys, "_b1"), part1)
+    fine = near.groupBy(*part2).agg(F.sum("_n").alias("_n"), F.any_value("_want").alias("_want"))
+    last = near.drop("_want").join(_narrow(fine, part1, "_b2"), part2)
+    found = _narrow(last, part2, "_v").select(*keys, "_v", F.explode("_want").alias("_w"))
+    at = [
+        F.max(F.when((F.col("_w.i") == i) & (F.col("_w.side") == side), F.col("_v")))
+        for i in range(len(probs))
+        for side in (0, 1)
+    ]
+    pos = [F.max(F.when(F.col("_w.i") == i, F.col("_w.pos"))) for i in range(len(probs))]
+    values = []
+    for i, name in enumerate(names):
+        lo, hi, frac = at[2 * i], at[2 * i + 1], pos[i] - F.floor(pos[i])
+        values.append((lo + (hi - lo) * frac).alias(name))
+    return found.groupBy(*keys).agg(*values).select(*[F.col(f"_g.{c}").alias(c) for c in by], *names)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from freshet.functions.calendar import forecast_year, month_day
 from freshet.operators.windows import known_before, roll_mean
 from freshet.plans.folds import loo_stats
+from freshet.session import cut_lineage
 
 
 def deviation(
@@ -21,10 +22,13 @@ def deviation(
     forecast year. ``obs``: station, d, v, one row per station and day;
     ``chosen``: fold, site, station.
     """
+    # The choice is a small table used twice; written once, as a job would do.
+    chosen = cut_lineage(chosen.select("fold", "site", "station"))
     rows = obs.withColumns({"fy": forecast_year("d"), "season": month_day("d")})
-    stats = loo_stats(rows, ["station", "season"], "fy", value, first, last)
+    used = rows.join(chosen.select("station").distinct(), "station", "left_semi")
+    stats = loo_stats(used, ["station", "season"], "fy", value, first, last)
     daily = (
-        rows.join(chosen.select("fold", "site", "station"), "station")
+        rows.join(chosen, "station")
         .join(stats, ["station", "season", "fold"])
         .groupBy("fold", "site", "fy", "d")
         .agg(F.avg(F.try_divide(F.col(value) - F.col("loo_mean"), F.col("loo_std"))).alias("dev"))

@@ -32,28 +32,48 @@ def loo_stats(
     """F1 for every fold at once: mean and sample sd without the fold's year.
 
     Sums are centred on the key's overall mean, which keeps the digits that a
-    raw sum of squares loses; rows are combined to one per (key, year) first.
+    raw sum of squares loses; rows are combined to one per (key, year) first, and
+    a fold is the total less its year's part.
     """
     x = F.col(value)
     yearly = df.where(x.isNotNull()).groupBy(*by, F.col(year).alias("_y")).agg(
-        F.count(x).alias("_n"), F.avg(x).alias("_m"), F.coalesce(F.var_pop(x), F.lit(0.0)).alias("_v")
+        F.count(x).alias("_ny"), F.avg(x).alias("_my"), F.coalesce(F.var_pop(x), F.lit(0.0)).alias("_vy")
     )
-    parts = yearly.groupBy(*by).agg(
-        (F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("_c"),
-        F.collect_list(F.struct("_y", "_n", "_m", "_v")).alias("_parts"),
+    # One entry per year of a key.
+    totals = yearly.groupBy(*by).agg(
+        F.sum("_ny").alias("_n"),
+        (F.sum(F.col("_ny") * F.col("_my")) / F.sum("_ny")).alias("_c"),
+        F.collect_list(
+            F.struct("_y", F.col("_ny").alias("n"), F.col("_my").alias("m"), F.col("_vy").alias("v"))
+        ).alias("_parts"),
     )
-    folds = parts.withColumn("fold", F.explode(_years(first, last)))
-    kept = F.filter("_parts", lambda p: p["_y"] != F.col("fold"))
-    n = F.aggregate(kept, F.lit(0).cast("long"), lambda a, p: a + p["_n"])
-    s = F.aggregate(kept, F.lit(0.0), lambda a, p: a + p["_n"] * (p["_m"] - F.col("_c")))
-    q = F.aggregate(
-        kept,
-        F.lit(0.0),
-        lambda a, p: a + p["_n"] * (p["_v"] + (p["_m"] - F.col("_c")) * (p["_m"] - F.col("_c"))),
+
+    def off(p: Column) -> Column:
+        return p["m"] - F.col("_c")
+
+    squares = F.aggregate("_parts", F.lit(0.0), lambda a, p: a + p["n"] * (p["v"] + off(p) * off(p)))
+    own = F.element_at(
+        F.map_from_entries(F.transform("_parts", lambda p: F.struct(p["_y"].cast("int"), p))), F.col("fold")
+    )
+    folds = (
+        totals.withColumn("_q", squares)
+        .withColumn("fold", F.explode(_years(first, last)))
+        .withColumn("_p", own)
+        .select(
+            *by, "fold", "_c", "_q",
+            (F.col("_n") - F.coalesce(F.col("_p.n"), F.lit(0))).alias("_tn"),
+            F.coalesce(-F.col("_p.n") * off(F.col("_p")), F.lit(0.0)).alias("_ts"),
+            (
+                F.col("_q")
+                - F.coalesce(F.col("_p.n") * (F.col("_p.v") + off(F.col("_p")) * off(F.col("_p"))), F.lit(0.0))
+            ).alias("_tq"),
+        )
+        .where(F.col("_tn") > 0)
     )
-    out = folds.withColumns({"_tn": n, "_ts": s, "_tq": q}).where(F.col("_tn") > 0)
-    spread = F.greatest(F.lit(0.0), F.col("_tq") - F.col("_ts") * F.col("_ts") / F.col("_tn"))
-    return out.select(
+    left = F.col("_tq") - F.col("_ts") * F.col("_ts") / F.col("_tn")
+    # What is left of equal values is rounding noise: exactly no spread.
+    spread = F.when(left > 1e-12 * F.col("_q"), left).otherwise(0.0)
+    return folds.select(
         *by,
         "fold",
         F.col("_tn").alias("n"),
