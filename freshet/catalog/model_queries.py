@@ -31,7 +31,7 @@ def _(d):
 def _(d):
     rows = site_month_features(d)
     feats = ["swe", "val"]
-    coefs = models.fit_quantile(rows, ["site"], feats, "vol", bags=2, row_share=0.9, row_key=["site", "yr", "m"], iterations=6)
+    coefs = models.fit_quantile(rows, ["site"], feats, "vol", bags=2, row_share=0.9, row_key=["site", "yr", "m"], steps=8)
     return models.predict_quantile(rows.select("site", "yr", "m", *feats), coefs, ["site"], feats)
 
 

@@ -51,17 +51,18 @@ def fit_quantile(
     row_share: float = 1.0,
     col_share: float = 1.0,
     row_key: Sequence[str] = (),
-    iterations: int = 12,
-    eps: float = 1e-3,
+    steps: int = 12,
     seed: int = 0,
 ) -> DataFrame:
     """Linear quantile regression per group, quantile and bag.
 
-    Iteratively reweighted least squares: each step is one aggregate of weighted
-    outer products over all groups, quantiles and bags, combined on the map
-    side, followed by a small solve per group. Coefficients are checkpointed
-    after each step, so the plan does not grow. Rows join a bag by a hash of
-    ``row_key``; columns of a bag are drawn once with the seed.
+    Newton steps on a smoothed quantile loss, from the least-squares fit, with
+    the smoothing width shrinking by 0.65 a step (about 0.3 % of the target's sd
+    at the end). Each step is one aggregate of weighted outer products over all
+    groups, quantiles and bags, combined on the map side, followed by a small
+    solve per group. Coefficients are checkpointed after each step, so the plan
+    does not grow. Rows join a bag by a hash of ``row_key``; columns of a bag
+    are drawn once with the seed.
     """
     p = len(features) + 1
     rng = np.random.default_rng(seed)
@@ -116,29 +117,24 @@ def fit_quantile(
         ]
     )
     in_bag = F.pmod(F.xxhash64("_h", "bag", F.lit(seed)), F.lit(10_000)) < int(row_share * 10_000)
-    for _ in range(iterations):
-        fitted = F.aggregate(
-            F.zip_with("_x", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v
+    upper = [(i, j) for i in range(p) for j in range(i, p)]
+    for step in range(steps + 1):
+        x_at = [F.col("_x")[i] for i in range(p)]
+        if step == 0:
+            curve, pull = F.lit(1.0), F.col("_y")
+        else:
+            width = 0.5 * 0.65 ** (step - 1)
+            fitted = sum((F.col("beta")[i] * x_at[i] for i in range(1, p)), F.col("beta")[0])
+            below = 1 / (1 + F.exp(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), (F.col("_y") - fitted) / width))))
+            curve, pull = below * (1 - below) / width, F.col("q") - below
+        weighted = rows.join(coefs, list(by)).where(in_bag).withColumns({"_w": curve, "_g": pull})
+        sums = weighted.groupBy(*by, "q", "bag").agg(
+            F.first("beta").alias("beta"),
+            F.count(F.lit(1)).cast("double").alias("n_"),
+            F.array(*[F.sum(F.col("_w") * x_at[i] * x_at[j]) for i, j in upper]).alias("a_"),
+            F.array(*[F.sum(F.col("_g") * x_at[i]) for i in range(p)]).alias("b_"),
         )
-        resid = F.col("_y") - fitted
-        weight = F.when(F.col("beta").isNull(), F.lit(1.0)).otherwise(
-            F.when(resid >= 0, F.col("q")).otherwise(1 - F.col("q")) / F.greatest(F.abs(resid), F.lit(eps))
-        )
-        weighted = rows.join(coefs, list(by)).where(in_bag).withColumn("_w", weight)
-        outer = [
-            F.sum(F.col("_w") * F.col("_x")[i] * F.col("_x")[j]).alias(f"_a{i}_{j}")
-            for i in range(p)
-            for j in range(i, p)
-        ]
-        inner = [F.sum(F.col("_w") * F.col("_x")[i] * F.col("_y")).alias(f"_b{i}") for i in range(p)]
-        sums = weighted.groupBy(*by, "q", "bag").agg(*outer, *inner)
-        packed = sums.select(
-            *by, "q", "bag",
-            F.array(*[f"_a{i}_{j}" for i in range(p) for j in range(i, p)]).alias("_a"),
-            F.array(*[f"_b{i}" for i in range(p)]).alias("_b"),
-        )
-        renamed = packed.withColumnsRenamed({"_a": "a_", "_b": "b_"})
-        coefs = cut_lineage(_solve(renamed, by, masks, schema, p))
+        coefs = cut_lineage(_newton_step(sums, by, masks, schema, p, 0.0 if step == 0 else 1e-3))
     # Back to the scale of the inputs.
     out = coefs.join(stats, list(by))
     slopes = [F.col("beta")[i + 1] * unit("_sy") / unit(f"_s{i}") for i in range(p - 1)]
@@ -147,25 +143,28 @@ def fit_quantile(
     return out.select(*by, "q", "bag", F.array(level, *slopes).alias("beta"))
 
 
-def _solve(packed: DataFrame, by: Sequence[str], masks, schema: T.StructType, p: int) -> DataFrame:
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+def _newton_step(
+    sums: DataFrame, by: Sequence[str], masks: Mapping[int, list[int]], schema: T.StructType, p: int, ridge: float
+) -> DataFrame:
+    """One solve per group: coefficients plus curvature^-1 x gradient, on the
+    bag's columns; ``ridge`` is relative to the row count."""
+    upper = [(i, j) for i in range(p) for j in range(i, p)]
 
     def run(batches):
         for pdf in batches:
             betas = []
-            for a_flat, b, bag in zip(pdf["a_"], pdf["b_"], pdf["bag"]):
+            for old, a_flat, b, n, bag in zip(pdf["beta"], pdf["a_"], pdf["b_"], pdf["n_"], pdf["bag"]):
                 a = np.zeros((p, p))
-                for (i, j), v in zip(pairs, a_flat):
+                for (i, j), v in zip(upper, a_flat):
                     a[i, j] = a[j, i] = v
                 use = masks[int(bag)]
-                sub = a[np.ix_(use, use)]
-                ridge = 1e-9 * max(float(np.trace(sub)), 1e-12) * np.eye(len(use))
-                beta = np.zeros(p)
-                beta[use] = np.linalg.lstsq(sub + ridge, np.asarray(b, dtype=float)[use], rcond=None)[0]
+                sub = a[np.ix_(use, use)] + (ridge + 1e-9) * n * np.eye(len(use))
+                beta = np.zeros(p) if old is None else np.array(old, dtype=float)
+                beta[use] += np.linalg.solve(sub, np.asarray(b, dtype=float)[use])
                 betas.append(beta.tolist())
             yield pdf[[*by, "q", "bag"]].assign(beta=betas)
 
-    return packed.mapInPandas(run, schema)
+    return sums.mapInPandas(run, schema)
 
 
 def predict_quantile(df: DataFrame, coefs: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFrame:

@@ -36,7 +36,7 @@ def parse_station_years(files: DataFrame, measures: Sequence[str] = SNOW_MEASURE
     head = F.split(lines[0], ",")
     rows = files.select(
         F.regexp_extract("path", r"FY(\d{4})/[^/]*$", 1).cast("int").alias("forecast_year"),
-        F.regexp_replace(F.regexp_extract("path", r"/([^/]*)\.csv$", 1), "%3A", ":").alias("station"),
+        F.regexp_extract("path", r"/([^/]*)\.csv$", 1).alias("station"),
         head.alias("_head"),
         F.explode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("_line"),
     ).where(F.length("_line") > 0)
@@ -51,7 +51,8 @@ def parse_station_years(files: DataFrame, measures: Sequence[str] = SNOW_MEASURE
 
 
 def scan_station_years(spark: SparkSession, root: str, measures: Sequence[str] = SNOW_MEASURES) -> DataFrame:
-    """A1 from storage; missing files are simply not listed."""
+    """A1 from storage; missing files are simply not listed. Ids hold no colon
+    in file names (``scalars.norm_id``)."""
     return parse_station_years(read_files(spark, f"{root}/FY*/*.csv"), measures)
 
 
