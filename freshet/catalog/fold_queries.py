@@ -195,7 +195,7 @@ JOIN site_year l ON f.site = l.site AND f.yr = l.yr GROUP BY 1, 2"""
 @query(
     "j9_mask_weak",
     "site int, yr int, m int, vol num",
-    f"""SELECT f.site, f.yr, f.m, CASE WHEN c.r > 0.12 THEN f.vol END AS vol FROM flow_month f
+    f"""SELECT f.site, f.yr, f.m, CASE WHEN c.r > 0.12 AND NOT isnan(c.r) THEN f.vol END AS vol FROM flow_month f
     LEFT JOIN ({_MONTH_CORR}) c ON f.site = c.site AND f.m = c.m""",
 )
 def _(d):

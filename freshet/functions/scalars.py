@@ -67,6 +67,20 @@ def safe_div(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(_c(a).cast("double"), _c(b).cast("double"))
 
 
+def pearson(x: str | Column, y: str | Column) -> Column:
+    """Correlation as an aggregate over complete pairs, null when either side
+    does not vary (the built-in one divides by zero there)."""
+    xs, ys = F.when(_c(y).isNotNull(), _c(x)), F.when(_c(x).isNotNull(), _c(y))
+    return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
+
+
+def line(y: str | Column, x: str | Column) -> tuple[Column, Column]:
+    """Least-squares (slope, intercept) as aggregates over complete pairs."""
+    ys, xs = F.when(_c(x).isNotNull(), _c(y)), F.when(_c(y).isNotNull(), _c(x))
+    slope = F.try_divide(F.covar_pop(ys, xs), F.var_pop(xs))
+    return slope, F.avg(ys) - slope * F.avg(xs)
+
+
 def row_mean(*cols: str | Column) -> Column:
     """Mean over the present columns, null when all are null."""
     present = [F.when(_c(c).isNotNull(), 1).otherwise(0) for c in cols]

@@ -77,7 +77,7 @@ def interpolate_linear(
         .withColumn("_b", F.first("_seen", ignorenulls=True).over(future))
     )
     a, b, pos = F.col("_a"), F.col("_b"), F.col("_pos")
-    line = a["v"] + (b["v"] - a["v"]) * (pos - a["p"]) / (b["p"] - a["p"])
+    line = a["v"] + F.try_divide((b["v"] - a["v"]) * (pos - a["p"]), b["p"] - a["p"])
     value = F.when(F.col(col).isNotNull(), F.col(col)).when(pos - a["p"] <= limit, line)
     if floor is not None:
         value = F.when(value < floor, F.lit(float(floor))).otherwise(value)

@@ -57,7 +57,7 @@ def _inside(edges: Column, px: Column, py: Column) -> Column:
     crossed = F.filter(
         edges,
         lambda e: ((e["y1"] > py) != (e["y2"] > py))
-        & (px < (e["x2"] - e["x1"]) * (py - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]),
+        & (px < F.try_divide((e["x2"] - e["x1"]) * (py - e["y1"]), e["y2"] - e["y1"]) + e["x1"]),
     )
     return F.size(crossed) % 2 == 1
 
@@ -71,7 +71,8 @@ def _edge_km(edges: Column, px: Column, py: Column) -> Column:
         bx, by = (e["x2"] - px) * kx, (e["y2"] - py) * KM_PER_DEGREE
         dx, dy = bx - ax, by - ay
         span = dx * dx + dy * dy
-        t = F.when(span > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / span))).otherwise(0.0)
+        along = F.coalesce(F.try_divide(-(ax * dx + ay * dy), span), F.lit(0.0))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
         qx, qy = ax + t * dx, ay + t * dy
         return F.sqrt(qx * qx + qy * qy)
 

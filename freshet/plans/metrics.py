@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from freshet.functions.scalars import pearson
+
 QUANTILES = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
 
 
@@ -91,7 +93,7 @@ def correlations(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame:
 
     out = ranked(ranked(both, y, "_ry"), p, "_rp")
     return out.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.corr(y, p).alias("pearson"), F.corr("_ry", "_rp").alias("spearman")
+        F.count(F.lit(1)).alias("n"), pearson(y, p).alias("pearson"), pearson("_ry", "_rp").alias("spearman")
     )
 
 

@@ -238,24 +238,25 @@ def _params(family: str) -> tuple[Column, Column]:
 
 def cdf(family: str, x: Column) -> Column:
     loc, scale = _params(family)
-    if family == "logistic":
-        return 1 / (1 + F.exp(-(x - loc) / scale))
+    point = F.log(x) if family == "loglogistic" else x
+    z = F.try_divide(point - loc, scale)
     if family == "gumbel":
-        return F.exp(-F.exp(-(x - loc) / scale))
+        return F.exp(-F.exp(-z))
     if family == "uniform":
-        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - loc) / scale))
-    return F.when(x > 0, 1 / (1 + F.exp(-(F.log(x) - loc) / scale))).otherwise(0.0)
+        return F.when(z.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), z)))
+    p = 1 / (1 + F.exp(-z))
+    return p if family == "logistic" else F.when(x > 0, p).otherwise(0.0)
 
 
 def inverse_cdf(family: str, p: Column) -> Column:
     loc, scale = _params(family)
     if family == "logistic":
-        return loc + scale * F.log(p / (1 - p))
+        return loc + scale * F.log(F.try_divide(p, 1 - p))
     if family == "gumbel":
         return loc - scale * F.log(-F.log(p))
     if family == "uniform":
         return loc + scale * p
-    return F.exp(loc + scale * F.log(p / (1 - p)))
+    return F.exp(loc + scale * F.log(F.try_divide(p, 1 - p)))
 
 
 def neg_log_density(family: str, x: Column) -> Column:
@@ -263,10 +264,10 @@ def neg_log_density(family: str, x: Column) -> Column:
     if family == "uniform":
         return F.log(scale)
     if family == "gumbel":
-        z = (x - loc) / scale
+        z = F.try_divide(x - loc, scale)
         return F.log(scale) + z + F.exp(-z)
     point = x if family == "logistic" else F.log(x)
-    z = (point - loc) / scale
+    z = F.try_divide(point - loc, scale)
     base = z + F.log(scale) + 2 * F.log1p(F.exp(-z))
     return base if family == "logistic" else base + F.log(x)
 

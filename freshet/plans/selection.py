@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from freshet.functions.scalars import line, pearson
 from freshet.operators.windows import top_k
 from freshet.plans.folds import loocv
 from freshet.session import cut_lineage, spread
@@ -47,7 +48,7 @@ def corr_select(
     scored = (
         loocv(rows, "yr", first, last)
         .groupBy("fold", "site", "station")
-        .agg(F.corr("x", "vol").alias("r"), F.count("x").alias("n"))
+        .agg(pearson("x", "vol").alias("r"), F.count("x").alias("n"))
         .where((F.col("n") >= thresh) & F.col("r").isNotNull())
     )
     # Rounded so that equal scores tie on every run and fall back to the id.
@@ -60,7 +61,7 @@ def r2_select(rows: DataFrame, k: int) -> DataFrame:
 
     ``rows`` holds site, station, season, x, vol.
     """
-    per_day = rows.groupBy("site", "station", "season").agg(F.corr("x", "vol").alias("r"), F.count("x").alias("n"))
+    per_day = rows.groupBy("site", "station", "season").agg(pearson("x", "vol").alias("r"), F.count("x").alias("n"))
     scored = per_day.where(F.col("r").isNotNull()).groupBy("site", "station").agg(
         F.avg(F.col("r") * F.col("r")).alias("r2"), F.count(F.lit(1)).alias("n_days"), F.sum("n").alias("n_obs")
     )
@@ -71,7 +72,7 @@ def issue_corr(rows: DataFrame) -> DataFrame:
     """Correlation per (site, station, issue ordinal) from rows with md, x, vol."""
     return (
         rows.groupBy("site", "station", "md")
-        .agg(F.corr("x", "vol").alias("r"), F.count("x").alias("n_obs"))
+        .agg(pearson("x", "vol").alias("r"), F.count("x").alias("n_obs"))
         .where(F.col("r").isNotNull())
     )
 
@@ -160,7 +161,7 @@ def mask_weak(monthly: DataFrame, labels: DataFrame, limit: float = 0.12) -> Dat
     r = (
         monthly.join(labels.withColumnRenamed("vol", "season_vol"), ["site", "yr"])
         .groupBy("site", "m")
-        .agg(F.corr("vol", "season_vol").alias("r"))
+        .agg(pearson("vol", "season_vol").alias("r"))
     )
     return monthly.join(r, ["site", "m"], "left").withColumn("vol", F.when(F.col("r") > limit, F.col("vol")))
 
@@ -170,7 +171,7 @@ def best_month(monthly: DataFrame, labels: DataFrame, limit: float = 0.2) -> Dat
     r = (
         monthly.join(labels.withColumnRenamed("vol", "season_vol"), ["site", "yr"])
         .groupBy("site", "m")
-        .agg(F.round(F.corr("vol", "season_vol"), 9).alias("r"))
+        .agg(F.round(pearson("vol", "season_vol"), 9).alias("r"))
         .where(F.col("r") > limit)
     )
     pick = F.min(F.struct((-F.col("r")).alias("s"), "m")).alias("_b")
@@ -184,7 +185,7 @@ def best_gauge(rows: DataFrame, min_pairs: int = 10) -> DataFrame:
     """
     per_month = (
         rows.groupBy("site", "station", "m")
-        .agg(F.corr("x", "vol").alias("r"), F.count("x").alias("n"))
+        .agg(pearson("x", "vol").alias("r"), F.count("x").alias("n"))
         .where((F.col("n") >= min_pairs) & F.col("r").isNotNull())
     )
     med = per_month.groupBy("site", "station").agg(F.round(F.median("r"), 9).alias("median_r"))
@@ -197,7 +198,7 @@ def index_screen(index: DataFrame, labels: DataFrame, limit: float = 0.1) -> Dat
     r = (
         labels.join(index, "yr")
         .groupBy("site", "index", "m")
-        .agg(F.round(F.corr("val", "vol"), 9).alias("r"))
+        .agg(F.round(pearson("val", "vol"), 9).alias("r"))
         .where(F.col("r").isNotNull())
     )
     pick = r.groupBy("site", "index").agg(F.min(F.struct("r", "m")).alias("_b"))
@@ -206,10 +207,10 @@ def index_screen(index: DataFrame, labels: DataFrame, limit: float = 0.1) -> Dat
 
 def regr_fill(df: DataFrame, y: str, x: str) -> DataFrame:
     """Missing y from a straight line on x over the rows that have both."""
-    line = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).agg(
-        F.regr_slope(F.col(y), F.col(x)).alias("_b"), F.regr_intercept(F.col(y), F.col(x)).alias("_a")
+    fit = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).agg(
+        *[c.alias(n) for c, n in zip(line(y, x), ("_b", "_a"))]
     )
-    joined = df.join(F.broadcast(line))
+    joined = df.join(F.broadcast(fit))
     return joined.withColumn(y, F.coalesce(F.col(y), F.col("_a") + F.col("_b") * F.col(x))).drop("_a", "_b")
 
 

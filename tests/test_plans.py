@@ -198,3 +198,14 @@ def test_roll_mean_restarts_per_year(spark):
     df = spark.createDataFrame([(1, 2000, 1, 2.0), (1, 2000, 2, 4.0), (1, 2001, 3, 8.0)], "s int, fy int, d int, v double")
     got = [r.v_2 for r in roll_mean(df, ["s", "fy"], "d", "v", [2]).orderBy("d").collect()]
     assert got == [2.0, 3.0, 8.0]
+
+
+def test_correlation_of_a_constant_is_null(spark):
+    from freshet.functions.scalars import line, pearson
+
+    df = spark.createDataFrame([(1, 2.0, 1.0), (1, 2.0, 5.0), (1, None, 9.0)], "g int, x double, y double")
+    slope, _ = line("y", "x")
+    row = df.groupBy("g").agg(pearson("x", "y").alias("r"), slope.alias("b")).head()
+    assert (row.r, row.b) == (None, None)
+    skipped = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, None)], "x double, y double")
+    assert skipped.agg(pearson("x", "y").alias("r")).head().r == pytest.approx(1.0)
