@@ -152,11 +152,11 @@ def _(d):
     "g12_group_stat",
     "station int, site int, d iso, med num, shown num",
     """SELECT station, site, d, med, CASE WHEN v / med > 2.5 THEN NULL ELSE v END AS shown FROM (
-      SELECT *, median(v) OVER (PARTITION BY site, month(d), year(d)) AS med FROM station_day)""",
+      SELECT *, median(v) OVER (PARTITION BY station, month(d), year(d)) AS med FROM station_day)""",
 )
 def _(d):
     rows = d.station_day.withColumns({"yr": F.year("d"), "m": F.month("d")})
-    out = w.group_stat(rows, ["site", "yr", "m"], "v", F.median, "med")
+    out = w.group_stat(rows, ["station", "yr", "m"], "v", F.median, "med")
     return out.withColumn("shown", F.when(~(F.col("v") / F.col("med") > 2.5), F.col("v")))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from freshet.operators.quantiles import quantile
+from freshet.operators.quantiles import spread_quantiles
 
 AGGREGATES = {
     "mean": F.avg,
@@ -15,10 +15,8 @@ AGGREGATES = {
     "max": F.max,
     "sum": F.sum,
     "count": F.count,
-    "median": F.median,
-    "p10": lambda c: quantile(c, 0.1),
-    "p90": lambda c: quantile(c, 0.9),
 }
+QUANTILES = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
 
 
 def climatology(df: DataFrame, by: Sequence[str], value: str, hold_out: Column | None = None) -> DataFrame:
@@ -28,8 +26,18 @@ def climatology(df: DataFrame, by: Sequence[str], value: str, hold_out: Column |
 
 
 def agg_features(df: DataFrame, by: Sequence[str], cols: Sequence[str], aggs: Sequence[str]) -> DataFrame:
-    """each column by each function, named ``col_func``."""
-    return df.groupBy(*by).agg(*[AGGREGATES[a](c).alias(f"{c}_{a}") for c in cols for a in aggs])
+    """each column by each function, named ``col_func``.
+
+    Sums and extremes are one map-side combined aggregate; quantiles are exact
+    for groups of any size.
+    """
+    plain = [AGGREGATES[a](c).alias(f"{c}_{a}") for c in cols for a in aggs if a in AGGREGATES]
+    out = df.groupBy(*by).agg(*plain) if plain else df.select(*by).distinct()
+    wanted = [a for a in aggs if a in QUANTILES]
+    for c in cols if wanted else ():
+        names = [f"{c}_{a}" for a in wanted]
+        out = out.join(spread_quantiles(df, by, c, [QUANTILES[a] for a in wanted], names), list(by), "left")
+    return out
 
 
 def basin_mean(obs: DataFrame, pairs: DataFrame, on: str, by: Sequence[str], value: str) -> DataFrame:
@@ -133,8 +141,6 @@ def tercile(
 ) -> DataFrame:
     """Class by the 33.3 and 66.6 percentiles; ties fall low. Exact for
     groups of any size."""
-    from freshet.operators.quantiles import spread_quantiles
-
     cuts = spread_quantiles(df, by, value, [0.333, 0.666], ["_t1", "_t2"])
     joined = df.join(cuts, list(by)) if by else df.join(F.broadcast(cuts.limit(1)))
     label = (

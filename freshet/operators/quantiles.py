@@ -111,3 +111,35 @@ def spread_quantiles(
         lo, hi, frac = at[2 * i], at[2 * i + 1], pos[i] - F.floor(pos[i])
         values.append((lo + (hi - lo) * frac).alias(name))
     return found.groupBy(*keys).agg(*values).select(*[F.col(f"_g.{c}").alias(c) for c in by], *names)
+
+
+def spread_ranks(df: DataFrame, by: Sequence[str], col: str, name: str) -> DataFrame:
+    """Average rank of each distinct value within its group, for groups of any
+    size: (group, value, rank).
+
+    A rank is the rows in lower coarse buckets, plus those in lower fine buckets
+    of the same coarse one, plus those below in the same fine bucket, so no
+    window covers a whole group. The group is one struct column, ``_g``.
+    """
+    v = F.col(col).cast("double")
+    counts = (
+        df.where(v.isNotNull())
+        .groupBy(F.struct(*(by or [F.lit(0).alias("_all")])).alias("_g"), v.alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumns({"_b1": _octave_bucket(F.col("_v"), COARSE), "_b2": _octave_bucket(F.col("_v"), FINE)})
+    )
+
+    def before(part: list[str], order: str) -> Column:
+        w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(w), F.lit(0))
+
+    b1, b2 = ["_g", "_b1"], ["_g", "_b1", "_b2"]
+    coarse = counts.groupBy(*b1).agg(F.sum("_n").alias("_n")).select(*b1, before(["_g"], "_b1").alias("_o1"))
+    fine = counts.groupBy(*b2).agg(F.sum("_n").alias("_n")).select(*b2, before(b1, "_b2").alias("_o2"))
+    rank = F.col("_o1") + F.col("_o2") + F.col("_o3") + (F.col("_n") + 1) / 2
+    return (
+        counts.withColumn("_o3", before(b2, "_v"))
+        .join(fine, b2)
+        .join(coarse, b1)
+        .select("_g", "_v", rank.alias(name))
+    )

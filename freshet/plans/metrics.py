@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from freshet.functions.scalars import pearson
+from freshet.operators.quantiles import spread_ranks
 
 QUANTILES = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
 
@@ -80,16 +81,16 @@ def point_errors(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame:
 def correlations(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame:
     """Pearson, and Spearman as Pearson on average ranks.
 
-    Ranks are taken over equal-value counts, so ties cost one row each.
+    Ranks are taken over equal-value counts and by buckets, so groups may be of
+    any size.
     """
-    both = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
+    both = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).withColumn(
+        "_g", F.struct(*(by or [F.lit(0).alias("_all")]))
+    )
 
     def ranked(src: DataFrame, col: str, name: str) -> DataFrame:
-        counts = src.groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
-        w = Window.partitionBy(*by).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-        upto = F.sum("_n").over(w)
-        ranks = counts.select(*by, col, (upto - F.col("_n") + (F.col("_n") + 1) / 2).alias(name))
-        return src.join(ranks, [*by, col])
+        ranks = spread_ranks(both, by, col, name)
+        return src.withColumn("_v", F.col(col).cast("double")).join(ranks, ["_g", "_v"]).drop("_v")
 
     out = ranked(ranked(both, y, "_ry"), p, "_rp")
     return out.groupBy(*by).agg(

@@ -306,7 +306,7 @@ def fit_gbt(
         "_for", F.explode(F.filter(F.array(*[F.lit(f) for f in folds]), lambda g: g != F.col(fold)))
     )
     misses = other.select(*keys, F.col("_for").alias("_f"), "q10", "q90", y)
-    return conformal(misses, oof.withColumn("_f", F.col(fold)), [*keys, "_f"], y).drop("_f")
+    return conformal(misses, oof.withColumn("_f", F.col(fold)), [*keys, "_f"], y, any_size=True).drop("_f")
 
 
 Score = Callable[[DataFrame], DataFrame]

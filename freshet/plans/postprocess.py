@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from freshet.operators.quantiles import group_quantiles, quantile
+from freshet.operators.quantiles import group_quantiles, quantile, spread_quantiles
 
 Q = ("q10", "q50", "q90")
 
@@ -132,12 +132,21 @@ def rerank_members(
     )
 
 
-def conformal(oof: DataFrame, pred: DataFrame, keys: Sequence[str], y: str, q: float = 0.9) -> DataFrame:
+def conformal(
+    oof: DataFrame, pred: DataFrame, keys: Sequence[str], y: str, q: float = 0.9, any_size: bool = False
+) -> DataFrame:
     """K9: widen the interval per key by the q-quantile of the out-of-fold
-    misses on each side (negative misses narrow it)."""
-    widths = oof.groupBy(*keys).agg(
-        quantile(F.col("q10") - F.col(y), q).alias("_lo"), quantile(F.col(y) - F.col("q90"), q).alias("_hi")
-    )
+    misses on each side (negative misses narrow it).
+
+    A key of site and issue day holds one miss per year; ``any_size=True`` is
+    for keys that pool sites.
+    """
+    miss = oof.withColumns({"_below": F.col("q10") - F.col(y), "_above": F.col(y) - F.col("q90")})
+    if any_size:
+        lo = spread_quantiles(miss, keys, "_below", [q], ["_lo"])
+        widths = lo.join(spread_quantiles(miss, keys, "_above", [q], ["_hi"]), list(keys))
+    else:
+        widths = miss.groupBy(*keys).agg(quantile("_below", q).alias("_lo"), quantile("_above", q).alias("_hi"))
     out = pred.join(widths, list(keys), "left")
     return out.withColumns(
         {

@@ -215,3 +215,10 @@ def test_daily_reduce_bounds_a_hot_key(spark):
     out = frames.daily_reduce(raw, ["k"], "t", "x")
     assert {r.v for r in out.collect()} == {5000.0}
     assert out.count() == 10
+
+
+def test_spread_ranks_of_ties_and_signs(spark):
+    values = [-3.0, -3.0, 0.0, 1e-9, 5.0, 5.0, 5.0, 1e12]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = {r._v: r.rk for r in quantiles.spread_ranks(df, [], "v", "rk").collect()}
+    assert got == {-3.0: 1.5, 0.0: 3.0, 1e-9: 4.0, 5.0: 6.0, 1e12: 8.0}
