@@ -270,7 +270,16 @@ def _(d):
     return models.group_shapley(rows, rows, ["site", "yr", "m"], ["site", "m"], groups, _score)
 
 
-@query("m11_waterfall", "site int, yr int, m int, label str, shap num")
+@query(
+    "m11_waterfall",
+    "site int, yr int, m int, label str, shap num",
+    f"""WITH s AS ({_SHAPLEY}), o AS (SELECT s.site, s.yr, s.m, max(expected) AS expected, max(v.vol) AS vol FROM s
+      JOIN flow_month v ON s.site = v.site AND s.yr = v.yr AND s.m = v.m GROUP BY 1, 2, 3),
+    k AS (SELECT *, median(vol) OVER (PARTITION BY site, m) AS mid FROM o)
+    SELECT * FROM (SELECT site, yr, m, label, round(shap, 2) AS shap FROM s UNION ALL
+      SELECT site, yr, m, 'Expected', round(expected + mid, 2) FROM k UNION ALL
+      SELECT site, yr, m, 'Known volume', round(vol - mid, 2) FROM k) WHERE shap <> 0""",
+)
 def _(d):
     rows = _site_features(d)
     groups = {"snow": ["swe"], "flow": ["vol"], "climate": ["val"]}

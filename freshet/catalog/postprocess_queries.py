@@ -284,6 +284,7 @@ def _cdf(family: str, x: str) -> str:
         "logistic": f"1 / (1 + exp(-({x} - mean) / ls))",
         "gumbel": f"exp(-exp(-({x} - gl) / gs))",
         "uniform": f"least(1, greatest(0, ({x} - mn) / (mx - mn)))",
+        "loglogistic": f"1 / (1 + exp(-(ln({x}) - lmean) / lls))",
     }[family]
 
 
@@ -292,19 +293,25 @@ def _inv(family: str, p: str) -> str:
         "logistic": f"mean + ls * ln(({p}) / (1 - ({p})))",
         "gumbel": f"gl - gs * ln(-ln({p}))",
         "uniform": f"mn + (mx - mn) * ({p})",
+        "loglogistic": f"exp(lmean + lls * ln(({p}) / (1 - ({p}))))",
     }[family]
 
 
-def _k13(family: str) -> str:
-    return f"""SELECT site, issue_date, 0.7::DOUBLE * ({_inv(family, 'p - 0.8::DOUBLE * (p - pb)')}) + (1 - 0.7::DOUBLE) * q10 AS q10, q50,
-      0.7::DOUBLE * ({_inv(family, 'p + 0.8::DOUBLE * (pt - p)')}) + (1 - 0.7::DOUBLE) * q90 AS q90 FROM (
-      SELECT *, greatest(pb, least(pt, {_cdf(family, 'q50')})) AS p FROM (
-        SELECT p.*, f.* EXCLUDE (site), {_cdf(family, 'mx')} AS pt, {_cdf(family, 'mn')} AS pb
-        FROM pred p JOIN ({_FIT}) f ON p.site = f.site))"""
+def _case(fn, arg: str) -> str:
+    """The family's own formula, by the chosen family."""
+    return "CASE family " + " ".join(f"WHEN '{f}' THEN {fn(f, arg)}" for f in pp.FAMILIES) + " END"
+
+
+def _k13(cdf, inv, fit: str, cols: str = "") -> str:
+    return f"""SELECT site, issue_date, {cols} 0.7::DOUBLE * ({inv('p - 0.8::DOUBLE * (p - pb)')}) + (1 - 0.7::DOUBLE) * q10 AS q10, q50,
+      0.7::DOUBLE * ({inv('p + 0.8::DOUBLE * (pt - p)')}) + (1 - 0.7::DOUBLE) * q90 AS q90 FROM (
+      SELECT *, greatest(pb, least(pt, {cdf('q50')})) AS p FROM (
+        SELECT p.*, f.* EXCLUDE (site), {cdf('mx')} AS pt, {cdf('mn')} AS pb
+        FROM pred p JOIN ({fit}) f ON p.site = f.site))"""
 
 
 def _register_k13(family: str):
-    @query(f"k13_dist_quantiles_{family}", f"site int, issue_date iso, {Q3}", _k13(family))
+    @query(f"k13_dist_quantiles_{family}", f"site int, issue_date iso, {Q3}", _k13(lambda x: _cdf(family, x), lambda p: _inv(family, p), _FIT))
     def _(d):
         fitted = pp.fit_moments(d.pred.where("yr <> 2001"), ["site"], "y").withColumn("family", F.lit(family))
         return pp.dist_quantiles(d.pred, fitted, ["site"], weight=0.7)
@@ -314,7 +321,16 @@ for _family in ("logistic", "gumbel", "uniform"):
     _register_k13(_family)
 
 
-@query("k13_dist_quantiles_best", f"site int, issue_date iso, family str, {Q3}")
+@query(
+    "k13_dist_quantiles_best",
+    f"site int, issue_date iso, family str, {Q3}",
+    _k13(
+        lambda x: _case(_cdf, x),
+        lambda p: _case(_inv, p),
+        f"SELECT m.*, b.family FROM ({_FIT}) m JOIN ({_BEST}) b ON m.site = b.site",
+        "family,",
+    ),
+)
 def _(d):
     fitted = pp.best_dist(d.pred.where("yr <> 2001"), ["site"], "y").drop("nll")
     return pp.dist_quantiles(d.pred, fitted, ["site"], weight=0.7)
