@@ -66,7 +66,7 @@ def chosen(d):
     return selection.corr_select(yearly, d.area_pairs, d.site_year, 5, 5, FIRST_YEAR, LAST_YEAR)
 
 
-@query("j4_corr_select", "fold int, site int, station int, r num, rnk int", _J4)
+@query("j4_corr_select", "fold int, site int, station int, r num9, rnk int", _J4)
 def _(d):
     return chosen(d)
 
@@ -140,7 +140,7 @@ def _(d):
 
 @query(
     "j6_merge_choices",
-    "site int, station int, variable str, median_r num, rnk int",
+    "site int, station int, variable str, median_r num9, rnk int",
     f"""WITH {_ISSUE_ROWS},
     top AS (SELECT *, row_number() OVER (PARTITION BY site, variable ORDER BY obs DESC, round(median_r, 9) DESC, station) AS k FROM (
       SELECT site, station, 'mid' AS variable, min(n_obs) AS obs, median(r) AS median_r FROM icorr
@@ -177,7 +177,7 @@ def _(d):
 
 @query(
     "j8_max_corr_issue",
-    "site int, md int, best_station int, best_md int, best_r num, is_later bit",
+    "site int, md int, best_station int, best_md int, best_r num9, is_later bit",
     f"""WITH {_ISSUE_ROWS}, rr AS (SELECT site, station, md, round(r, 9) AS r FROM icorr),
     best AS (SELECT site, station AS best_station, md AS best_md, r AS best_r FROM (
       SELECT *, row_number() OVER (PARTITION BY site ORDER BY r DESC, md, station) AS k FROM rr) WHERE k = 1)
@@ -204,7 +204,7 @@ def _(d):
 
 @query(
     "j10_best_month",
-    "site int, best_month int, r num",
+    "site int, best_month int, r num9",
     f"""SELECT site, m AS best_month, r FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY r DESC, m) AS k
     FROM ({_MONTH_CORR}) WHERE r > 0.2 AND NOT isnan(r)) WHERE k = 1""",
 )
@@ -214,7 +214,7 @@ def _(d):
 
 @query(
     "j10_best_gauge",
-    "site int, station int, median_r num",
+    "site int, station int, median_r num9",
     """WITH r AS (SELECT p.site, s.station, month(s.t) AS m, corr(s.v, f.vol) AS r, count(*) AS n FROM station_month s
       JOIN area_pairs p ON s.station = p.station JOIN flow_month f ON f.site = p.site AND f.t = s.t GROUP BY 1, 2, 3),
     t AS (SELECT site, station, round(median(r), 9) AS median_r FROM r WHERE n >= 6 AND NOT isnan(r) GROUP BY 1, 2)
@@ -232,7 +232,7 @@ def _(d):
 
 @query(
     "j11_index_screen",
-    "site int, index_name str, m int, r num",
+    "site int, index_name str, m int, r num9",
     """SELECT site, index_name, m, r FROM (SELECT *, row_number() OVER (PARTITION BY site, index_name ORDER BY r, m) AS k FROM (
       SELECT l.site, i.name AS index_name, i.m, round(corr(i.val, l.vol), 9) AS r FROM site_year l JOIN (
         SELECT 'a' AS name, yr, m, val FROM index_month UNION ALL SELECT 'b', yr, m, val * val FROM index_month) i
