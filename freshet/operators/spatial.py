@@ -162,7 +162,8 @@ def nearest(
 
     Exact without comparing all pairs: cell-to-cell distance bounds give, per
     occupied cell, a radius sure to hold k rows; only cells that may reach into
-    it are joined.
+    it are joined. ``deg`` sets the cell size: smaller cells mean fewer compared
+    rows where ``b`` is dense, and more cell pairs.
     """
 
     def tag(df: DataFrame, p: str) -> DataFrame:
