@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from freshet.session import run_path
 
@@ -89,3 +89,18 @@ def numbered(df: DataFrame, order: list[str | Column], name: str = "row_number")
     known = spark.createDataFrame(offsets, "_task int, _offset long")
     place = F.col("_offset") + F.col("_mono").bitwiseAND((1 << 33) - 1)
     return put.join(F.broadcast(known), "_task").select(*df.columns, place.alias(name))
+
+
+def once(rows: DataFrame, wanted: DataFrame, id_col: str, key: Column, order: list[Column] | None = None) -> DataFrame:
+    """Rows of ``rows`` whose (id, key) is in ``wanted`` (_id, _key, ...), one for each, with the further columns of ``wanted``.
+
+    Repeated rows are thinned out before the shuffle, task by task; the shuffle
+    for this serves the join as well.  A null id equals a null id.
+    """
+    none = F.lit(0).cast("long")
+    mine = rows.withColumns({"_k0": F.coalesce(F.col(id_col).cast("long"), none), "_k1": F.col(id_col).isNull(), "_k2": key})
+    window = Window.partitionBy("_k0", "_k1", "_k2").orderBy(*(order or [F.lit(0)]))
+    mine = mine.withColumn("_nth", F.row_number().over(window)).filter("_nth = 1").drop("_nth")
+    extra = [c for c in wanted.columns if c not in ("_id", "_key")]
+    theirs = wanted.select(F.coalesce("_id", none).alias("_k0"), F.col("_id").isNull().alias("_k1"), F.col("_key").alias("_k2"), *extra)
+    return mine.join(theirs, ["_k0", "_k1", "_k2"]).select(*[mine[c] for c in rows.columns], *extra)

@@ -16,9 +16,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from freshet.llm.common import SPACE, landed, lookup
+from freshet.llm.common import SPACE, landed, lookup, once
 from freshet.session import run_path
 
 
@@ -93,9 +93,6 @@ class DigestIndex:
     def survivors(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_id: str | None = None) -> DataFrame:
         """The rows of the batch that stay, with all their columns."""
         kept = self.ingest(batch, id_col, text_col, batch_id).filter("kept")
-        kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest"))
-        keyed = batch.withColumns({"_digest": digest(text_col), "_points": F.length(F.coalesce(F.col(text_col), F.lit("")))})
-        first = Window.partitionBy(id_col, "_digest").orderBy(F.desc("_points"))
-        keyed = keyed.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1")
-        same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest"))
-        return keyed.join(kept, same, "left_semi").select(*batch.columns)
+        kept = kept.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_key"))
+        most = [F.length(F.coalesce(F.col(text_col), F.lit(""))).desc()]
+        return once(batch, kept, id_col, digest(text_col), most)

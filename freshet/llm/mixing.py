@@ -26,7 +26,7 @@ from freshet.llm.common import SPACE, WORD, landed, lookup, numbered
 from freshet.llm.feistel import permute
 
 #: Rows per prefix-sum bucket, and slots made by one row of an explode.
-BUCKET_ROWS, CHUNK = 20_000, 4096
+BUCKET_ROWS, CHUNK = 4_000, 4096
 
 
 def word_count(text: Column) -> Column:
@@ -126,7 +126,7 @@ def _key(seed: int, rank: Column, turn: Column) -> Column:
 def _starts(facts: DataFrame, seed: int) -> DataFrame:
     """The word at which each document starts within its source, in keyed order.
 
-    Sums within buckets of about 20,000 rows, then over the buckets of a source.
+    Sums within buckets of about 4,000 rows, then over the buckets of a source.
     """
     n_buckets = -(-facts.count() // BUCKET_ROWS) or 1
     h = F.xxhash64(F.lit(seed), "doc_id", "size")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from freshet.llm import exact_dedup, mixing, sharding
+from freshet.llm import exact_dedup, language_id, mixing, near_dedup, quality, sharding
 from freshet.llm.common import table
 
 
@@ -43,6 +43,27 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    field = quality.learn(docs, labels.filter(~language_id.held_out("doc_id", 4, 2)))
+    out = quality.predict(docs, field)
+    held = F.coalesce(language_id.held_out("doc_id", 4, 2), F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.filter(~language_id.held_out("doc_id", 5, 0)))
+    out = language_id.predict(docs, model, keep=["doc_id"])
+    held = F.coalesce(language_id.held_out("doc_id", 5, 0), F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.groups(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -50,6 +71,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_sharding": op4_sharding,
+    "op5_quality": op5_quality,
+    "op6_language_id": op6_language_id,
+    "op7_near_dedup": op7_near_dedup,
     "op10_mixing": op10_mixing,
 }
 
