@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from freshet.llm import exact_dedup, language_id, mixing, near_dedup, quality, sharding
+from freshet.llm import exact_dedup, language_id, mixing, near_dedup, neighbours, packing, pii, quality, sharding, tokens, url_filter
 from freshet.llm.common import table
 
 
@@ -36,6 +36,14 @@ WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS LAST)
 """
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
     return out.select(
@@ -64,16 +72,40 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def gpt2_tokenizer() -> str:
+    """The public byte-level tokenizer's JSON, read on the driver; about 1 MB."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = tokens.pieces(table(spark, sf_dir, "documents"), gpt2_tokenizer(), 2048)
+    packed = packing.pack(cut, 2048, ["doc_id", "piece", "ids_crc32"])
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.apply(table(spark, sf_dir, "documents").select("doc_id", "text"), key="op9")
+    kinds = F.array_join(F.array_sort(F.array_distinct("spans.kind")), ",")
+    return out.select("doc_id", "text", F.size("spans").cast("long").alias("n_values"), kinds.alias("kinds"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_url_filter": op2_url_filter,
+    "op3_neighbours": op3_neighbours,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_language_id": op6_language_id,
     "op7_near_dedup": op7_near_dedup,
+    "op8_packing": op8_packing,
+    "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
 }
 
