@@ -22,9 +22,9 @@ CAPACITY = 2048
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: no letter, or no language that is likelier than all others together."""
-    judged = language_id.predict(docs, language_id.learn(docs))
-    known = judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") > 0.5))
-    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    judged = language_id.predict(docs, language_id.learn(docs), names=("__lang", "__score"))
+    known = judged.filter((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") > 0.5))
+    return known.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

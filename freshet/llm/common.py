@@ -98,9 +98,9 @@ def once(rows: DataFrame, wanted: DataFrame, id_col: str, key: Column, order: li
     for this serves the join as well.  A null id equals a null id.
     """
     none = F.lit(0).cast("long")
-    mine = rows.withColumns({"_k0": F.coalesce(F.col(id_col).cast("long"), none), "_k1": F.col(id_col).isNull(), "_k2": key})
-    window = Window.partitionBy("_k0", "_k1", "_k2").orderBy(*(order or [F.lit(0)]))
-    mine = mine.withColumn("_nth", F.row_number().over(window)).filter("_nth = 1").drop("_nth")
+    mine = rows.withColumns({"__k0": F.coalesce(F.col(id_col).cast("long"), none), "__k1": F.col(id_col).isNull(), "__k2": key})
+    window = Window.partitionBy("__k0", "__k1", "__k2").orderBy(*(order or [F.lit(0)]))
+    mine = mine.withColumn("__nth", F.row_number().over(window)).filter("__nth = 1").drop("__nth")
     extra = [c for c in wanted.columns if c not in ("_id", "_key")]
-    theirs = wanted.select(F.coalesce("_id", none).alias("_k0"), F.col("_id").isNull().alias("_k1"), F.col("_key").alias("_k2"), *extra)
-    return mine.join(theirs, ["_k0", "_k1", "_k2"]).select(*[mine[c] for c in rows.columns], *extra)
+    theirs = wanted.select(F.coalesce("_id", none).alias("__k0"), F.col("_id").isNull().alias("__k1"), F.col("_key").alias("__k2"), *extra)
+    return mine.join(theirs, ["__k0", "__k1", "__k2"]).select(*[mine[c] for c in rows.columns], *extra)

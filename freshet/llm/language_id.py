@@ -209,8 +209,10 @@ def _has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred and score (the share of the best language's probability) to the columns ``keep``."""
+def predict(
+    docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """Adds the language and its score (the best language's share of the probability) under ``names`` to the columns ``keep``."""
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
     shared = spark.sparkContext.broadcast(model)
@@ -218,7 +220,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     copy_text = [i for i, c in enumerate(keep) if c == text_col]
     if copy_text:  # one copy of the text goes to Python
         kept = docs.select(*[F.col(c).alias(f"k{i}" if i not in copy_text else "text") for i, c in enumerate(keep)])
-    names = kept.columns
+    passed = kept.columns
 
     def run(batches):
         model = shared.value
@@ -233,12 +235,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
                 some = _has_letter(data, at)
                 pred[first:end] = np.where(some, np.array(model.languages, object)[best], UNKNOWN)
                 score[first:end] = np.where(some, share, 0.0)
-            cols = [batch.column(i) for i in range(len(names))]
-            out = [c for c, name in zip(cols, names) if name != "text" or copy_text]
-            fields = [name for name in names if name != "text" or copy_text]
+            cols = [batch.column(i) for i in range(len(passed))]
+            out = [c for c, name in zip(cols, passed) if name != "text" or copy_text]
+            fields = [name for name in passed if name != "text" or copy_text]
             yield pa.RecordBatch.from_arrays([*out, pa.array(list(pred), pa.string()), pa.array(score)], names=[*fields, "lang_pred", "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "text" or copy_text)
     out = kept.mapInArrow(run, f"{kinds + ', ' if kinds else ''}lang_pred string, score double")
     back = [F.col("text" if i in copy_text else f"k{i}").alias(c) for i, c in enumerate(keep)]
-    return out.select(*back, "lang_pred", "score")
+    return out.select(*back, F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))

@@ -205,22 +205,22 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     m = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     runs = spans(m).filter("n_words > 0")
     per = runs.groupBy("doc_id", "source", "size", "start", "pass").agg(
-        F.sum("n_words").alias("_n"), F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("_runs")
+        F.sum("n_words").alias("__n"), F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("__runs")
     )
-    per = per.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_n", "_runs", "start", "pass")
-    own = Window.partitionBy("_id", "_source", "_size", "pass").orderBy("start")
-    per = per.withColumn("_nth", F.row_number().over(own))
-    rows = docs.withColumn("_words", word_count(F.col(text_col)))
-    twin = Window.partitionBy(id_col, source_col, "_words").orderBy(F.col(text_col))
-    rows = rows.withColumn("_twin", F.row_number().over(twin))
+    own = Window.partitionBy("doc_id", "source", "size", "pass").orderBy("start")
+    per = per.withColumn("__nth", F.row_number().over(own))
+    per = per.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__n", "__runs", "__nth")
+    rows = docs.withColumn("__words", word_count(F.col(text_col)))
+    twin = Window.partitionBy(id_col, source_col, "__words").orderBy(F.col(text_col))
+    rows = rows.withColumn("__twin", F.row_number().over(twin))
     same = (
-        F.col(id_col).eqNullSafe(F.col("_id"))
-        & F.col(source_col).eqNullSafe(F.col("_source"))
-        & (F.col("_words") == F.col("_size"))
-        & (F.col("_twin") == F.col("_nth"))
+        F.col(id_col).eqNullSafe(F.col("__id"))
+        & F.col(source_col).eqNullSafe(F.col("__source"))
+        & (F.col("__words") == F.col("__size"))
+        & (F.col("__twin") == F.col("__nth"))
     )
     joined = rows.join(per, same)
     pieces = F.split(F.col(text_col), f"(?<=[^\\x20\\x09-\\x0D])(?={SPACE})")
-    part = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(pieces, r["from_word"].cast("int") + 1, r["n_words"].cast("int")))), "")
-    text = F.when(F.col("_n") == F.col("_words"), F.col(text_col)).otherwise(part)
+    part = F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice(pieces, r["from_word"].cast("int") + 1, r["n_words"].cast("int")))), "")
+    text = F.when(F.col("__n") == F.col("__words"), F.col(text_col)).otherwise(part)
     return joined.withColumn(text_col, text).select(*docs.columns)

@@ -134,33 +134,27 @@ def contract(links: DataFrame, labels: DataFrame) -> DataFrame:
 
     Each step sends every root to the smallest among itself and its neighbours and
     replaces the links by those between the new roots; the links of a step are a
-    fraction of those before, since node numbers are random to the links.
+    fraction of those before, since node numbers are random to the links.  A root
+    with very many links or nodes is a hot key of one side only, which Spark's
+    adaptive skew join splits.
     """
-    edges = _roots_of(links, labels)
+    edges = _ends(links, labels)
     while not edges.isEmpty():
         sides = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = sides.groupBy("a").agg(F.min("b").alias("_least"), F.count("*").alias("_n"))
-        moved = landed(least.select(F.col("a").alias("node"), F.least("a", "_least").alias("root"), "_n"), "moved")
-        sizes = labels.groupBy("root").agg(F.count("*").alias("_w"))
-        steps = sizes.join(moved.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root")
-        labels = lookup(labels, steps.select("root", "_to", "_w"), ["root"], "_w")
-        labels = landed(labels.select("node", F.coalesce("_to", "root").alias("root")), "labels")
+        least = sides.groupBy("a").agg(F.min("b").alias("_least"))
+        moved = landed(least.select(F.col("a").alias("node"), F.least("a", "_least").alias("root")), "moved")
+        step = moved.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+        labels = landed(labels.join(step, "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "labels")
         edges = _ends(edges, moved)
     return labels
 
 
 def _ends(links: DataFrame, roots: DataFrame) -> DataFrame:
-    """Links between the roots of both ends, each once; ``roots``: (node, root, _n)."""
-    a = lookup(links, roots.withColumnRenamed("node", "a"), ["a"], "_n").select("b", F.coalesce("root", "a").alias("_a"))
-    b = lookup(a, roots.withColumnRenamed("node", "b"), ["b"], "_n").select("_a", F.coalesce("root", "b").alias("_b"))
-    kept = b.filter("_a != _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
-    return landed(kept.distinct(), "edges")
-
-
-def _roots_of(links: DataFrame, labels: DataFrame) -> DataFrame:
-    uses = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
-    roots = labels.join(uses.groupBy("node").agg(F.count("*").alias("_n")), "node")
-    return _ends(links, roots)
+    """Links between the roots of both ends, each once; a node that ``roots`` lacks is its own."""
+    a = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("_ra")), "a", "left")
+    b = a.join(roots.select(F.col("node").alias("b"), F.col("root").alias("_rb")), "b", "left")
+    ends = b.select(F.coalesce("_ra", "a").alias("_a"), F.coalesce("_rb", "b").alias("_b")).filter("_a != _b")
+    return landed(ends.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
 
 
 def classes_and_labels(docs: DataFrame, width: int, percent: int, bands: int, rows: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -177,8 +171,7 @@ def classes_and_labels(docs: DataFrame, width: int, percent: int, bands: int, ro
     )
     keys = classes.select("node", "n_shingles", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
-    buckets = lookup(keys, shared, ["key"], "_n").filter("_n IS NOT NULL")
-    buckets = landed(buckets.select("key", "node", "n_shingles"), "buckets")
+    buckets = landed(keys.join(shared, "key").select("key", "node", "n_shingles"), "buckets")
 
     nodes = buckets.select("node").distinct()
     texts = classes.join(nodes, "node", "left_semi").select(F.col("first_id").alias("_id"), F.col("first_hash").alias("_key"), "node")
@@ -197,49 +190,35 @@ def classes_and_labels(docs: DataFrame, width: int, percent: int, bands: int, ro
 
 def _star(buckets: DataFrame, labels: DataFrame, sets: DataFrame, centres: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Confirmed links of the first ``centres`` classes of each bucket, and the buckets without these."""
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-    heads = buckets.withColumn("_nth", nth).filter(F.col("_nth") <= centres)
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("_n"))
+    one = F.struct("node", "n_shingles")
     if centres == 1:
-        heads = buckets.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("_c"))
-        heads = heads.select("key", "_c.node", "_c.n_shingles")
-    tops = heads.groupBy("key").agg(F.collect_list(F.struct("node", "n_shingles")).alias("_tops"))
-    tops = landed(sizes.join(tops, "key").select("key", "_tops", "_n"), "stars")
-    both = lookup(buckets, tops, ["key"], "_n").select("key", "node", "n_shingles", "_tops")
-    is_top = F.exists("_tops", lambda t: t["node"] == F.col("node"))
-    rest = landed(both.filter(~is_top).select("key", "node", "n_shingles"), "buckets")
+        tops = buckets.groupBy("key").agg(F.array(F.min(one)).alias("_tops"))
+    else:
+        nth = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+        heads = buckets.withColumn("_nth", nth).filter(F.col("_nth") <= centres)
+        tops = heads.groupBy("key").agg(F.collect_list(one).alias("_tops"))
+    both = landed(buckets.join(tops, "key").select("key", "node", "n_shingles", "_tops"), "stars")
+    rest = both.filter(~F.exists("_tops", lambda t: t["node"] == F.col("node"))).select("key", "node", "n_shingles")
     pairs = both.select("node", "n_shingles", F.explode("_tops").alias("_t"))
     small, large = F.least("n_shingles", "_t.n_shingles"), F.greatest("n_shingles", "_t.n_shingles")
     pairs = pairs.filter((F.col("_t.node") != F.col("node")) & (100 * small >= percent * large))
     pairs = pairs.select(F.least("node", "_t.node").alias("a"), F.greatest("node", "_t.node").alias("b")).distinct()
     if centres > 1:  # classes that are connected already need no proof
-        pairs = _across(pairs, labels)
+        pairs = pairs.join(labels.select(F.col("node").alias("a"), F.col("root").alias("_ra")), "a")
+        pairs = pairs.join(labels.select(F.col("node").alias("b"), F.col("root").alias("_rb")), "b").filter("_ra != _rb")
     a = sets.select(F.col("node").alias("a"), F.col("items").alias("_ia"))
     b = sets.select(F.col("node").alias("b"), F.col("items").alias("_ib"))
     common = F.size(F.array_intersect("_ia", "_ib"))
     union = F.size("_ia") + F.size("_ib") - common
-    proof = pairs.join(b, "b").join(a, "a").filter(100 * common.cast("long") >= percent * union)
+    proof = pairs.select("a", "b").join(b, "b").join(a, "a").filter(100 * common.cast("long") >= percent * union)
     return landed(proof.select("a", "b"), "links"), rest
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components."""
-    uses = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    roots = landed(labels.join(uses.groupBy("node").agg(F.count("*").alias("_n")), "node"), "pair-roots")
-    a = lookup(pairs, roots.select(F.col("node").alias("a"), F.col("root").alias("_ra"), "_n"), ["a"], "_n").drop("_n")
-    b = lookup(a, roots.select(F.col("node").alias("b"), F.col("root").alias("_rb"), "_n"), ["b"], "_n")
-    return b.filter("_ra != _rb").select("a", "b")
-
-
 def _unconnected(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of buckets that still hold classes of several components."""
-    weights = buckets.groupBy("node").agg(F.count("*").alias("_n"))
-    roots = labels.join(weights, "node")
-    rows = lookup(buckets, roots, ["node"], "_n").drop("_n")
-    rows = landed(rows, "bucket-roots")
-    open_ = rows.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n")).filter("_lo != _hi")
-    found = lookup(rows, open_.select("key", "_n"), ["key"], "_n").filter("_n IS NOT NULL")
-    return landed(found.select("key", "node", "n_shingles"), "buckets")
+    rows = landed(buckets.join(labels, "node"), "bucket-roots")
+    open_ = rows.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo != _hi")
+    return landed(rows.join(open_, "key").select("key", "node", "n_shingles"), "buckets")
 
 
 def groups(
