@@ -10,15 +10,15 @@ part names the bin, the smallest hash of a bin is its value, and an empty bin
 takes the value of another one in an order drawn for that bin (optimal
 densification).  Bands of the signature put classes into buckets.
 
-Within a bucket the first class is linked as a candidate to all others, a star,
-so candidates grow with the bucket's size.  Candidates are confirmed on the full
-sets.  A bucket whose classes do not all end up connected goes on with the next
-classes as centres (8, then 64, then 512 ... of them), against classes of other
-components only, until it is connected or every class has been a centre: no pair
-of a bucket is given up.
+Within a bucket the first class is linked as a candidate to all others, a star, so
+candidates grow with the bucket's size and not with its square.  Candidates are
+confirmed on the full sets.  Where a bucket's classes do not end up in one
+component, further stars follow: CENTRES classes outside the bucket's largest
+component, others in each round, meet the classes of all other components.  Rounds
+go on until one confirms no link.
 
 With 32 bands of 5 rows a pair of similarity 0.8 shares no bucket with a chance of
-3 in a million.
+3 in a million, and ten buckets on average, each a chance to meet in a star.
 
 Defined results: a null text is empty; rows of equal id are separate documents; a
 null id counts as the largest; an empty table gives no rows; other columns are
@@ -29,12 +29,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from freshet.llm.common import landed, lookup, once
 from freshet.llm.textbytes import lowered, mixed, slices, span_hashes, words
 
 BANDS, ROWS = 32, 5
+#: Centres of a bucket in each further round.
+CENTRES = 4
 
 
 def _orders(bins: int) -> np.ndarray:
@@ -178,47 +180,43 @@ def classes_and_labels(docs: DataFrame, width: int, percent: int, bands: int, ro
     wanted = once(docs.select(id_col, text_col), texts, id_col, F.xxhash64(text_col))
     sets = landed(_sets(wanted.select("node", F.col(text_col).alias("text")), width), "shingle-sets")
 
-    labels = landed(nodes.select("node", F.col("node").alias("root")), "labels")
-    centres = 1
-    while not buckets.isEmpty():
-        links, buckets = _star(buckets, labels, sets, centres, percent)
+    labels = nodes.select("node", F.col("node").alias("root"))
+    heads = buckets.groupBy("key").agg(F.array(F.min(F.struct("node", "n_shingles"))).alias("_tops"))
+    links = _confirmed(buckets.join(heads, "key"), F.col("_t.node") != F.col("node"), sets, percent)
+    turn = 1
+    while not links.isEmpty():
         labels = contract(links, labels)
-        buckets = _unconnected(buckets, labels)
-        centres *= 8
+        links = _more_stars(buckets, labels, sets, turn, percent)
+        turn += 1
     return facts, classes, labels
 
 
-def _star(buckets: DataFrame, labels: DataFrame, sets: DataFrame, centres: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links of the first ``centres`` classes of each bucket, and the buckets without these."""
-    one = F.struct("node", "n_shingles")
-    if centres == 1:
-        tops = buckets.groupBy("key").agg(F.array(F.min(one)).alias("_tops"))
-    else:
-        nth = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        heads = buckets.withColumn("_nth", nth).filter(F.col("_nth") <= centres)
-        tops = heads.groupBy("key").agg(F.collect_list(one).alias("_tops"))
-    both = landed(buckets.join(tops, "key").select("key", "node", "n_shingles", "_tops"), "stars")
-    rest = both.filter(~F.exists("_tops", lambda t: t["node"] == F.col("node"))).select("key", "node", "n_shingles")
-    pairs = both.select("node", "n_shingles", F.explode("_tops").alias("_t"))
+def _confirmed(rows: DataFrame, other: Column, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the class of each row and those of its ``_tops`` that are similar enough."""
     small, large = F.least("n_shingles", "_t.n_shingles"), F.greatest("n_shingles", "_t.n_shingles")
-    pairs = pairs.filter((F.col("_t.node") != F.col("node")) & (100 * small >= percent * large))
+    pairs = rows.withColumn("_t", F.explode("_tops")).filter(other & (100 * small >= percent * large))
     pairs = pairs.select(F.least("node", "_t.node").alias("a"), F.greatest("node", "_t.node").alias("b")).distinct()
-    if centres > 1:  # classes that are connected already need no proof
-        pairs = pairs.join(labels.select(F.col("node").alias("a"), F.col("root").alias("_ra")), "a")
-        pairs = pairs.join(labels.select(F.col("node").alias("b"), F.col("root").alias("_rb")), "b").filter("_ra != _rb")
     a = sets.select(F.col("node").alias("a"), F.col("items").alias("_ia"))
     b = sets.select(F.col("node").alias("b"), F.col("items").alias("_ib"))
     common = F.size(F.array_intersect("_ia", "_ib"))
     union = F.size("_ia") + F.size("_ib") - common
-    proof = pairs.select("a", "b").join(b, "b").join(a, "a").filter(100 * common.cast("long") >= percent * union)
-    return landed(proof.select("a", "b"), "links"), rest
-
-
-def _unconnected(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of buckets that still hold classes of several components."""
-    rows = landed(buckets.join(labels, "node"), "bucket-roots")
-    open_ = rows.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo != _hi")
-    return landed(rows.join(open_, "key").select("key", "node", "n_shingles"), "buckets")
+    proof = pairs.join(b, "b").join(a, "a").filter(100 * common.cast("long") >= percent * union)
+    return landed(proof.select("a", "b"), "links")
+
+
+def _more_stars(buckets: DataFrame, labels: DataFrame, sets: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Confirmed links from new centres in buckets that hold several components."""
+    rows = landed(buckets.join(labels, "node").select("key", "node", "n_shingles", "root"), "bucket-roots")
+    parts = rows.groupBy("key", "root").agg(F.count("*").alias("_n"))
+    mixed_ = parts.groupBy("key").agg(F.max_by("root", F.struct("_n", "root")).alias("_main"), F.count("*").alias("_parts"))
+    mixed_ = mixed_.filter("_parts > 1").select("key", "_main")
+    rows = landed(rows.join(mixed_, "key"), "mixed-buckets")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node"))
+    heads = rows.filter("root != _main").withColumn("_nth", nth).filter(F.col("_nth") <= CENTRES)
+    tops = heads.groupBy("key").agg(F.collect_list(F.struct("node", "n_shingles", "root")).alias("_tops"))
+    both = rows.join(tops, "key")
+    apart = F.filter("_tops", lambda t: t["root"] != F.col("root"))
+    return _confirmed(both.withColumn("_tops", apart), F.lit(True), sets, percent)
 
 
 def groups(
