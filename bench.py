@@ -36,6 +36,13 @@ HEADLINE = (
     "k9_conformal",
     "l7_several_groupings",
     "m3_global_importance",
+    "j24_greedy_stations",
+    "j6_issue_corr_select",
+    "k16_quantile_regression",
+    "k17_partial_least_squares",
+    "k18_boosted_trees",
+    "m10_what_if",
+    "m11_waterfall",
 )
 
 

@@ -67,8 +67,8 @@ def _(d):
 
 @query(
     "f5_zonal",
-    "site int, t iso, mean num, min num, max num, n_cells big",
-    """SELECT c.site, g.t, avg(g.v) AS mean, min(g.v) AS min, max(g.v) AS max, count(g.v) AS n_cells FROM grid g JOIN (
+    "site int, t iso, mean num, median num, min num, max num, n_cells big",
+    """SELECT c.site, g.t, avg(g.v) AS mean, median(g.v) AS median, min(g.v) AS min, max(g.v) AS max, count(g.v) AS n_cells FROM grid g JOIN (
       SELECT p.lat, p.lon, e.site FROM (SELECT DISTINCT lat, lon FROM grid) p, basin_edges e GROUP BY 1, 2, 3
       HAVING sum(((y1 > p.lat) <> (y2 > p.lat) AND p.lon < (x2 - x1) * (p.lat - y1) / (y2 - y1) + x1)::INTEGER) % 2 = 1) c
     ON g.lat = c.lat AND g.lon = c.lon GROUP BY 1, 2""",
@@ -82,7 +82,7 @@ def _(d):
     "station int, wy int, season_max num",
     """SELECT station, wy, max(acc) AS season_max FROM (SELECT station, d, wy,
       sum(v) OVER (PARTITION BY station, wy ORDER BY d) AS acc
-      FROM (SELECT *, year(d) + (month(d) >= 10)::INTEGER AS wy FROM station_day)) WHERE month(d) <= 7 GROUP BY 1, 2""",
+      FROM (SELECT *, year(d) + (month(d) >= 10)::INTEGER AS wy FROM station_day)) GROUP BY 1, 2""",
 )
 def _(d):
     from freshet.functions.calendar import water_year
@@ -90,7 +90,20 @@ def _(d):
 
     rows = d.station_day.withColumn("wy", water_year("d"))
     acc = cumsum(rows, ["station", "wy"], "d", "v", "acc")
-    return agg.season_max(acc.where(F.month("d") <= 7), ["station", "wy"], "acc")
+    return agg.season_max(acc, ["station", "wy"], "acc")
+
+
+@query(
+    "f7_agg_any_issue_date",
+    "site int, issue_date iso, v_sum num, v_count big, v_std num, v_p50 num",
+    """SELECT g.site, g.issue_date, sum(s.v) AS v_sum, count(s.v) AS v_count, stddev_samp(s.v) AS v_std,
+      quantile_cont(s.v, 0.5) AS v_p50 FROM (SELECT site, issue_date + (site % 7 + 1)::INTEGER AS issue_date FROM issue_grid) g
+    LEFT JOIN site_day s ON g.site = s.site AND s.d < g.issue_date
+      AND s.d >= make_date(year(g.issue_date) - (month(g.issue_date) < 10)::INTEGER, 10, 1) GROUP BY 1, 2""",
+)
+def _(d):
+    live = d.issue_grid.select("site", F.date_add("issue_date", (F.col("site") % 7 + 1).cast("int")).alias("issue_date"))
+    return asof.agg_since(d.site_day, live, ["site"], "d", "v", "issue_date", 10, aggs=("sum", "count", "std", "p50"))
 
 
 _SINCE = """SELECT g.site, g.issue_date, sum(s.{v}) AS v_sum, count(s.{v}) AS v_count, avg(s.{v}) AS v_mean,
@@ -170,25 +183,25 @@ def _(d):
 
 @query(
     "f12_pivot",
-    "site int, wy int, oct num, nov num, apr num, jun num",
-    """SELECT site, wy, max(vol) FILTER (m = 10) AS oct, max(vol) FILTER (m = 11) AS nov, max(vol) FILTER (m = 4) AS apr,
-    max(vol) FILTER (m = 6) AS jun FROM flow_month GROUP BY 1, 2""",
+    "site int, wy int, " + ", ".join(f"m{i} num" for i in range(1, 13)),
+    "SELECT site, wy, " + ", ".join(f"max(vol) FILTER (m = {i}) AS m{i}" for i in range(1, 13)) + " FROM flow_month GROUP BY 1, 2",
 )
 def _(d):
-    wide = agg.pivot(d.flow_month, ["site", "wy"], "m", "vol", [10, 11, 4, 6])
-    return wide.withColumnsRenamed({"10": "oct", "11": "nov", "4": "apr", "6": "jun"})
+    months = list(range(1, 13))
+    wide = agg.pivot(d.flow_month, ["site", "wy"], "m", "vol", months)
+    return wide.withColumnsRenamed({str(m): f"m{m}" for m in months})
 
 
 @query(
     "f13_unpivot",
     "site int, yr int, md int, member int, quantile str, feature str, value num",
     """SELECT w.site, w.yr, w.md, w.member, w.quantile, u.feature, u.value FROM contrib_wide w, LATERAL (VALUES
-      ('shap__snow', shap__snow), ('shap__rain', shap__rain)) u(feature, value)""",
+      ('shap__snow', shap__snow), ('shap__rain', shap__rain), ('shap__flow_deviation_10', shap__flow_deviation_10),
+      ('shap__elevation', shap__elevation)) u(feature, value)""",
 )
 def _(d):
-    return agg.melt(
-        d.contrib_wide, ["site", "yr", "md", "member", "quantile"], ["shap__snow", "shap__rain"], "feature", "value"
-    )
+    columns = [c for c in d.contrib_wide.columns if c.startswith("shap__")]
+    return agg.melt(d.contrib_wide, ["site", "yr", "md", "member", "quantile"], columns, "feature", "value")
 
 
 @query(
@@ -214,15 +227,18 @@ def _(d):
 
 
 @query(
-    "f15_forecast_mean",
-    "site int, yr int, forecast_mean num",
-    """SELECT site, yr, coalesce(avg(q50) FILTER (issue = 3 AND md <= 620), avg(q50) FILTER (issue = 2 AND md <= 620),
-      avg(q50) FILTER (issue = 1 AND md <= 620)) AS forecast_mean
-    FROM (SELECT *, substr(member, 1, 1)::INTEGER AS issue, m * 100 + 1 AS md FROM members) GROUP BY site, yr""",
+    "f15_forecast_by_issue",
+    "site int, issue_date iso, forecast_mean num",
+    """WITH f AS (SELECT site, yr, substr(member, 1, 1)::INTEGER AS im, avg(q50) FILTER (m * 100 + 1 <= 620) AS mean
+      FROM members GROUP BY 1, 2, 3),
+    r AS (SELECT g.site, g.issue_date, f.mean, row_number() OVER (PARTITION BY g.site, g.issue_date ORDER BY f.im DESC) AS n
+      FROM issue_grid g LEFT JOIN f ON f.site = g.site AND f.yr = g.yr AND f.mean IS NOT NULL
+        AND make_date(f.yr, f.im, 6) <= g.issue_date)
+    SELECT site, issue_date, mean AS forecast_mean FROM r WHERE n = 1""",
 )
 def _(d):
-    rows = d.members.withColumn("issue", F.substring("member", 1, 1).cast("int"))
-    return agg.forecast_mean(rows, ["site", "yr"], "issue", "issue_date", "q50", [1, 2, 3], 620)
+    rows = d.members.select("site", F.col("issue_date").alias("lead"), "q50", F.make_date("yr", F.substring("member", 1, 1).cast("int"), F.lit(1)).alias("made"))
+    return agg.forecast_mean(rows, d.issue_grid, ["site"], "made", "lead", "q50", "issue_date", 6, 620)
 
 
 @query(

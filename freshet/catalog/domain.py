@@ -12,10 +12,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from freshet.functions.calendar import md_id, water_year
+from freshet.functions.calendar import forecast_year, md_id, water_year
 from freshet.operators.frames import scaffold
 
-FIRST_YEAR, LAST_YEAR = 1995, 2001
 KAF = 0.0019834591996927  # one cfs day in thousand acre-feet
 
 
@@ -29,6 +28,13 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @cached_property
+    def years(self) -> tuple[int, int]:
+        """First calendar year and last forecast year of the shipped lines."""
+        day = F.col("l_shipdate")
+        row = self.table("lineitem").agg(F.min(F.year(day)), F.max(forecast_year(day))).first()
+        return (row[0], row[1]) if row[0] is not None else (0, -1)
+
     @cached_property
     def site_meta(self) -> DataFrame:
         n = F.col("n_nationkey")
@@ -122,7 +128,7 @@ class Domain:
 
     @cached_property
     def issue_grid(self) -> DataFrame:
-        return scaffold(self.site_meta.select("site", "season_start", "season_end"), FIRST_YEAR, LAST_YEAR)
+        return scaffold(self.site_meta.select("site", "season_start", "season_end"), *self.years)
 
     @cached_property
     def members(self) -> DataFrame:
@@ -254,6 +260,9 @@ def _edge_rows() -> str:
 
 
 SQL_FRAMES: dict[str, str] = {
+    "years": """
+SELECT unnest(generate_series(min(year(l_shipdate)), max(year(l_shipdate) + (month(l_shipdate) >= 8)::INTEGER))) AS yr
+FROM lineitem""",
     "site_meta": """
 SELECT n_nationkey AS site, n_name AS name, n_regionkey AS area,
   35.0::DOUBLE + (n_nationkey * 7) % 15 AS lat, -115.0::DOUBLE + (n_nationkey * 3) % 17 AS lon,
@@ -291,7 +300,7 @@ GROUP BY 1, 2""",
     "issue_grid": f"""
 SELECT site, season_start, season_end, yr, m, dd, make_date(yr, m, dd) AS issue_date,
   (m - 1) * 4 + (dd - 1) // 7 AS md_id
-FROM site_meta, range({FIRST_YEAR}, {LAST_YEAR + 1}) y(yr), range(1, 8) mm(m), unnest([1, 8, 15, 22]) t(dd)""",
+FROM site_meta, years y, range(1, 8) mm(m), unnest([1, 8, 15, 22]) t(dd)""",
     "members": f"""
 SELECT site, year(d) AS yr, month(d) AS m, member, min(price) * {KAF}::DOUBLE AS q10,
   round(sum(price), 2) / count(*) * {KAF}::DOUBLE AS q50, max(price) * {KAF}::DOUBLE AS q90,

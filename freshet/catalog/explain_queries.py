@@ -52,7 +52,7 @@ def _(d):
     "yr int, md int, feature_group str, feature str, a num, n num, r num",
     """WITH s1 AS (SELECT *, CASE WHEN sum(abs(shap)) OVER p <> 0 THEN 100 * abs(shap) / sum(abs(shap)) OVER p ELSE 0 END AS share
         FROM contrib_long WINDOW p AS (PARTITION BY member, quantile, site, yr, md)),
-      s2 AS (SELECT quantile, site, yr, md, feature_group, feature, avg(share) AS c FROM s1 GROUP BY ALL),
+      s2 AS (SELECT quantile, site, yr, md, feature_group, feature, sum(share) AS c FROM s1 GROUP BY ALL),
       s3 AS (SELECT quantile, site, yr, md, feature_group, feature,
         100 * c / sum(c) OVER (PARTITION BY quantile, site, yr, md) AS c FROM s2),
       s4 AS (SELECT quantile, yr, md, feature_group, feature, avg(c) AS c FROM s3 GROUP BY ALL),
@@ -190,19 +190,34 @@ def _(d):
 
 @query(
     "m12_explain_change",
-    "quantile str, site int, yr int, md int, feature_group str, now num, before num, change num",
-    """WITH c AS (SELECT quantile, site, yr, md, feature_group, sum(shap) AS v FROM contrib_long GROUP BY 1, 2, 3, 4, 5),
-    k AS (SELECT DISTINCT quantile, site, yr, md FROM c)
-    SELECT coalesce(a.quantile, b.quantile) AS quantile, coalesce(a.site, b.site) AS site, coalesce(a.yr, b.yr) AS yr,
-      coalesce(a.md, b.md) AS md, coalesce(a.feature_group, b.feature_group) AS feature_group, a.v AS now, b.v AS before,
-      coalesce(a.v, 0) - coalesce(b.v, 0) AS change FROM c a
-    FULL JOIN (SELECT c.quantile, c.site, c.yr, c.md + 1 AS md, c.feature_group, c.v FROM c JOIN k
-      ON k.quantile = c.quantile AND k.site = c.site AND k.yr = c.yr AND k.md = c.md + 1) b
-      ON a.quantile = b.quantile AND a.site = b.site AND a.yr = b.yr AND a.md = b.md AND a.feature_group = b.feature_group""",
+    "quantile str, site int, issue_date iso, item str, now num, before num, change num",
+    """WITH r AS (SELECT l_returnflag AS quantile, s_nationkey AS site, l_shipdate::DATE AS d, l_quantity AS a, l_tax AS b
+      FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+    w AS (SELECT quantile, site, make_date(year(d), month(d), CASE WHEN day(d) >= 22 THEN 22 WHEN day(d) >= 15 THEN 15
+        WHEN day(d) >= 8 THEN 8 ELSE 1 END) AS issue_date, sum(a) - 25.5 * count(*) AS snow, round(sum(b), 2) * 100 - 4.0 * count(*) AS rain
+      FROM r GROUP BY 1, 2, 3),
+    c AS (SELECT quantile, site, issue_date, u.item, u.v FROM w, LATERAL (VALUES ('snow', snow), ('rain', rain)) u(item, v)),
+    p AS (SELECT *, CASE WHEN day(issue_date) = 1 THEN (issue_date - INTERVAL 1 MONTH)::DATE + 21 ELSE issue_date - 7 END AS prev FROM c)
+    SELECT a.quantile, a.site, a.issue_date, a.item, a.v AS now, b.v AS before, a.v - b.v AS change FROM p a
+    JOIN c b ON a.quantile = b.quantile AND a.site = b.site AND a.prev = b.issue_date AND a.item = b.item""",
 )
 def _(d):
-    grouped = contrib_long(d).groupBy("quantile", "site", "yr", "md", "feature_group").agg(F.sum("shap").alias("v"))
-    return explain.explain_change(grouped, ["quantile", "site", "yr"], "md", "feature_group", "v")
+    lines = d.table("lineitem").select(
+        F.col("l_returnflag").alias("quantile"), F.col("l_suppkey").cast("int").alias("station"),
+        F.col("l_shipdate").cast("date").alias("d"), "l_quantity", "l_tax",
+    )
+    day = F.dayofmonth("d")
+    dd = F.when(day >= 22, 22).when(day >= 15, 15).when(day >= 8, 8).otherwise(1)
+    weekly = (
+        lines.join(d.station_meta.select("station", "site"), "station")
+        .groupBy("quantile", "site", F.make_date(F.year("d"), F.month("d"), dd).alias("issue_date"))
+        .agg(
+            (F.sum("l_quantity") - 25.5 * F.count(F.lit(1))).alias("snow"),
+            (F.round(F.sum("l_tax"), 2) * 100 - 4.0 * F.count(F.lit(1))).alias("rain"),
+        )
+    )
+    rows = weekly.unpivot(["quantile", "site", "issue_date"], ["snow", "rain"], "item", "v")
+    return explain.explain_change(rows, ["quantile", "site"], "issue_date", "item", "v")
 
 
 def _site_features(d):

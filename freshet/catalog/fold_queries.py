@@ -1,14 +1,13 @@
 """Queries for folds, selection, scaling and features (J1 to J24 except models)."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from freshet.catalog.domain import FIRST_YEAR, LAST_YEAR
 from freshet.catalog.registry import query
-from freshet.functions.calendar import md_id, snap_up
+from freshet.functions.calendar import md_id, snap_up, water_year
 from freshet.operators import asof
 from freshet.plans import features, folds, selection
 
-YEARS = f"range({FIRST_YEAR}, {LAST_YEAR + 1})"
+YEARS = "(SELECT yr FROM years)"
 
 
 @query(
@@ -18,7 +17,7 @@ YEARS = f"range({FIRST_YEAR}, {LAST_YEAR + 1})"
     WHERE yr <> fold GROUP BY 1, 2""",
 )
 def _(d):
-    rows = folds.loocv(d.site_year, "yr", FIRST_YEAR, LAST_YEAR)
+    rows = folds.loocv(d.site_year, "yr", *d.years)
     return rows.groupBy("fold", "site").agg(F.count(F.lit(1)).alias("n_train"), F.avg("vol").alias("mean_vol"))
 
 
@@ -30,7 +29,7 @@ def _(d):
 )
 def _(d):
     rows = d.station_day.withColumns({"yr": F.year("d"), "m": F.month("d")})
-    return folds.loo_stats(rows, ["station", "m"], "yr", "v", FIRST_YEAR, LAST_YEAR)
+    return folds.loo_stats(rows, ["station", "m"], "yr", "v", *d.years)
 
 
 @query("j2_kfold", "repeat int, fold int, n_years big, n_rows big")
@@ -63,7 +62,7 @@ WHERE rnk <= 5"""
 
 def chosen(d):
     yearly = selection.yearly_station_mean(d.station_day, "station", "d", "v", F.year("d"), (1, 2, 3), 1995)
-    return selection.corr_select(yearly, d.area_pairs, d.site_year, 5, 5, FIRST_YEAR, LAST_YEAR)
+    return selection.corr_select(yearly, d.area_pairs, d.site_year, 5, 5, *d.years)
 
 
 @query("j4_corr_select", "fold int, site int, station int, r num9, rnk int", _J4)
@@ -75,8 +74,7 @@ def _(d):
     "j5_r2_select",
     "site int, station int, r2 num, n_days big, rnk int",
     """WITH x AS (SELECT p.site, s.station, month(s.t) AS season, s.v AS x, l.vol FROM station_month s
-      JOIN area_pairs p ON s.station = p.station JOIN site_year l ON l.site = p.site AND l.yr = year(s.t)
-      WHERE month(s.t) <= 6),
+      JOIN area_pairs p ON s.station = p.station JOIN site_year l ON l.site = p.site AND l.yr = year(s.t)),
     c AS (SELECT site, station, season, corr(x, vol) AS r FROM x GROUP BY 1, 2, 3),
     t AS (SELECT site, station, avg(r * r) AS r2, count(*) AS n_days FROM c WHERE r IS NOT NULL AND NOT isnan(r) GROUP BY 1, 2)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY round(r2, 9) DESC, station) AS rnk FROM t)
@@ -84,7 +82,7 @@ def _(d):
 )
 def _(d):
     rows = (
-        d.station_month.drop("site").where(F.month("t") <= 6)
+        d.station_month.drop("site")
         .join(d.area_pairs, "station")
         .withColumn("yr", F.year("t"))
         .join(d.site_year, ["site", "yr"])
@@ -161,7 +159,7 @@ def _(d):
 @query(
     "j7_donors",
     "site int, station int, score num",
-    f"""WITH sel AS (SELECT DISTINCT site, station FROM ({_J4}) WHERE fold = 2000 AND r > 0.6),
+    f"""WITH sel AS (SELECT DISTINCT site, station FROM ({_J4}) WHERE r > 0.6),
     poor AS (SELECT m.site, m.huc FROM site_meta m LEFT JOIN (SELECT site, count(*) AS n FROM sel GROUP BY site) c
       ON m.site = c.site WHERE coalesce(n, 0) < 3)
     SELECT site, station, score FROM (SELECT p.site, s.station, s.elev AS score,
@@ -170,7 +168,7 @@ def _(d):
       WHERE NOT EXISTS (SELECT 1 FROM sel WHERE sel.site = p.site AND sel.station = s.station)) WHERE k = 1""",
 )
 def _(d):
-    sel = chosen(d).where((F.col("fold") == 2000) & (F.col("r") > 0.6))
+    sel = chosen(d).where(F.col("r") > 0.6).select("site", "station").distinct()
     cand = d.station_meta.select(F.substring("huc", 1, 4).alias("huc"), "station", F.col("elev").alias("score"))
     return selection.donors(sel, d.site_meta.select("site", "huc"), cand)
 
@@ -259,7 +257,7 @@ def _(d):
     FROM z WINDOW p AS (PARTITION BY fold, site, fy ORDER BY d)""",
 )
 def _(d):
-    return features.deviation(d.station_day.drop("site"), chosen(d), [5, 30], FIRST_YEAR, LAST_YEAR)
+    return features.deviation(d.station_day.drop("site"), chosen(d), [5, 30], *d.years)
 
 
 @query(
@@ -274,7 +272,7 @@ def _(d):
     SELECT fold, site, d, dev, avg(dev) OVER (PARTITION BY fold, site, fy ORDER BY d ROWS 9 PRECEDING) AS dev_10 FROM z""",
 )
 def _(d):
-    return features.site_deviation(d.site_day, [10], FIRST_YEAR, LAST_YEAR)
+    return features.site_deviation(d.site_day, [10], *d.years)
 
 
 @query(
@@ -285,7 +283,7 @@ def _(d):
       WHERE yr <> fold GROUP BY 1, 2) s ON s.site = y.site AND s.fold = f.fold""",
 )
 def _(d):
-    return folds.scale(d.site_year, ["site"], "yr", "vol", FIRST_YEAR, LAST_YEAR)
+    return folds.scale(d.site_year, ["site"], "yr", "vol", *d.years)
 
 
 @query(
@@ -298,7 +296,7 @@ def _(d):
 )
 def _(d):
     yearly = d.station_month.groupBy("station", F.year("t").alias("yr")).agg(F.max("v").alias("v"))
-    return folds.scale(yearly, ["station"], "yr", "v", FIRST_YEAR, LAST_YEAR, "max")
+    return folds.scale(yearly, ["station"], "yr", "v", *d.years, "max")
 
 
 @query(
@@ -319,11 +317,11 @@ def _(d):
       ON s.site = y.site AND s.fold = f.fold""",
 )
 def _(d):
-    return folds.scale_target(d.site_year, ["site"], "yr", "vol", FIRST_YEAR, LAST_YEAR)
+    return folds.scale_target(d.site_year, ["site"], "yr", "vol", *d.years)
 
 
 _J17 = """WITH k AS (SELECT f.site, f.yr, f.m + 1 AS mt, sum(f.vol) OVER (PARTITION BY f.site, f.yr ORDER BY f.m) AS diff
-    FROM flow_month f JOIN site_meta s ON f.site = s.site WHERE f.m >= season_start AND f.m + 1 <= 7),
+    FROM flow_month f JOIN site_meta s ON f.site = s.site WHERE f.m BETWEEN season_start AND season_end - 1),
   i AS (SELECT g.*, y.vol, CASE WHEN dd <= {gap} THEN m - 1 ELSE m END AS mt FROM issue_grid g
     JOIN site_year y ON g.site = y.site AND g.yr = y.yr)
 SELECT i.site, i.yr, i.issue_date, i.vol, coalesce(k.diff, 0) AS diff FROM i
@@ -345,7 +343,7 @@ def _(d):
     "j17_target_diff_daily",
     "site int, issue_date iso, diff num, remaining num, is_use_diff int",
     f"""WITH c AS (SELECT f.site, f.d, year(f.d) AS yr, sum(f.vol) OVER (PARTITION BY f.site, year(f.d), month(f.d) ORDER BY f.d) AS mc
-      FROM flow_day f JOIN site_meta s ON f.site = s.site AND month(f.d) >= season_start),
+      FROM flow_day f JOIN site_meta s ON f.site = s.site AND month(f.d) BETWEEN season_start AND season_end),
     e AS (SELECT site, d, CASE WHEN day(d) <> 1 THEN lag(mc) OVER (PARTITION BY site, yr ORDER BY d) END AS extra FROM c),
     t AS ({_J17.format(gap=0)})
     SELECT t.site, issue_date, diff + coalesce(extra, 0) AS diff, vol - diff - coalesce(extra, 0) AS remaining,
@@ -365,17 +363,53 @@ def _(d):
     )
 
 
+_J19 = """WITH s AS (SELECT o.*, m.season_start, year(d) + (month(d) >= 10)::INTEGER AS wy FROM {src} o JOIN site_meta m ON o.site = m.site),
+g AS (SELECT *, make_date(yr - 1, 10, 1) AS zero, make_date(yr, season_start, 1) - make_date(yr - 1, 10, 1) AS start_,
+  last_day(make_date(yr, season_end, 1)) - make_date(yr - 1, 10, 1) AS end_ FROM issue_grid),
+j AS (SELECT g.site, g.issue_date, g.zero, g.start_, g.end_, s.* EXCLUDE (site), month(s.d) >= s.season_start AND month(s.d) < 10 AS in_season
+  FROM g LEFT JOIN s ON g.site = s.site AND g.yr = s.wy AND s.d < g.issue_date)
+SELECT site, issue_date, (count(v) > 0)::INTEGER AS {p}_present, coalesce((max(d) - max(zero) + 1) / (max(end_) + 1)::DOUBLE, 0) AS {p}_ratio,
+  coalesce((max(d) FILTER (in_season) - max(zero) + 1 - max(start_)) / (max(end_) - max(start_) + 1)::DOUBLE, 0) AS {p}_season_ratio, {cols}
+FROM j GROUP BY 1, 2"""
+
+
+@query(
+    "j19_availability_volume",
+    "site int, issue_date iso, flow_present int, flow_ratio num, flow_season_ratio num, flow_total num, flow_season_total num",
+    _J19.format(
+        p="flow", src="(SELECT site, d, vol AS v FROM flow_day)",
+        cols="coalesce(sum(v), 0) AS flow_total, coalesce(sum(v) FILTER (in_season), 0) AS flow_season_total",
+    ),
+)
+def _(d):
+    return features.availability_features(d.flow_day.withColumnRenamed("vol", "v"), d.issue_grid, "flow")
+
+
 @query(
-    "j19_availability_features",
-    "site int, issue_date iso, snow_present int, snow_total num, snow_ratio num",
-    """SELECT g.site, g.issue_date, (count(s.v) > 0)::INTEGER AS snow_present,
-      coalesce(sum(s.v * 1.9834591996927::DOUBLE), 0) AS snow_total, count(s.v) / 273.0::DOUBLE AS snow_ratio
-    FROM issue_grid g LEFT JOIN site_day s ON g.site = s.site AND s.d >= make_date(g.yr - 1, 10, 1) AND s.d < g.issue_date
-    GROUP BY 1, 2""",
+    "j19_availability_snow",
+    "site int, issue_date iso, snow_present int, snow_ratio num, snow_season_ratio num, snow_acc_max num, snow_current num, snow_max num",
+    _J19.format(
+        p="snow",
+        src="(SELECT site, d, v, sum(v) OVER (PARTITION BY site, year(d) + (month(d) >= 10)::INTEGER ORDER BY d) AS acc FROM site_day)",
+        cols="coalesce(max(acc), 0) AS snow_acc_max, coalesce(arg_max(v, d), 0) AS snow_current, coalesce(max(v), 0) AS snow_max",
+    ),
 )
 def _(d):
-    scaled = d.site_day.withColumn("v", F.col("v") * 1.9834591996927)
-    return features.availability_features(scaled, d.issue_grid, "snow")
+    acc = F.sum("v").over(Window.partitionBy("site", water_year("d")).orderBy("d"))
+    return features.availability_features(d.site_day.withColumn("acc", acc), d.issue_grid, "snow", kind="snow")
+
+
+@query(
+    "j17_target_diff_no_monthly",
+    "site int, issue_date iso, diff num, remaining num, is_use_diff int",
+    """WITH g AS (SELECT g.*, y.vol FROM issue_grid g JOIN site_year y ON g.site = y.site AND g.yr = y.yr),
+    t AS (SELECT g.site, g.issue_date, g.vol, coalesce(sum(f.vol), 0) AS diff FROM g LEFT JOIN flow_day f ON g.site = f.site
+      AND year(f.d) = g.yr AND month(f.d) BETWEEN g.season_start AND g.season_end AND f.d < g.issue_date GROUP BY 1, 2, 3)
+    SELECT site, issue_date, diff, vol - diff AS remaining, (diff > 0)::INTEGER AS is_use_diff FROM t""",
+)
+def _(d):
+    issues = d.issue_grid.join(d.site_year, ["site", "yr"])
+    return features.target_diff(issues, d.flow_month, d.flow_day, diff_gap=0, no_monthly=d.site_meta.select("site"))
 
 
 @query(

@@ -112,6 +112,19 @@ def _(d):
     return out
 
 
+@query(
+    "e7_asof_lagged_water_year",
+    "site int, issue_date iso, v num, v_date iso",
+    """WITH g AS (SELECT site, make_date(yr, 10, dd) AS issue_date FROM issue_grid WHERE m = 1)
+    SELECT g.site, g.issue_date, CASE WHEN s.d >= make_date(year(g.issue_date), 10, 1) THEN s.v END AS v,
+      CASE WHEN s.d >= make_date(year(g.issue_date), 10, 1) THEN s.d END AS v_date
+    FROM g ASOF LEFT JOIN (SELECT *, d + 5 AS usable FROM site_day) s ON g.site = s.site AND s.usable < g.issue_date""",
+)
+def _(d):
+    first = d.issue_grid.where("m = 1").select("site", F.make_date("yr", F.lit(10), "dd").alias("issue_date"))
+    return asof.asof_latest(d.site_day, first, ["site"], "d", ["v"], "issue_date", lag_days=5, out_date="v_date")
+
+
 @query(
     "e8_asof_conditional",
     "site int, issue_date iso, latest num, conditional num, since num",
@@ -292,11 +305,11 @@ def _(d):
     "site int, yr int, vol num, y num, q50 num",
     """SELECT a.site, a.yr, a.vol, b.y, c.q50 FROM site_year a
     LEFT JOIN (SELECT site, yr, avg(y) AS y FROM truth GROUP BY 1, 2) b ON a.site = b.site AND a.yr = b.yr
-    LEFT JOIN (SELECT site, yr, max(q50) AS q50 FROM members WHERE m = 4 GROUP BY 1, 2) c ON a.site = c.site AND a.yr = c.yr""",
+    LEFT JOIN (SELECT site, yr, max(q50) AS q50 FROM members GROUP BY 1, 2) c ON a.site = c.site AND a.yr = c.yr""",
 )
 def _(d):
     y = d.truth.groupBy("site", "yr").agg(F.avg("y").alias("y"))
-    top = d.members.where("m = 4").groupBy("site", "yr").agg(F.max("q50").alias("q50"))
+    top = d.members.groupBy("site", "yr").agg(F.max("q50").alias("q50"))
     return joins.merge_all([d.site_year, y, top], ["site", "yr"])
 
 

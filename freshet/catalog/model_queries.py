@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from freshet.catalog.domain import FIRST_YEAR, LAST_YEAR
 from freshet.catalog.registry import query
 from freshet.plans import folds, models, selection
 
@@ -23,7 +22,7 @@ def _(d):
 def _(d):
     yearly = d.station_month.drop("site").groupBy("station", F.year("t").alias("yr")).agg(F.max("v").alias("x"))
     rows = yearly.join(d.area_pairs, "station").join(d.site_year, ["site", "yr"])
-    best = selection.greedy_stations(folds.loocv(rows, "yr", FIRST_YEAR, LAST_YEAR), rounds=2, min_years=5)
+    best = selection.greedy_stations(folds.loocv(rows, "yr", *d.years), min_years=5)
     return best.withColumn("n_stations", F.size("stations"))
 
 
@@ -31,7 +30,7 @@ def _(d):
 def _(d):
     rows = site_month_features(d)
     feats = ["swe", "val"]
-    coefs = models.fit_quantile(rows, ["site"], feats, "vol", bags=2, row_share=0.9, row_key=["site", "yr", "m"], steps=8)
+    coefs = models.fit_quantile(rows, ["site"], feats, "vol", bags=2, row_share=0.9, row_key=["site", "yr", "m"])
     return models.predict_quantile(rows.select("site", "yr", "m", *feats), coefs, ["site"], feats)
 
 
@@ -43,6 +42,6 @@ def _(d):
 
 @query("k18_boosted_trees", "site int, yr int, m int, q10 num4, q50 num4, q90 num4")
 def _(d):
-    rows = site_month_features(d).withColumn("fold", F.col("yr") % 2)
-    feats = ["site", "m", "swe", "val"]
-    return models.fit_gbt(rows, feats, "vol", "fold", [0, 1], ["m"], max_iter=5, max_depth=4)
+    rows = site_month_features(d)
+    years = range(d.years[0], d.years[1] + 1)
+    return models.fit_gbt(rows, ["site", "m", "swe", "val"], "vol", "yr", list(years), ["m"])

@@ -96,11 +96,11 @@ def _(d):
     f"site int, yr int, m int, dd int, {Q3}",
     """SELECT p.site, p.yr, p.m, p.dd, 0.6::DOUBLE * b.q10 + 0.4::DOUBLE * p.q10 AS q10, 0.6::DOUBLE * b.q50 + 0.4::DOUBLE * p.q50 AS q50,
     (1 - 0.7::DOUBLE) * b.q90 + 0.7::DOUBLE * p.q90 AS q90 FROM pred p
-    JOIN (SELECT site, issue_date, q10 * 0.9::DOUBLE AS q10, q50, q90 * 1.1::DOUBLE AS q90 FROM pred WHERE yr < 2001) b
+    JOIN (SELECT site, issue_date, q10 * 0.9::DOUBLE AS q10, q50, q90 * 1.1::DOUBLE AS q90 FROM pred) b
       ON p.site = b.site AND p.issue_date = b.issue_date""",
 )
 def _(d):
-    other = d.pred.where("yr < 2001").withColumns({"q10": F.col("q10") * 0.9, "q90": F.col("q90") * 1.1})
+    other = d.pred.withColumns({"q10": F.col("q10") * 0.9, "q90": F.col("q90") * 1.1})
     return pp.weighted_blend(d.pred, other, KEYS)
 
 
@@ -156,14 +156,15 @@ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3"""
 @query(
     "k8_rerank_members",
     f"site int, yr int, {Q3}",
-    f"""SELECT site, yr, sum(q10 * CASE r10 WHEN 1 THEN 0.2::DOUBLE WHEN 2 THEN 0.8::DOUBLE END) AS q10, avg(q50) AS q50,
-      sum(q90 * CASE r90 WHEN 6 THEN 0.8::DOUBLE WHEN 7 THEN 0.2::DOUBLE END) AS q90 FROM (
+    f"""SELECT site, yr, sum(q10 * w10) / sum(w10) AS q10, avg(q50) AS q50, sum(q90 * w90) / sum(w90) AS q90 FROM (
+      SELECT *, CASE r10 WHEN 1 THEN 0.2::DOUBLE WHEN 2 THEN 0.8::DOUBLE END AS w10,
+        CASE r90 WHEN 1 THEN 0.2::DOUBLE WHEN 2 THEN 0.8::DOUBLE END AS w90 FROM (
       SELECT site, yr, l[1] * {KAF}::DOUBLE AS q10, l[2] * {KAF}::DOUBLE AS q50, l[3] * {KAF}::DOUBLE AS q90,
         row_number() OVER (PARTITION BY site, yr ORDER BY l[1], member) AS r10,
-        row_number() OVER (PARTITION BY site, yr ORDER BY l[3], member) AS r90 FROM ({_MEMBER_LINES})) GROUP BY 1, 2""",
+        row_number() OVER (PARTITION BY site, yr ORDER BY l[3] DESC, member DESC) AS r90 FROM ({_MEMBER_LINES}))) GROUP BY 1, 2""",
 )
 def _(d):
-    # Seven members (line numbers), so the upper extremes are ranks 6 and 7.
+    # Seven members (line numbers), fewer in some site-years.
     price = F.col("l_extendedprice")
     rows = (
         d.table("lineitem")
@@ -181,7 +182,7 @@ def _(d):
             (F.max("hi") * KAF).alias("q90"),
         )
     )
-    return pp.rerank_members(rows, ["site", "yr"], "member", {1: 0.2, 2: 0.8, 6: 0.8, 7: 0.2})
+    return pp.rerank_members(rows, ["site", "yr"], "member")
 
 
 @query(
@@ -224,6 +225,17 @@ def _(d):
     return pp.clip_history(d.pred, bounds(d), ["site"])
 
 
+@query(
+    "k11_site_without_history",
+    f"site int, issue_date iso, {Q3}",
+    f"""SELECT site, issue_date, coalesce(least(greatest(q10, lo), mid), q10) AS q10, mid AS q50,
+      coalesce(greatest(least(q90, hi), mid), q90) AS q90 FROM (SELECT p.*, lo, hi, least(greatest(q50, lo), hi) AS mid
+      FROM pred p LEFT JOIN (SELECT * FROM {_BOUNDS} WHERE hi > 2 * lo) b ON p.site = b.site)""",
+)
+def _(d):
+    return pp.clip_history(d.pred, bounds(d).where("hi > 2 * lo"), ["site"])
+
+
 @query(
     "k11_floor_history",
     f"site int, issue_date iso, {Q3}",
@@ -267,11 +279,12 @@ _FIT = f"""SELECT *, sd * sqrt(3.0::DOUBLE) / pi() AS ls, sd * sqrt(6.0::DOUBLE)
   mean - 0.5772156649015329::DOUBLE * sd * sqrt(6.0::DOUBLE) / pi() AS gl FROM ({_MOMENTS})"""
 _NLL = f"""SELECT p.site, sum((y - mean) / ls + ln(ls) + 2 * ln(1 + exp(-(y - mean) / ls))) AS logistic,
   sum(ln(gs) + (y - gl) / gs + exp(-(y - gl) / gs)) AS gumbel, sum(ln(mx - mn)) AS uniform,
-  sum((ln(y) - lmean) / lls + ln(lls) + 2 * ln(1 + exp(-(ln(y) - lmean) / lls)) + ln(y)) AS loglogistic
+  sum((ln(y) - lmean) / lls + ln(lls) + 2 * ln(1 + exp(-(ln(y) - lmean) / lls)) + ln(y)) AS loglogistic,
+  sum(ln(lsd) + ((ln(y) - lmean) / lsd) ** 2 / 2 + ln(2 * pi()) / 2 + ln(y)) AS lognormal
 FROM pred p JOIN ({_FIT}) f ON p.site = f.site WHERE yr <> 2001 GROUP BY p.site"""
-_BEST = f"""SELECT site, least(logistic, gumbel, uniform, loglogistic) AS nll,
-  CASE least(logistic, gumbel, uniform, loglogistic) WHEN logistic THEN 'logistic' WHEN gumbel THEN 'gumbel'
-    WHEN uniform THEN 'uniform' ELSE 'loglogistic' END AS family FROM ({_NLL})"""
+_BEST = f"""SELECT site, least(logistic, gumbel, uniform, loglogistic, lognormal) AS nll,
+  CASE least(logistic, gumbel, uniform, loglogistic, lognormal) WHEN logistic THEN 'logistic' WHEN gumbel THEN 'gumbel'
+    WHEN uniform THEN 'uniform' WHEN loglogistic THEN 'loglogistic' ELSE 'lognormal' END AS family FROM ({_NLL})"""
 
 
 @query("k14_best_dist", "site int, family str, nll num", _BEST)
@@ -279,8 +292,34 @@ def _(d):
     return pp.best_dist(d.pred.where("yr <> 2001"), ["site"], "y")
 
 
+def _polynomial(coefficients, x: str) -> str:
+    out = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"(({out}) * ({x}) + {c!r}::DOUBLE)"
+    return out
+
+
+def _normal_cdf(z: str) -> str:
+    p, *a = pp.ERF
+    t = f"(1 / (1 + {p!r}::DOUBLE * abs({z}) / sqrt(2.0::DOUBLE)))"
+    tail = f"({_polynomial([*reversed(a), 0.0], t)}) * exp(-(({z}) ** 2) / 2) / 2"
+    return f"(CASE WHEN {z} < 0 THEN {tail} ELSE 1 - {tail} END)"
+
+
+def _normal_inverse(p: str) -> str:
+    def tail(q: str) -> str:
+        r = f"sqrt(-2 * ln({q}))"
+        return f"{_polynomial(pp.INVERSE_TAIL, r)} / {_polynomial(pp.INVERSE_TAIL_BY, r)}"
+
+    q = f"(({p}) - 0.5::DOUBLE)"
+    middle = f"{q} * {_polynomial(pp.INVERSE_MIDDLE, f'{q} * {q}')} / {_polynomial(pp.INVERSE_MIDDLE_BY, f'{q} * {q}')}"
+    edge = f"{pp.INVERSE_EDGE}::DOUBLE"
+    return f"(CASE WHEN ({p}) < {edge} THEN {tail(p)} WHEN ({p}) > 1 - {edge} THEN -({tail(f'1 - ({p})')}) ELSE {middle} END)"
+
+
 def _cdf(family: str, x: str) -> str:
     return {
+        "lognormal": _normal_cdf(f"((ln({x}) - lmean) / lsd)"),
         "logistic": f"1 / (1 + exp(-({x} - mean) / ls))",
         "gumbel": f"exp(-exp(-({x} - gl) / gs))",
         "uniform": f"least(1, greatest(0, ({x} - mn) / (mx - mn)))",
@@ -290,6 +329,7 @@ def _cdf(family: str, x: str) -> str:
 
 def _inv(family: str, p: str) -> str:
     return {
+        "lognormal": f"exp(lmean + lsd * {_normal_inverse(p)})",
         "logistic": f"mean + ls * ln(({p}) / (1 - ({p})))",
         "gumbel": f"gl - gs * ln(-ln({p}))",
         "uniform": f"mn + (mx - mn) * ({p})",
@@ -317,7 +357,7 @@ def _register_k13(family: str):
         return pp.dist_quantiles(d.pred, fitted, ["site"], weight=0.7)
 
 
-for _family in ("logistic", "gumbel", "uniform"):
+for _family in ("logistic", "gumbel", "uniform", "lognormal"):
     _register_k13(_family)
 
 
@@ -340,8 +380,8 @@ def _(d):
     "k15_nearest_model",
     "site int, issue_date iso, model_md int",
     """SELECT g.site, g.issue_date, max(a.md_id) AS model_md FROM issue_grid g
-    LEFT JOIN (SELECT DISTINCT site, md_id FROM pred WHERE yr = 1995) a
+    LEFT JOIN (SELECT DISTINCT site, md_id FROM pred) a
       ON g.site = a.site AND a.md_id BETWEEN g.md_id - 3 AND g.md_id GROUP BY 1, 2""",
 )
 def _(d):
-    return pp.nearest_model(d.issue_grid, d.pred.where("yr = 1995"), ["site"], "md_id")
+    return pp.nearest_model(d.issue_grid, d.pred, ["site"], "md_id")

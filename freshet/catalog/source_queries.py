@@ -307,7 +307,8 @@ def _(d):
     "SELECT site, wy, count(*) AS n, sum(vol) AS vol FROM flow_month GROUP BY 1, 2",
 )
 def _(d):
-    table = tables.read_or_build(d.spark, run_path(d.spark, "flow").rsplit("/", 1)[1], lambda: d.flow_month, ["wy"])
+    tables.read_or_build(d.spark, "flow", lambda: d.flow_month, ["wy"])
+    table = tables.read_or_build(d.spark, "flow", lambda: d.flow_month, ["wy"])  # found, not built again
     return table.groupBy("site", "wy").agg(F.count(F.lit(1)).alias("n"), F.sum("vol").alias("vol"))
 
 

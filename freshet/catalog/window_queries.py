@@ -131,7 +131,10 @@ def _(d):
 @query(
     "g10_percentile_in_season",
     "site int, d iso, pct num",
-    """SELECT site, d, 100 * percent_rank() OVER (PARTITION BY site, strftime(d, '%m%d') ORDER BY v) AS pct FROM site_day""",
+    """SELECT site, d, CASE WHEN n = 1 THEN 0 ELSE 100 * (lo + (same - 1) / 2.0::DOUBLE) / (n - 1) END AS pct FROM (
+      SELECT site, d, rank() OVER (PARTITION BY site, strftime(d, '%m%d') ORDER BY v) - 1 AS lo,
+        count(*) OVER (PARTITION BY site, strftime(d, '%m%d'), v) AS same,
+        count(*) OVER (PARTITION BY site, strftime(d, '%m%d')) AS n FROM site_day)""",
 )
 def _(d):
     rows = d.site_day.withColumn("season", F.date_format("d", "MMdd"))

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from freshet.operators.asof import asof_latest
 from freshet.operators.quantiles import spread_quantiles
+from freshet.session import cut_lineage
 
 AGGREGATES = {
     "mean": F.avg,
@@ -108,15 +110,26 @@ def deaccumulate(df: DataFrame, by: Sequence[str], order: str, total: str) -> Da
 
 
 def forecast_mean(
-    df: DataFrame, by: Sequence[str], issue_month: str, lead_date: str, value: str, months: Sequence[int], last_md: int
+    df: DataFrame,
+    issues: DataFrame,
+    by: Sequence[str],
+    made: str,
+    lead_date: str,
+    value: str,
+    issue: str,
+    release_day: int,
+    last_md: int,
 ) -> DataFrame:
-    """mean of the lead values up to a month-day, taken from the latest
-    issue month that has any."""
+    """mean of a forecast's lead values up to a month-day, on each issue date
+    from the forecast of the latest month released by then.
+
+    ``made`` is the first day of a forecast's month; it is known from
+    ``release_day`` of that month on and used within its calendar year.
+    """
     usable = F.month(lead_date) * 100 + F.dayofmonth(lead_date) <= last_md
-    per_issue = [
-        F.avg(F.when((F.col(issue_month) == m) & usable, F.col(value))) for m in sorted(months, reverse=True)
-    ]
-    return df.groupBy(*by).agg(F.coalesce(*per_issue).alias("forecast_mean"))
+    means = df.groupBy(*by, F.col(made).alias("_made")).agg(F.avg(F.when(usable, F.col(value))).alias("_mean"))
+    known = means.where(F.col("_mean").isNotNull()).withColumn("_known", F.date_add("_made", release_day - 1))
+    return asof_latest(known, issues, by, "_known", ["_mean"], issue, strict=False, start_month=1, out=["forecast_mean"])
 
 
 def freq(df: DataFrame, *cols: str) -> DataFrame:
@@ -130,10 +143,17 @@ def factorize(df: DataFrame, col: str) -> DataFrame:
     The values are range-sorted and numbered by partition offsets, so they are
     never gathered in one task.
     """
-    values = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
-    schema = f"{col} {dict(values.dtypes)[col]}, code bigint"
-    numbered = values.rdd.zipWithIndex().map(lambda p: (p[0][0], p[1]))
-    return df.sparkSession.createDataFrame(numbered, schema)
+    values = df.select(col).where(F.col(col).isNotNull()).distinct()
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = values.repartitionByRange(n, col).sortWithinPartitions(col)
+    # The upper bits of the id are the partition, the lower ones the place in it.
+    placed = cut_lineage(placed.withColumn("_id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_id", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = offsets.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    code = F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)
+    return placed.join(F.broadcast(offsets), "_part").select(col, code.alias("code"))
 
 
 def tercile(

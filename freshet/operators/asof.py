@@ -31,7 +31,8 @@ def asof_latest(
     """Last non-null observation before each issue date.
 
     ``strict`` hides the issue day itself; ``lag_days`` delays every
-    observation; ``start_month`` resets at the water year (None: never).
+    observation; ``start_month`` resets at the water year (None: never), which
+    is that of the observation's own date, however late it becomes usable.
     """
     names = list(out or values)
     seen = F.struct(F.col(date).alias("d"), *[F.col(v).alias(n) for v, n in zip(values, names)])
@@ -42,6 +43,7 @@ def asof_latest(
     o = obs.where(present).select(
         *by,
         F.date_add(date, lag_days).alias("_t"),
+        (F.lit(0) if start_month is None else water_year(F.col(date), start_month)).alias("_wy"),
         F.lit(1 if strict else 0).alias("_k"),
         seen.alias("_seen"),
         F.lit(None).cast(row_type).alias("_row"),
@@ -50,14 +52,12 @@ def asof_latest(
     q = issues.select(
         *by,
         F.col(issue).alias("_t"),
+        (F.lit(0) if start_month is None else water_year(F.col(issue), start_month)).alias("_wy"),
         F.lit(0 if strict else 1).alias("_k"),
         F.lit(None).cast(seen_type).alias("_seen"),
         F.struct(*issues.columns).alias("_row"),
     )
-    keys: list = [F.col(b) for b in by]
-    if start_month is not None:
-        keys.append(water_year(F.col("_t"), start_month))
-    w = Window.partitionBy(*keys).orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by, "_wy").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
     hit = o.unionByName(q).withColumn("_hit", F.last("_seen", ignorenulls=True).over(w))
     cols = [F.col(f"_hit.{n}").alias(n) for n in names]
     if out_date:
@@ -103,45 +103,58 @@ def agg_since(
     since: int | Column,
     prefix: str = "v",
     keep: Column | None = None,
+    aggs: Sequence[str] = ("sum", "count", "mean", "min", "max"),
 ) -> DataFrame:
-    """sum, count, mean, min and max from a month of the water year up to
-    the day before each issue date.
+    """aggregates from a month of the water year up to the day before each
+    issue date, whatever the issue dates are.
 
-    Observations are first combined per bucket between issue days, then the
-    buckets are accumulated, so rows are read once for all issue dates.
+    ``aggs`` may also name ``std`` and quantiles as ``p10``, ``p50`` and so on.
+    Observations are combined to days first; a union with the issue dates and one
+    ordered window per (key, water year) then reads each day once.
     """
     start = _since_order(F.lit(since) if isinstance(since, int) else since)
     rows = obs.where(_since_order(F.month(date)) >= start)
     if keep is not None:
         rows = rows.where(keep)
-    # The water year is that of the observation: late September snaps into October.
-    part = rows.groupBy(
-        *by, water_year(F.col(date)).alias("_wy"), snap_up(F.date_add(date, 1)).alias("_t")
-    ).agg(
-        F.sum(value).alias("_s"),
-        F.count(value).alias("_n"),
-        F.min(value).alias("_lo"),
-        F.max(value).alias("_hi"),
+    quantiles = [float(a[1:]) / 100 for a in aggs if a[0] == "p"]
+    v = F.col(value)
+    days = rows.groupBy(*by, water_year(F.col(date)).alias("_wy"), F.col(date).cast("date").alias("_t")).agg(
+        F.sum(v).alias("_s"),
+        F.sum(v * v).alias("_ss"),
+        F.count(v).alias("_n"),
+        F.min(v).alias("_lo"),
+        F.max(v).alias("_hi"),
+        *([F.collect_list(v).alias("_all")] if quantiles else []),
     )
     marks = issues.select(*by, water_year(F.col(issue)).alias("_wy"), F.col(issue).alias("_t")).distinct()
-    w = Window.partitionBy(*by, "_wy").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
-    grown = marks.withColumn("_mark", F.lit(1)).join(part, [*by, "_wy", "_t"], "full").withColumns(
-        {
-            "_cs": F.sum("_s").over(w),
-            "_cn": F.coalesce(F.sum("_n").over(w), F.lit(0)),
-            "_clo": F.min("_lo").over(w),
-            "_chi": F.max("_hi").over(w),
-        }
-    )
-    totals = grown.where(F.col("_mark") == 1).select(
-        *by,
-        F.col("_t").alias(issue),
-        F.col("_cs").alias(f"{prefix}_sum"),
-        F.col("_cn").alias(f"{prefix}_count"),
-        F.try_divide("_cs", "_cn").alias(f"{prefix}_mean"),
-        F.col("_clo").alias(f"{prefix}_min"),
-        F.col("_chi").alias(f"{prefix}_max"),
-    )
+    # On its own day an issue date comes first: that day is not yet known.
+    events = days.withColumn("_k", F.lit(1)).unionByName(marks.withColumn("_k", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(*by, "_wy").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    grown = {
+        "_cs": F.sum("_s").over(w),
+        "_css": F.sum("_ss").over(w),
+        "_cn": F.coalesce(F.sum("_n").over(w), F.lit(0)),
+        "_clo": F.min("_lo").over(w),
+        "_chi": F.max("_hi").over(w),
+    }
+    if quantiles:
+        grown["_call"] = F.sort_array(F.flatten(F.collect_list("_all").over(w)))
+    spread_ = (F.col("_css") - F.try_divide(F.col("_cs") * F.col("_cs"), "_cn")) / F.nullif(F.col("_cn") - 1, F.lit(0))
+    made = {
+        "sum": F.col("_cs"),
+        "count": F.col("_cn"),
+        "mean": F.try_divide("_cs", "_cn"),
+        "min": F.col("_clo"),
+        "max": F.col("_chi"),
+        "std": F.when(F.col("_cn") > 1, F.sqrt(F.greatest(spread_, F.lit(0.0)))),
+    }
+    for a in aggs:
+        if a[0] == "p":
+            at = (F.size("_call") - 1) * (float(a[1:]) / 100)
+            lo, hi = F.get("_call", F.floor(at).cast("int")), F.get("_call", F.ceil(at).cast("int"))
+            made[a] = lo + (hi - lo) * (at - F.floor(at))
+    totals = events.withColumns(grown).where(F.col("_k") == 0)
+    totals = totals.select(*by, F.col("_t").alias(issue), *[made[a].alias(f"{prefix}_{a}") for a in aggs])
     return issues.join(totals, [*by, issue], "left")
 
 

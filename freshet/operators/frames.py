@@ -16,7 +16,11 @@ def daily_reduce(df: DataFrame, keys: Sequence[str], date: str, value: str, how:
     a key holds at most one row per day, so windows and exact quantiles per key
     are bounded by the length of the record.
     """
-    fn = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min, "last": F.max}[how]
+    if how == "last":  # the latest reading of the day that is not null
+        read = F.col(value).isNotNull()
+        latest = F.max_by(value, F.when(read, F.col(date)))
+        return df.groupBy(*keys, F.col(date).cast("date").alias("d")).agg(latest.alias("v"))
+    fn = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}[how]
     return df.groupBy(*keys, F.col(date).cast("date").alias("d")).agg(fn(value).alias("v"))
 
 
@@ -52,7 +56,11 @@ def expand_dates(
     freq: str = "day",
 ) -> DataFrame:
     """Every day (or month start) of each group from its first date to its
-    last, or to ``end`` (a Column over ``first`` and ``last``); data left-joined."""
+    last, or to ``end`` (a Column over ``first`` and ``last``); data left-joined.
+
+    With ``freq="month"`` a reading stands for its month: dates become month starts."""
+    if freq == "month":
+        df = df.withColumn(date, F.trunc(date, "MM").cast("date"))
     step = F.expr("interval 1 month" if freq == "month" else "interval 1 day")
     bounds = df.groupBy(*by).agg(F.min(date).alias("first"), F.max(date).alias("last"))
     stop = F.col("last") if end is None else end

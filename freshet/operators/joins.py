@@ -11,8 +11,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SMALL_ROWS = 100_000
-
 
 def merge(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join on named keys; ``how="outer"`` keeps both sides."""
@@ -25,15 +23,13 @@ def integrate(main: DataFrame, feat: DataFrame, cols: Sequence[str], keys: Seque
     return main.drop(*stale).join(feat.select(*keys, *cols), list(keys), "left")
 
 
-def all_pairs(small: DataFrame, large: DataFrame, max_rows: int = SMALL_ROWS, spread: int = 64) -> DataFrame:
+def all_pairs(small: DataFrame, large: DataFrame, spread: int = 64) -> DataFrame:
     """Every pair of two frames.
 
-    The small side is counted first (never past the limit). Within the limit it
-    is broadcast; beyond it the large side is spread over ``spread`` buckets and
-    the small side copied to each, an equi join that needs no broadcast.
+    One plan at every size: the large side is dealt to ``spread`` buckets and the
+    small side copied to each, so this is an equi join that needs no broadcast and
+    no look at the sizes before.
     """
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return large.crossJoin(F.broadcast(small))
     left = large.withColumn("_b", F.pmod(F.xxhash64(*large.columns), F.lit(spread)))
     right = small.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
     return left.join(right, "_b").drop("_b")

@@ -3,8 +3,11 @@
 ``group_quantiles`` uses the built-in ``percentile``; it holds the distinct
 values of one group in one buffer, so it is for groups bounded by the calendar
 (one value per year, per day of a record).  ``spread_quantiles`` gives the same
-numbers for groups of any size: it narrows on order-preserving buckets, so no
-task ever holds a whole group.
+numbers for groups of any size: it narrows on order-preserving buckets, first of
+magnitude, then of the range a bucket actually covers, so no task holds a whole
+group however close together its values lie.
+
+NaN counts as null; infinities are the least and the greatest values.
 """
 
 from __future__ import annotations
@@ -14,7 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 COARSE = 64.0
-FINE = 64.0 * 2**14
+#: Equal parts of the range of the values in one coarse bucket.
+PARTS = 2**16
 
 
 def quantile(col: str | Column, prob: float) -> Column:
@@ -31,12 +35,25 @@ def group_quantiles(
     return out.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
 
+def _number(col: str | Column) -> Column:
+    v = (F.col(col) if isinstance(col, str) else col).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
 def _octave_bucket(v: Column, per_octave: float) -> Column:
     # Monotone in v: log and floor both keep order, and the sign mirrors it.
-    magnitude = F.floor((F.log(2.0, F.abs(v)) + 1100.0) * per_octave)
+    size = F.abs(v)
+    finite = F.floor((F.log(2.0, F.when(size < float("inf"), size)) + 1100.0) * per_octave)
+    magnitude = F.coalesce(finite, F.lit(1 << 40))
     return F.coalesce(F.when(v != 0, F.signum(v).cast("long") * magnitude), F.lit(0).cast("long"))
 
 
+def _range_bucket(v: Column, lo: Column, hi: Column) -> Column:
+    """Part of [lo, hi] that holds v; all in one where the range is a single value."""
+    part = F.floor((v - lo) / F.when((hi > lo) & (hi - lo < float("inf")), hi - lo) * PARTS)
+    return F.coalesce(F.least(part, F.lit(PARTS - 1)), F.lit(0)).cast("long")
+
+
 def _wanted(probs: Sequence[float]) -> Column:
     """The two ranks around each probability, from the group's row count."""
     ranks = []
@@ -54,7 +71,7 @@ def _wanted(probs: Sequence[float]) -> Column:
     return F.array(*ranks)
 
 
-def _narrow(hist: DataFrame, part: list[str], bucket: str) -> DataFrame:
+def _narrow(hist: DataFrame, part: list[str], bucket: str, keep: Sequence[str] = ()) -> DataFrame:
     """Buckets that hold a wanted rank, with the ranks made local to them."""
     order = Window.partitionBy(*part).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
     cum = hist.withColumn("_upto", F.sum("_n").over(order))
@@ -66,7 +83,7 @@ def _narrow(hist: DataFrame, part: list[str], bucket: str) -> DataFrame:
             w["i"].alias("i"), w["side"].alias("side"), (w["rank"] - before).alias("rank"), w["pos"].alias("pos")
         ),
     )
-    return cum.select(*part, bucket, local.alias("_want")).where(F.size("_want") > 0)
+    return cum.select(*part, bucket, *keep, local.alias("_want")).where(F.size("_want") > 0)
 
 
 def spread_quantiles(
@@ -76,27 +93,28 @@ def spread_quantiles(
 
     Equal values are counted first (map-side combined, spread over the value),
     then each rank is narrowed to one of 64 buckets per octave, then to one of
-    a million per octave; only the distinct values of that last bucket are
-    ordered. The wanted ranks travel with the buckets that hold them.
+    65,536 parts of the range that bucket covers; only the distinct values of that
+    last part are ordered. The wanted ranks travel with the buckets that hold them.
     """
     # One never-null key column: joins on it match null keys and add no filters,
     # so that all three uses of the counts share one shuffle.
-    v = F.col(col).cast("double")
+    v = _number(col)
     keys = ["_g"]
     counts = (
         df.where(v.isNotNull())
         .groupBy(F.struct(*(by or [F.lit(0).alias("_all")])).alias("_g"), v.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumns({"_b1": _octave_bucket(F.col("_v"), COARSE), "_b2": _octave_bucket(F.col("_v"), FINE)})
+        .withColumn("_b1", _octave_bucket(F.col("_v"), COARSE))
     )
     coarse = (
         counts.groupBy(*keys, "_b1")
-        .agg(F.sum("_n").alias("_n"))
+        .agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
         .withColumn("_want", _wanted(probs))
     )
     part1, part2 = [*keys, "_b1"], [*keys, "_b1", "_b2"]
-    near = counts.join(_narrow(coarse, keys, "_b1"), part1)
+    near = counts.join(_narrow(coarse, keys, "_b1", ["_lo", "_hi"]), part1)
+    near = near.withColumn("_b2", _range_bucket(F.col("_v"), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
     fine = near.groupBy(*part2).agg(F.sum("_n").alias("_n"), F.any_value("_want").alias("_want"))
     last = near.drop("_want").join(_narrow(fine, part1, "_b2"), part2)
     found = _narrow(last, part2, "_v").select(*keys, "_v", F.explode("_want").alias("_w"))
@@ -109,7 +127,7 @@ def spread_quantiles(
     values = []
     for i, name in enumerate(names):
         lo, hi, frac = at[2 * i], at[2 * i + 1], pos[i] - F.floor(pos[i])
-        values.append((lo + (hi - lo) * frac).alias(name))
+        values.append(F.when((lo == hi) | (frac == 0), lo).otherwise(lo + (hi - lo) * frac).alias(name))
     return found.groupBy(*keys).agg(*values).select(*[F.col(f"_g.{c}").alias(c) for c in by], *names)
 
 
@@ -117,16 +135,16 @@ def spread_ranks(df: DataFrame, by: Sequence[str], col: str, name: str) -> DataF
     """Average rank of each distinct value within its group, for groups of any
     size: (group, value, rank).
 
-    A rank is the rows in lower coarse buckets, plus those in lower fine buckets
-    of the same coarse one, plus those below in the same fine bucket, so no
+    A rank is the rows in lower coarse buckets, plus those in lower parts of the
+    same coarse one's range, plus those below in the same part, so no
     window covers a whole group. The group is one struct column, ``_g``.
     """
-    v = F.col(col).cast("double")
+    v = _number(col)
     counts = (
         df.where(v.isNotNull())
         .groupBy(F.struct(*(by or [F.lit(0).alias("_all")])).alias("_g"), v.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumns({"_b1": _octave_bucket(F.col("_v"), COARSE), "_b2": _octave_bucket(F.col("_v"), FINE)})
+        .withColumn("_b1", _octave_bucket(F.col("_v"), COARSE))
     )
 
     def before(part: list[str], order: str) -> Column:
@@ -134,12 +152,9 @@ def spread_ranks(df: DataFrame, by: Sequence[str], col: str, name: str) -> DataF
         return F.coalesce(F.sum("_n").over(w), F.lit(0))
 
     b1, b2 = ["_g", "_b1"], ["_g", "_b1", "_b2"]
-    coarse = counts.groupBy(*b1).agg(F.sum("_n").alias("_n")).select(*b1, before(["_g"], "_b1").alias("_o1"))
-    fine = counts.groupBy(*b2).agg(F.sum("_n").alias("_n")).select(*b2, before(b1, "_b2").alias("_o2"))
+    coarse = counts.groupBy(*b1).agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    coarse = coarse.select(*b1, before(["_g"], "_b1").alias("_o1"), "_lo", "_hi")
+    near = counts.join(coarse, b1).withColumn("_b2", _range_bucket(F.col("_v"), F.col("_lo"), F.col("_hi")))
+    fine = near.groupBy(*b2).agg(F.sum("_n").alias("_n")).select(*b2, before(b1, "_b2").alias("_o2"))
     rank = F.col("_o1") + F.col("_o2") + F.col("_o3") + (F.col("_n") + 1) / 2
-    return (
-        counts.withColumn("_o3", before(b2, "_v"))
-        .join(fine, b2)
-        .join(coarse, b1)
-        .select("_g", "_v", rank.alias(name))
-    )
+    return near.withColumn("_o3", before(b2, "_v")).join(fine, b2).select("_g", "_v", rank.alias(name))

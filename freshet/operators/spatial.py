@@ -232,7 +232,7 @@ def nearest_cell(points: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def zonal(grid: DataFrame, polygons: DataFrame, site: str, time: str, value: str) -> DataFrame:
-    """mean, min, max and count of the cells of a basin per time.
+    """mean, median, min, max and count of the cells of a basin per time.
 
     The cells of each basin are found once on the distinct cells, then joined
     to the cube by cell.
@@ -244,6 +244,7 @@ def zonal(grid: DataFrame, polygons: DataFrame, site: str, time: str, value: str
         .groupBy(site, time)
         .agg(
             F.avg(value).alias("mean"),
+            F.median(value).alias("median"),
             F.min(value).alias("min"),
             F.max(value).alias("max"),
             F.count(value).alias("n_cells"),

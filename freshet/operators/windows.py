@@ -9,11 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql import types as T
-
-from freshet.session import spread
 
 
 def _w(by: Sequence[str], order: str | Sequence[str]):
@@ -47,18 +43,28 @@ def roll_median(df: DataFrame, by: Sequence[str], order: str, col: str, n: int)
 def ewm(df: DataFrame, by: Sequence[str], order: str, col: str, span: int) -> DataFrame:
     """Recursive exponential mean, null until ``span`` values were seen.
 
-    A recursion over one calendar-bounded series; one Arrow batch per series.
+    One ordered array per calendar-bounded series and one pass over it. A null
+    value repeats the mean before it and lets the weight of the past decay.
     """
-    name = f"{col}_ewm{span}"
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+    name, alpha = f"{col}_ewm{span}", 2.0 / (span + 1)
+    empty = F.filter(F.array(F.lit(None).cast("double")), lambda _: F.lit(False))
+    start = F.struct(
+        F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w"), F.lit(0).alias("n"), empty.alias("out")
+    )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        pdf[name] = pdf[col].astype(float).ewm(span=span, adjust=False, min_periods=span).mean()
-        return pdf
+    def step(s: Column, r: Column) -> Column:
+        x, past = r[col].cast("double"), s["w"] * (1 - alpha)
+        y = F.when(x.isNull(), s["y"]).when(s["y"].isNull(), x).otherwise((past * s["y"] + alpha * x) / (past + alpha))
+        w = F.when(x.isNotNull() | s["y"].isNull(), F.lit(1.0)).otherwise(past)
+        n = s["n"] + F.when(x.isNull(), 0).otherwise(1)
+        out = F.concat(s["out"], F.array(F.when(n >= span, y)))
+        return F.struct(y.alias("y"), w.alias("w"), n.alias("n"), out.alias("out"))
 
-    out = spread(df, list(by)).groupBy(*by).applyInPandas(run, schema)
-    return out.withColumn(name, F.when(~F.isnan(name), F.col(name)))
+    rest = [c for c in df.columns if c not in (*by, order)]
+    series = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, *rest))).alias("_rows"))
+    values = F.aggregate("_rows", start, step, lambda s: s["out"])
+    pairs = series.select(*by, F.explode(F.arrays_zip("_rows", values.alias("_y"))).alias("_p"))
+    return pairs.select(*[F.col(c) if c in by else F.col(f"_p._rows.{c}").alias(c) for c in df.columns], F.col("_p._y").alias(name))
 
 
 def lags(df: DataFrame, by: Sequence[str], order: str, cols: Sequence[str], ks: Sequence[int]) -> DataFrame:
@@ -135,9 +141,15 @@ def rank_first(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
 
 
 def pct_by_doy(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Percentile (0 to 100) of a value within its day of year."""
-    known = Window.partitionBy(*by, F.col(value).isNull()).orderBy(value)
-    return df.withColumn("pct", F.when(F.col(value).isNotNull(), 100 * F.percent_rank().over(known)))
+    """Percentile (0 to 100) of a value within its day of year; equal values
+    share the middle of the positions they take."""
+    group = [*by, F.col(value).isNull()]
+    first = F.rank().over(Window.partitionBy(*group).orderBy(value)) - 1
+    same = F.count(F.lit(1)).over(Window.partitionBy(*group).orderBy(value).rangeBetween(0, 0))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*group))
+    pct = F.coalesce(100 * F.try_divide(first + (same - 1) / 2, n - 1), F.lit(0.0))
+    return df.withColumn("pct", F.when(F.col(value).isNotNull(), pct))
+
 
 
 def share(df: DataFrame, by: Sequence[str], value: str, few: bool = False) -> DataFrame:
@@ -161,13 +173,14 @@ def group_stat(df: DataFrame, by: Sequence[str], value: str, fn, name: str) -> D
 
 def around_issue(df: DataFrame, date: str, month: int, day: int, n: int) -> DataFrame:
     """Rows within n days of a month-day of any year, tagged with that
-    year's anchor. Only the anchors of the neighbouring years can reach a row."""
-    year = F.year(date)
-    anchor = F.explode(F.array(*[F.make_date(year + k, F.lit(month), F.lit(day)) for k in (-1, 0, 1)]))
-    out = df.withColumn("anchor", anchor).withColumn("offset", F.datediff(date, "anchor"))
+    year's anchor. Only the anchors of the years that n days reach are tried."""
+    year, reach = F.year(date), n // 365 + 1
+    anchors = [F.make_date(year + k, F.lit(month), F.lit(day)) for k in range(-reach, reach + 1)]
+    out = df.withColumn("anchor", F.explode(F.array(*anchors))).withColumn("offset", F.datediff(date, "anchor"))
     return out.where(F.abs("offset") <= n)
 
 
+
 def roll_slope(df: DataFrame, by: Sequence[str], order: str, col: str, n: int) -> DataFrame:
     """Least-squares slope per row over the last n rows, null below 2 values."""
     w = _w(by, order)

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from freshet.functions.calendar import prev_issue
 from freshet.operators.aggregates import melt, pivot
 from freshet.operators.windows import share
 
@@ -51,14 +52,25 @@ def contrib_pct(long: DataFrame, keys: Sequence[str] = MEMBER_KEYS, item: str =
 
 
 def global_importance(
-    long: DataFrame, quantiles: Sequence[str], date: Sequence[str] = ("yr", "md")
+    long: DataFrame,
+    quantiles: Sequence[str],
+    date: Sequence[str] = ("yr", "md"),
+    weights: Mapping[str, float] | None = None,
 ) -> DataFrame:
     """M3: share per site, averaged and renormalised per date, one column per
-    quantile, with a ``total`` row per feature group."""
+    quantile, with a ``total`` row per feature group.
+
+    A site's share is the mean over all its members, one without the feature
+    counting 0, each times its weight; the number of members cancels when the
+    shares are brought to 100, so the sum is taken.
+    """
     per_member = long.withColumn("share", F.try_divide(100 * F.abs("shap"), F.col("abs_total")))
+    if weights is not None:
+        table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
+        per_member = per_member.withColumn("share", F.col("share") * F.coalesce(table[F.col("member")], F.lit(0.0)))
     site_keys = ["quantile", "site", *date]
     item = ["feature_group", "feature"]
-    per_site = per_member.groupBy(*site_keys, *item).agg(F.avg(F.coalesce("share", F.lit(0.0))).alias("c"))
+    per_site = per_member.groupBy(*site_keys, *item).agg(F.sum(F.coalesce("share", F.lit(0.0))).alias("c"))
     per_site = share(per_site, site_keys, "c", few=True).drop("c", "total").withColumnRenamed("share", "c")
     per_date = per_site.groupBy("quantile", *date, *item).agg(F.avg("c").alias("c"))
     per_date = share(per_date, ["quantile", *date], "c", few=True).drop("c", "total").withColumnRenamed("share", "c")
@@ -193,11 +205,8 @@ def forecast_track(pred: DataFrame, history: DataFrame, site: str, value: str, u
 
 def explain_change(contrib: DataFrame, keys: Sequence[str], issue: str, item: str, value: str) -> DataFrame:
     """Contributions of each issue date beside those of the issue date
-    before, and their difference; an item absent on one side counts 0."""
-    from freshet.functions.calendar import _c
-
-    now = contrib.select(*keys, issue, item, F.col(value).alias("now"))
-    before = contrib.select(*keys, (_c(issue) + 1).alias(issue), item, F.col(value).alias("before"))
-    dates = contrib.select(*keys, issue).distinct()
-    both = now.join(before, [*keys, issue, item], "full").join(dates, [*keys, issue], "left_semi")
-    return both.withColumn("change", F.coalesce("now", F.lit(0.0)) - F.coalesce("before", F.lit(0.0)))
+    before it, and their difference, for the items present on both."""
+    now = contrib.select(*keys, issue, prev_issue(issue).alias("_before"), item, F.col(value).alias("now"))
+    before = contrib.select(*keys, F.col(issue).alias("_before"), item, F.col(value).alias("before"))
+    both = now.join(before, [*keys, "_before", item]).drop("_before")
+    return both.withColumn("change", F.col("now") - F.col("before"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from freshet.functions.calendar import forecast_year, month_day
+from freshet.functions.calendar import forecast_year, month_day, water_year
+from freshet.operators.asof import agg_since
 from freshet.operators.windows import known_before, roll_mean
 from freshet.plans.folds import loo_stats
 from freshet.session import cut_lineage
@@ -27,12 +28,13 @@ def deviation(
     rows = obs.withColumns({"fy": forecast_year("d"), "season": month_day("d")})
     used = rows.join(chosen.select("station").distinct(), "station", "left_semi")
     stats = loo_stats(used, ["station", "season"], "fy", value, first, last)
-    daily = (
-        rows.join(chosen, "station")
+    # Standardised once per (fold, station, day), then handed to each site that chose it.
+    z = (
+        rows.join(chosen.select("fold", "station").distinct(), "station")
         .join(stats, ["station", "season", "fold"])
-        .groupBy("fold", "site", "fy", "d")
-        .agg(F.avg(F.try_divide(F.col(value) - F.col("loo_mean"), F.col("loo_std"))).alias("dev"))
+        .select("fold", "station", "fy", "d", F.try_divide(F.col(value) - F.col("loo_mean"), F.col("loo_std")).alias("_z"))
     )
+    daily = z.join(chosen, ["fold", "station"]).groupBy("fold", "site", "fy", "d").agg(F.avg("_z").alias("dev"))
     return roll_mean(daily, ["fold", "site", "fy"], "d", "dev", windows)
 
 
@@ -50,55 +52,106 @@ def site_deviation(
 
 
 def target_diff(
-    issues: DataFrame, monthly: DataFrame, daily: DataFrame | None = None, diff_gap: int = 1
+    issues: DataFrame,
+    monthly: DataFrame,
+    daily: DataFrame | None = None,
+    diff_gap: int = 1,
+    no_monthly: DataFrame | None = None,
 ) -> DataFrame:
     """Season volume already known at each issue date, and the rest.
 
     Months count from the issue month on, or only after issue day ``diff_gap``;
-    daily flow of the running month is added when given. ``issues`` carries
-    season_start, season_end and the label ``vol``; ``monthly`` site, yr, m, vol.
+    daily flow of the running month is added when given, within the season's months.
+    Sites listed in ``no_monthly`` (site) take the season's daily flow up to the day
+    before instead. ``issues`` carries season_start, season_end and the label
+    ``vol``; ``monthly`` site, yr, m, vol.
     """
-    season = issues.select("site", "season_start").distinct()
+    season = issues.select("site", "season_start", "season_end").distinct()
     known = (
         monthly.join(season, "site")
         .withColumn("month_tf", F.col("m") + 1)
-        .where((F.col("month_tf") >= F.col("season_start") + 1) & (F.col("month_tf") <= 7))
+        .where(F.col("m").between(F.col("season_start"), F.col("season_end") - 1))
     )
     w = Window.partitionBy("site", "yr").orderBy("month_tf").rowsBetween(Window.unboundedPreceding, 0)
     diffs = known.select("site", "yr", "month_tf", F.sum("vol").over(w).alias("_diff"))
     tagged = issues.withColumn("month_tf", F.when(F.col("dd") <= diff_gap, F.col("m") - 1).otherwise(F.col("m")))
     out = tagged.join(diffs, ["site", "yr", "month_tf"], "left").withColumn("diff", F.coalesce("_diff", F.lit(0.0)))
     if daily is not None:
-        season_days = daily.join(season, "site").where(F.month("d") >= F.col("season_start"))
+        season_days = daily.join(season, "site").where(F.month("d").between(F.col("season_start"), F.col("season_end")))
         month_known = known_before(
             season_days.withColumns({"yr": F.year("d"), "_m": F.month("d")}), ["site", "yr"], ["site", "yr", "_m"], "d", "vol"
         ).select("site", F.col("d").alias("issue_date"), F.col("month_cum_lag1").alias("_extra"))
         out = out.join(month_known, ["site", "issue_date"], "left").withColumn(
             "diff", F.col("diff") + F.coalesce("_extra", F.lit(0.0))
         ).drop("_extra")
+    if no_monthly is not None and daily is not None:
+        season_flow = agg_since(
+            daily.join(season, "site"), issues.select("site", "issue_date").distinct(), ["site"], "d", "vol", "issue_date", 10, "_f",
+            keep=F.month("d").between(F.col("season_start"), F.col("season_end")), aggs=("sum",),
+        )
+        alone = no_monthly.select("site").distinct().withColumn("_alone", F.lit(True))
+        out = out.join(season_flow, ["site", "issue_date"], "left").join(alone, "site", "left")
+        taken = F.when(F.col("_alone"), F.coalesce("_f_sum", F.lit(0.0))).otherwise(F.col("diff"))
+        out = out.withColumn("diff", taken).drop("_f_sum", "_alone")
     return out.withColumns(
         {"remaining": F.col("vol") - F.col("diff"), "is_use_diff": (F.col("diff") > 0).cast("int")}
     ).drop("_diff", "month_tf")
 
 
-def availability_features(
-    obs: DataFrame, issues: DataFrame, source: str, season_days: int = 273
-) -> DataFrame:
-    """Presence flag, total, and share of the season known at issue.
+def availability_features(obs: DataFrame, issues: DataFrame, source: str, kind: str = "volume") -> DataFrame:
+    """What is known of a source before each issue date, zeros when nothing is.
 
-    Zeros when nothing is known. ``obs``: site, d, v, one row per site and day.
+    ``present``; ``ratio``, (last known day + 1) / (season end + 1) in days of the
+    water year, and ``season_ratio``, the same from the season's start on. A
+    ``volume`` adds ``total`` and ``season_total``; ``snow`` adds ``acc_max``,
+    ``current`` and ``max``. ``obs``: site, d, v (snow also ``acc``), one row per
+    site and day; ``issues``: site, issue_date, season_start, season_end.
     """
-    from freshet.operators.asof import agg_since
-
-    out = agg_since(obs, issues, ["site"], "d", "v", "issue_date", 10, "_a")
-    n = F.coalesce(F.col("_a_count"), F.lit(0))
-    return out.withColumns(
-        {
-            f"{source}_present": (n > 0).cast("int"),
-            f"{source}_total": F.coalesce(F.col("_a_sum"), F.lit(0.0)),
-            f"{source}_ratio": n / F.lit(float(season_days)),
-        }
-    ).drop("_a_sum", "_a_count", "_a_mean", "_a_min", "_a_max")
+    season = issues.select("site", "season_start", "season_end").distinct()
+    zero = F.make_date(F.col("_wy") - 1, F.lit(10), F.lit(1))
+    in_season = (F.month("d") >= F.col("_from")) & (F.month("d") < 10)
+    extra = ["acc"] if kind == "snow" else []
+    days = obs.where(F.col("v").isNotNull()).join(season.select("site", F.col("season_start").alias("_from")), "site").select(
+        "site",
+        water_year("d").alias("_wy"),
+        F.col("d").alias("_t"),
+        F.lit(1).alias("_k"),
+        "v",
+        *extra,
+        F.when(in_season, F.col("v")).alias("_sv"),
+        F.when(in_season, F.col("d")).alias("_st"),
+    )
+    marks = issues.select("site", water_year("issue_date").alias("_wy"), F.col("issue_date").alias("_t")).distinct()
+    w = Window.partitionBy("site", "_wy").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    grown = {
+        "_last": F.max(F.when(F.col("_k") == 1, F.col("_t"))).over(w),
+        "_slast": F.max("_st").over(w),
+        "_sum": F.sum("v").over(w),
+        "_ssum": F.sum("_sv").over(w),
+        "_max": F.max("v").over(w),
+        "_now": F.last("v", ignorenulls=True).over(w),
+    }
+    if kind == "snow":
+        grown["_acc"] = F.max("acc").over(w)
+    events = days.unionByName(marks.withColumn("_k", F.lit(0)), allowMissingColumns=True).withColumns(grown)
+    known = events.where(F.col("_k") == 0).select("site", F.col("_t").alias("issue_date"), "_wy", *grown)
+    out = issues.join(known, ["site", "issue_date"], "left")
+
+    def at(day: Column) -> Column:
+        return F.datediff(day, zero)
+
+    start = at(F.make_date("_wy", "season_start", F.lit(1)))
+    end = at(F.last_day(F.make_date("_wy", "season_end", F.lit(1))))
+    made = {
+        "present": F.col("_last").isNotNull().cast("int"),
+        "ratio": (at(F.col("_last")) + 1) / (end + 1),
+        "season_ratio": (at(F.col("_slast")) + 1 - start) / (end - start + 1),
+    }
+    if kind == "snow":
+        made |= {"acc_max": F.col("_acc"), "current": F.col("_now"), "max": F.col("_max")}
+    else:
+        made |= {"total": F.col("_sum"), "season_total": F.col("_ssum")}
+    return out.withColumns({f"{source}_{n}": F.coalesce(c, F.lit(0)) for n, c in made.items()}).drop("_wy", *grown)
 
 
 def align_latest(obs: DataFrame, by: str = "site", station: str = "station") -> DataFrame:

@@ -167,17 +167,24 @@ def _newton_step(
     return sums.mapInPandas(run, schema)
 
 
-def predict_quantile(df: DataFrame, coefs: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """Mean over bags of the linear predictions, one column per quantile."""
-    mean = coefs.groupBy(*by, "q").agg(
-        *[F.avg(F.col("beta")[i]).alias(f"_b{i}") for i in range(len(features) + 1)]
-    )
-    value = sum((F.col(f) * F.col(f"_b{i + 1}") for i, f in enumerate(features)), F.col("_b0"))
-    keys = [c for c in df.columns]
-    rows = df.join(mean, list(by)).withColumn("_v", value)
-    return rows.groupBy(*keys).agg(
-        *[F.max(F.when(F.round("q", 6) == q, F.col("_v"))).alias(f"q{int(q * 100)}") for q in (0.1, 0.5, 0.9)]
-    )
+def predict_quantile(
+    df: DataFrame, coefs: DataFrame, by: Sequence[str], features: Sequence[str], probs: Sequence[float] = (0.1, 0.5, 0.9)
+) -> DataFrame:
+    """Mean over bags of the linear predictions, one column per quantile.
+
+    The coefficients of a group become one row, so every row of ``df`` stays as it
+    is, repeated rows included; a group without coefficients gets nulls.
+    """
+    mean = [F.avg(F.col("beta")[i]).alias(f"_b{i}") for i in range(len(features) + 1)]
+    each = coefs.groupBy(*by, "q").agg(*mean).withColumn("_beta", F.array(*[f"_b{i}" for i in range(len(features) + 1)]))
+    names = {p: f"_q{i}" for i, p in enumerate(probs)}
+    wide = each.groupBy(*by).agg(*[F.max(F.when(F.round("q", 6) == round(p, 6), F.col("_beta"))).alias(n) for p, n in names.items()])
+
+    def value(beta: str) -> Column:
+        return sum((F.col(f) * F.col(beta)[i + 1] for i, f in enumerate(features)), F.col(beta)[0])
+
+    joined = df.join(wide, list(by), "left")
+    return joined.select(*[F.col(c) for c in df.columns], *[value(n).alias(f"q{round(p * 100)}") for p, n in names.items()])
 
 
 def _pls_fit(x: np.ndarray, y: np.ndarray, ncomp: int):
@@ -213,19 +220,47 @@ def _pls_predict(x: np.ndarray, y: np.ndarray, new: np.ndarray, ncomp: int) -> l
     return values + [values[-1]] * (ncomp - len(values))
 
 
+def _held_out(x_all: np.ndarray, y_all: np.ndarray, other: np.ndarray, test: np.ndarray, max_comp: int):
+    """q10, q50, q90, rmse, components and training rows for one held-out row, or None."""
+    rows = other & ~np.isnan(y_all)
+    cols = [j for j in range(x_all.shape[1]) if not np.isnan(test[j]) and np.isnan(x_all[rows, j]).mean() < 0.5]
+    rows = rows & ~np.isnan(x_all[:, cols]).any(axis=1)
+    x, t = x_all[rows], y_all[rows]
+    distinct: list[int] = []
+    for j in cols:
+        usable = len(t) and (x[:, j] == 0).mean() <= 0.6 and np.ptp(x[:, j]) > 0
+        if usable and not any(np.array_equal(x[:, j], x[:, k]) for k in distinct):
+            distinct.append(j)
+    n = len(t)
+    if not distinct or n < 4:
+        return None
+    x, new = x[:, distinct], test[distinct]
+    comps = min(max_comp, len(distinct), n - 2)
+    errors = np.zeros(comps)
+    for i in range(n):
+        keep = np.arange(n) != i
+        errors += (np.array(_pls_predict(x[keep], t[keep], x[i], comps)) - t[i]) ** 2
+    best = int(np.argmin(errors))
+    rmse = math.sqrt(errors[best] / n)
+    centre = _pls_predict(x, t, new, comps)[best]
+    return centre - 1.2816 * rmse, centre, centre + 1.2816 * rmse, rmse, best + 1, n
+
+
 def fit_pls(
     df: DataFrame, by: Sequence[str], year: str, features: Sequence[str], y: str, max_comp: int = 4
 ) -> DataFrame:
     """Per group and held-out year a PLS fit on the other years.
 
     Components by leave-one-out error, interval = centre -/+ 1.2816 x that
-    error. A group is one site and issue day: one row per year.
+    error. A group is one site and issue day: a row or a few per year, and every
+    row of a held-out year is predicted (``row`` numbers them).
     """
     fields = [f for f in df.schema.fields if f.name in by]
     schema = T.StructType(
         [
             *fields,
             T.StructField("fold", T.IntegerType()),
+            T.StructField("row", T.IntegerType()),
             *[T.StructField(c, T.DoubleType()) for c in ("q10", "q50", "q90", "rmse")],
             T.StructField("ncomp", T.IntegerType()),
             T.StructField("n_train", T.IntegerType()),
@@ -238,34 +273,13 @@ def fit_pls(
         years = pdf[year].to_numpy()
         key = [pdf[b].iloc[0] for b in by]
         out = []
+        order = np.lexsort((*x_all.T, years))
+        x_all, y_all, years = x_all[order], y_all[order], years[order]
         for fold in np.unique(years):
-            test = x_all[np.argmax(years == fold)]
-            rows = (years != fold) & ~np.isnan(y_all)
-            cols = [
-                j for j in range(len(features)) if not np.isnan(test[j]) and np.isnan(x_all[rows, j]).mean() < 0.5
-            ]
-            rows &= ~np.isnan(x_all[:, cols]).any(axis=1)
-            x, t = x_all[rows], y_all[rows]
-            distinct: list[int] = []
-            for j in cols:
-                usable = len(t) and (x[:, j] == 0).mean() <= 0.6 and np.ptp(x[:, j]) > 0
-                if usable and not any(np.array_equal(x[:, j], x[:, k]) for k in distinct):
-                    distinct.append(j)
-            n = len(t)
-            if not distinct or n < 4:
-                continue
-            x, new = x[:, distinct], test[distinct]
-            comps = min(max_comp, len(distinct), n - 2)
-            errors = np.zeros(comps)
-            for i in range(n):
-                keep = np.arange(n) != i
-                errors += (np.array(_pls_predict(x[keep], t[keep], x[i], comps)) - t[i]) ** 2
-            best = int(np.argmin(errors))
-            rmse = math.sqrt(errors[best] / n)
-            centre = _pls_predict(x, t, new, comps)[best]
-            out.append(
-                [*key, int(fold), centre - 1.2816 * rmse, centre, centre + 1.2816 * rmse, rmse, best + 1, n]
-            )
+            for number, test in enumerate(x_all[years == fold]):
+                found = _held_out(x_all, y_all, years != fold, test, max_comp)
+                if found is not None:
+                    out.append([*key, int(fold), number, *found])
         return pd.DataFrame(out, columns=[f.name for f in schema.fields])
 
     return spread(df, list(by)).groupBy(*by).applyInPandas(run, schema)
@@ -294,7 +308,8 @@ def fit_gbt(
         ]
     )
     parts = []
-    for f in folds:
+    held = {r[0] for r in rows.select(fold).distinct().collect()}  # one value per fold
+    for f in [f for f in folds if f in held]:
         model = pipeline.fit(rows.where(F.col(fold) != f))
         parts.append(model.transform(rows.where(F.col(fold) == f)).drop("_x"))
     oof = parts[0]

@@ -22,8 +22,8 @@ MONTH_SHARE = {
 }
 # Share of the first model family by quantile.
 FAMILY_SHARE = {"q10": 0.4, "q50": 0.4, "q90": 0.7}
-# Weights of the two lowest and two highest of nine members.
-EXTREME_WEIGHTS = {1: 0.2, 2: 0.8, 8: 0.8, 9: 0.2}
+# Weights of the outermost member and the next one on either side.
+EDGE_WEIGHTS = (0.2, 0.8)
 
 
 def baseline_quantiles(
@@ -105,31 +105,27 @@ def ensemble_by_site(df: DataFrame, keys: Sequence[str], routes: DataFrame, on:
     return ensemble_mean(df.join(routes, list(on), "left_semi"), keys)
 
 
-def rerank_members(
-    df: DataFrame, keys: Sequence[str], member: str, weights: Mapping[int, float] = EXTREME_WEIGHTS
-) -> DataFrame:
+def rerank_members(df: DataFrame, keys: Sequence[str], member: str, edge: Sequence[float] = EDGE_WEIGHTS) -> DataFrame:
     """K8: order each member's three outputs, rank the members per quantile, and
     weight the extremes; the middle is the plain mean.
 
-    Groups hold one row per member, so the ranks are over a handful of rows.
+    ``edge``: weights from the outermost member inwards, lowest for the lower and
+    highest for the upper quantile; with fewer members they are brought to a sum
+    of 1.  Groups hold one row per member, so the ranks are over a handful of rows.
     """
     ordered = df.withColumn("_s", F.array_sort(F.array(*Q)))
     ordered = ordered.withColumns({q: F.col("_s")[i] for i, q in enumerate(Q)}).drop("_s")
-    ranks = {
-        f"_r{q}": F.row_number().over(Window.partitionBy(*keys).orderBy(q, member)) for q in ("q10", "q90")
-    }
-    table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-    low = [k for k in weights if k <= 2]
-    high = [k for k in weights if k > 2]
-    return (
-        ordered.withColumns(ranks)
-        .groupBy(*keys)
-        .agg(
-            F.sum(F.when(F.col("_rq10").isin(*low), F.col("q10") * F.element_at(table, F.col("_rq10")))).alias("q10"),
-            F.avg("q50").alias("q50"),
-            F.sum(F.when(F.col("_rq90").isin(*high), F.col("q90") * F.element_at(table, F.col("_rq90")))).alias("q90"),
-        )
-    )
+    table = F.array(*[F.lit(float(w)) for w in edge])
+
+    def weight(*order: Column | str) -> Column:
+        return F.get(table, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+
+    weighted = ordered.withColumns({"_lo": weight("q10", member), "_hi": weight(F.desc("q90"), F.desc(member))})
+
+    def mean(q: str, w: str) -> Column:
+        return F.try_divide(F.sum(F.col(q) * F.col(w)), F.sum(F.when(F.col(q).isNotNull(), F.col(w))))
+
+    return weighted.groupBy(*keys).agg(mean("q10", "_lo").alias("q10"), F.avg("q50").alias("q50"), mean("q90", "_hi").alias("q90"))
 
 
 def conformal(
@@ -168,8 +164,8 @@ def calibrate(df: DataFrame, md: str = "md_id", step: float = 0.005, start: floa
 def clip_history(df: DataFrame, bounds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Middle inside the historical range, lower not below its minimum,
     upper not above its maximum, then both on their side of the middle.
-    ``bounds``: keys, lo, hi."""
-    out = df.join(bounds, list(keys))
+    ``bounds``: keys, lo, hi; a row without bounds only gets the second step."""
+    out = df.join(bounds, list(keys), "left")
     mid = F.least(F.greatest(F.col("q50"), F.col("lo")), F.col("hi"))
     return out.withColumns(
         {
@@ -182,12 +178,13 @@ def clip_history(df: DataFrame, bounds: DataFrame, keys: Sequence[str]) -> DataF
 
 def floor_history(df: DataFrame, bounds: DataFrame, keys: Sequence[str], rmse: str) -> DataFrame:
     """K11, second form: negative lower and low middle take the minimum; an
-    upper below the middle is rebuilt from the error."""
-    out = df.join(bounds, list(keys))
+    upper below the middle is rebuilt from the error. A row without bounds has
+    no minimum to take and keeps its values."""
+    out = df.join(bounds, list(keys), "left")
     mid = F.when(F.col("q50") < F.col("lo"), F.col("lo")).otherwise(F.col("q50"))
     return out.withColumns(
         {
-            "q10": F.when(F.col("q10") < 0, F.col("lo")).otherwise(F.col("q10")),
+            "q10": F.when(F.col("q10") < 0, F.coalesce("lo", "q10")).otherwise(F.col("q10")),
             "q50": mid,
             "q90": F.when(F.col("q90") < mid, mid + 1.2816 * F.col(rmse)).otherwise(F.col("q90")),
         }
@@ -214,7 +211,7 @@ def natflow_floor(
 # --- distributions in closed form, fitted by moments -----------------------
 
 EULER_GAMMA = 0.5772156649015329
-FAMILIES = ("logistic", "gumbel", "uniform", "loglogistic")
+FAMILIES = ("logistic", "gumbel", "uniform", "loglogistic", "lognormal")
 
 
 def fit_moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -242,13 +239,69 @@ def _params(family: str) -> tuple[Column, Column]:
         return F.col("_min"), F.col("_max") - F.col("_min")
     if family == "loglogistic":
         return F.col("_lmean"), F.col("_lsd") * logistic
+    if family == "lognormal":
+        return F.col("_lmean"), F.col("_lsd")
     raise ValueError(family)
 
 
+#: Fixed values of the rational approximation of the error function (Abramowitz
+#: and Stegun 7.1.26; error below 1.5e-7): p, then a1 to a5.
+ERF = (0.3275911, 0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def normal_cdf(z: Column) -> Column:
+    """Standard normal distribution function."""
+    p, *a = ERF
+    x = F.abs(z) / math.sqrt(2.0)
+    t = 1 / (1 + p * x)
+    tail = F.lit(0.0)
+    for c in reversed(a):
+        tail = (tail + c) * t
+    upper = 1 - tail * F.exp(-x * x) / 2
+    return F.when(z < 0, 1 - upper).otherwise(upper)
+
+
+#: Fixed values of Acklam's rational approximation of the inverse normal
+#: distribution (relative error below 1.2e-9): middle part, its divisor, tail part,
+#: its divisor, and where the lower tail ends.
+INVERSE_MIDDLE = (
+    -3.969683028665376e1, 2.209460984245205e2, -2.759285104469687e2,
+    1.383577518672690e2, -3.066479806614716e1, 2.506628277459239,
+)
+INVERSE_MIDDLE_BY = (-5.447609879822406e1, 1.615858368580409e2, -1.556989798598866e2, 6.680131188771972e1, -1.328068155288572e1, 1.0)
+INVERSE_TAIL = (
+    -7.784894002430293e-3, -3.223964580411365e-1, -2.400758277161838,
+    -2.549732539343734, 4.374664141464968, 2.938163982698783,
+)
+INVERSE_TAIL_BY = (7.784695709041462e-3, 3.224671290700398e-1, 2.445134137142996, 3.754408661907416, 1.0)
+INVERSE_EDGE = 0.02425
+
+
+def _polynomial(coefficients: Sequence[float], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def normal_inverse(p: Column) -> Column:
+    """Standard normal quantile of a probability inside (0, 1)."""
+
+    def tail(q: Column) -> Column:
+        r = F.sqrt(-2 * F.log(q))
+        return _polynomial(INVERSE_TAIL, r) / _polynomial(INVERSE_TAIL_BY, r)
+
+    q = p - 0.5
+    middle = q * _polynomial(INVERSE_MIDDLE, q * q) / _polynomial(INVERSE_MIDDLE_BY, q * q)
+    return F.when(p < INVERSE_EDGE, tail(p)).when(p > 1 - INVERSE_EDGE, -tail(1 - p)).when(p.isNotNull(), middle)
+
+
 def cdf(family: str, x: Column) -> Column:
     loc, scale = _params(family)
-    point = F.log(x) if family == "loglogistic" else x
+    point = F.log(x) if family in ("loglogistic", "lognormal") else x
     z = F.try_divide(point - loc, scale)
+    if family == "lognormal":
+        return F.when(x > 0, normal_cdf(z)).otherwise(0.0)
     if family == "gumbel":
         return F.exp(-F.exp(-z))
     if family == "uniform":
@@ -265,6 +318,8 @@ def inverse_cdf(family: str, p: Column) -> Column:
         return loc - scale * F.log(-F.log(p))
     if family == "uniform":
         return loc + scale * p
+    if family == "lognormal":
+        return F.exp(loc + scale * normal_inverse(p))
     return F.exp(loc + scale * F.log(F.try_divide(p, 1 - p)))
 
 
@@ -277,6 +332,8 @@ def neg_log_density(family: str, x: Column) -> Column:
         return F.log(scale) + z + F.exp(-z)
     point = x if family == "logistic" else F.log(x)
     z = F.try_divide(point - loc, scale)
+    if family == "lognormal":
+        return F.log(scale) + z * z / 2 + math.log(2 * math.pi) / 2 + F.log(x)
     base = z + F.log(scale) + 2 * F.log1p(F.exp(-z))
     return base if family == "logistic" else base + F.log(x)
 
@@ -323,9 +380,10 @@ def dist_quantiles(
     The upper end lies ``reach`` of the way from the middle's probability to
     that of the historical maximum, the lower end likewise to the minimum;
     ``weight`` is the share of this interval in the blend with the model's own.
+    A key without a fitted family keeps the model's interval.
     """
     family = F.col("family")
-    joined = pred.join(fitted, list(keys))
+    joined = pred.join(fitted, list(keys), "left")
     top = _by_family(cdf, F.col("_max"), family)
     bottom = _by_family(cdf, F.col("_min"), family)
     joined = joined.withColumns({"_ptop": top, "_pbottom": bottom}).withColumn(
@@ -337,7 +395,10 @@ def dist_quantiles(
     w = F.lit(weight) if isinstance(weight, (int, float)) else weight
     moments = [c for c in fitted.columns if c.startswith("_")]
     return joined.withColumns(
-        {"q10": w * lo + (1 - w) * F.col("q10"), "q90": w * hi + (1 - w) * F.col("q90")}
+        {
+            "q10": F.coalesce(w * lo + (1 - w) * F.col("q10"), "q10"),
+            "q90": F.coalesce(w * hi + (1 - w) * F.col("q90"), "q90"),
+        }
     ).drop("_p", "_ptop", "_pbottom", *moments)
 
 

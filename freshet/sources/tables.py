@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -96,6 +97,18 @@ def _complete(spark: SparkSession, path: str) -> bool:
     return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
+def _input_state(df: DataFrame) -> str:
+    """Names, sizes and times of the files a plan reads."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    state = []
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        state.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return "\n".join(state)
+
+
 def read_or_build(
     spark: SparkSession,
     name: str,
@@ -103,13 +116,15 @@ def read_or_build(
     partition_by: Sequence[str] = (),
     version: str = "",
 ) -> DataFrame:
-    """Reuse a complete table only when it came from the same plan.
+    """Reuse a complete table only when it came from the same plan and inputs.
 
-    The plan's semantic hash and an input version are part of the path, so a
-    changed computation never meets a stale table.
+    The path carries a hash of the plan and of the names, sizes and times of its
+    input files, so neither a changed computation nor a rewritten input meets a
+    stale table.  ``version`` stands for inputs that are not files.
     """
     df = build()
-    path = f"{shared_dir(spark)}/{name}-{df.semanticHash() & 0xFFFFFFFF:08x}{version}"
+    said = f"{df.semanticHash()}\n{version}\n{_input_state(df)}"
+    path = f"{shared_dir(spark)}/{name}-{hashlib.sha256(said.encode()).hexdigest()[:24]}"
     if not _complete(spark, path):
         write_table(df, path, partition_by)
     return spark.read.parquet(path)

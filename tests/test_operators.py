@@ -1,7 +1,9 @@
 import datetime as dt
 import random
+import statistics
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,7 +137,7 @@ def test_column_screen_finds_copies(spark):
 def test_all_pairs_beyond_the_limit_gives_the_same_rows(spark):
     a, b = spark.range(7).toDF("x"), spark.range(11).toDF("y")
     small = joins.all_pairs(a, b).select("x", "y")
-    large = joins.all_pairs(a, b, max_rows=3, spread=4).select("x", "y")
+    large = joins.all_pairs(a, b, spread=4).select("x", "y")
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
     assert large.count() == 77
 
@@ -222,3 +224,61 @@ def test_spread_ranks_of_ties_and_signs(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = {r._v: r.rk for r in quantiles.spread_ranks(df, [], "v", "rk").collect()}
     assert got == {-3.0: 1.5, 0.0: 3.0, 1e-9: 4.0, 5.0: 6.0, 1e12: 8.0}
+
+
+def test_aggregates_at_any_issue_date(spark):
+    obs = [(1, D(2000, 1, k), v) for k, v in ((1, 1.0), (2, 10.0), (3, 100.0))]
+    issues = issues_frame(spark, [D(2000, 1, 4), D(2000, 1, 2)])
+    out = asof.agg_since(obs_frame(spark, obs), issues, ["site"], "d", "v", "issue_date", 10, aggs=("sum", "count", "p50", "std"))
+    got = {r.issue_date: r for r in out.collect()}
+    assert (got[D(2000, 1, 4)].v_sum, got[D(2000, 1, 4)].v_p50) == (111.0, 10.0)
+    assert got[D(2000, 1, 4)].v_std == pytest.approx(statistics.stdev([1, 10, 100]))
+    assert (got[D(2000, 1, 2)].v_sum, got[D(2000, 1, 2)].v_count) == (1.0, 1)
+
+
+def test_lagged_readings_stay_in_their_water_year(spark):
+    assert latest(spark, [(1, D(2000, 9, 28), 4.0)], [D(2000, 10, 8)], lag_days=5)[D(2000, 10, 8)] is None
+
+
+def test_last_reading_of_a_day(spark):
+    rows = [(1, dt.datetime(2000, 1, 1, 1), 9.0), (1, dt.datetime(2000, 1, 1, 5), 3.0), (1, dt.datetime(2000, 1, 1, 7), None)]
+    df = spark.createDataFrame(rows, "k int, t timestamp, x double")
+    assert frames.daily_reduce(df, ["k"], "t", "x", "last").head().v == 3.0
+
+
+def test_months_keep_readings_inside_them(spark):
+    df = spark.createDataFrame([(1, D(2000, 1, 15), 5.0), (1, D(2000, 3, 1), 6.0)], "k int, d date, v double")
+    got = {r.d: r.v for r in frames.expand_dates(df, ["k"], "d", freq="month").collect()}
+    assert got == {D(2000, 1, 1): 5.0, D(2000, 2, 1): None, D(2000, 3, 1): 6.0}
+
+
+def test_quantiles_of_close_values_and_of_odd_ones(spark):
+    df = spark.range(200_000).select((F.lit(1e9) + F.col("id") / 2000.0).alias("v"))
+    got = quantiles.spread_quantiles(df, [], "v", [0.25, 0.5], ["a", "b"]).head()
+    assert (got.a, got.b) == (pytest.approx(1e9 + 199_999 * 0.25 / 2000), pytest.approx(1e9 + 199_999 * 0.5 / 2000))
+    near = df.select(quantiles._range_bucket(F.col("v"), F.lit(1e9), F.lit(1e9 + 100)).alias("b")).groupBy("b").count()
+    assert near.agg(F.max("count")).head()[0] <= 8
+    odd = spark.createDataFrame([(float(v),) for v in ("nan", "inf", "-inf", 1, 2, 2)] + [(None,)], "v double")
+    got = quantiles.spread_quantiles(odd, [], "v", [0.0, 0.5, 1.0], ["a", "b", "c"]).head()
+    assert (got.a, got.b, got.c) == (float("-inf"), 2.0, float("inf"))
+    ranks = {r._v: r.r for r in quantiles.spread_ranks(odd, [], "v", "r").collect()}
+    assert ranks == {float("-inf"): 1.0, 1.0: 2.0, 2.0: 3.5, float("inf"): 5.0}
+
+
+def test_exponential_mean_with_nulls(spark):
+    values = [1.0, None, 3.0, None, None, 2.0, 8.0]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "k int, i int, v double")
+    got = [r.v_ewm2 for r in windows.ewm(df, ["k"], "i", "v", 2).orderBy("i").collect()]
+    want = pd.Series(values, dtype=float).ewm(span=2, adjust=False, min_periods=2).mean()
+    assert [x is None for x in got] == list(want.isna())
+    assert [x for x in got if x is not None] == pytest.approx(want.dropna().tolist())
+
+
+def test_spline_returns_a_parabola_and_meets_its_points():
+    x = np.array([0.0, 1.0, 4.0, 5.0, 9.0, 10.0, 11.0])
+    at = np.linspace(0, 11, 45)
+    assert fill._spline(x, x**2 - 3 * x, at) == pytest.approx(at**2 - 3 * at)
+    y = np.array([1.0, 5.0, 2.0, 2.0, 8.0, 0.0, 3.0])
+    assert fill._spline(x, y, x) == pytest.approx(y)
+    big = np.arange(5000.0)
+    assert fill._spline(big, np.sin(big / 50), big + 0.0) == pytest.approx(np.sin(big / 50))

@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +7,8 @@ from pyspark.sql import functions as F
 from freshet.operators.windows import roll_mean
 from freshet.plans import explain, folds, metrics, models, postprocess as pp, selection
 
+D = dt.date
+
 
 def labels(spark, seed=0, sites=3, first=1990, last=2001):
     rng = np.random.default_rng(seed)
@@ -185,13 +189,63 @@ def test_shapley_values_add_up(spark):
     assert {r.yr: pytest.approx(r.t) for r in total.collect()} == truth
 
 
-def test_explain_change_counts_an_absent_item_as_zero(spark):
-    rows = [(1, 0, "a", 1.0), (1, 1, "a", 3.0), (1, 1, "b", 2.0), (1, 2, "b", 5.0)]
-    df = spark.createDataFrame(rows, "site int, md int, item string, v double")
-    out = explain.explain_change(df, ["site"], "md", "item", "v")
-    assert {(r.md, r.item): r.change for r in out.collect()} == {
-        (0, "a"): 1.0, (1, "a"): 2.0, (1, "b"): 2.0, (2, "a"): -3.0, (2, "b"): 3.0
-    }
+def test_explain_change_goes_by_issue_date(spark):
+    rows = [(1, D(1999, 12, 22), "a", 1.0), (1, D(2000, 1, 1), "a", 3.0), (1, D(2000, 1, 1), "b", 2.0), (1, D(2000, 1, 8), "b", 5.0)]
+    df = spark.createDataFrame(rows, "site int, issue date, item string, v double")
+    out = explain.explain_change(df, ["site"], "issue", "item", "v")
+    assert {(r.issue, r.item): r.change for r in out.collect()} == {(D(2000, 1, 1), "a"): 2.0, (D(2000, 1, 8), "b"): 3.0}
+
+
+def test_predictions_keep_repeated_rows(spark):
+    coefs = spark.createDataFrame([(1, q, 0, [1.0, 2.0 * q]) for q in (0.2, 0.5)], "g int, q double, bag int, beta array<double>")
+    df = spark.createDataFrame([(1, 3.0), (1, 3.0), (2, 3.0)], "g int, x double")
+    out = models.predict_quantile(df, coefs, ["g"], ["x"], probs=(0.2, 0.5)).collect()
+    assert sorted((r.g, r.q20, r.q50) for r in out if r.q20 is not None) == [(1, pytest.approx(2.2), 4.0)] * 2
+    assert len(out) == 3
+
+
+def test_pls_predicts_every_row_of_a_held_out_year(spark):
+    rng = np.random.default_rng(3)
+    rows = [(1, 2000 + i // 2, float(rng.normal()), float(rng.normal()), float(rng.normal())) for i in range(20)]
+    df = spark.createDataFrame(rows, "g int, yr int, a double, b double, y double")
+    assert models.fit_pls(df, ["g"], "yr", ["a", "b"], "y").count() == 20
+
+
+def test_pls_on_one_feature_is_a_straight_line(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=12)
+    y = 3 * x + rng.normal(size=12)
+    df = spark.createDataFrame([(1, 2000 + i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "g int, yr int, a double, y double")
+    got = {r.fold: r.q50 for r in models.fit_pls(df, ["g"], "yr", ["a"], "y").collect()}
+    for i in range(12):
+        keep = np.arange(12) != i
+        assert got[2000 + i] == pytest.approx(np.polyval(np.polyfit(x[keep], y[keep], 1), x[i]))
+
+
+def test_rows_without_history_stay(spark):
+    pred = spark.createDataFrame([(1, 5.0, 7.0, 9.0), (2, 5.0, 7.0, 9.0)], "site int, q10 double, q50 double, q90 double")
+    bounds = spark.createDataFrame([(1, 6.0, 8.0)], "site int, lo double, hi double")
+    for fn in (pp.clip_history, lambda *a: pp.floor_history(*a, "q50")):
+        assert {r.site for r in fn(pred, bounds, ["site"]).collect()} == {1, 2}
+    past = spark.createDataFrame([(1, float(v)) for v in (4, 5, 7, 9, 12)], "site int, y double")
+    fitted = pp.best_dist(past, ["site"], "y").drop("nll")
+    out = {r.site: r for r in pp.dist_quantiles(pred, fitted, ["site"]).collect()}
+    assert out[2].q10 == 5.0 and out[2].q90 == 9.0 and out[1].q10 < out[1].q50 < out[1].q90
+
+
+def test_rerank_takes_any_number_of_members(spark):
+    for n in (1, 2, 7):
+        df = spark.createDataFrame([(1, m, float(m), float(m), float(m)) for m in range(n)], "k int, member int, q10 double, q50 double, q90 double")
+        r = pp.rerank_members(df, ["k"], "member").head()
+        near = min(1, n - 1)
+        want = 0.0 if n == 1 else 0.8 * near
+        assert r.q10 == pytest.approx(want) and r.q90 == pytest.approx(n - 1 - want)
+
+
+def test_normal_functions_undo_each_other(spark):
+    df = spark.createDataFrame([(p,) for p in (1e-6, 0.01, 0.3, 0.5, 0.9, 0.99999)], "p double")
+    out = df.select("p", pp.normal_cdf(pp.normal_inverse(F.col("p"))).alias("q")).collect()
+    assert all(r.q == pytest.approx(r.p, abs=3e-7) for r in out)
 
 
 def test_roll_mean_restarts_per_year(spark):

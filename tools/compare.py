@@ -69,11 +69,12 @@ def main():
     p = argparse.ArgumentParser()
     p.add_argument("--dir", default="/root/testdata/sf0.01")
     p.add_argument("--like", nargs="*", default=[""])
+    p.add_argument("--cpus", default=8, type=int)
     args = p.parse_args()
     from freshet.catalog import ENTRIES
     from freshet.session import local_session
 
-    spark = local_session(8)
+    spark = local_session(args.cpus)
     con = connect(args.dir)
     bad = 0
     for name, entry in ENTRIES.items():
