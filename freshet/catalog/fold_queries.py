@@ -32,7 +32,17 @@ def _(d):
     return folds.loo_stats(rows, ["station", "m"], "yr", "v", *d.years)
 
 
-@query("j2_kfold", "repeat int, fold int, n_years big, n_rows big")
+def _draw(n: int, text: str) -> str:
+    return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT % {n})"
+
+
+@query(
+    "j2_kfold",
+    "repeat int, fold int, n_years big, n_rows big",
+    f"""WITH k AS (SELECT yr, r AS repeat, ntile(3) OVER (PARTITION BY r ORDER BY {_draw(1 << 32, "yr || '|' || r || '|11'")}, yr) - 1 AS fold
+      FROM (SELECT DISTINCT yr FROM site_year), range(4) t(r))
+    SELECT repeat, fold, count(DISTINCT yr) AS n_years, count(*) AS n_rows FROM site_year JOIN k USING (yr) GROUP BY 1, 2""",
+)
 def _(d):
     rows = folds.kfold(d.site_year, "yr", k=3, repeats=4, seed=11)
     return rows.groupBy("repeat", "fold").agg(
@@ -355,7 +365,13 @@ def _(d):
     return features.target_diff(issues, d.flow_month, d.flow_day, diff_gap=0)
 
 
-@query("j18_synthesize", "copy int, yr int, n big, factor num, vol num")
+@query(
+    "j18_synthesize",
+    "copy int, yr int, n big, factor num, vol num",
+    f"""WITH s AS (SELECT *, 0.5::DOUBLE + {_draw(1_000_003, "yr || '|' || copy || '|3'")} / 1000003.0::DOUBLE AS factor
+      FROM site_year, range(4) c(copy))
+    SELECT copy, yr, count(*) AS n, max(factor) AS factor, avg(vol * factor) AS vol FROM s GROUP BY 1, 2""",
+)
 def _(d):
     rows = folds.synthesize(d.site_year, "yr", ["vol"], n=4, seed=3)
     return rows.groupBy("copy", "yr").agg(

@@ -323,7 +323,13 @@ def _(d):
     return cut.groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("last"))
 
 
-@query("d21_simulate_gap", "station int, n big, last iso")
+@query(
+    "d21_simulate_gap",
+    "station int, n big, last iso",
+    """WITH c AS (SELECT station, max(d) - (('0x' || substr(md5(station || '|7'), 1, 8))::BIGINT % 30 + 1)::INTEGER AS cut
+      FROM station_day GROUP BY station)
+    SELECT s.station, count(*) AS n, max(d) AS last FROM station_day s JOIN c ON s.station = c.station AND d <= cut GROUP BY 1""",
+)
 def _(d):
     cut = quality.simulate_gap(d.station_day, "station", "d", 30, seed=7)
     return cut.groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("last"))

@@ -343,11 +343,13 @@ def _case(fn, arg: str) -> str:
 
 
 def _k13(cdf, inv, fit: str, cols: str = "") -> str:
-    return f"""SELECT site, issue_date, {cols} 0.7::DOUBLE * ({inv('p - 0.8::DOUBLE * (p - pb)')}) + (1 - 0.7::DOUBLE) * q10 AS q10, q50,
-      0.7::DOUBLE * ({inv('p + 0.8::DOUBLE * (pt - p)')}) + (1 - 0.7::DOUBLE) * q90 AS q90 FROM (
+    low, high = inv("p - 0.8::DOUBLE * (p - pb)"), inv("p + 0.8::DOUBLE * (pt - p)")
+    return f"""SELECT site, issue_date, {cols} 0.7::DOUBLE * (CASE WHEN lo < mn THEN mn ELSE lo END) + (1 - 0.7::DOUBLE) * q10 AS q10, q50,
+      0.7::DOUBLE * (CASE WHEN hi > mx THEN mx ELSE hi END) + (1 - 0.7::DOUBLE) * q90 AS q90 FROM (
+      SELECT *, {low} AS lo, {high} AS hi FROM (
       SELECT *, greatest(pb, least(pt, {cdf('q50')})) AS p FROM (
         SELECT p.*, f.* EXCLUDE (site), {cdf('mx')} AS pt, {cdf('mn')} AS pb
-        FROM pred p JOIN ({fit}) f ON p.site = f.site))"""
+        FROM pred p JOIN ({fit}) f ON p.site = f.site)))"""
 
 
 def _register_k13(family: str):

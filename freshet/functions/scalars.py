@@ -204,3 +204,11 @@ def fmt(value: str | Column, kind: str) -> Column:
 def fmt_range(lo: Column, hi: Column, sep: str = "-") -> Column:
     """C17: ``lo-hi``, or one value when both agree."""
     return F.when(lo == hi, lo).otherwise(F.concat_ws(sep, lo, hi))
+
+
+def draw(n: int | Column, *parts: str | int | Column) -> Column:
+    """A reproducible number 0 .. n-1 for the values of ``parts``: the first 32
+    bits of the md5 of their texts, joined by ``|``, modulo n."""
+    texts = [(F.col(p) if isinstance(p, str) else F.lit(p) if isinstance(p, int) else p).cast("string") for p in parts]
+    word = F.substring(F.md5(F.concat_ws("|", *texts).cast("binary")), 1, 8)
+    return F.conv(word, 16, 10).cast("long") % n

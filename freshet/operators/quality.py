@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from freshet.functions.scalars import draw
 from freshet.operators.quantiles import spread_quantiles
 
 
@@ -175,7 +176,7 @@ def profile(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def simulate_gap(df: DataFrame, key: str, date: str, max_gap: int, seed: int = 0) -> DataFrame:
     """Cut each id a seeded number of days (1 to ``max_gap``) before its end."""
     cut = df.groupBy(key).agg(F.max(date).alias("_last"))
-    days = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(max_gap)).cast("int") + 1
+    days = draw(max_gap, key, seed).cast("int") + 1
     cut = cut.select(key, F.date_sub("_last", days).alias("_cut"))
     return df.join(cut, key).where(F.col(date) <= F.col("_cut")).drop("_cut")
 

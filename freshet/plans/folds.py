@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from freshet.functions.scalars import draw
 from freshet.operators.quantiles import quantile
 
 
@@ -88,7 +89,7 @@ def kfold(df: DataFrame, year: str, k: int, repeats: int = 1, seed: int = 0) ->
     Ranks run over the distinct years only; rows get their fold by a join.
     """
     years = df.select(year).distinct().withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = Window.partitionBy("repeat").orderBy(F.xxhash64(F.col(year), F.col("repeat"), F.lit(seed)), year)
+    order = Window.partitionBy("repeat").orderBy(draw(1 << 32, year, "repeat", seed), year)
     folds = years.withColumn("fold", F.ntile(k).over(order) - 1)
     return df.join(folds, year)
 
@@ -160,7 +161,7 @@ def synthesize(
     ``inverted`` the other way round.
     """
     lo, hi = bounds
-    unit = F.pmod(F.xxhash64(F.col(year), F.col("copy"), F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
+    unit = draw(1_000_003, year, "copy", seed) / 1_000_003.0
     out = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("factor", lo + (hi - lo) * unit)
     f, g = F.col("factor"), lo + hi - F.col("factor")
     scaled: Mapping[str, Column] = {

@@ -392,6 +392,9 @@ def dist_quantiles(
     )
     hi = _by_family(inverse_cdf, F.col("_p") + reach * (F.col("_ptop") - F.col("_p")), family)
     lo = _by_family(inverse_cdf, F.col("_p") - reach * (F.col("_p") - F.col("_pbottom")), family)
+    # Rounding of the distribution functions must not lead out of the record.
+    hi = F.when(hi > F.col("_max"), F.col("_max")).otherwise(hi)
+    lo = F.when(lo < F.col("_min"), F.col("_min")).otherwise(lo)
     w = F.lit(weight) if isinstance(weight, (int, float)) else weight
     moments = [c for c in fitted.columns if c.startswith("_")]
     return joined.withColumns(

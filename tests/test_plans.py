@@ -263,3 +263,14 @@ def test_correlation_of_a_constant_is_null(spark):
     assert (row.r, row.b) == (None, None)
     skipped = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, None)], "x double, y double")
     assert skipped.agg(pearson("x", "y").alias("r")).head().r == pytest.approx(1.0)
+
+
+def test_trees_beat_the_climatology(spark):
+    rng = np.random.default_rng(8)
+    rows = [(1, y, 4, float(x), float(5 * x + rng.normal(0, 0.3))) for y in (2000, 2001, 2002) for x in rng.uniform(0, 10, 40)]
+    df = spark.createDataFrame(rows, "site int, yr int, m int, x double, y double")
+    out = models.fit_gbt(df, ["x"], "y", "yr", [2000, 2001, 2002, 2003], ["m"], max_iter=5)
+    r = out.agg(F.avg(F.abs(F.col("y") - F.col("q50"))).alias("err"), F.count("*").alias("n"),
+                F.avg(F.col("y").between(F.col("q10"), F.col("q90")).cast("int")).alias("inside")).head()
+    ys = np.array([row[4] for row in rows])
+    assert r.n == 120 and r.err < 0.3 * np.abs(ys - np.median(ys)).mean() and 0.7 <= r.inside <= 0.95
