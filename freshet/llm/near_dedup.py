@@ -13,9 +13,10 @@ densification).  Bands of the signature put classes into buckets.
 Within a bucket the first class is linked as a candidate to all others, a star, so
 candidates grow with the bucket's size and not with its square.  Candidates are
 confirmed on the full sets.  Where a bucket's classes do not end up in one
-component, further stars follow: CENTRES classes outside the bucket's largest
-component, others in each round, meet the classes of all other components.  Rounds
-go on until one confirms no link.
+component, TURNS further rounds of stars follow: each class outside the largest
+component of such a bucket becomes a centre in one bucket a round, its smallest
+first, and meets the classes of other components there; a bucket has at most
+CENTRES of them a round.  Every round is linear in the rows of the buckets.
 
 With 32 bands of 5 rows a pair of similarity 0.8 shares no bucket with a chance of
 3 in a million, and ten buckets on average, each a chance to meet in a star.
@@ -35,8 +36,8 @@ from freshet.llm.common import landed, lookup, once
 from freshet.llm.textbytes import lowered, mixed, slices, span_hashes, words
 
 BANDS, ROWS = 32, 5
-#: Centres of a bucket in each further round.
-CENTRES = 4
+#: Further rounds, and centres of a bucket in each.
+TURNS, CENTRES = 3, 4
 
 
 def _orders(bins: int) -> np.ndarray:
@@ -183,11 +184,9 @@ def classes_and_labels(docs: DataFrame, width: int, percent: int, bands: int, ro
     labels = nodes.select("node", F.col("node").alias("root"))
     heads = buckets.groupBy("key").agg(F.array(F.min(F.struct("node", "n_shingles"))).alias("_tops"))
     links = _confirmed(buckets.join(heads, "key"), F.col("_t.node") != F.col("node"), sets, percent)
-    turn = 1
-    while not links.isEmpty():
-        labels = contract(links, labels)
-        links = _more_stars(buckets, labels, sets, turn, percent)
-        turn += 1
+    labels = contract(links, labels)
+    for turn in range(1, TURNS + 1):
+        labels = contract(_more_stars(buckets, labels, sets, turn, percent), labels)
     return facts, classes, labels
 
 
@@ -208,11 +207,15 @@ def _more_stars(buckets: DataFrame, labels: DataFrame, sets: DataFrame, turn: in
     """Confirmed links from new centres in buckets that hold several components."""
     rows = landed(buckets.join(labels, "node").select("key", "node", "n_shingles", "root"), "bucket-roots")
     parts = rows.groupBy("key", "root").agg(F.count("*").alias("_n"))
-    mixed_ = parts.groupBy("key").agg(F.max_by("root", F.struct("_n", "root")).alias("_main"), F.count("*").alias("_parts"))
-    mixed_ = mixed_.filter("_parts > 1").select("key", "_main")
+    mixed_ = parts.groupBy("key").agg(
+        F.max_by("root", F.struct("_n", "root")).alias("_main"), F.count("*").alias("_parts"), F.sum("_n").alias("_size")
+    )
+    mixed_ = mixed_.filter("_parts > 1").select("key", "_main", "_size")
     rows = landed(rows.join(mixed_, "key"), "mixed-buckets")
+    own = F.row_number().over(Window.partitionBy("node").orderBy("_size", "key"))  # a row per band at most
     nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node"))
-    heads = rows.filter("root != _main").withColumn("_nth", nth).filter(F.col("_nth") <= CENTRES)
+    heads = rows.filter("root != _main").withColumn("_own", own).filter(F.col("_own") == turn)
+    heads = heads.withColumn("_nth", nth).filter(F.col("_nth") <= CENTRES)
     tops = heads.groupBy("key").agg(F.collect_list(F.struct("node", "n_shingles", "root")).alias("_tops"))
     both = rows.join(tops, "key")
     apart = F.filter("_tops", lambda t: t["root"] != F.col("root"))
