@@ -226,6 +226,40 @@ def _(d):
     return agg.deaccumulate(running, ["station"], "d", "acc")
 
 
+@query(
+    "f14_monthly_median_by_lead",
+    "quantile str, site int, fy int, month iso, lead int, median num",
+    # Members are line numbers, forecasts are flags and sites in a water year, totals run over its days.
+    """WITH r AS (SELECT l_returnflag AS quantile, s_nationkey AS site, l_shipdate::DATE AS d, l_linenumber AS member, sum(l_quantity) AS v
+      FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3, 4),
+    a AS (SELECT *, year(d) + (month(d) >= 10)::INTEGER AS fy FROM r),
+    t AS (SELECT quantile, site, fy, d, sum(v) OVER (PARTITION BY quantile, site, fy, member ORDER BY d) AS acc FROM a),
+    m AS (SELECT quantile, site, fy, d, median(acc) AS mid FROM t GROUP BY 1, 2, 3, 4),
+    s AS (SELECT quantile, site, fy, date_trunc('month', d)::DATE AS month,
+      mid - lag(mid) OVER (PARTITION BY quantile, site, fy ORDER BY d) AS step FROM m),
+    f AS (SELECT *, min(month) OVER (PARTITION BY quantile, site, fy) AS first FROM s)
+    SELECT quantile, site, fy, month, date_diff('month', first, month) AS lead, median(step) AS median FROM f GROUP BY ALL""",
+)
+def _(d):
+    from freshet.functions.calendar import water_year
+    from freshet.operators.windows import cumsum
+
+    rows = (
+        d.table("lineitem")
+        .groupBy(
+            F.col("l_returnflag").alias("quantile"), F.col("l_suppkey").cast("int").alias("station"),
+            F.col("l_shipdate").cast("date").alias("d"), F.col("l_linenumber").alias("member"),
+        )
+        .agg(F.sum("l_quantity").alias("v"))
+        .join(d.station_meta.select("station", "site"), "station")
+        .groupBy("quantile", "site", "d", "member")
+        .agg(F.sum("v").alias("v"))
+        .withColumn("fy", water_year("d"))
+    )
+    running = cumsum(rows, ["quantile", "site", "fy", "member"], "d", "v", "acc")
+    return agg.monthly_median(running, ["quantile", "site", "fy"], "d", "acc", running_total=True)
+
+
 @query(
     "f15_forecast_by_issue",
     "site int, issue_date iso, forecast_mean num",

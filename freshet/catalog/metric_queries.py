@@ -125,3 +125,21 @@ def _(d):
 )
 def _(d):
     return metrics.score_table(d.pred, ["m"], "y", without=F.col("yr") == 2001)
+
+
+@query(
+    "l9_scores_by_year",
+    "yr int, mql num, mean_volume num, precipitation num",
+    f"""WITH a AS (SELECT year(d) + (month(d) >= 10)::INTEGER AS yr, site, sum(v) OVER (PARTITION BY site,
+        year(d) + (month(d) >= 10)::INTEGER ORDER BY d) AS acc FROM site_day),
+    p AS (SELECT yr, sum(m) AS precipitation FROM (SELECT yr, site, max(acc) AS m FROM a GROUP BY 1, 2) GROUP BY 1)
+    SELECT s.yr, mql, mean_volume, precipitation FROM (SELECT yr, {MQL} AS mql, avg(y) AS mean_volume FROM pred GROUP BY yr) s
+    LEFT JOIN p ON s.yr = p.yr""",
+)
+def _(d):
+    from freshet.functions.calendar import water_year
+    from freshet.operators.windows import cumsum
+
+    running = cumsum(d.site_day.withColumn("yr", water_year("d")), ["site", "yr"], "d", "v", "acc")
+    rain = running.select("site", "yr", F.col("acc").alias("v"))
+    return metrics.score_table(d.pred, ["yr"], "y", precipitation=rain)

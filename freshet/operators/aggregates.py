@@ -109,6 +109,23 @@ def deaccumulate(df: DataFrame, by: Sequence[str], order: str, total: str) -> Da
     return df.withColumn("step", F.col(total) - F.coalesce(F.lag(total).over(w), F.lit(0.0)))
 
 
+def monthly_median(df: DataFrame, by: Sequence[str], date: str, value: str, running_total: bool = False) -> DataFrame:
+    """median over the members on each lead date, made stepwise when it is a
+    running total, then the median of each calendar month of a forecast.
+
+    ``df`` holds one row per member and lead date; ``by`` names one forecast. The
+    first date of a running total has no step.
+    """
+    mid = df.groupBy(*by, date).agg(F.median(value).alias("_m"))
+    if running_total:
+        w = Window.partitionBy(*by).orderBy(date)
+        mid = mid.withColumn("_m", F.col("_m") - F.lag("_m").over(w))
+    first = F.min(F.trunc(date, "MM")).over(Window.partitionBy(*by))
+    lead = F.months_between(F.trunc(date, "MM"), first).cast("int").alias("lead")
+    dated = mid.select(*by, F.trunc(date, "MM").alias("month"), lead, "_m")
+    return dated.groupBy(*by, "month", "lead").agg(F.median("_m").alias("median"))
+
+
 def forecast_mean(
     df: DataFrame,
     issues: DataFrame,

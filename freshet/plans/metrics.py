@@ -152,15 +152,22 @@ def skill(pred: DataFrame, ref: DataFrame, by: Sequence[str], y: str) -> DataFra
 
 
 def score_table(
-    pred: DataFrame, by: Sequence[str], y: str, without: Column | None = None
+    pred: DataFrame, by: Sequence[str], y: str, without: Column | None = None, precipitation: DataFrame | None = None
 ) -> DataFrame:
     """Loss and coverage per slice, without one year, next to the slice's
     total volume (the largest per site and year, summed) and the loss relative
-    to its mean volume."""
+    to its mean volume.
+
+    ``precipitation`` (site, yr, v: a total that runs over the year) adds, to
+    slices by ``yr``, the sum over sites of each year's largest value."""
     rows = pred if without is None else pred.where(~without)
     score = rows.groupBy(*by).agg(
         mql(y).alias("mql"), coverage(y).alias("coverage"), F.avg(y).alias("mean_volume")
     )
     inner = list(dict.fromkeys([*by, "site", "yr"]))
     total = rows.groupBy(*inner).agg(F.max(y).alias("_v")).groupBy(*by).agg(F.sum("_v").alias("total_volume"))
-    return score.join(total, list(by)).withColumn("relative_loss", F.try_divide("mql", "mean_volume"))
+    out = score.join(total, list(by)).withColumn("relative_loss", F.try_divide("mql", "mean_volume"))
+    if precipitation is not None:
+        most = precipitation.groupBy("site", "yr").agg(F.max("v").alias("_v"))
+        out = out.join(most.groupBy("yr").agg(F.sum("_v").alias("precipitation")), "yr", "left")
+    return out
