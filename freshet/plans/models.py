@@ -223,6 +223,8 @@ def _pls_predict(x: np.ndarray, y: np.ndarray, new: np.ndarray, ncomp: int) -> l
 def _held_out(x_all: np.ndarray, y_all: np.ndarray, other: np.ndarray, test: np.ndarray, max_comp: int):
     """q10, q50, q90, rmse, components and training rows for one held-out row, or None."""
     rows = other & ~np.isnan(y_all)
+    if not rows.any():
+        return None
     cols = [j for j in range(x_all.shape[1]) if not np.isnan(test[j]) and np.isnan(x_all[rows, j]).mean() < 0.5]
     rows = rows & ~np.isnan(x_all[:, cols]).any(axis=1)
     x, t = x_all[rows], y_all[rows]
