@@ -77,7 +77,7 @@ def numbered(df: DataFrame, order: list[str | Column], name: str = "row_number")
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = [F.col(c) if isinstance(c, str) else c for c in order]
-    at = df.withColumn("_at", F.monotonically_increasing_id())
+    at = landed(df.withColumn("_at", F.monotonically_increasing_id()), "unnumbered")  # read twice: for the ranges, then to sort
     dealt = at.repartitionByRange(n, *by, F.col("_at")).sortWithinPartitions(*by, F.col("_at"))
     put = landed(dealt.drop("_at").withColumn("_mono", F.monotonically_increasing_id()), "numbered")
     put = put.withColumn("_task", F.shiftright("_mono", 33).cast("int"))
