@@ -13,8 +13,9 @@ the leaves visited.
 
 The tree is fitted on at most ``sample`` classes (drawn by hash, the bound holds in
 expectation), which also bounds its leaves; every class is then put into its leaf.
-Leaves and the queries that visit them are dealt to tasks in blocks of at most
-about ``BLOCK`` rows each, so neither a full leaf nor a popular one meets in one task.
+Leaves that follow each other in the tree are searched together up to ``BLOCK``
+rows, which saves partial results; a larger leaf, and the queries that visit one
+place, are dealt out in parts of about that size, so neither meets in one task.
 
 Defined results: vectors that are null, zero, hold null or non-finite components,
 or have another length than most take no part; rows of equal id and vector count
@@ -137,6 +138,18 @@ def _best(ask: np.ndarray, have: np.ndarray, lowest: np.ndarray, k: int) -> tupl
     return (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rows, cols, scores))
 
 
+def _places(sizes: dict[int, int], n_leaves: int) -> list[tuple[int, int, int]]:
+    """(leaf, place, parts): neighbouring leaves share a place up to BLOCK rows."""
+    out, place, held = [], 0, 0
+    for leaf in range(n_leaves):
+        n = sizes.get(leaf, 0)
+        if held and held + n > BLOCK:
+            place, held = place + 1, 0
+        held += n
+        out.append((leaf, place, max(1, -(-n // BLOCK))))
+    return out
+
+
 def usable(v: Column) -> Column:
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return v.isNotNull() & F.coalesce(sound & F.exists(v, lambda x: x != 0), F.lit(False))
@@ -169,7 +182,7 @@ def search(
     vectors: DataFrame,
     is_query: Column,
     k: int = 20,
-    recall: float = 0.98,
+    recall: float = 0.96,
     sample: int = 20_000,
     calibration: int = 128,
     id_col: str = "vec_id",
@@ -220,6 +233,10 @@ def search(
         while visits < tree.n_leaves and (late < visits).mean() < recall:
             visits += 1
 
+    sizes = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row per leaf
+    places = _places(sizes, tree.n_leaves)
+    place_of = np.array([p for _, p, _ in places])
+
     asked = rows.filter("asks").select("id", "vec")
     uses = asked.groupBy("vec").agg(F.count("*").alias("uses"))
     ask = landed(classes.join(uses, "vec").select("node", "vec", "uses"), "queries")
@@ -230,19 +247,20 @@ def search(
             if not batch.num_rows:
                 continue
             far = tree.distances(_asked(_matrix(batch.column(1), batch.num_rows)))
-            leaves = [tree.visit_order(f, visits) for f in far]
+            leaves = [np.unique(place_of[tree.visit_order(f, visits)]) for f in far]
             of = np.repeat(np.arange(batch.num_rows), [len(x) for x in leaves])
             picked = pa.array(of)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(1).take(picked), pa.array(np.concatenate(leaves))], names=["node", "vec", "leaf"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(1).take(picked), pa.array(np.concatenate(leaves))], names=["node", "vec", "place"])
 
-    walked = landed(ask.select("node", "vec").mapInArrow(walk, "node long, vec array<double>, leaf long"), "walks")
-    parts = lambda name: F.ceil(F.count("*") / BLOCK).cast("int").alias(name)
-    blocks = index.groupBy("leaf").agg(parts("_c")).join(walked.groupBy("leaf").agg(parts("_q")), "leaf")
-    blocks = F.broadcast(landed(blocks, "leaf-blocks"))  # a row per leaf at most
+    walked = landed(ask.select("node", "vec").mapInArrow(walk, "node long, vec array<double>, place long"), "walks")
+    known = spark.createDataFrame(places, "leaf long, place long, _c int")
+    met = walked.groupBy("place").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_q"))
+    blocks = F.broadcast(landed(known.groupBy("place").agg(F.max("_c").alias("_c")).join(met, "place"), "places"))
+    index = index.join(F.broadcast(known.select("leaf", "place")), "leaf")  # a row per leaf, as in blocks
     spread = lambda own, n: F.pmod(F.xxhash64(own), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    have = index.join(blocks, "leaf").withColumn("c", spread("node", "_c")).withColumn("q", every("_q"))
-    wants = walked.join(blocks, "leaf").withColumn("q", spread("node", "_q")).withColumn("c", every("_c"))
+    have = index.join(blocks, "place").withColumn("c", spread("node", "_c")).withColumn("q", every("_q"))
+    wants = walked.join(blocks, "place").withColumn("q", spread("node", "_q")).withColumn("c", every("_c"))
 
     def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("query", pa.int64()), ("node", pa.int64()), ("score", pa.float64()), ("lowest", pa.int64())])
@@ -254,7 +272,7 @@ def search(
         return pa.Table.from_arrays([right.column("query").take(pa.array(q)), left.column("node").take(pa.array(i)), pa.array(s), pa.array(lowest[i])], schema=schema)
 
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["leaf", "c", "q"]
+    keys = ["place", "c", "q"]
     left = have.select(*keys, "node", "vec", "lowest").repartition(n_parts, *keys).groupBy(*keys)
     right = wants.select(*keys, F.col("node").alias("query"), "vec").repartition(n_parts, *keys).groupBy(*keys)
     found = left.cogroup(right).applyInArrow(meet, "query long, node long, score double, lowest long")
