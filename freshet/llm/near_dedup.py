@@ -13,10 +13,17 @@ densification).  Bands of the signature put classes into buckets.
 Within a bucket the first class is linked as a candidate to all others, a star, so
 candidates grow with the bucket's size and not with its square.  Candidates are
 confirmed on the full sets.  Where a bucket's classes do not end up in one
-component, TURNS further rounds of stars follow: each class outside the largest
-component of such a bucket becomes a centre in one bucket a round, its smallest
-first, and meets the classes of other components there; a bucket has at most
-CENTRES of them a round.  Every round is linear in the rows of the buckets.
+component, further rounds of stars follow until none is left: classes outside the
+largest component of such a bucket become centres, CENTRES of them in a bucket in
+the first round and GROWTH times as many in each next one, and meet the classes of
+other components there.  A bucket is settled when it is one component or all its
+classes outside the largest one have been centres; so every pair that shares a
+bucket is compared or already linked.
+
+Before sets are joined, a pair must pass a bound that is exact: of two sets'
+parity bits (how many members fall on a bit, odd or even) at most as many differ
+as members do.  A bucket of many components still takes work that grows with the
+square of their number, on these bits alone, dealt over tasks by PAIRS.
 
 With 32 bands of 5 rows a pair of similarity 0.8 shares no bucket with a chance of
 3 in a million, and ten buckets on average, each a chance to meet in a star.
@@ -36,8 +43,13 @@ from freshet.llm.common import landed, lookup, once
 from freshet.llm.textbytes import lowered, mixed, slices, span_hashes, words
 
 BANDS, ROWS = 32, 5
-#: Further rounds, and centres of a bucket in each.
-TURNS, CENTRES = 3, 4
+#: Further rounds: centres of a bucket in the first, and how they grow.
+CENTRES, GROWTH = 4, 4
+#: Pairs of a bucket that one task compares.
+PAIRS = 1 << 22
+#: Words of 64 parity bits of a set.
+PARITY = 8
+BITS = [f"p{j}" for j in range(PARITY)]
 
 
 def _orders(bins: int) -> np.ndarray:
@@ -118,8 +130,14 @@ def _facts(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, text
     return rows_in.mapInArrow(run, schema)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Parity bits of a set: how many members fall on each, odd or even."""
+    odd = np.bincount((s % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """(node, items) from (node, text)."""
+    """(node, items, p0, p1, ...) from (node, text)."""
 
     def run(batches):
         for batch in batches:
@@ -127,9 +145,11 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
                 found = shingles(data, at, width)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
                 items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), items], names=["node", "items"])
+                odd = np.array([parity(s) for s in found]).reshape(-1, PARITY)
+                cols = [batch.column(0).slice(begin, end - begin), items, *[pa.array(np.ascontiguousarray(odd[:, j])) for j in range(PARITY)]]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "items", *BITS])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, items array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node long, items array<long>, " + ", ".join(f"{c} long" for c in BITS))
 
 
 def contract(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -182,19 +202,29 @@ def classes_and_labels(docs: DataFrame, width: int, percent: int, bands: int, ro
     sets = landed(_sets(wanted.select("node", F.col(text_col).alias("text")), width), "shingle-sets")
 
     labels = nodes.select("node", F.col("node").alias("root"))
-    heads = buckets.groupBy("key").agg(F.array(F.min(F.struct("node", "n_shingles"))).alias("_tops"))
-    links = _confirmed(buckets.join(heads, "key"), F.col("_t.node") != F.col("node"), sets, percent)
-    labels = contract(links, labels)
-    for turn in range(1, TURNS + 1):
-        labels = contract(_more_stars(buckets, labels, sets, turn, percent), labels)
-    return facts, classes, labels
+    heads = buckets.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("_t"))
+    small, large = F.least("n_shingles", "_t.n_shingles"), F.greatest("n_shingles", "_t.n_shingles")
+    pairs = buckets.join(heads, "key").filter((F.col("_t.node") != F.col("node")) & (100 * small >= percent * large))
+    pairs = pairs.select(F.col("_t.node").alias("a"), F.col("node").alias("b")).distinct()
+    labels = contract(_confirmed(pairs, sets, percent), labels)
+    return facts, classes, _settled(buckets, labels, sets, percent)
 
 
-def _confirmed(rows: DataFrame, other: Column, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the class of each row and those of its ``_tops`` that are similar enough."""
-    small, large = F.least("n_shingles", "_t.n_shingles"), F.greatest("n_shingles", "_t.n_shingles")
-    pairs = rows.withColumn("_t", F.explode("_tops")).filter(other & (100 * small >= percent * large))
-    pairs = pairs.select(F.least("node", "_t.node").alias("a"), F.greatest("node", "_t.node").alias("b")).distinct()
+def _may(percent: int, n_a: Column, n_b: Column, a: str, b: str) -> Column:
+    """Whether sets of these sizes and parity bits can be similar enough; never false for a pair that is."""
+    differ = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in BITS), F.lit(0))
+    both = n_a + n_b
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & ((100 + percent) * (both - differ) >= 2 * percent * both)
+
+
+def _bits(sets: DataFrame, name: str) -> DataFrame:
+    return sets.select(F.col("node").alias(name), F.size("items").cast("long").alias(f"{name}_n"), *[F.col(c).alias(f"{name}_{c}") for c in BITS])
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar enough."""
+    may = _may(percent, F.col("a_n"), F.col("b_n"), "a_", "b_")
+    pairs = pairs.join(_bits(sets, "b"), "b").join(_bits(sets, "a"), "a").filter(may).select("a", "b")
     a = sets.select(F.col("node").alias("a"), F.col("items").alias("_ia"))
     b = sets.select(F.col("node").alias("b"), F.col("items").alias("_ib"))
     common = F.size(F.array_intersect("_ia", "_ib"))
@@ -203,23 +233,46 @@ def _confirmed(rows: DataFrame, other: Column, sets: DataFrame, percent: int) ->
     return landed(proof.select("a", "b"), "links")
 
 
-def _more_stars(buckets: DataFrame, labels: DataFrame, sets: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Confirmed links from new centres in buckets that hold several components."""
-    rows = landed(buckets.join(labels, "node").select("key", "node", "n_shingles", "root"), "bucket-roots")
-    parts = rows.groupBy("key", "root").agg(F.count("*").alias("_n"))
-    mixed_ = parts.groupBy("key").agg(
-        F.max_by("root", F.struct("_n", "root")).alias("_main"), F.count("*").alias("_parts"), F.sum("_n").alias("_size")
-    )
-    mixed_ = mixed_.filter("_parts > 1").select("key", "_main", "_size")
-    rows = landed(rows.join(mixed_, "key"), "mixed-buckets")
-    own = F.row_number().over(Window.partitionBy("node").orderBy("_size", "key"))  # a row per band at most
-    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node"))
-    heads = rows.filter("root != _main").withColumn("_own", own).filter(F.col("_own") == turn)
-    heads = heads.withColumn("_nth", nth).filter(F.col("_nth") <= CENTRES)
-    tops = heads.groupBy("key").agg(F.collect_list(F.struct("node", "n_shingles", "root")).alias("_tops"))
-    both = rows.join(tops, "key")
-    apart = F.filter("_tops", lambda t: t["root"] != F.col("root"))
-    return _confirmed(both.withColumn("_tops", apart), F.lit(True), sets, percent)
+def _settled(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Labels after rounds of stars until no bucket holds a pair of components that was not compared."""
+    rows = buckets.select("key", "node", F.lit(False).alias("done"))
+    limit = CENTRES
+    while True:
+        rows = landed(rows.join(labels, "node").select("key", "node", "done", "root"), "bucket-roots")
+        parts = rows.groupBy("key", "root").agg(F.count("*").alias("_n"))
+        several = parts.groupBy("key").agg(
+            F.max_by("root", F.struct("_n", "root")).alias("_main"), F.count("*").alias("_parts"),
+            F.sum("_n").alias("_size"), F.max("_n").alias("_most"),
+        )
+        several = several.filter("_parts > 1").select("key", "_main", "_size", (F.col("_size") - F.col("_most")).alias("_rest"))
+        rows = landed(rows.join(several, "key"), "mixed-buckets")
+        nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
+        heads = rows.filter("NOT done AND root != _main").withColumn("_nth", nth).filter(F.col("_nth") <= limit)
+        heads = landed(heads.select("key", "node", F.lit(True).alias("_centre")), "centres")
+        if heads.isEmpty():
+            return labels
+        rows = rows.join(heads, ["key", "node"], "left").withColumn("_centre", F.coalesce("_centre", F.lit(False)))
+        shares = (1 + F.expr(f"_size * least(_rest, {limit}L) div {PAIRS}")).cast("int")
+        rows = landed(rows.select("key", "node", "done", "root", "_centre", shares.alias("_shares")), "bucket-turn")
+        labels = contract(_confirmed(_stars(rows, sets, percent), sets, percent), labels)
+        rows = rows.select("key", "node", (F.col("done") | F.col("_centre")).alias("done"))
+        limit *= GROWTH
+
+
+def _stars(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a centre and a class of its bucket that are in two components and may be similar enough.
+
+    A class that was a centre of the bucket before has met all others there, and of
+    two centres only one asks.
+    """
+    ends = rows.filter("NOT done").withColumn("_share", F.pmod(F.xxhash64("node"), F.col("_shares")).cast("int"))
+    ends = ends.select("key", "_share", F.col("node").alias("b"), F.col("root").alias("_rb"), F.col("_centre").alias("_cb")).join(_bits(sets, "b"), "b")
+    tops = rows.filter("_centre").withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
+    tops = tops.select("key", "_share", F.col("node").alias("a"), F.col("root").alias("_ra")).join(_bits(sets, "a"), "a")
+    apart = (F.col("_ra") != F.col("_rb")) & (~F.col("_cb") | (F.col("a") < F.col("b")))
+    same = (ends["key"] == tops["key"]) & (ends["_share"] == tops["_share"])
+    met = ends.join(tops, same & apart & _may(percent, F.col("a_n"), F.col("b_n"), "a_", "b_"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def groups(

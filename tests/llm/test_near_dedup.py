@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from freshet.llm import near_dedup
@@ -70,6 +71,34 @@ def test_hot_group_and_empty(spark):
     assert got(spark, [], 5) == []
 
 
+def test_one_bucket_of_many_components(spark, monkeypatch):
+    # Texts of one template, mutually at 0.70 to 0.75, each with two copies at 0.8 or more; all share the buckets of the template.
+    rng = random.Random(11)
+    template = [f"t{i}" for i in range(600)]
+    rows = []
+    for base in range(150):
+        own = [f"b{base}x{i}" for i in range(97)]
+        for copy in range(2):
+            rows.append((len(rows), " ".join([*template, *own, *[f"c{base}y{copy}z{i}" for i in range(3 + 25 * copy)]])))
+    rng.shuffle(rows)
+    # Every bucket holds every class, so the result rests on the comparisons within one.
+    monkeypatch.setattr(near_dedup, "band_keys", lambda sig, bands, rows: np.full(bands, 7, np.int64))
+    monkeypatch.setattr(near_dedup, "PAIRS", 5000, raising=False)
+    df = spark.createDataFrame([(d, t, 0, "x") for d, t in rows], SCHEMA)
+    out = {r.doc_id: r.component_id for r in near_dedup.groups(df, width=1, bands=1, rows=5).collect()}
+    want = {d: c for d, _, c in brute(rows, 1)}
+    assert len(set(want.values())) == 150 and out == want
+
+
+def test_parity_bound_never_exceeds_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 80, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 1 << 63, n // 3 + 1).astype(np.uint64)]))
+        differ = np.unpackbits((near_dedup.parity(a) ^ near_dedup.parity(b)).view(np.uint8)).sum()
+        assert differ <= len(np.setxor1d(a, b))
+
+
 def test_survivors(spark):
     base = " ".join(f"v{i}" for i in range(100))
     rows = [(5, base), (3, base + " more"), (9, "other words stand in this one"), (9, "other words stand in this one"), (4, ""), (6, None)]
