@@ -6,10 +6,12 @@ different children for its pages they become one wildcard; children that lead to
 the same templates and whose labelled purity does not differ by more than chance
 are merged into one branch.  A template is rejected when the smoothed share of bad
 among its labelled pages, (bad + ALPHA / 2) / (labelled + ALPHA), reaches REJECT.
-Paths deeper than DEPTH segments share one wildcard for their tail.
+Paths of any depth keep all their segments; the rounds go as deep as a host has
+enough paths for a node to be generalised, or to have two children.
 
 Pages that a rule judges are the labelled ones (block is bad); the method judges
-the rest by their template.
+the rest by their template.  A template has the labels of its own pages only: one
+where no page is judged by a rule has a purity of one half and is allowed.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
 and the verdict of that template; of rules of equal length the first by code point
@@ -27,7 +29,6 @@ from freshet.llm.common import landed, lookup
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-DEPTH = 6
 #: A node's children are variable when there are so many, and so many for its pages.
 MANY, VARIED = 20, 0.2
 ALPHA, REJECT = 2.0, 0.8
@@ -54,7 +55,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def segments(path: Column) -> Column:
-    """The path's segments with plainly variable ones as wildcards, at most DEPTH + 1 of them."""
+    """The path's segments with plainly variable ones as wildcards."""
     kinds = (
         (r"^[0-9]+$", "{n}"),
         (r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$", "{date}"),
@@ -62,9 +63,7 @@ def segments(path: Column) -> Column:
         (r"^[0-9]+(\.[A-Za-z0-9]{1,5})$", "{n}$1"),
     )
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    shaped = F.transform(parts, lambda s: reduce(lambda c, k: F.regexp_replace(c, *k), kinds, s))
-    deep = F.size(shaped) > DEPTH
-    return F.when(deep, F.concat(F.slice(shaped, 1, DEPTH), F.array(F.lit("**")))).otherwise(shaped)
+    return F.transform(parts, lambda s: reduce(lambda c, k: F.regexp_replace(c, *k), kinds, s))
 
 
 def _prefix(level: int) -> Column:
@@ -75,9 +74,12 @@ def _child(level: int) -> Column:
     return F.get("now", F.lit(level))
 
 
+def _tail(level: int) -> Column:
+    return F.slice("now", F.lit(level + 2), F.size("now"))
+
+
 def _with_child(level: int, child: Column) -> Column:
-    tail = F.slice("now", level + 2, DEPTH + 1)
-    return F.when(_child(level).isNull(), F.col("now")).otherwise(F.concat(_prefix(level), F.array(child), tail))
+    return F.when(_child(level).isNull(), F.col("now")).otherwise(F.concat(_prefix(level), F.array(child), _tail(level)))
 
 
 def _generalise(leaves: DataFrame, level: int) -> DataFrame:
@@ -94,7 +96,7 @@ def _generalise(leaves: DataFrame, level: int) -> DataFrame:
 def _merge(leaves: DataFrame, level: int) -> DataFrame:
     """Merges the children of a node that have the same subtree and like purity."""
     rows = leaves.withColumns({"_prefix": _prefix(level), "_child": _child(level)})
-    below = rows.filter("_child IS NOT NULL").groupBy("host", "_prefix", "_child", F.slice("now", level + 2, DEPTH + 1).alias("_below"))
+    below = rows.filter("_child IS NOT NULL").groupBy("host", "_prefix", "_child", _tail(level).alias("_below"))
     below = below.agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"), F.count("*").alias("_rows"))
     kids = below.groupBy("host", "_prefix", "_child").agg(
         F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"), F.sum("_rows").alias("_w"),
@@ -116,15 +118,24 @@ def _merge(leaves: DataFrame, level: int) -> DataFrame:
     return found.withColumn("now", now).select(*leaves.columns)
 
 
+def _reach(leaves: DataFrame) -> tuple[int, int]:
+    """The levels at which some host has MANY leaves or more, and those at which one has two: no other node can change."""
+    deeper = F.sum("_n").over(Window.partitionBy("host").orderBy(F.desc("_depth")))
+    depths = leaves.groupBy("host", F.size("shape").alias("_depth")).agg(F.count("*").alias("_n")).withColumn("_deeper", deeper)
+    most = [F.max(F.when(F.col("_deeper") >= n, F.col("_depth"))) for n in (MANY, 2)]
+    wide, two = depths.agg(*most).first()
+    return wide or 0, two or 0
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, shape) to template with purity, from rows (host, shape, bad), bad null without a label."""
     labelled = F.count("bad").alias("labelled")
     leaves = pages.groupBy("host", "shape").agg(F.count("*").alias("pages"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), labelled)
     leaves = landed(leaves.withColumn("now", F.col("shape")), "url-leaves")
-    deepest = leaves.agg(F.max(F.size("shape"))).first()[0] or 0
-    for level in range(deepest):
+    wide, two = _reach(leaves)
+    for level in range(wide):
         leaves = landed(_generalise(leaves, level), "url-leaves")
-    for level in range(deepest):
+    for level in range(two):
         leaves = landed(_merge(leaves, level), "url-leaves")
     sums = leaves.groupBy("host", "now").agg(F.sum("bad").alias("_bad"), F.sum("labelled").alias("_labelled"), F.count("*").alias("_w"))
     purity = (F.col("_bad") + ALPHA / 2) / (F.col("_labelled") + ALPHA)

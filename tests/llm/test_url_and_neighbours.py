@@ -57,6 +57,15 @@ def test_templates_learn_from_labels(spark):
     assert len(tree) == 1 and tree[0].bad_share >= url_filter.REJECT
 
 
+def test_deep_paths_keep_their_tails(spark):
+    rules = [("block", "h.com/a/b/c/d/e/f/g/spam/"), ("allow", "h.com/a/b/c/d/e/f/g/news/")]
+    urls = [f"http://h.com/a/b/c/d/e/f/g/{kind}/{i}" for kind in ("spam", "news") for i in range(30)]
+    out = url_filter.judge(pages_of(spark, urls), rules)
+    got = {r.template: (r.n, r.share) for r in out.groupBy("template").agg(F.count("*").alias("n"), F.max("bad_share").alias("share")).collect()}
+    assert sorted(got) == ["/a/b/c/d/e/f/g/news/{n}", "/a/b/c/d/e/f/g/spam/{n}"]
+    assert got["/a/b/c/d/e/f/g/spam/{n}"] == (30, 31 / 32) and got["/a/b/c/d/e/f/g/news/{n}"] == (30, 1 / 32)
+
+
 def test_like_branches_merge(spark):
     rows = [("h", [s, "{n}"], bad) for s, bad in (("a", 1), ("b", 1), ("c", 0)) for _ in range(30)] + [("h", ["d", "{n}"], None)] * 9
     tree = {r.shape[0]: r.template for r in url_filter.templates(spark.createDataFrame(rows, "host string, shape array<string>, bad int")).collect()}
