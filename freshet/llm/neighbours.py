@@ -124,17 +124,21 @@ def _asked(x: np.ndarray) -> np.ndarray:
 def _best(ask: np.ndarray, have: np.ndarray, lowest: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate row, score) of the k best candidates of each query, ties to the smaller id."""
     rows, cols, scores = [], [], []
+    longest = np.linalg.norm(have, axis=1).max(initial=0)
     for a in range(0, len(ask), 512):
         near = ask[a : a + 512] @ have.T
-        m = min(k + 8, near.shape[1])
-        top = np.argpartition(-near, m - 1, axis=1)[:, :m]
-        # One order of summation, wherever a pair stands.
-        exact = (ask[a : a + 512, None, :] * have[top]).sum(axis=2)
-        for i in range(len(top)):
-            order = np.lexsort((lowest[top[i]], -exact[i]))[:k]
+        m = near.shape[1] - min(k, near.shape[1])
+        # All that reach the k-th best score but for rounding: ties are told apart below, however many.
+        slack = 8 * have.shape[1] * np.finfo(np.float64).eps * np.linalg.norm(ask[a : a + 512], axis=1) * longest
+        cut = np.partition(near, m, axis=1)[:, m] - slack
+        for i in range(len(near)):
+            top = np.flatnonzero(near[i] >= cut[i])
+            # One order of summation, wherever a pair stands.
+            exact = (ask[a + i] * have[top]).sum(axis=1)
+            order = np.lexsort((lowest[top], -exact))[:k]
             rows.append(np.full(len(order), a + i))
-            cols.append(top[i][order])
-            scores.append(exact[i][order])
+            cols.append(top[order])
+            scores.append(exact[order])
     return (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rows, cols, scores))
 
 

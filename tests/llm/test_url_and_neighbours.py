@@ -129,6 +129,18 @@ def test_search_edges(spark):
     assert neighbours.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_many_distinct_ties_go_to_the_smaller_id():
+    rng = np.random.default_rng(4)
+    have = rng.integers(-1, 2, (3000, 12)).astype(np.float64)
+    ids = rng.permutation(len(have))
+    asks = np.vstack([have[:20], np.eye(12)[:3]])
+    got = {}
+    for q, i, s in zip(*neighbours._best(asks, have, ids, 5)):
+        got.setdefault(q, []).append((-s, ids[i]))
+    for q, ask in enumerate(asks):
+        assert got[q] == sorted(zip(-(have @ ask), ids))[:5]
+
+
 def test_best_bin_first_visits_every_leaf_once():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 8))
