@@ -32,20 +32,55 @@ def digest(text: str | Column) -> Column:
     return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
 class DigestIndex:
     """Digests seen so far: (digest, keep_id, batch), bucketed and sorted by digest.
 
-    ``buckets`` is fixed when the table is made.  ``path`` is the table's folder
-    and must be seen by all executors; by default it lies in the shared folder.
+    ``path`` is the table's folder and must be seen by all executors; by default it
+    lies in the shared folder, under a new name.  ``buckets`` is fixed when the index
+    is made and kept beside the folder, so an index that another session made is
+    opened as it is: opening only tells this session's catalog of the files.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.name = name or f"digest_index_{uuid.uuid4().hex[:12]}"
         self.path = path or run_path(spark, self.name)
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = self._settled(buckets)
         if not spark.catalog.tableExists(self.name):
-            self._append(spark.createDataFrame([], "digest binary, keep_id long, batch string"))
+            spark.sql(
+                f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
+                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
+            )
+
+    def _settled(self, wanted: int | None) -> int:
+        """The bucket count kept beside the index; a new index keeps the one wanted."""
+        beside = f"{self.path}.buckets"
+        if _exists(self.spark, beside):
+            kept = self.spark.read.schema("buckets int").parquet(beside).first()["buckets"]
+            if wanted not in (None, kept):
+                raise ValueError(f"the index has {kept} buckets")
+            return kept
+        if _exists(self.spark, self.path):
+            raise ValueError(f"{self.path} holds files but no bucket count stands beside it")
+        wanted = wanted or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark.createDataFrame([(wanted,)], "buckets int").write.parquet(beside)
+        return wanted
+
+    def drop(self) -> None:
+        """Forget the index and delete its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for path in (self.path, f"{self.path}.buckets"):
+            _file_system(self.spark, path)[0].delete(_file_system(self.spark, path)[1], True)
 
     def _append(self, rows: DataFrame) -> None:
         dealt = rows.repartition(self.buckets, "digest")

@@ -1,5 +1,9 @@
 import hashlib
+import os
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -7,6 +11,7 @@ import pytest
 from freshet.llm import queries
 from freshet.llm.exact_dedup import DigestIndex
 
+ROOT = Path(__file__).resolve().parents[2]
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, digest string, kept int"
 ROWS = [
@@ -50,6 +55,33 @@ def test_second_batch_meets_the_index(spark):
     assert index.rows().count() == 3
 
 
+def test_index_outlives_its_session(spark, tmp_path):
+    """Another process fills the index; this one, which knows nothing of it, opens it and goes on."""
+    path = f"{tmp_path}/index"
+    script = f"""
+from freshet.session import local_session
+from freshet.llm.exact_dedup import DigestIndex
+spark = local_session(2, "first")
+index = DigestIndex(spark, "lasting", "{path}", buckets=3)
+index.ingest(spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string"), batch_id="a")
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", script], check=True, cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(ROOT)}, timeout=120)
+    second = spark.createDataFrame([(3, "t w o"), (4, "three")], "doc_id long, text string")
+    for _ in range(2):
+        index = DigestIndex(spark, "lasting", path)
+        assert index.buckets == 3
+        got = {r.doc_id: (r.keep_id, r.kept) for r in index.ingest(second, batch_id="b").collect()}
+        assert got == {3: (2, False), 4: (4, True)}
+        assert index.rows().count() == 3
+        spark.sql("DROP TABLE lasting")  # the files stay
+    with pytest.raises(ValueError):
+        DigestIndex(spark, "lasting", path, buckets=5)
+    index = DigestIndex(spark, "lasting", path)
+    index.drop()
+    assert not list(tmp_path.glob("index*"))
+
+
 def test_index_is_joined_without_its_own_shuffle(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
