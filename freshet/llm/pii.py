@@ -8,18 +8,23 @@ different ones, and the holder of the key can undo them.
   card    13 to 19 digits whose check digit (Luhn) is right; the digits before it
           are permuted and the check digit is set anew; separators stay
   phone   three, three and four digits with separators, after an optional country
-          code, which stays
-  ssn     three, two and four digits with hyphens
+          code, which stays; area code and exchange start with 2 to 9 and do so in
+          the pseudonym; others count only if a country code or parentheses mark
+          them as a phone number, and stay among those others
+  ssn     three, two and four digits with hyphens, none of the three all zero, the
+          first neither 666 nor above 899; so in the pseudonym
   ip      four numbers up to 255
   date    a day of the years 1900 to 2099 as y-m-d, d.m.y or d/m/y (m/d/y where
           only that is a day); its day number is permuted
   email   letters and digits before the @ are permuted, upper case and other
-          characters stay, and so does the domain
+          characters stay, and so does the domain; long names piece by piece, each
+          with the pseudonyms before it as part of the key
   secret  32 to 64 hexadecimal digits with letters and digits among them
 
 Numbers that fail their check stay as they are.  Defined results: a null text
 stays null with no values, an empty one empty; repeated rows give equal rows; an
-empty table gives no rows; other columns are kept; texts are read whole.
+empty table gives no rows; other columns are kept, but ``spans`` replaces one of that
+name; texts are read whole.
 """
 
 from __future__ import annotations
@@ -63,7 +68,8 @@ class Permutation:
         self.key = key
 
     def _f(self, name: str, n: int, i: int, half: int, size: int) -> int:
-        said = f"{name}|{n}|{i}|{half}".encode()
+        n_bytes = (n.bit_length() + 7) // 8
+        said = name.encode() + b"|" + n.to_bytes(n_bytes, "big") + bytes([i]) + half.to_bytes(n_bytes, "big")
         return int.from_bytes(hashlib.blake2b(said, key=self.key, digest_size=32).digest(), "big") % size
 
     def _once(self, name: str, n: int, a: int, b: int, x: int, undo: bool) -> int:
@@ -84,6 +90,15 @@ class Permutation:
             x = self._once(name, n, a, b, x, undo)
         return x
 
+    def within(self, name: str, n: int, x: int, kind, undo: bool = False) -> int:
+        """Walks on until the value is of the same kind, so each kind is permuted in itself."""
+        own = kind(x)
+        name = f"{name} {own}"
+        x = self(name, n, x, undo)
+        while kind(x) != own:
+            x = self(name, n, x, undo)
+        return x
+
 
 def _root(n: int) -> int:
     """The square root, rounded up."""
@@ -114,14 +129,27 @@ def _card(p: Permutation, v: str, undo: bool) -> str | None:
     return _refill(v, body + str(check_digit(body)))
 
 
+def _proper_phone(x: int) -> bool:
+    return x // 10**9 >= 2 and x // 10**6 % 10 >= 2
+
+
 def _phone(p: Permutation, v: str, undo: bool) -> str | None:
     d = re.sub(r"\D", "", v)
     code = len(d) - 10
-    return _refill(v, d[:code] + str(p("phone", 10**10, int(d[code:]), undo)).zfill(10))
+    x = int(d[code:])
+    if not (_proper_phone(x) or code or "(" in v):
+        return None
+    return _refill(v, d[:code] + str(p.within("phone", 10**10, x, _proper_phone, undo)).zfill(10))
+
+
+def _proper_ssn(x: int) -> bool:
+    area = x // 10**6
+    return area not in (0, 666) and area < 900 and x // 10**4 % 100 > 0 and x % 10**4 > 0
 
 
 def _ssn(p: Permutation, v: str, undo: bool) -> str | None:
-    return _refill(v, str(p("ssn", 10**9, int(v.replace("-", "")), undo)).zfill(9))
+    x = int(v.replace("-", ""))
+    return _refill(v, str(p.within("ssn", 10**9, x, _proper_ssn, undo)).zfill(9)) if _proper_ssn(x) else None
 
 
 def _ip(p: Permutation, v: str, undo: bool) -> str | None:
@@ -177,24 +205,37 @@ def _late_days() -> list[int]:
     return _late
 
 
+#: Characters permuted at once; the halves of their number stay below a round's 256 bits.
+TOGETHER = 64
+
+
 def _letters(p: Permutation, name: str, v: str, undo: bool, hexadecimal: bool = False) -> str | None:
-    """Permutes the letters and digits of a string, each within its kind."""
-    low, x, n = v.lower(), 0, 1
-    sizes = []
-    for c in low:
-        size, place = (16, int(c, 16)) if hexadecimal else (10, int(c)) if c.isdigit() else (26, ord(c) - 97) if c.isalpha() else (1, 0)
-        sizes.append(size)
-        x, n = x * size + place, n * size
-    if n == 1:
+    """Permutes the letters and digits of a string, each within its kind.
+
+    The kinds of all characters are part of the key; so are, for each further piece
+    of a long string, the pseudonyms of the pieces before it.
+    """
+    low = v.lower()
+    sizes = [16 if hexadecimal else 10 if c.isdigit() else 26 if c.isalpha() else 1 for c in low]
+    if max(sizes, default=1) == 1:
         return None
     shape = "".join("h" if s == 16 else "d" if s == 10 else "a" if s == 26 else c for s, c in zip(sizes, low))
-    x = p(f"{name} {shape}", n, x, undo)
+    said = hashlib.blake2b(shape.encode(), digest_size=16)
     out = []
-    for size, c in zip(reversed(sizes), reversed(v)):
-        x, place = divmod(x, size)
-        new = c if size == 1 else "0123456789abcdef"[place] if size in (10, 16) else chr(97 + place)
-        out.append(new.upper() if c.isupper() else new)
-    return "".join(reversed(out))
+    for first in range(0, len(v), TOGETHER):
+        part, own = low[first : first + TOGETHER], sizes[first : first + TOGETHER]
+        x, n = 0, 1
+        for size, c in zip(own, part):
+            x, n = x * size + (0 if size == 1 else int(c, 16) if size in (10, 16) else ord(c) - 97), n * size
+        x = p(f"{name} {said.hexdigest()}", n, x, undo) if n > 1 else x
+        new = []
+        for size, c in zip(reversed(own), reversed(part)):
+            x, place = divmod(x, size)
+            new.append(c if size == 1 else "0123456789abcdef"[place] if size in (10, 16) else chr(97 + place))
+        new = "".join(reversed(new))
+        said.update((part if undo else new).encode())
+        out.append("".join(b.upper() if a.isupper() else b for a, b in zip(v[first:], new)))
+    return "".join(out)
 
 
 def _email(p: Permutation, v: str, undo: bool) -> str | None:
@@ -254,4 +295,4 @@ def apply(docs: DataFrame, key: str, text_col: str = "text", undo: bool = False)
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
     out = rows.mapInArrow(run, ", ".join([*kinds, "spans array<struct<kind: string, start: long, end: long>>"]))
     back = {c: F.col(f"k{i}").alias(c) for i, c in enumerate(rest)} | {text_col: F.col("text").alias(text_col)}
-    return out.select(*[back[c] for c in docs.columns], "spans")
+    return out.select(*[back[c] for c in docs.columns if c != "spans"], "spans")

@@ -87,8 +87,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.apply(table(spark, sf_dir, "documents").select("doc_id", "text"), key="op9")
+def op9_pii(spark: SparkSession, sf_dir: str, key: str = "op9") -> DataFrame:
+    out = pii.apply(table(spark, sf_dir, "documents").select("doc_id", "text"), key=key)
     kinds = F.array_join(F.array_sort(F.array_distinct("spans.kind")), ",")
     return out.select("doc_id", "text", F.size("spans").cast("long").alias("n_values"), kinds.alias("kinds"))
 
