@@ -75,7 +75,7 @@ def line_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     fresh_line = kinds(w_hash, w_line, n)
     fresh_doc = kinds(w_hash, doc[w_line], n_docs) if len(w_line) else np.zeros(n_docs)
     words_doc = np.add.reduceat(n_words, first[:-1]) if n else np.zeros(0)
-    l_hash = span_hashes(low, starts, ends)
+    l_hash = span_hashes(low, starts, ends, long=1024)
     seen = np.zeros(n)
     if n:
         by = np.lexsort((np.arange(n), l_hash, doc))

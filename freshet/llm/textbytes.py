@@ -6,6 +6,7 @@ text at a time.  A text is never cut, so a very long one is a slice of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+#: Bytes above which a span gets a cryptographic hash.
+LONG = 64
 
 #: An odd number; its powers modulo 2**64 weigh the bytes of a hashed word.
 BASE = 0x9E3779B97F4A7C15
@@ -68,14 +71,21 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, long: int = LONG) -> np.ndarray:
+    """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand.
+
+    Polynomials modulo 2**64 meet on regular byte patterns of some thousand bytes, so
+    spans of more than ``long`` bytes are hashed by BLAKE2 instead.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts])
+    out = mixed((sums[ends] - sums[starts]) * down[starts])
+    for i in np.flatnonzero(ends - starts > long).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
