@@ -1,52 +1,37 @@
 """Token pieces of whole texts by a public tokenizer file.
 
 Byte-level BPE never joins bytes across the end of a word, so a text is cut after
-each word (a word takes the white space before it) and each distinct unit is
-encoded once per process; the units of a slice are told apart by a 64-bit hash.
-Texts with white space beyond ASCII are encoded as a whole.
+each word (a word takes the white space before it), and between a word's letters and
+the stops behind them; a worker encodes each distinct unit once and remembers it by
+its bytes.  Texts with white space beyond ASCII are encoded as a whole.
+
+Defined results: a null text is empty; rows, repeated ones included, are cut one by
+one; a null id stays null; an empty table gives no rows; of the input's columns only
+the id and the text are read.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from freshet.llm.textbytes import slices, span_hashes, words
-
-#: Units a process remembers; beyond it the memory starts anew.
-REMEMBERED = 1_200_000
-
+from freshet.llm.textbytes import slices
 
-def units(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the units of all texts in order, and the first unit of each text (one more at the end)."""
-    _, w_end, first = words(data, at)
-    n_words = np.diff(first)
-    last = at[:-1].copy()
-    last[n_words > 0] = w_end[first[1:][n_words > 0] - 1]
-    trail = np.flatnonzero(last < at[1:])
-    ends = np.concatenate([w_end, at[1:][trail]])
-    ends.sort(kind="stable")
-    starts = np.empty(len(ends), np.int64)
-    if len(ends):
-        starts[0], starts[1:] = 0, ends[:-1]
-    count = n_words.copy()
-    count[trail] += 1
-    return starts, ends, np.concatenate([[0], np.cumsum(count)])
+#: Units a worker remembers in each of two generations; longer ones are encoded anew.
+REMEMBERED, SHORT = 400_000, 64
 
-
-def odd_space(data: np.ndarray) -> np.ndarray:
-    """Where white space beyond ASCII begins (as UTF-8)."""
-    n = len(data)
-    a = data
-    b, c = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
-    b[:-1], c[:-2] = a[1:], a[2:]
-    e280 = (a == 0xE2) & (b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
-    one = (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & (b == 0x81) & (c == 0x9F) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
-    return np.flatnonzero(e280 | one | (a == 0xC2) & ((b == 0x85) | (b == 0xA0)))
+UNIT = re.compile(
+    rb"[\x20\x09-\x0D]*[A-Za-z]+(?=[.,;:!?])"  # letters before a stop
+    rb"|[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
+    rb"|[\x20\x09-\x0D]+"
+)
+#: White space beyond ASCII, as UTF-8.
+ODD_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class Encoder:
@@ -62,57 +47,57 @@ class Encoder:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # one character of a token stands for one byte
             self.n_bytes[i] = len(token)
-        self.known: dict[int, bytes] = {}
-
-    def whole(self, texts: list[bytes]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, "<u4") for e in found]
-
-    def _learn(self, keys: list[int], texts: list[bytes]) -> None:
-        """Encode new units: those that open with white space and hold a word, many in one text."""
-        joined = [t[:1].isspace() and not t[-1:].isspace() for t in texts]
-        chain_of = [i for i, j in enumerate(joined) if j]
-        for i, ids in zip((i for i, j in enumerate(joined) if not j), self.whole([t for t, j in zip(texts, joined) if not j])):
-            self.known[keys[i]] = ids.tobytes()
-        groups = [chain_of[i : i + 512] for i in range(0, len(chain_of), 512)]
-        for group, ids in zip(groups, self.whole([b"".join(texts[i] for i in g) for g in groups])):
-            reached = np.cumsum(self.n_bytes[ids])
-            ends = np.cumsum([len(texts[i]) for i in group])
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _encoded(self, units: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of units: those that open with white space and hold a word, many in one text."""
+        out: dict[bytes, bytes] = {}
+        joined, apart = [], []
+        for u in units:
+            (joined if u[:1].isspace() and not u[-1:].isspace() else apart).append(u)
+        out.update(zip(apart, self.whole([u.decode("utf-8", "replace") for u in apart])))
+        groups = [joined[i : i + 512] for i in range(0, len(joined), 512)]
+        for group, ids in zip(groups, self.whole([b"".join(g).decode("utf-8", "replace") for g in groups])):
+            reached = np.cumsum(self.n_bytes[np.frombuffer(ids, "<u4")])
+            ends = np.cumsum([len(u) for u in group])
             cut = np.searchsorted(reached, ends) + 1
             if (reached[cut - 1] != ends).any():
                 raise ValueError("a token reaches over the end of a word")
             first = 0
-            for i, last in zip(group, cut.tolist()):
-                self.known[keys[i]] = ids[first:last].tobytes()
+            for u, last in zip(group, cut.tolist()):
+                out[u] = ids[4 * first : 4 * last]
                 first = last
-
-    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and the first id of each text (one more at the end)."""
-        starts, ends, first = units(data, at)
-        key, index, unit = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        odd_at = odd_space(data)
-        odd = np.unique(np.searchsorted(at, odd_at, "right") - 1)
-        odd_unit = np.zeros(len(starts), bool)
-        odd_unit[np.searchsorted(starts, odd_at, "right") - 1] = True
-        keys = key.tolist()
+        return out
+
+    def _learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
+        """Remembers the units of some texts; gives those too long to be kept."""
+        new = {u for units in texts for u in units if u not in self.known}
+        found = {u: self.before[u] for u in new if u in self.before}
+        found.update(self._encoded([u for u in new if u not in found]))
+        kept = {u: ids for u, ids in found.items() if len(u) <= SHORT}
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        # Units with odd space stand only in texts that are encoded whole.
-        new = [i for i, k in enumerate(keys) if k not in self.known and not odd_unit[index[i]]]
-        self._learn([keys[i] for i in new], [data[starts[index[i]] : ends[index[i]]].tobytes() for i in new])
-        lists = [self.known.get(k, b"") for k in keys]
-        size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-        pool = np.frombuffer(b"".join(lists), "<u4")
-        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-        each = size[unit]
-        total = np.concatenate([[0], np.cumsum(each)])
-        ids = pool[np.repeat(begin[unit] - total[:-1], each) + np.arange(total[-1])]
-        bounds = total[first]
-        if not len(odd):
-            return ids, bounds
-        apart = dict(zip(odd.tolist(), self.whole([data[at[i] : at[i + 1]].tobytes() for i in odd])))
-        parts = [apart[i] if i in apart else ids[bounds[i] : bounds[i + 1]] for i in range(len(at) - 1)]
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            self.known, self.before = {u: self.known[u] for units in texts for u in units if u in self.known}, self.known
+        self.known.update(kept)
+        return {u: ids for u, ids in found.items() if len(u) > SHORT}
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers."""
+        data, at = data.tobytes(), at.tolist()
+        texts = [data[a:b] for a, b in zip(at, at[1:])]
+        odd = [i for i, t in enumerate(texts) if not t.isascii() and ODD_SPACE.search(t.decode("utf-8", "replace"))]
+        apart = set(odd)
+        units = [[] if i in apart else UNIT.findall(t) for i, t in enumerate(texts)]
+        long = self._learn(units)
+        known = self.known
+        out = [b"".join([known[u] if u in known else long[u] for u in own]) for own in units]
+        for i, ids in zip(odd, self.whole([texts[i].decode("utf-8", "replace") for i in odd])):
+            out[i] = ids
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -141,10 +126,10 @@ def pieces(
         own_encoder = encoder(source.value)
         for batch in batches:
             for begin, end, data, at in slices(batch, "text"):
-                ids, first = own_encoder.encode(data, at)
+                ids = own_encoder.encode(data, at)
                 rows = {k: [] for k in ("row", "piece", "start", "length", "crc", "ids")}
                 for d in range(end - begin):
-                    own = np.append(ids[first[d] : first[d + 1]], np.uint32(end_id)).astype("<u4")
+                    own = np.append(np.frombuffer(ids[d], "<u4"), np.uint32(end_id)).astype("<u4")
                     cut = 0
                     stop = len(own) % capacity or min(capacity, len(own))
                     number = 0

@@ -2,12 +2,13 @@ import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
 from freshet.llm import packing, pii, queries, tokens
-from freshet.llm.textbytes import slices
+from freshet.llm.textbytes import slices, span_hashes
 
 SCHEMA = "doc_id long, text string, spans int, k0 string"
 
@@ -29,7 +30,8 @@ def test_permutation_of_small_domains(n):
     ("call +1 (017) 555-7713 now", ["phone"]), ("4111 1111 1111 1111", ["card"]), ("4111111111111112", []),
     ("on 97.51.17.173, not 300.1.1.1", ["ip"]), ("of.55@mail9.example.com!!", ["email"]), ("OF.55@MAIL9.EXAMPLE.COM", ["email"]),
     ('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', ["secret"]), ("born 2001-02-29", []), ("born 2000-02-29, 31.12.2021", ["date", "date"]),
-    ("123-45-6789", ["ssn"]), ("CC BY 4.0 and 2.0.", []), ("", []), ("no values at all", []), ("a" * 200_000 + " 1.2.3.4 ", ["ip"]),
+    ("123-45-6789", ["ssn"]), ("000-00-0000 900-12-3456 666-12-3456 123-00-4567", []), ("012-345-6789", []), ("212-345-6789", ["phone"]),
+    ("a7" * 2500 + "@b.com", ["email"]), ("x.y" * 70_000 + "@b.com", ["email"]), ("CC BY 4.0 and 2.0.", []), ("", []), ("no values at all", []), ("a" * 200_000 + " 1.2.3.4 ", ["ip"]),
 ])
 def test_kinds_and_round_trip(text, kinds):
     p = pii.Permutation(b"key")
@@ -51,6 +53,43 @@ def test_round_trip_of_many(value):
     assert pii.pseudonymise(pii.pseudonymise(text, p)[0], p, undo=True)[0] == text
 
 
+def test_numbers_stay_in_their_set():
+    p = pii.Permutation(b"key")
+    rng = random.Random(3)
+    for _ in range(300):
+        ssn = f"{rng.randint(700, 899)}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}"
+        new = pii.pseudonymise(ssn, p)[0]
+        assert new != ssn and pii._proper_ssn(int(new.replace("-", "")))
+        new = pii.pseudonymise(f"{rng.randint(2, 9)}12-{rng.randint(2, 9)}55-0199", p)[0]
+        assert pii._proper_phone(int(new.replace("-", "")))
+
+
+def test_long_names_are_told_apart():
+    p = pii.Permutation(b"key")
+    a, b = ("q" * 200 + "a" + "z" * 200, "q" * 200 + "b" + "z" * 200)
+    new = [pii.pseudonymise(f"{x}@c.org", p)[0] for x in (a, b, a)]
+    assert new[0] == new[2] != new[1] and new[0][201:] != new[1][201:]
+
+
+def colliding_words():
+    """Two words that every polynomial hash modulo 2**64 takes for one."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_regular_words_are_told_apart(spark):
+    a, b = colliding_words()
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    h = span_hashes(data, np.array([0, len(a)]), np.array([len(a), len(a + b)]))
+    assert h[0] != h[1]
+    encoder = tokens.Encoder(queries.gpt2_tokenizer())
+    at = np.array([0, len(a), len(a + b)])
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(data, at)]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in (a, b)]
+
+
 def test_pii_rows(spark):
     rows = [(1, "a@b.com wrote"), (2, "A@b.com and a@b.com"), (None, None), (4, ""), (1, "a@b.com wrote"), (5, "clean")]
     out = pii.apply(docs_of(spark, rows).drop("spans"), "key").collect()
@@ -63,6 +102,7 @@ def test_pii_rows(spark):
     assert by[None][0].text is None and by[4][0].text == "" and by[5][0].text == "clean" and by[5][0].spans == []
     assert [tuple(s) for s in by[1][0].spans] == [("email", 0, 7)]
     assert pii.apply(docs_of(spark, []).drop("spans"), "key").count() == 0
+    assert pii.apply(docs_of(spark, rows), "key").columns == ["doc_id", "text", "k0", "spans"]
 
 
 WEIRD = [
@@ -78,8 +118,7 @@ def test_ids_equal_those_of_whole_texts(spark):
     batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
     got = []
     for _, _, data, at in slices(batch, "text", 1 << 16):
-        ids, first = encoder.encode(data, at)
-        got += [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
+        got += [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(data, at)]
     want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert got == want
 
