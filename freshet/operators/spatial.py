@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from freshet.functions.scalars import haversine
+from freshet.session import cut_lineage
 
 KM_PER_DEGREE = 111.195
 
@@ -133,20 +134,53 @@ def within_join(
     return out
 
 
-def _globe_cells(df: DataFrame, deg: float, prefix: str) -> DataFrame:
-    """Occupied cells with centre, half diagonal and row count; the globe holds
-    at most (180 / deg) x (360 / deg) of them, whatever the row count."""
-    i, j = F.col(f"{prefix}i"), F.col(f"{prefix}j")
-    lat = i * deg - 90.0 + deg / 2
-    lon = j * deg - 180.0 + deg / 2
-    inner = F.abs(lat) - deg / 2
-    outer = F.abs(lat) + deg / 2
-    half = F.greatest(
-        haversine(F.abs(lat), F.lit(0.0), inner, F.lit(deg / 2)),
-        haversine(F.abs(lat), F.lit(0.0), outer, F.lit(deg / 2)),
-    )
-    cells = df.groupBy(f"{prefix}i", f"{prefix}j").agg(F.count(F.lit(1)).alias(f"{prefix}n"))
-    return cells.withColumns({f"{prefix}lat": lat, f"{prefix}lon": lon, f"{prefix}half": half * 1.01})
+#: Kilometres in a degree, a little too few, so that radii in degrees err on the safe side.
+SAFE_KM_PER_DEGREE = 111.19
+#: Finest level of the pyramid; a cell is then 180 / 2**14 degrees, about 1.2 km, high.
+FINEST = 14
+
+
+def _columns(level: Column, i: Column) -> Column:
+    """Cells in a band of latitude: about as wide as high, so few at the poles."""
+    high = 180.0 / F.pow(F.lit(2.0), level)
+    south, north = i * high - 90.0, (i + 1) * high - 90.0
+    widest = F.when(south * north < 0, 1.0).otherwise(F.cos(F.radians(F.least(F.abs(south), F.abs(north)))))
+    return F.greatest(F.lit(1), F.floor(2 * F.pow(F.lit(2.0), level) * widest)).cast("long")
+
+
+def _band(lat: Column, level: Column) -> Column:
+    n = F.pow(F.lit(2.0), level)
+    return F.greatest(F.lit(0), F.least(F.floor((lat + 90.0) / 180.0 * n), n - 1)).cast("long")
+
+
+def _cell_key(level: Column, i: Column, j: Column) -> Column:
+    return level.cast("long") * (1 << 48) + i * (1 << 24) + j
+
+
+def _cell_of(lat: Column, lon: Column, level: Column) -> Column:
+    i = _band(lat, level)
+    columns = _columns(level, i)
+    return _cell_key(level, i, F.pmod(F.floor((lon + 180.0) / 360.0 * columns), columns))
+
+
+def _cells_within(df: DataFrame, lat: str, lon: str, degrees: Column, level: Column, name: str) -> DataFrame:
+    """One row for each cell of the level that a circle around the point may touch.
+
+    The level's cells should be about as high as the radius; there are then at most
+    three bands with a few cells each, also around the poles and the date line.
+    """
+    y, x = F.col(lat), F.col(lon)
+    bands = F.sequence(_band(y - degrees, level), _band(y + degrees, level))
+    df = df.withColumns({"_r": degrees, "_l": level}).withColumn("_i", F.explode(bands))
+    polar = F.abs(y) + F.col("_r") >= 89.999
+    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians("_r")) / F.cos(F.radians(y))))) * 1.000001 + 1e-9
+    half = F.when(polar, 180.0).otherwise(wide)
+    df = df.withColumns({"_n": _columns(F.col("_l"), F.col("_i")), "_half": half})
+    first = F.floor((x - F.col("_half") + 180.0) / 360.0 * F.col("_n"))
+    last = F.least(F.floor((x + F.col("_half") + 180.0) / 360.0 * F.col("_n")), first + F.col("_n") - 1)
+    df = df.withColumn("_j", F.explode(F.sequence(first, last)))
+    key = _cell_key(F.col("_l"), F.col("_i"), F.pmod(F.col("_j"), F.col("_n")))
+    return df.withColumn(name, key).drop("_r", "_l", "_i", "_n", "_half", "_j")
 
 
 def nearest(
@@ -156,79 +190,121 @@ def nearest(
     b_id: str,
     k: int,
     radius_km: float = 0.0,
-    deg: float = 5.0,
+    finest: int = FINEST,
 ) -> DataFrame:
     """Per ``a`` the ``b`` rows with rank <= k or distance <= radius.
 
-    Exact without comparing all pairs: cell-to-cell distance bounds give, per
-    occupied cell, a radius sure to hold k rows; only cells that may reach into
-    it are joined. ``deg`` sets the cell size: smaller cells mean fewer compared
-    rows where ``b`` is dense, and more cell pairs.
+    A pyramid of cell counts serves as the index: each level halves the cell. Around
+    each occupied cell of ``a`` the finest level is taken whose cells within one cell
+    height hold k rows; the k-th distance to those rows bounds a point's radius, and
+    only cells that reach into it are joined. Every join is an equi join on cells.
+    Points at one place are searched once, and of ``b`` rows at one place k
+    stay unless a radius asks for all. Rows without a place take no part.
     """
 
-    def tag(df: DataFrame, p: str) -> DataFrame:
-        return df.withColumns(
-            {f"{p}i": F.floor((F.col("lat") + 90.0) / deg), f"{p}j": F.floor((F.col("lon") + 180.0) / deg)}
-        )
+    def level(n: int) -> Column:
+        return F.lit(n).cast("int")
 
-    at = tag(a.select(a_id, "lat", "lon"), "a")
-    bt = tag(b.select(b_id, "lat", "lon"), "b")
-    cells_a, cells_b = _globe_cells(at, deg, "a"), _globe_cells(bt, deg, "b")
-    listed = cells_b.agg(F.collect_list(F.struct("bi", "bj", "bn", "blat", "blon", "bhalf")).alias("_cells"))
-    centre = haversine("alat", "alon", "blat", "blon")
-    pairs = (
-        cells_a.join(F.broadcast(listed))
-        .withColumn("_c", F.explode("_cells"))
-        .select("ai", "aj", "alat", "alon", "ahalf", "_c.*")
-        .withColumns(
-            {
-                "_ub": centre + F.col("ahalf") + F.col("bhalf"),
-                "_lb": centre - F.col("ahalf") - F.col("bhalf"),
-            }
-        )
-    )
-    w = Window.partitionBy("ai", "aj")
-    grown = F.sum("bn").over(w.orderBy("_ub", "bi", "bj").rowsBetween(Window.unboundedPreceding, 0))
-    pairs = pairs.withColumn("_cum", grown).withColumn(
-        "_reach",
-        F.greatest(
-            F.coalesce(F.min(F.when(F.col("_cum") >= k, F.col("_ub"))).over(w), F.max("_ub").over(w)),
-            F.lit(float(radius_km)),
-        ),
+    placed_a = a.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
+        a_id, F.col("lat").alias("_alat"), F.col("lon").alias("_alon")
     )
-    routes = pairs.where(F.col("_lb") <= F.col("_reach")).select("ai", "aj", "bi", "bj", "_reach")
+    placed_b = b.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(b_id, "lat", "lon")
+    if radius_km <= 0:
+        nth = F.row_number().over(Window.partitionBy("lat", "lon").orderBy(b_id))
+        placed_b = placed_b.withColumn("_nth", nth).where(F.col("_nth") <= k).drop("_nth")
+    # Both are read several times; three or four columns each.
+    placed_b = cut_lineage(placed_b.withColumn("_cell", _cell_of(F.col("lat"), F.col("lon"), level(finest))))
+    placed_a = cut_lineage(placed_a)
+    spots = placed_a.select("_alat", "_alon").distinct()
+    spots = spots.withColumn("_home", _cell_of(F.col("_alat"), F.col("_alon"), level(finest)))
+
+    fine = placed_b.groupBy("_cell").agg(F.min(F.struct("lat", "lon")).alias("_p"))
+    # Rows by the cells of all levels that hold them; a finest cell may lie in several coarser ones.
+    tree = placed_b.groupBy("_cell", "lat", "lon").agg(F.count(F.lit(1)).alias("_n"))
+    tree = tree.withColumn("_l", F.explode(F.sequence(level(0), level(finest))))
+    tree = tree.groupBy(_cell_of(F.col("lat"), F.col("lon"), F.col("_l")).alias("_key"), "_cell").agg(F.sum("_n").alias("_n"))
+    held = tree.groupBy("_key").agg(F.sum("_n").alias("_n"))
+
+    homes = spots.groupBy("_home").agg(F.min(F.struct("_alat", "_alon")).alias("_p"))
+    homes = homes.select("_home", F.col("_p._alat").alias("_hlat"), F.col("_p._alon").alias("_hlon"))
+    probes = homes.withColumn("_level", F.explode(F.sequence(level(0), level(finest))))
+    height = F.least(F.lit(180.0), F.lit(180.0) / F.pow(F.lit(2.0), F.col("_level")))
+    probes = _cells_within(probes, "_hlat", "_hlon", height, F.col("_level"), "_key")
+    enough = probes.join(held, "_key").groupBy("_home", "_level").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= k)
+    chosen = enough.groupBy("_home").agg(F.max("_level").alias("_level"))
+    routes = homes.join(chosen, "_home", "left").withColumn("_level", F.coalesce("_level", level(0)))
+    routes = _cells_within(routes, "_hlat", "_hlon", height, F.col("_level"), "_key")
+    routes = routes.join(tree.select("_key", "_cell"), "_key").select("_home", "_cell").distinct()
+    tried = spots.join(routes, "_home").join(placed_b, "_cell")
+    tried = tried.withColumn("_d", haversine("_alat", "_alon", "lat", "lon"))
+    nth = F.row_number().over(Window.partitionBy("_alat", "_alon").orderBy("_d"))
+    reach = tried.withColumn("_nth", nth).where(F.col("_nth") <= k).groupBy("_alat", "_alon")
+    # With fewer than k rows in all, nothing lies beyond the farthest one.
+    reach = reach.agg(F.greatest(F.max("_d"), F.lit(float(radius_km))).alias("_reach"))
+
+    degrees = F.least(F.lit(180.0), F.col("_reach") / SAFE_KM_PER_DEGREE + 1e-9)
+    as_high = F.floor(F.log(2.0, F.lit(180.0) / degrees))
+    circles = reach.withColumn("_level", F.greatest(F.lit(0), F.least(as_high, F.lit(finest))).cast("int"))
+    circles = _cells_within(circles, "_alat", "_alon", degrees, F.col("_level"), "_key")
+    near = circles.join(tree.select("_key", "_cell"), "_key").join(fine, "_cell")
+    # A cell's diagonal: its height and, at the wider edge, its width, each at most two heights.
+    across = 180.0 / 2**finest * KM_PER_DEGREE * 3
+    near = near.where(haversine("_alat", "_alon", F.col("_p.lat"), F.col("_p.lon")) <= F.col("_reach") + across)
+    near = near.select("_alat", "_alon", "_reach", "_cell").distinct()
     cand = (
-        at.withColumnsRenamed({"lat": "_alat", "lon": "_alon"})
-        .join(routes, ["ai", "aj"])
-        .join(bt, ["bi", "bj"])
+        near.join(placed_b, "_cell")
         .withColumn("dist", haversine("_alat", "_alon", "lat", "lon"))
         .where(F.col("dist") <= F.col("_reach"))
     )
-    rank = F.row_number().over(Window.partitionBy(a_id).orderBy("dist", b_id))
-    return (
-        cand.withColumn("rnk", rank)
-        .where((F.col("rnk") <= k) | (F.col("dist") <= radius_km))
-        .select(a_id, b_id, "dist", "rnk")
+    rank = F.row_number().over(Window.partitionBy("_alat", "_alon").orderBy("dist", b_id))
+    found = cand.withColumn("rnk", rank).where((F.col("rnk") <= k) | (F.col("dist") <= radius_km))
+    return placed_a.join(found.select("_alat", "_alon", b_id, "dist", "rnk"), ["_alat", "_alon"]).select(
+        a_id, b_id, "dist", "rnk"
     )
 
 
-def nearest_cell(points: DataFrame, grid: DataFrame) -> DataFrame:
-    """Nearest grid latitude and nearest grid longitude, independently.
+#: Parts of the axis in ``nearest_value``; each is one window.
+AXIS_PARTS = 200
 
-    The axes (distinct coordinates, fixed by the grid's resolution) travel as
-    one row of two arrays.
-    """
-    axes = grid.agg(F.collect_set("lat").alias("_lats"), F.collect_set("lon").alias("_lons"))
 
-    def closest(axis: str, x: str) -> Column:
-        pairs = F.transform(axis, lambda v: F.struct(F.abs(v - F.col(x)).alias("gap"), v.alias("at")))
-        return F.array_min(pairs)["at"]
+def nearest_value(points: DataFrame, axis: DataFrame, col: str, name: str) -> DataFrame:
+    """The value of ``axis`` nearest to ``col``, the smaller of two as near.
 
-    return (
-        points.join(F.broadcast(axes))
-        .withColumns({"cell_lat": closest("_lats", "lat"), "cell_lon": closest("_lons", "lon")})
-        .drop("_lats", "_lons")
+    Distinct wanted values and axis values are dealt into ordered parts; within a
+    part the neighbours on the axis are the last value before and the first one
+    after, and across parts the outermost values of the parts beside (one row a
+    part) fill in.
+    """
+    wanted = points.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull()).distinct()
+    known = axis.select(F.col(col).cast("double").alias("_x"), F.col(col).alias("_at")).where(F.col("_x").isNotNull())
+    both = wanted.withColumn("_at", F.lit(None).cast(axis.schema[col].dataType)).unionByName(known.distinct())
+    cuts = sorted(set(both.approxQuantile("_x", [i / AXIS_PARTS for i in range(1, AXIS_PARTS)], 0.5 / AXIS_PARTS)))
+    part = F.lit(0)
+    if cuts:
+        part = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= F.col("_x")))
+    both = both.withColumn("_part", part)
+    ends = both.groupBy("_part").agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+    order = Window.orderBy("_part")  # one row a part
+    ends = ends.select(
+        "_part",
+        F.last("_hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_lo", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
     )
+    own = Window.partitionBy("_part").orderBy("_x", F.col("_at").isNull())
+    below = F.last("_at", True).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.min("_at").over(own.rowsBetween(0, Window.unboundedFollowing))
+    found = both.withColumns({"_below": below, "_above": above}).where(F.col("_at").isNull())
+    found = found.join(ends, "_part")
+    lo, hi = F.coalesce("_below", "_before"), F.coalesce("_above", "_after")
+    x = F.col("_x")
+    nearer = F.when(hi.isNull() | ((x - lo) <= (hi - x)), lo).otherwise(F.coalesce(hi, lo))
+    found = found.select("_x", nearer.alias(name))
+    return points.withColumn("_x", F.col(col).cast("double")).join(found, "_x", "left").drop("_x")
+
+
+def nearest_cell(points: DataFrame, grid: DataFrame) -> DataFrame:
+    """Nearest grid latitude and nearest grid longitude, independently."""
+    return nearest_value(nearest_value(points, grid.select("lat"), "lat", "cell_lat"), grid.select("lon"), "lon", "cell_lon")
 
 
 def zonal(grid: DataFrame, polygons: DataFrame, site: str, time: str, value: str) -> DataFrame:
