@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from freshet.functions.calendar import snap_up, water_year
+from freshet.operators.quantiles import spread_quantiles
 
 
 def asof_latest(
@@ -124,7 +125,6 @@ def agg_since(
         F.count(v).alias("_n"),
         F.min(v).alias("_lo"),
         F.max(v).alias("_hi"),
-        *([F.collect_list(v).alias("_all")] if quantiles else []),
     )
     marks = issues.select(*by, water_year(F.col(issue)).alias("_wy"), F.col(issue).alias("_t")).distinct()
     # On its own day an issue date comes first: that day is not yet known.
@@ -137,8 +137,6 @@ def agg_since(
         "_clo": F.min("_lo").over(w),
         "_chi": F.max("_hi").over(w),
     }
-    if quantiles:
-        grown["_call"] = F.sort_array(F.flatten(F.collect_list("_all").over(w)))
     spread_ = (F.col("_css") - F.try_divide(F.col("_cs") * F.col("_cs"), "_cn")) / F.nullif(F.col("_cn") - 1, F.lit(0))
     made = {
         "sum": F.col("_cs"),
@@ -148,14 +146,35 @@ def agg_since(
         "max": F.col("_chi"),
         "std": F.when(F.col("_cn") > 1, F.sqrt(F.greatest(spread_, F.lit(0.0)))),
     }
-    for a in aggs:
-        if a[0] == "p":
-            at = (F.size("_call") - 1) * (float(a[1:]) / 100)
-            lo, hi = F.get("_call", F.floor(at).cast("int")), F.get("_call", F.ceil(at).cast("int"))
-            made[a] = lo + (hi - lo) * (at - F.floor(at))
+    plain = [a for a in aggs if a in made]
     totals = events.withColumns(grown).where(F.col("_k") == 0)
-    totals = totals.select(*by, F.col("_t").alias(issue), *[made[a].alias(f"{prefix}_{a}") for a in aggs])
-    return issues.join(totals, [*by, issue], "left")
+    totals = totals.select(*by, F.col("_t").alias(issue), *[made[a].alias(f"{prefix}_{a}") for a in plain])
+    out = issues.join(totals, [*by, issue], "left")
+    if quantiles:
+        named = [f"{prefix}_{a}" for a in aggs if a not in made]
+        out = out.join(_running_quantiles(rows, marks, by, date, v, quantiles, named).withColumnRenamed("_t", issue), [*by, issue], "left")
+    return out.select(*issues.columns, *[f"{prefix}_{a}" for a in aggs])
+
+
+def _running_quantiles(
+    rows: DataFrame, marks: DataFrame, by: Sequence[str], date: str, v: Column, probs: Sequence[float], names: Sequence[str]
+) -> DataFrame:
+    """Exact quantiles of all values of a water year before each of its marks.
+
+    Between two marks equal values are counted once. A count enters the quantiles of
+    every later mark of its year, which are at most one a day, and the counts are
+    narrowed by ``spread_quantiles``; no list of values is ever made.
+    """
+    days = rows.where(v.isNotNull()).groupBy(*by, water_year(F.col(date)).alias("_wy"), F.col(date).cast("date").alias("_t"), v.alias("_value"))
+    days = days.agg(F.count(F.lit(1)).alias("_n"))
+    # The marks of a year as one ordered list, bounded by the calendar.
+    listed = marks.groupBy(*by, "_wy").agg(F.sort_array(F.collect_set("_t")).alias("_marks"))
+    seen = days.join(listed, [*by, "_wy"])
+    next_mark = F.array_min(F.filter("_marks", lambda m: m > F.col("_t")))
+    steps = seen.groupBy(*by, "_wy", "_marks", "_value", next_mark.alias("_next")).agg(F.sum("_n").alias("_n"))
+    later = F.filter("_marks", lambda m: m >= F.col("_next"))
+    spread = steps.where(F.col("_next").isNotNull()).select(*by, "_value", "_n", F.explode(later).alias("_t"))
+    return spread_quantiles(spread, [*by, "_t"], "_value", probs, names, weight="_n")
 
 
 def agg_since_month(
