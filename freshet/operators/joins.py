@@ -63,11 +63,43 @@ def prev_month_value(
     return issues.withColumn("_want", wanted).join(lookup, [key, "_want"], "left").drop("_want")
 
 
+#: A key is hot when it holds more than one part in so many of a side's rows.
+HOT_PARTS = 1000
+
+
+def spread_join(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Inner equi join whose output may be dominated by a few keys.
+
+    A key with over 1/1000 of the rows of either side is dealt over a grid: the rows
+    of ``a`` into parts, each joined with every part of ``b``, both of 1/1000 of a
+    side at most. There are fewer than 2000 such keys, so their counts are broadcast.
+    """
+
+    def hot(df: DataFrame, name: str) -> DataFrame:
+        counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        total = counts.agg(F.sum("_n").alias("_total"))
+        found = counts.join(F.broadcast(total)).where(F.col("_n") * HOT_PARTS > F.col("_total"))  # one row
+        return found.select(key, F.ceil(F.col("_n") * HOT_PARTS / F.col("_total")).cast("int").alias(name))
+
+    grid = hot(a, "_pa").join(hot(b, "_pb"), key, "full").select(
+        F.col(key).alias("_hot"), F.coalesce("_pa", F.lit(1)).alias("_pa"), F.coalesce("_pb", F.lit(1)).alias("_pb")
+    )
+
+    def dealt(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        marked = df.join(F.broadcast(grid), F.col(key) == F.col("_hot"), "left")
+        place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce(own, F.lit(1)))
+        copies = F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)
+        placed = marked.withColumn(mine, place.cast("int"))  # once for all copies of a row
+        return placed.withColumn(theirs, F.explode(copies)).drop("_hot", "_pa", "_pb")
+
+    return dealt(a, "_pa", "_pb", "_sa", "_sb").join(dealt(b, "_pb", "_pa", "_sb", "_sa"), [key, "_sa", "_sb"]).drop("_sa", "_sb")
+
+
 def huc_join(sites: DataFrame, stations: DataFrame, level: int, code: str = "huc") -> DataFrame:
     """Sites and stations that share the first ``level`` characters of a code."""
     a = sites.withColumn("_p", F.substring(code, 1, level)).drop(code)
     b = stations.withColumn("_p", F.substring(code, 1, level)).drop(code)
-    return a.join(b, "_p").withColumnRenamed("_p", f"huc{level}")
+    return spread_join(a, b, "_p").withColumnRenamed("_p", f"huc{level}")
 
 
 def site_station_pairs(

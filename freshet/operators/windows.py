@@ -40,31 +40,52 @@ def roll_median(df: DataFrame, by: Sequence[str], order: str, col: str, n: int)
     return df.withColumn(f"{col}_med{n}", value)
 
 
+#: Decay, in powers of e, that a block of ``ewm`` covers; well inside a double's range.
+BLOCK_DECAY = 100.0
+
+
 def ewm(df: DataFrame, by: Sequence[str], order: str, col: str, span: int) -> DataFrame:
     """Recursive exponential mean, null until ``span`` values were seen.
 
-    One ordered array per calendar-bounded series and one pass over it. A null
-    value repeats the mean before it and lets the weight of the past decay.
+    A null value repeats the mean before it and lets the weight of the past decay.
+    Each row is an affine map of the mean before it, y -> a y + b, and their products
+    are prefix sums: within a block by windows over the rows, from block to block by
+    the blocks' own maps. A block ends when the past has decayed by e**-100, so
+    nothing overflows and the two blocks before decide a block's start to the last bit.
     """
     name, alpha = f"{col}_ewm{span}", 2.0 / (span + 1)
-    empty = F.filter(F.array(F.lit(None).cast("double")), lambda _: F.lit(False))
-    start = F.struct(
-        F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w"), F.lit(0).alias("n"), empty.alias("out")
+    key = F.struct(*(F.col(c) for c in by)) if by else F.struct(F.lit(0))
+    w = Window.partitionBy("_g").orderBy(order, "_id")
+    past, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumns({"_g": key, "_x": F.col(col).cast("double"), "_id": F.monotonically_increasing_id()})
+    rows = rows.withColumn("_nr", F.row_number().over(w))
+    rows = rows.withColumn("_seen", F.count("_x").over(upto))
+    since = F.col("_nr") - F.last(F.when(F.col("_x").isNotNull(), F.col("_nr")), True).over(past)
+    kept = F.pow(F.lit(1.0 - alpha), since)
+    moves = F.col("_x").isNotNull() & since.isNotNull()
+    rows = rows.withColumns(
+        {
+            # Rows without a value, and the first value, which has no past, have a = 1.
+            "_decay": F.when(moves, F.least(F.lit(10 * BLOCK_DECAY), -F.log(kept / (kept + alpha)))).otherwise(0.0),
+            "_b": F.when(moves, alpha * F.col("_x") / (kept + alpha)).otherwise(F.coalesce("_x", F.lit(0.0))),
+        }
     )
-
-    def step(s: Column, r: Column) -> Column:
-        x, past = r[col].cast("double"), s["w"] * (1 - alpha)
-        y = F.when(x.isNull(), s["y"]).when(s["y"].isNull(), x).otherwise((past * s["y"] + alpha * x) / (past + alpha))
-        w = F.when(x.isNotNull() | s["y"].isNull(), F.lit(1.0)).otherwise(past)
-        n = s["n"] + F.when(x.isNull(), 0).otherwise(1)
-        out = F.concat(s["out"], F.array(F.when(n >= span, y)))
-        return F.struct(y.alias("y"), w.alias("w"), n.alias("n"), out.alias("out"))
-
-    rest = [c for c in df.columns if c not in (*by, order)]
-    series = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, *rest))).alias("_rows"))
-    values = F.aggregate("_rows", start, step, lambda s: s["out"])
-    pairs = series.select(*by, F.explode(F.arrays_zip("_rows", values.alias("_y"))).alias("_p"))
-    return pairs.select(*[F.col(c) if c in by else F.col(f"_p._rows.{c}").alias(c) for c in df.columns], F.col("_p._y").alias(name))
+    # log(0) is null in Spark: the past is forgotten at once.
+    rows = rows.withColumn("_decay", F.coalesce("_decay", F.lit(10 * BLOCK_DECAY)))
+    rows = rows.withColumn("_sum", F.sum("_decay").over(upto))
+    rows = rows.withColumn("_block", F.floor(F.col("_sum") / BLOCK_DECAY))
+    block = Window.partitionBy("_g", "_block").orderBy("_nr").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_rel": F.col("_sum") - F.first("_sum").over(block), "_a1": F.exp(-F.first("_decay").over(block))})
+    rows = rows.withColumn("_own", F.exp(-F.col("_rel")) * F.sum(F.col("_b") * F.exp("_rel")).over(block))
+    ends = rows.groupBy("_g", "_block").agg(
+        (F.max("_a1") * F.exp(-F.max("_rel"))).alias("_a"), F.max_by("_own", "_nr").alias("_y")
+    )
+    blocks = Window.partitionBy("_g").orderBy("_block")
+    lagged = [F.coalesce(F.lag(c, n).over(blocks), F.lit(0.0)) for n in (1, 2) for c in ("_y", "_a")]
+    starts = ends.select("_g", "_block", (lagged[0] + lagged[1] * (lagged[2])).alias("_start"))
+    value = F.col("_a1") * F.exp(-F.col("_rel")) * F.col("_start") + F.col("_own")
+    out = rows.join(starts, ["_g", "_block"])
+    return out.select(*df.columns, F.when(F.col("_seen") >= span, value).alias(name))
 
 
 def lags(df: DataFrame, by: Sequence[str], order: str, cols: Sequence[str], ks: Sequence[int]) -> DataFrame:
