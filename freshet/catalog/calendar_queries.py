@@ -149,15 +149,16 @@ _SEASON_OF_MONTH = ("DJF", "JFM", "FMA", "MAM", "AMJ", "MJJ", "JJA", "JAS", "ASO
       SELECT (['DJF','JFM','FMA','MAM','AMJ','MJJ','JJA','JAS','ASO','SON','OND','NDJ'])[m] AS season, yr, m,
         val AS mean3 FROM index_month) i
     JOIN (SELECT DISTINCT issue_date FROM issue_grid) g
-      ON make_date(i.yr, i.m, 1) + INTERVAL 2 MONTH <= date_trunc('month', g.issue_date)
-     AND i.yr >= year(g.issue_date) - 1""",
+      ON make_date(i.yr, i.m, 1) + INTERVAL 2 MONTH <= date_trunc('month', g.issue_date)""",
 )
 def _(d):
     # The index month stands for the middle month of its season.
     seasons = F.array(*[F.lit(s) for s in _SEASON_OF_MONTH])
     rows = d.index_month.select(F.element_at(seasons, F.col("m")).alias("season"), "yr", F.col("val").alias("mean3"))
     issues = d.issue_grid.select("issue_date").distinct().withColumn("_y", F.year("issue_date"))
-    near = rows.withColumn("_y", F.explode(F.sequence(F.col("yr"), F.col("yr") + 1)))
+    # A season stays public: it meets the issue dates of its own and every later year.
+    last = F.lit(issues.agg(F.max("_y")).first()[0])
+    near = rows.where(F.col("yr") <= last).withColumn("_y", F.explode(F.sequence(F.col("yr"), last)))
     return near.join(issues, "_y").where(cal.season_available("season", "yr", "issue_date"))
 
 

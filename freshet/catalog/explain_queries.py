@@ -132,13 +132,13 @@ def _(d):
 _CONTEXT = """WITH f AS (SELECT site, yr, m AS md, 'swe' AS feature, avg(v) AS value FROM (SELECT *, year(d) AS yr, month(d) AS m FROM station_day) GROUP BY 1, 2, 3
     UNION ALL SELECT site, yr, m, 'vol', vol FROM flow_month),
   s AS (SELECT site, md, feature, min(value) AS value_min, median(value) AS value_median, avg(value) AS value_mean,
-    max(value) AS value_max FROM f WHERE yr <= 2000 AND site IN (SELECT site FROM flow_month)
+    max(value) AS value_max FROM f WHERE yr < (SELECT max(yr) FROM flow_month) AND site IN (SELECT site FROM flow_month)
     AND (site, yr, md) IN (SELECT site, yr, md FROM f WHERE feature = 'swe')
     AND (site, yr, md) IN (SELECT site, yr, md FROM f WHERE feature = 'vol') GROUP BY 1, 2, 3),
   c AS (SELECT f.*, value_min, value_median, value_mean, value_max,
     CASE WHEN value_median > 0 AND value_median <> value_mean THEN 100 * value / value_median END AS pmedian,
     CASE WHEN value_median > 0 AND value_median <> value_mean THEN 100 * value / value_mean END AS pmean,
-    value - value_mean AS anomaly FROM f JOIN s ON f.site = s.site AND f.md = s.md AND f.feature = s.feature WHERE f.yr = 2001
+    value - value_mean AS anomaly FROM f JOIN s ON f.site = s.site AND f.md = s.md AND f.feature = s.feature WHERE f.yr = (SELECT max(yr) FROM flow_month)
     AND (f.site, f.yr, f.md) IN (SELECT site, yr, md FROM f WHERE feature = 'swe')
     AND (f.site, f.yr, f.md) IN (SELECT site, yr, md FROM f WHERE feature = 'vol'))
 SELECT site, md, feature, value, value_min, value_median, value_mean, value_max, pmedian, pmean, anomaly,
@@ -150,8 +150,10 @@ def context(d):
     swe = d.station_day.groupBy("site", F.year("d").alias("yr"), F.month("d").alias("md")).agg(F.avg("v").alias("swe"))
     vol = d.flow_month.select("site", "yr", F.col("m").alias("md"), "vol")
     wide = swe.join(vol, ["site", "yr", "md"])
+    # The latest year against all years before it.
+    last = vol.agg(F.max("yr")).first()[0]
     return explain.feature_context(
-        wide.where("yr = 2001"), wide.where("yr <= 2000"), ["site", "md"], ["swe", "vol"], ["swe"], ["temp"], ["cover"]
+        wide.where(F.col("yr") == last), wide.where(F.col("yr") < last), ["site", "md"], ["swe", "vol"], ["swe"], ["temp"], ["cover"]
     )
 
 

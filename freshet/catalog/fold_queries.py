@@ -102,11 +102,11 @@ def _(d):
 
 
 def issue_rows(d):
-    """Last station value per issue bucket next to the season volume."""
+    """Last station value before each issue date of the season, January to July, next to its volume."""
     latest = (
-        d.station_day.where(F.month("d") <= 6)
-        .groupBy("station", snap_up(F.date_add("d", 1)).alias("issue"))
+        d.station_day.groupBy("station", snap_up(F.date_add("d", 1)).alias("issue"))
         .agg(F.max_by("v", "d").alias("x"))
+        .where(F.month("issue") <= 7)
     )
     return (
         latest.join(d.area_pairs, "station")
@@ -120,8 +120,8 @@ _ISSUE_ROWS = """snaps AS (SELECT station, CASE WHEN day(d + 1) <= 1 THEN d + 1
     WHEN day(d + 1) <= 8 THEN make_date(year(d + 1), month(d + 1), 8)
     WHEN day(d + 1) <= 15 THEN make_date(year(d + 1), month(d + 1), 15)
     WHEN day(d + 1) <= 22 THEN make_date(year(d + 1), month(d + 1), 22)
-    ELSE (date_trunc('month', d + 1) + INTERVAL 1 MONTH)::DATE END AS issue, d, v FROM station_day WHERE month(d) <= 6),
-  last AS (SELECT station, issue, arg_max(v, d) AS x FROM snaps GROUP BY 1, 2),
+    ELSE (date_trunc('month', d + 1) + INTERVAL 1 MONTH)::DATE END AS issue, d, v FROM station_day),
+  last AS (SELECT station, issue, arg_max(v, d) AS x FROM snaps WHERE month(issue) <= 7 GROUP BY 1, 2),
   irows AS (SELECT p.site, l.station, year(issue) AS yr, (month(issue) - 1) * 4 + (day(issue) - 1) // 7 AS md, x, y.vol
     FROM last l JOIN area_pairs p ON l.station = p.station JOIN site_year y ON y.site = p.site AND y.yr = year(issue)),
   icorr AS (SELECT * FROM (SELECT site, station, md, corr(x, vol) AS r, count(x) AS n_obs FROM irows GROUP BY 1, 2, 3)
@@ -193,7 +193,7 @@ def _(d):
     FROM (SELECT DISTINCT site, md FROM rr) JOIN best USING (site)""",
 )
 def _(d):
-    return selection.max_corr_issue(issue_rows(d).where("md <= 27"))
+    return selection.max_corr_issue(issue_rows(d))
 
 
 _MONTH_CORR = """SELECT f.site, f.m, round(corr(f.vol, l.vol), 9) AS r FROM flow_month f

@@ -272,7 +272,8 @@ def _(d):
       SELECT site, station, 'within', NULL, NULL FROM ({_CROSSINGS}) WHERE in_basin)
     SELECT site, station, string_agg(method, ',' ORDER BY method) AS method, min(dist) AS dist, min(rnk) AS rnk
     FROM tagged WHERE station IN (SELECT station FROM station_day GROUP BY station
-      HAVING min(d) < DATE '1995-02-01' AND max(d) > DATE '2001-06-01') GROUP BY site, station""",
+      HAVING min(d) < (SELECT min(d) + INTERVAL 1 MONTH FROM station_day) AND max(d) > (SELECT max(d) - INTERVAL 6 MONTH FROM station_day))
+      GROUP BY site, station""",
 )
 def _(d):
     points = d.station_meta.select("station", "lat", "lon")
@@ -282,11 +283,10 @@ def _(d):
         ("within", spatial.within_join(points, d.polygons)),
         ("near", spatial.within_join(points, d.polygons, buffer_km=25.0)),
     ]
-    active = (
-        d.station_day.groupBy("station")
-        .agg(F.min("d").alias("a"), F.max("d").alias("b"))
-        .where("a < DATE '1995-02-01' AND b > DATE '2001-06-01'")
-    )
+    # Active from the first month of all records to the last half year.
+    spans = d.station_day.groupBy("station").agg(F.min("d").alias("a"), F.max("d").alias("b"))
+    first, last = spans.agg(F.add_months(F.min("a"), 1), F.add_months(F.max("b"), -6)).first()
+    active = spans.where((F.col("a") < F.lit(first)) & (F.col("b") > F.lit(last)))
     return joins.site_station_pairs(tagged, active, max_rank=5)
 
 

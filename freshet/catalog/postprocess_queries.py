@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from freshet.catalog.domain import KAF
 from freshet.catalog.registry import query
-from freshet.plans import postprocess as pp
+from freshet.plans import folds, postprocess as pp
 
 KEYS = ["site", "issue_date"]
 Q3 = "q10 num, q50 num, q90 num"
@@ -273,23 +273,30 @@ def _(d):
     return pp.natflow_floor(d.pred, "y", "m", FLOOR)
 
 
-_MOMENTS = """SELECT site, avg(y) AS mean, stddev_samp(y) AS sd, min(y) AS mn, max(y) AS mx, avg(ln(y)) AS lmean,
-  stddev_samp(ln(y)) AS lsd FROM pred WHERE yr <> 2001 GROUP BY site"""
+_HISTORY = "(SELECT p.*, h.fold FROM pred p, (SELECT DISTINCT yr AS fold FROM pred) h WHERE p.yr <> h.fold)"
+_MOMENTS = f"""SELECT site, fold, avg(y) AS mean, stddev_samp(y) AS sd, min(y) AS mn, max(y) AS mx, avg(ln(y)) AS lmean,
+  stddev_samp(ln(y)) AS lsd FROM {_HISTORY} GROUP BY site, fold"""
 _FIT = f"""SELECT *, sd * sqrt(3.0::DOUBLE) / pi() AS ls, sd * sqrt(6.0::DOUBLE) / pi() AS gs, lsd * sqrt(3.0::DOUBLE) / pi() AS lls,
   mean - 0.5772156649015329::DOUBLE * sd * sqrt(6.0::DOUBLE) / pi() AS gl FROM ({_MOMENTS})"""
-_NLL = f"""SELECT p.site, sum((y - mean) / ls + ln(ls) + 2 * ln(1 + exp(-(y - mean) / ls))) AS logistic,
+_NLL = f"""SELECT p.site, p.fold, sum((y - mean) / ls + ln(ls) + 2 * ln(1 + exp(-(y - mean) / ls))) AS logistic,
   sum(ln(gs) + (y - gl) / gs + exp(-(y - gl) / gs)) AS gumbel, sum(ln(mx - mn)) AS uniform,
   sum((ln(y) - lmean) / lls + ln(lls) + 2 * ln(1 + exp(-(ln(y) - lmean) / lls)) + ln(y)) AS loglogistic,
   sum(ln(lsd) + ((ln(y) - lmean) / lsd) ** 2 / 2 + ln(2 * pi()) / 2 + ln(y)) AS lognormal
-FROM pred p JOIN ({_FIT}) f ON p.site = f.site WHERE yr <> 2001 GROUP BY p.site"""
-_BEST = f"""SELECT site, least(logistic, gumbel, uniform, loglogistic, lognormal) AS nll,
+FROM {_HISTORY} p JOIN ({_FIT}) f ON p.site = f.site AND p.fold = f.fold GROUP BY p.site, p.fold"""
+_BEST = f"""SELECT site, fold, least(logistic, gumbel, uniform, loglogistic, lognormal) AS nll,
   CASE least(logistic, gumbel, uniform, loglogistic, lognormal) WHEN logistic THEN 'logistic' WHEN gumbel THEN 'gumbel'
     WHEN uniform THEN 'uniform' WHEN loglogistic THEN 'loglogistic' ELSE 'lognormal' END AS family FROM ({_NLL})"""
 
 
-@query("k14_best_dist", "site int, family str, nll num", _BEST)
+def history(d):
+    """Every row of a site in each fold that holds out another year."""
+    held_out = d.pred.select(F.col("yr").alias("fold")).distinct()
+    return folds.loocv(d.pred, "yr", *d.years).join(held_out, "fold", "left_semi")
+
+
+@query("k14_best_dist", "site int, fold int, family str, nll num", _BEST)
 def _(d):
-    return pp.best_dist(d.pred.where("yr <> 2001"), ["site"], "y")
+    return pp.best_dist(history(d), ["site", "fold"], "y")
 
 
 def _polynomial(coefficients, x: str) -> str:
@@ -348,15 +355,15 @@ def _k13(cdf, inv, fit: str, cols: str = "") -> str:
       0.7::DOUBLE * (CASE WHEN hi > mx THEN mx ELSE hi END) + (1 - 0.7::DOUBLE) * q90 AS q90 FROM (
       SELECT *, {low} AS lo, {high} AS hi FROM (
       SELECT *, greatest(pb, least(pt, {cdf('q50')})) AS p FROM (
-        SELECT p.*, f.* EXCLUDE (site), {cdf('mx')} AS pt, {cdf('mn')} AS pb
-        FROM pred p JOIN ({fit}) f ON p.site = f.site)))"""
+        SELECT p.*, f.* EXCLUDE (site, fold), {cdf('mx')} AS pt, {cdf('mn')} AS pb
+        FROM pred p JOIN ({fit}) f ON p.site = f.site AND p.yr = f.fold)))"""
 
 
 def _register_k13(family: str):
     @query(f"k13_dist_quantiles_{family}", f"site int, issue_date iso, {Q3}", _k13(lambda x: _cdf(family, x), lambda p: _inv(family, p), _FIT))
     def _(d):
-        fitted = pp.fit_moments(d.pred.where("yr <> 2001"), ["site"], "y").withColumn("family", F.lit(family))
-        return pp.dist_quantiles(d.pred, fitted, ["site"], weight=0.7)
+        fitted = pp.fit_moments(history(d), ["site", "fold"], "y").withColumn("family", F.lit(family))
+        return pp.dist_quantiles(d.pred.withColumn("fold", F.col("yr")), fitted, ["site", "fold"], weight=0.7)
 
 
 for _family in ("logistic", "gumbel", "uniform", "lognormal"):
@@ -369,13 +376,13 @@ for _family in ("logistic", "gumbel", "uniform", "lognormal"):
     _k13(
         lambda x: _case(_cdf, x),
         lambda p: _case(_inv, p),
-        f"SELECT m.*, b.family FROM ({_FIT}) m JOIN ({_BEST}) b ON m.site = b.site",
+        f"SELECT m.*, b.family FROM ({_FIT}) m JOIN ({_BEST}) b ON m.site = b.site AND m.fold = b.fold",
         "family,",
     ),
 )
 def _(d):
-    fitted = pp.best_dist(d.pred.where("yr <> 2001"), ["site"], "y").drop("nll")
-    return pp.dist_quantiles(d.pred, fitted, ["site"], weight=0.7)
+    fitted = pp.best_dist(history(d), ["site", "fold"], "y").drop("nll")
+    return pp.dist_quantiles(d.pred.withColumn("fold", F.col("yr")), fitted, ["site", "fold"], weight=0.7)
 
 
 @query(

@@ -315,10 +315,10 @@ def _(d):
 @query(
     "a13_submission_order",
     "ordinal int, site int, issue_date iso, q10 num, q50 num, q90 num",
-    """SELECT g.site * 1000 + (g.yr - 1995) * 28 + g.md_id AS ordinal, g.site, g.issue_date, q10, q50, q90 FROM issue_grid g
+    """SELECT g.site * 1000 + (g.yr - (SELECT min(yr) FROM issue_grid)) * 28 + g.md_id AS ordinal, g.site, g.issue_date, q10, q50, q90 FROM issue_grid g
     LEFT JOIN pred p ON g.site = p.site AND g.issue_date = p.issue_date ORDER BY 1""",
 )
 def _(d):
-    ordinal = F.col("site") * 1000 + (F.col("yr") - 1995) * 28 + F.col("md_id")
+    ordinal = F.col("site") * 1000 + (F.col("yr") - d.years[0]) * 28 + F.col("md_id")
     wanted = d.issue_grid.withColumn("ordinal", ordinal)
     return tables.submission(d.pred, wanted, ["site", "issue_date"], "ordinal")
