@@ -134,7 +134,7 @@ def test_column_screen_finds_copies(spark):
     assert got == {"a": (False, True), "b": (True, False), "z": (False, False), "n": (False, True)}
 
 
-def test_all_pairs_beyond_the_limit_gives_the_same_rows(spark):
+def test_all_pairs_give_the_same_rows_however_spread(spark):
     a, b = spark.range(7).toDF("x"), spark.range(11).toDF("y")
     small = joins.all_pairs(a, b).select("x", "y")
     large = joins.all_pairs(a, b, spread=4).select("x", "y")
@@ -165,6 +165,103 @@ def test_nearest_equals_brute_force_over_the_globe(spark):
     assert got == want
 
 
+def test_nearest_at_poles_date_line_and_hot_places(spark):
+    rng = np.random.default_rng(7)
+    spots = [(89.9, 10.0), (-89.99, -170.0), (90.0, 0.0), (0.0, 180.0), (0.0, -179.999), (12.0, 179.9), (45.0, 7.0), (45.0, 7.0)]
+    a = [(i, *p) for i, p in enumerate(spots)]
+    b = [(i, float(89 + rng.uniform(0, 1)), float(rng.uniform(-180, 180))) for i in range(60)]
+    b += [(100 + i, float(-89 - rng.uniform(0, 1)), float(rng.uniform(-180, 180))) for i in range(60)]
+    b += [(200 + i, float(rng.uniform(-5, 15)), float((179 + rng.uniform(0, 2) + 180) % 360 - 180)) for i in range(80)]
+    b += [(300 + i, 45.0, 7.0) for i in range(400)] + [(900, None, 1.0)]
+    fa = spark.createDataFrame(a, "site int, lat double, lon double")
+    fb = spark.createDataFrame(b, "station int, lat double, lon double")
+
+    def km(p, q):
+        la, lb = np.radians(p[1]), np.radians(q[1])
+        h = np.sin((lb - la) / 2) ** 2 + np.cos(la) * np.cos(lb) * np.sin(np.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * 6371.0 * np.arcsin(min(1.0, np.sqrt(h)))
+
+    ranked = {p[0]: sorted((round(km(p, q), 6), q[0]) for q in b if q[1] is not None) for p in a}
+    for finest in (3, 14):
+        got = {}
+        for r in spatial.nearest(fa, fb, "site", "station", 7, finest=finest).collect():
+            got.setdefault(r.site, {})[r.rnk] = r.station
+        assert got == {s: {n: q for n, (_, q) in enumerate(rows[:7], 1)} for s, rows in ranked.items()}
+    few = spatial.nearest(fa, fb.where("station < 3"), "site", "station", 5).groupBy("site").count().collect()
+    assert {r["site"]: r["count"] for r in few} == {p[0]: 3 for p in a}
+
+
+def test_nearest_value_on_an_axis(spark):
+    rng = np.random.default_rng(8)
+    axis = sorted({float(x) for x in rng.uniform(0, 100, 500).round(1)} | {50.0, 51.0})
+    xs = [*(float(x) for x in rng.uniform(-20, 120, 800).round(2)), 50.5, 50.0, None] + [7.25] * 50
+    points = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, v double")
+    grid = spark.createDataFrame([(a,) for a in axis] * 2, "v double")
+    got = {r.i: r.at for r in spatial.nearest_value(points, grid, "v", "at").collect()}
+    assert got == {i: None if x is None else min(axis, key=lambda a: (abs(a - x), a)) for i, x in enumerate(xs)}
+    assert spatial.nearest_value(points, grid.limit(0), "v", "at").where("at is not null").count() == 0
+
+
+def test_spread_join_splits_a_hot_code(spark):
+    sites = spark.range(900).selectExpr("id AS site", "if(id % 3 = 0, '1701', concat(1000 + id, '')) AS huc")
+    stations = spark.range(700).selectExpr("id AS station", "if(id % 3 = 0, '1701', concat(1000 + id % 50, '')) AS huc")
+    got = joins.huc_join(sites, stations, 4)
+    a, b = sites.toPandas(), stations.toPandas()
+    want = a.merge(b, on="huc")
+    assert sorted((r.site, r.station, r.huc4) for r in got.collect()) == sorted(want[["site", "station", "huc"]].itertuples(index=False, name=None))
+    both = joins.spread_join(sites.withColumnRenamed("huc", "k"), stations.withColumnRenamed("huc", "k"), "k")
+    assert both.count() == len(want) and both.columns == ["k", "site", "station"]
+
+
+def test_quantile_parts_stay_small_beside_an_outlier(spark):
+    rng = np.random.default_rng(9)
+    values = np.concatenate([1e9 + rng.uniform(0, 1, 200_000), [1.004e9]])
+    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    got = quantiles.spread_quantiles(df, [], "v", [0.1, 0.5, 0.999], ["a", "b", "c"]).head()
+    assert list(got) == pytest.approx(list(np.quantile(values, [0.1, 0.5, 0.999])), rel=1e-15)
+    key = quantiles._ordered(F.col("v"))
+    parts = df.distinct().groupBy(F.shiftright(key, 16).alias("part")).count()
+    assert parts.agg(F.max("count")).head()[0] < 10_000
+    ranks = quantiles.spread_ranks(df, [], "v", "r").toPandas().sort_values("_v")
+    assert (ranks["r"].to_numpy() == pd.Series(values).rank().groupby(values).first().to_numpy()).all()
+
+
+def test_ordered_numbers_keep_the_order_of_doubles(spark):
+    rng = np.random.default_rng(10)
+    edges = [0.0, 5e-324, 2.0**-1022, 2.0**-1021, 1.0, np.nextafter(1, 0), np.nextafter(1, 2), 2.0**52, 1.7976931348623157e308, np.inf]
+    powers = [f(2.0**e, d) for e in range(-1070, 1023, 97) for f in (np.nextafter,) for d in (0, np.inf)]
+    values = sorted({float(s * x) for x in [*edges, *powers, *rng.lognormal(0, 200, 500)] for s in (-1, 1)})
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, v double")
+    keys = [r.k for r in df.select("i", quantiles._ordered(F.col("v")).alias("k")).orderBy("i").collect()]
+    assert all(a < b for a, b in zip(keys, keys[1:]))
+
+
+def test_running_quantiles_of_raw_rows_of_a_hot_key(spark):
+    rng = np.random.default_rng(11)
+    days = rng.integers(0, 60, 30_000)
+    values = rng.normal(0, 1, 30_000).round(3)
+    frame = pd.DataFrame({"site": 1, "d": [dt.date(2000, 1, 1) + dt.timedelta(int(x)) for x in days], "v": values})
+    issues = issues_frame(spark, [D(2000, 1, 1), D(2000, 1, 15), D(2000, 2, 20), D(2000, 5, 1)])
+    out = asof.agg_since(spark.createDataFrame(frame), issues, ["site"], "d", "v", "issue_date", 10, aggs=("p10", "count", "p50", "p99"))
+    for r in out.where("site = 1").collect():
+        seen = frame.v[frame.d < r.issue_date]
+        assert r.v_count == len(seen)
+        want = [None] * 3 if not len(seen) else list(np.quantile(seen, [0.1, 0.5, 0.99]))
+        assert [r.v_p10, r.v_p50, r.v_p99] == (want if want[0] is None else pytest.approx(want))
+
+
+def test_long_exponential_means(spark):
+    rng = np.random.default_rng(12)
+    x = pd.Series(rng.normal(5, 2, 6000)).where(rng.uniform(size=6000) > 0.3)
+    x[:3], x[2000:3900] = np.nan, np.nan
+    df = spark.createDataFrame([(1, i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)], "k int, i int, v double")
+    for span in (1, 2, 6, 400):
+        got = [r[-1] for r in windows.ewm(df, ["k"], "i", "v", span).orderBy("i").collect()]
+        want = x.ewm(span=span, adjust=False, min_periods=span).mean()
+        assert [g is None for g in got] == list(want.isna())
+        assert np.allclose([g for g in got if g is not None], want.dropna(), rtol=1e-12)
+
+
 def test_point_in_polygon_with_hole_and_buffer(spark):
     def ring(*pts):
         return [{"x": float(x), "y": float(y)} for x, y in pts]
