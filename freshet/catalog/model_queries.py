@@ -26,12 +26,64 @@ def _(d):
     return best.withColumn("n_stations", F.size("stations"))
 
 
+#: The fit of K16: bags, the share of rows and of columns in a bag, and the penalty on slopes.
+BAGS, ROW_SHARE, COL_SHARE, ALPHA = 100, 0.9, 0.8, 0.01
+
+
+def fitted_quantiles(d, by, features):
+    rows = site_month_features(d)
+    return models.fit_quantile(
+        rows, by, features, "vol", bags=BAGS, row_share=ROW_SHARE, col_share=COL_SHARE, alpha=ALPHA, row_key=["site", "yr", "m"]
+    )
+
+
 @query("k16_quantile_regression", "site int, yr int, m int, q10 num4, q50 num4, q90 num4")
 def _(d):
-    rows = site_month_features(d)
     feats = ["swe", "val"]
-    coefs = models.fit_quantile(rows, ["site"], feats, "vol", bags=2, row_share=0.9, row_key=["site", "yr", "m"])
-    return models.predict_quantile(rows.select("site", "yr", "m", *feats), coefs, ["site"], feats)
+    coefs = fitted_quantiles(d, ["site"], feats)
+    return models.predict_quantile(site_month_features(d).select("site", "yr", "m", *feats), coefs, ["site"], feats)
+
+
+def season_features(d):
+    """Snow, index, and the volume of the month a year before (0 in the first year)."""
+    rows = site_month_features(d)
+    before = rows.select("site", (F.col("yr") + 1).alias("yr"), "m", F.col("vol").alias("vol_before"))
+    return rows.join(before, ["site", "yr", "m"], "left").withColumn("vol_before", F.coalesce("vol_before", F.lit(0.0)))
+
+
+def fitted_score(coefs, features):
+    """Scores by the fitted median of a site."""
+
+    def score(df):
+        return models.predict_quantile(df, coefs, ["site"], features, probs=(0.5,)).withColumnRenamed("q50", "prediction")
+
+    return score
+
+
+def _median_fit(d):
+    rows, feats = season_features(d), ["swe", "val", "vol_before"]
+    coefs = models.fit_quantile(
+        rows, ["site"], feats, "vol", probs=(0.5,), bags=BAGS, row_share=ROW_SHARE, col_share=COL_SHARE, alpha=ALPHA,
+        row_key=["site", "yr", "m"],
+    )
+    return rows, fitted_score(coefs, feats)
+
+
+@query("m10_what_if_fitted", "site int, yr int, m int, feature str, data_type str, n big, low num4, high num4, mean num4")
+def _(d):
+    rows, score = _median_fit(d)
+    tried = models.what_if(rows, rows, ["site", "m"], ["swe", "val", "vol_before"], score)
+    p = "prediction"
+    return tried.groupBy("site", "yr", "m", "feature", "data_type").agg(
+        F.count(F.lit(1)).alias("n"), F.min(p).alias("low"), F.max(p).alias("high"), F.avg(p).alias("mean")
+    )
+
+
+@query("m11_group_shapley_fitted", "site int, yr int, m int, label str, expected num4, shap num4")
+def _(d):
+    rows, score = _median_fit(d)
+    groups = {"snow": ["swe"], "climate": ["val"], "flow": ["vol_before"]}
+    return models.group_shapley(rows, rows, ["site", "yr", "m"], ["site", "m"], groups, score)
 
 
 @query("k17_partial_least_squares", "site int, m int, fold int, q10 num4, q50 num4, q90 num4, ncomp int, n_train int")

@@ -16,6 +16,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +42,12 @@ def pca(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     return scores.select(key, *[F.col("_a")[i].alias(f"pc{i + 1}") for i in range(min(k, width))])
 
 
+#: Rows in one block of a fit; a block is one row of arrays.
+FIT_BLOCK = 4096
+#: Groups solved together.
+GROUPS = 64
+
+
 def fit_quantile(
     df: DataFrame,
     by: Sequence[str],
@@ -50,26 +57,34 @@ def fit_quantile(
     bags: int = 1,
     row_share: float = 1.0,
     col_share: float = 1.0,
+    alpha: float = 0.0,
     row_key: Sequence[str] = (),
     steps: int = 12,
     seed: int = 0,
 ) -> DataFrame:
     """Linear quantile regression per group, quantile and bag.
 
-    Newton steps on a smoothed quantile loss, from the least-squares fit, with
-    the smoothing width shrinking by 0.65 a step (about 0.3 % of the target's sd
-    at the end). Each step is one aggregate of weighted outer products over all
-    groups, quantiles and bags, combined on the map side, followed by a small
-    solve per group. Coefficients are checkpointed after each step, so the plan
-    does not grow. Rows join a bag by a hash of ``row_key``; columns of a bag
-    are drawn once with the seed.
+    Minimises the mean quantile loss plus ``alpha`` times the sum of absolute slopes,
+    features and target scaled to unit sd. Proximal Newton steps on a smoothed loss,
+    from the least-squares fit, with the smoothing width shrinking by 0.65 a step
+    (about 0.3 % of the target's sd at the end); a step's penalised quadratic problem
+    is solved by coordinate steps on the aggregated matrices.
+
+    The rows of a group are dealt into blocks once, each one row of arrays, and the
+    coefficients of a group are one row for all quantiles and bags, so a step is one
+    pass: a block gives one vector with the sums of all its fits, and vectors are
+    summed on the map side. Coefficients are checkpointed after each step. Rows join
+    a bag by a hash of ``row_key``; columns of a bag are drawn once with the seed.
     """
     p = len(features) + 1
     rng = np.random.default_rng(seed)
-    masks = {}
+    use = np.zeros((bags, p), bool)
     for b in range(bags):
-        cols = [i for i in range(1, p) if col_share >= 1.0 or rng.random() < col_share]
-        masks[b] = [0, *(cols or [1])]
+        use[b, 0] = True
+        use[b, 1:] = rng.random(p - 1) < col_share if col_share < 1.0 else True
+        if p > 1 and not use[b, 1:].any():
+            use[b, rng.integers(1, p)] = True
+    fits = [(q, b) for q in probs for b in range(bags)]
     complete = F.col(y).isNotNull()
     for f in features:
         complete = complete & F.col(f).isNotNull()
@@ -78,93 +93,137 @@ def fit_quantile(
         *[F.stddev_pop(f).alias(f"_s{i}") for i, f in enumerate(features)],
         F.avg(y).alias("_my"),
         F.stddev_pop(y).alias("_sy"),
+        F.count(F.lit(1)).alias("_rows"),
     )
 
     def unit(s: str) -> Column:
         return F.when(F.col(s) > 0, F.col(s)).otherwise(1.0)
 
-    x = F.array(
-        F.lit(1.0), *[(F.col(f) - F.col(f"_m{i}")) / unit(f"_s{i}") for i, f in enumerate(features)]
-    )
-    rows = cut_lineage(
-        df.where(complete)
-        .join(stats, list(by))
-        .select(
-            *by,
-            x.alias("_x"),
-            ((F.col(y) - F.col("_my")) / unit("_sy")).alias("_y"),
-            F.xxhash64(*(row_key or [*features, y])).alias("_h"),
-        )
-    )
-    grid = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(float(q)).alias("q"), F.lit(b).alias("bag"))
-                for q in probs
-                for b in range(bags)
-            ]
-        )
-    )
-    groups = rows.select(*by).distinct().withColumn("_g", grid).select(*by, "_g.q", "_g.bag")
-    coefs = groups.withColumn("beta", F.lit(None).cast("array<double>"))
-    key_fields = [f for f in rows.schema.fields if f.name in by]
-    schema = T.StructType(
-        [
-            *key_fields,
-            T.StructField("q", T.DoubleType()),
-            T.StructField("bag", T.IntegerType()),
-            T.StructField("beta", T.ArrayType(T.DoubleType())),
-        ]
-    )
-    in_bag = F.pmod(F.xxhash64("_h", "bag", F.lit(seed)), F.lit(10_000)) < int(row_share * 10_000)
-    upper = [(i, j) for i in range(p) for j in range(i, p)]
+    scaled = [(F.col(f) - F.col(f"_m{i}")) / unit(f"_s{i}") for i, f in enumerate(features)]
+    row = F.array(*scaled, (F.col(y) - F.col("_my")) / unit("_sy"))
+    hashed = F.xxhash64(*(row_key or [*features, y]))
+    parts = F.ceil(F.col("_rows") / FIT_BLOCK)
+    dealt = df.where(complete).join(stats, list(by)).select(*by, row.alias("_x"), hashed.alias("_h"), parts.alias("_parts"))
+    dealt = cut_lineage(dealt.withColumn("_part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_parts"))))
+    blocks = dealt.groupBy(*by, "_part").agg(F.collect_list(F.struct("_x", "_h")).alias("_r"))
+    blocks = cut_lineage(blocks.select(*by, F.flatten("_r._x").alias("_x"), F.col("_r._h").alias("_h")))
+    coefs = blocks.select(*by).distinct().withColumn("beta", F.lit(None).cast("array<double>"))
+    key_fields = [f for f in blocks.schema.fields if f.name in by]
+    schema = T.StructType([*key_fields, T.StructField("beta", T.ArrayType(T.DoubleType()))])
     for step in range(steps + 1):
-        x_at = [F.col("_x")[i] for i in range(p)]
-        if step == 0:
-            curve, pull = F.lit(1.0), F.col("_y")
-        else:
-            width = 0.5 * 0.65 ** (step - 1)
-            fitted = sum((F.col("beta")[i] * x_at[i] for i in range(1, p)), F.col("beta")[0])
-            below = 1 / (1 + F.exp(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), (F.col("_y") - fitted) / width))))
-            curve, pull = below * (1 - below) / width, F.col("q") - below
-        weighted = rows.join(coefs, list(by)).where(in_bag).withColumns({"_w": curve, "_g": pull})
-        sums = weighted.groupBy(*by, "q", "bag").agg(
-            F.first("beta").alias("beta"),
-            F.count(F.lit(1)).cast("double").alias("n_"),
-            F.array(*[F.sum(F.col("_w") * x_at[i] * x_at[j]) for i, j in upper]).alias("a_"),
-            F.array(*[F.sum(F.col("_g") * x_at[i]) for i in range(p)]).alias("b_"),
-        )
-        coefs = cut_lineage(_newton_step(sums, by, masks, schema, p, 0.0 if step == 0 else 1e-3))
-    # Back to the scale of the inputs.
-    out = coefs.join(stats, list(by))
+        width = None if step == 0 else 0.5 * 0.65 ** (step - 1)
+        sums = _block_sums(blocks.join(coefs, list(by)), by, key_fields, fits, p, row_share, seed, width)
+        total = sums.groupBy(*by).agg(Summarizer.sum(array_to_vector("_sums")).alias("_v"), F.any_value("beta").alias("beta"))
+        total = total.select(*by, vector_to_array("_v").alias("_v"), "beta")
+        coefs = cut_lineage(_proximal_step(total, by, schema, fits, use, alpha, 0.0 if step == 0 else 1e-3))
+    # One row per fit again, on the scale of the inputs.
+    named = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(b).alias("bag")) for q, b in fits])
+    each = coefs.select(*by, "beta", F.posexplode(named).alias("_i", "_fit"))
+    each = each.select(*by, "_fit.q", "_fit.bag", F.slice("beta", F.col("_i") * p + 1, p).alias("beta"))
+    out = each.join(stats, list(by))
     slopes = [F.col("beta")[i + 1] * unit("_sy") / unit(f"_s{i}") for i in range(p - 1)]
     shift = sum((s * F.col(f"_m{i}") for i, s in enumerate(slopes)), F.lit(0.0))
     level = F.col("_my") + F.col("beta")[0] * unit("_sy") - shift
     return out.select(*by, "q", "bag", F.array(level, *slopes).alias("beta"))
 
 
-def _newton_step(
-    sums: DataFrame, by: Sequence[str], masks: Mapping[int, list[int]], schema: T.StructType, p: int, ridge: float
+def _in_bag(h: np.ndarray, bag: int, row_share: float, seed: int) -> np.ndarray:
+    """Whether the rows of these hashes are in a bag."""
+    x = h.astype(np.uint64) + np.uint64((bag * 2_654_435_761 + seed * 40_503 + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53 < row_share
+
+
+def _block_sums(
+    blocks: DataFrame, by: Sequence[str], key_fields: list, fits: list, p: int, row_share: float, seed: int, width: float | None
 ) -> DataFrame:
-    """One solve per group: coefficients plus curvature^-1 x gradient, on the
-    bag's columns; ``ridge`` is relative to the row count."""
-    upper = [(i, j) for i in range(p) for j in range(i, p)]
+    """Per block one vector: for each fit the row count, the curvature and the gradient."""
+    schema = T.StructType(
+        [*key_fields, T.StructField("_sums", T.ArrayType(T.DoubleType())), T.StructField("beta", T.ArrayType(T.DoubleType()))]
+    )
+    upper = np.triu_indices(p)
+    prob, bag_of = np.array([q for q, _ in fits]), np.array([b for _, b in fits])
+    n_bags = int(bag_of.max()) + 1
 
     def run(batches):
         for pdf in batches:
-            betas = []
-            for old, a_flat, b, n, bag in zip(pdf["beta"], pdf["a_"], pdf["b_"], pdf["n_"], pdf["bag"]):
-                a = np.zeros((p, p))
-                for (i, j), v in zip(upper, a_flat):
-                    a[i, j] = a[j, i] = v
-                use = masks[int(bag)]
-                sub = a[np.ix_(use, use)] + (ridge + 1e-9) * n * np.eye(len(use))
-                beta = np.zeros(p) if old is None else np.array(old, dtype=float)
-                beta[use] += np.linalg.solve(sub, np.asarray(b, dtype=float)[use])
-                betas.append(beta.tolist())
-            yield pdf[[*by, "q", "bag"]].assign(beta=betas)
+            out = []
+            for flat, h, beta in zip(pdf["_x"], pdf["_h"], pdf["beta"]):
+                rows = np.asarray(flat, float).reshape(-1, p)
+                x = np.hstack([np.ones((len(rows), 1)), rows[:, :-1]])
+                target, h = rows[:, -1], np.asarray(h, np.int64)
+                old = np.zeros((len(fits), p)) if beta is None else np.asarray(beta, float).reshape(-1, p)
+                mine = np.ones((len(h), n_bags))
+                if row_share < 1:
+                    mine = np.column_stack([_in_bag(h, b, row_share, seed) for b in range(n_bags)]).astype(float)
+                mine = mine[:, bag_of]
+                if width is None:
+                    curve, pull = mine, mine * target[:, None]
+                else:
+                    below = 1 / (1 + np.exp(np.clip((target[:, None] - x @ old.T) / width, -50, 50)))
+                    curve, pull = mine * below * (1 - below) / width, mine * (prob - below)
+                products = x[:, upper[0]] * x[:, upper[1]]
+                sums = np.hstack([mine.sum(axis=0)[:, None], curve.T @ products, pull.T @ x])
+                out.append(sums.ravel())
+            yield pdf[[*by]].assign(_sums=out, beta=pdf["beta"])
+
+    return blocks.mapInPandas(run, schema)
+
+
+def _proximal(a: np.ndarray, b: np.ndarray, beta: np.ndarray, use: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    """Minimises, for each fit, the quadratic with curvature a and gradient -b at beta plus the penalty on slopes.
+
+    Columns that a fit doesn't use stay 0. All fits take their coordinate steps together.
+    """
+    fits, p = beta.shape
+    a = a * use[:, :, None] * use[:, None, :]
+    a[:, np.arange(p), np.arange(p)] += ~use
+    b = np.where(use, b, 0.0)
+    if not penalty.any():
+        return beta + np.linalg.solve(a, b[..., None])[..., 0]
+    pull = np.einsum("kij,kj->ki", a, beta) + b  # the quadratics' linear parts
+    z = beta.copy()
+    for _ in range(500):
+        moved = 0.0
+        for j in range(p):
+            rest = pull[:, j] - np.einsum("ki,ki->k", a[:, j], z) + a[:, j, j] * z[:, j]
+            new = (rest if j == 0 else np.sign(rest) * np.maximum(np.abs(rest) - penalty, 0.0)) / a[:, j, j]
+            moved = max(moved, np.abs(new - z[:, j]).max())
+            z[:, j] = new
+        if moved < 1e-10:
+            break
+    return z
 
-    return sums.mapInPandas(run, schema)
+
+def _proximal_step(
+    total: DataFrame, by: Sequence[str], schema: T.StructType, fits: list, use: np.ndarray, alpha: float, ridge: float
+) -> DataFrame:
+    """New coefficients of all fits of a group; ``ridge`` is relative to the row count."""
+    p = use.shape[1]
+    upper = np.triu_indices(p)
+    size = 1 + len(upper[0]) + p
+    used = use[[b for _, b in fits]]
+
+    def solved(flats, betas) -> list[np.ndarray]:
+        sums = np.stack([np.asarray(v, float) for v in flats]).reshape(-1, size)
+        old = np.stack([np.zeros(len(fits) * p) if v is None else np.asarray(v, float) for v in betas]).reshape(-1, p)
+        n = np.maximum(sums[:, 0], 1.0)  # a bag without rows keeps zeros
+        a = np.zeros((len(sums), p, p))
+        a[:, upper[0], upper[1]] = sums[:, 1 : 1 + len(upper[0])]
+        a = a + np.triu(a, 1).transpose(0, 2, 1) + ((ridge + 1e-9) * n)[:, None, None] * np.eye(p)
+        new = _proximal(a, sums[:, 1 + len(upper[0]) :], old, np.tile(used, (len(flats), 1)), alpha * n)
+        return list(new.reshape(len(flats), -1))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for first in range(0, len(pdf), GROUPS):
+                part = slice(first, first + GROUPS)
+                out += solved(pdf["_v"].iloc[part], pdf["beta"].iloc[part])
+            yield pdf[[*by]].assign(beta=out)
+
+    return total.mapInPandas(run, schema)
 
 
 def predict_quantile(
@@ -374,6 +433,52 @@ def what_if(
     return score(changed).select(*keep, "feature", "feature_value", "data_type", "prediction")
 
 
+#: Coalitions up to which all are tried.
+ALL_COALITIONS = 1 << 10
+
+
+def coalitions(g: int, tried: int = ALL_COALITIONS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Coalitions of g groups (their bits) and, for each group, every coalition's part in its value.
+
+    Up to ``tried`` coalitions all are taken and the parts are the exact Shapley
+    weights. Beyond, the empty and the full one and pairs of a drawn coalition and its
+    complement are taken, sizes drawn by their Shapley kernel weight; the parts are
+    then those of the weighted least squares that fits an additive model through the
+    empty and the full coalition. Models of single groups and pairs of groups come out
+    exactly, others with an error that falls with the root of ``tried``.
+    """
+    if 1 << g <= tried:
+        bits = np.arange(1 << g)
+        weight = [math.factorial(s) * math.factorial(g - s - 1) / math.factorial(g) for s in range(g)]
+        parts = np.zeros((g, len(bits)))
+        for c in bits.tolist():
+            size = c.bit_count()
+            for i in range(g):
+                parts[i, c] = weight[size - 1] if c >> i & 1 else -weight[size]
+        return bits, parts
+    rng = np.random.default_rng(seed)
+    sizes = np.arange(1, g)
+    kernel = 1.0 / (sizes * (g - sizes))
+    drawn: dict[int, int] = {}
+    full = (1 << g) - 1
+    for size in rng.choice(sizes, (tried - 2) // 2, p=kernel / kernel.sum()):
+        c = sum(1 << int(i) for i in rng.choice(g, size, replace=False))
+        for side in (c, full ^ c):
+            drawn[side] = drawn.get(side, 0) + 1
+    bits = np.array([0, full, *drawn])
+    z = (bits[2:, None] >> np.arange(g) & 1).astype(float)
+    w = np.array(list(drawn.values()), float)
+    # Least squares under the condition that the parts sum to v(full) - v(empty).
+    a = np.linalg.pinv(z.T @ (w[:, None] * z))
+    ones = np.ones(g)
+    free = a - np.outer(a @ ones, ones @ a) / (ones @ a @ ones)
+    parts = np.zeros((g, len(bits)))
+    parts[:, 2:] = free @ (z * w[:, None]).T
+    parts[:, 0] = -parts[:, 2:].sum(axis=1) - a @ ones / (ones @ a @ ones)
+    parts[:, 1] = a @ ones / (ones @ a @ ones)
+    return bits, parts
+
+
 def group_shapley(
     rows: DataFrame,
     background: DataFrame,
@@ -381,36 +486,33 @@ def group_shapley(
     by: Sequence[str],
     groups: Mapping[str, Sequence[str]],
     score: Score,
+    tried: int = ALL_COALITIONS,
 ) -> DataFrame:
-    """Contribution per feature group under independence, all coalitions.
+    """Contribution per feature group under independence, with the expected value.
 
     A coalition takes its groups from the explained row and the rest from each
     background row of the same ``by`` key; ``background`` holds one row per key
-    and year, so the rows compared are few. Also gives the expected value.
+    and year, so the rows compared are few. Up to ``tried`` coalitions are scored for
+    a row, all of them or a draw as :func:`coalitions` says, and a group's value is
+    one weighted sum over them.
     """
     names = list(groups)
-    g = len(names)
+    bits, parts = coalitions(len(names), tried)
     owner = {c: i for i, name in enumerate(names) for c in groups[name]}
     base = background.select(*by, *[F.col(c).alias(f"_bg_{c}") for c in owner])
-    mixed = rows.join(base, list(by)).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(2**g - 1))))
+    listed = rows.sparkSession.createDataFrame([(i, int(c), parts[:, i].tolist()) for i, c in enumerate(bits)], "_i int, _s long, _w array<double>")
+    mixed = rows.join(base, list(by)).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(len(bits) - 1))))
+    mixed = mixed.join(F.broadcast(listed), "_i")  # at most ``tried`` rows
     taken = mixed.withColumns(
         {
             c: F.when(F.col("_s").bitwiseAND(1 << i) != 0, F.col(c)).otherwise(F.col(f"_bg_{c}"))
             for c, i in owner.items()
         }
     )
-    value = score(taken).groupBy(*key, "_s").agg(F.avg("prediction").alias("_v"))
-    size = F.bit_count("_s").cast("int")
-    weight = [math.factorial(s) * math.factorial(g - s - 1) / math.factorial(g) for s in range(g)]
-    table = F.array(*[F.lit(w) for w in weight])
-    terms = []
-    for i in range(g):
-        has = F.col("_s").bitwiseAND(1 << i) != 0
-        terms.append(
-            F.sum(
-                F.when(has, F.get(table, size - 1) * F.col("_v")).otherwise(-F.get(table, size) * F.col("_v"))
-            ).alias(names[i])
-        )
+    value = score(taken).groupBy(*key, "_i").agg(
+        F.avg("prediction").alias("_v"), F.first("_w").alias("_w"), F.first("_s").alias("_s")
+    )
+    terms = [F.sum(F.col("_w")[i] * F.col("_v")).alias(name) for i, name in enumerate(names)]
     wide = value.groupBy(*key).agg(F.max(F.when(F.col("_s") == 0, F.col("_v"))).alias("expected"), *terms)
     return wide.unpivot([*key, "expected"], names, "label", "shap")
 

@@ -155,6 +155,87 @@ def test_quantile_regression_leaves_the_right_share_below(spark):
     assert list(shares) == pytest.approx([0.1, 0.5, 0.9], abs=0.02)
 
 
+def quantile_loss(x, y, q, alpha, level, slope):
+    rest = y - level - slope * x
+    return np.mean(np.maximum(q * rest, (q - 1) * rest)) + alpha * abs(slope)
+
+
+@pytest.mark.parametrize("alpha", [0.0, 0.05, 0.15, 5.0])
+def test_penalised_quantile_regression_equals_the_linear_programme(spark, alpha):
+    """The optimum of one feature lies where two points, or one point and slope 0, are met."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=40)
+    y = 0.5 * x + rng.normal(size=40)
+    sx, sy = x.std(), y.std()
+    u, v = (x - x.mean()) / sx, (y - y.mean()) / sy
+    df = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(x, y)], "g int, x double, y double")
+    got = {r.q: r.beta for r in models.fit_quantile(df, ["g"], ["x"], "y", alpha=alpha, steps=20).collect()}
+    for q, (level, slope) in got.items():
+        lines = [(v[i] - s * u[i], s) for i in range(40) for s in [0.0, *((v[i] - v[j]) / (u[i] - u[j]) for j in range(i))]]
+        best = min(quantile_loss(u, v, q, alpha, *line) for line in lines)
+        scaled = ((level + slope * x.mean() - y.mean()) / sy, slope * sx / sy)
+        assert quantile_loss(u, v, q, alpha, *scaled) <= best * 1.005 + 1e-6
+        if alpha == 5.0:
+            assert slope == 0
+
+
+def test_bags_draw_rows_and_columns(spark):
+    rng = np.random.default_rng(22)
+    rows = [(i % 2, i, *map(float, rng.normal(size=4))) for i in range(6000)]
+    df = spark.createDataFrame(rows, "g int, i int, a double, b double, c double, y double")
+    coefs = models.fit_quantile(df, ["g"], ["a", "b", "c"], "y", bags=6, row_share=0.5, col_share=0.5, row_key=["i"], steps=4)
+    found = coefs.collect()
+    assert len(found) == 2 * 3 * 6
+    used = {(r.g, r.bag): tuple(x != 0 for x in r.beta[1:]) for r in found}
+    assert len(set(used.values())) > 1 and all(any(u) for u in used.values())
+    assert all(used[0, b] == used[1, b] for b in range(6))
+    share = np.mean([models._in_bag(np.arange(20_000), b, 0.3, 1) for b in range(5)])
+    assert share == pytest.approx(0.3, abs=0.01)
+
+
+def test_sampled_coalitions():
+    for g, tried in ((3, 1024), (10, 1024), (12, 600), (20, 800)):
+        bits, parts = models.coalitions(g, tried)
+        assert len(bits) <= tried and len(set(bits.tolist())) == len(bits)
+        rng = np.random.default_rng(g)
+        single, pair = rng.normal(size=g), np.triu(rng.normal(size=(g, g)), 1)
+        z = bits[:, None] >> np.arange(g) & 1
+        v = 4 + z @ single + np.einsum("si,ij,sj->s", z, pair, z)
+        want = single + (pair.sum(0) + pair.sum(1)) / 2
+        assert parts @ v == pytest.approx(want, abs=1e-8)
+    # Beyond pairs the sampled values still add up, and the error falls with the root of the draws.
+    bits, parts = models.coalitions(14, 4000)
+    z = bits[:, None] >> np.arange(14) & 1
+    v = np.tanh(z @ np.linspace(-1, 1, 14)) + z[:, 0] * z[:, 1] * z[:, 2]
+    got = parts @ v
+    assert got.sum() == pytest.approx(v[list(bits).index(2**14 - 1)] - v[list(bits).index(0)])
+    all_bits, exact = models.coalitions(14, 2**14)
+    z = all_bits[:, None] >> np.arange(14) & 1
+    exact = exact @ (np.tanh(z @ np.linspace(-1, 1, 14)) + z[:, 0] * z[:, 1] * z[:, 2])
+    assert np.abs(got - exact).max() < 4 / np.sqrt(4000)
+
+
+def test_shapley_of_many_groups(spark):
+    rng = np.random.default_rng(23)
+    names = [f"f{i}" for i in range(20)]
+    rows = [(1, y, *map(float, rng.normal(size=20))) for y in range(4)]
+    df = spark.createDataFrame(rows, "site int, yr int, " + ", ".join(f"{n} double" for n in names))
+
+    def score(frame):
+        return frame.withColumn("prediction", sum((F.col(n) * (i + 1) for i, n in enumerate(names)), F.col("f0") * F.col("f1")))
+
+    got = models.group_shapley(df, df, ["site", "yr"], ["site"], {n: [n] for n in names}, score, tried=300).collect()
+    x = np.array([r[2:] for r in rows])
+    mean, both = x.mean(0), (x[:, 0] * x[:, 1]).mean()
+    for r in got:
+        i, own = names.index(r.label), x[r.yr]
+        want = (i + 1) * (own[i] - mean[i])
+        if i < 2:
+            j = 1 - i
+            want += ((own[i] * mean[j] - both) + (own[0] * own[1] - own[j] * mean[i])) / 2
+        assert r.shap == pytest.approx(want, abs=1e-6)
+
+
 def test_pls_with_all_components_is_least_squares():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(30, 3))
