@@ -4,19 +4,23 @@ Per host, every path is a branch of a tree of segments.  Segments that are plain
 variable (numbers, long hex, dates) become wildcards at once; where a node has many
 different children for its pages they become one wildcard; children that lead to
 the same templates and whose labelled purity does not differ by more than chance
-are merged into one branch.  A template is rejected when the smoothed share of bad
-among its labelled pages, (bad + ALPHA / 2) / (labelled + ALPHA), reaches REJECT.
-Paths of any depth keep all their segments; the rounds go as deep as a host has
-enough paths for a node to be generalised, or to have two children.
+are merged into one branch.
 
-Pages that a rule judges are the labelled ones (block is bad); the method judges
-the rest by their template.  A template has the labels of its own pages only: one
-where no page is judged by a rule has a purity of one half and is allowed.
+Pages that a rule judges are the labelled ones (block is bad); the method judges the
+rest by their template.  Purity is smoothed down the tree: a node's is
+(bad + ALPHA * its parent's) / (labelled + ALPHA), the host's parent is the share of
+bad among all labelled pages.  So a template without labels has the purity of the
+nearest node above it that has some.  A template is rejected at a purity of REJECT.
+
+A round works on one level and on the hosts that have a fork there or deeper; levels
+without a fork are passed over and hosts without one set aside, so the rounds count
+the levels with forks and not the depth of the deepest path.  Paths keep all their
+segments.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
 and the verdict of that template; of rules of equal length the first by code point
-wins; repeated rows are judged alike; an empty table gives no rows; other columns
-are ignored.
+wins; without any labelled page all purities are one half; repeated rows are judged
+alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -94,7 +98,11 @@ def _generalise(leaves: DataFrame, level: int) -> DataFrame:
 
 
 def _merge(leaves: DataFrame, level: int) -> DataFrame:
-    """Merges the children of a node that have the same subtree and like purity."""
+    """Merges the children of a node that have the same subtree and like purity.
+
+    Children of one subtree with the same counts are alike; the window for the rest
+    runs over their distinct counts, not over the children of a node.
+    """
     rows = leaves.withColumns({"_prefix": _prefix(level), "_child": _child(level)})
     below = rows.filter("_child IS NOT NULL").groupBy("host", "_prefix", "_child", _tail(level).alias("_below"))
     below = below.agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"), F.count("*").alias("_rows"))
@@ -102,29 +110,73 @@ def _merge(leaves: DataFrame, level: int) -> DataFrame:
         F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"), F.sum("_rows").alias("_w"),
         F.bit_xor(F.xxhash64("_below")).alias("_shape"), F.count("*").alias("_kinds"),
     )
-    p = (F.col("bad") + ALPHA / 2) / (F.col("labelled") + ALPHA)
-    kids = kids.withColumns({"_p": p, "_var": p * (1 - p) / (F.col("labelled") + ALPHA)})
-    line = Window.partitionBy("host", "_prefix", "_shape", "_kinds").orderBy("_p", "_child")
+    kids = landed(lookup(kids, _hosts(leaves), ["host"], "_hw"), "url-kids")
+    like = ["host", "_prefix", "_shape", "_kinds", "labelled", "bad"]
+    counts = kids.groupBy(*like).agg(F.first("_host_purity").alias("_prior"), F.count("*").alias("_n"), F.min("_child").alias("_first"))
+    p = (F.col("bad") + ALPHA * F.col("_prior")) / (F.col("labelled") + ALPHA)
+    counts = counts.withColumns({"_p": p, "_var": p * (1 - p) / (F.col("labelled") + ALPHA)})
+    line = Window.partitionBy("host", "_prefix", "_shape", "_kinds").orderBy("_p", "labelled")
     apart = F.col("_p") - F.lag("_p").over(line) > ERRORS * F.sqrt(F.col("_var") + F.lag("_var").over(line))
-    # A branch without labels is like others without, never like one with.
-    apart = apart | ((F.col("labelled") > 0) != (F.lag("labelled").over(line) > 0))
-    kids = kids.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int"))
-    kids = kids.withColumn("_group", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    groups = kids.groupBy("host", "_prefix", "_shape", "_kinds", "_group").agg(F.min("_child").alias("_name"), F.count("*").alias("_n"))
-    named = kids.join(groups, ["host", "_prefix", "_shape", "_kinds", "_group"]).filter("_n > 1")
+    counts = counts.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int"))
+    counts = counts.withColumn("_group", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("host", "_prefix", "_shape", "_kinds", "_group")
+    counts = counts.withColumns({"_name": F.min("_first").over(whole), "_all": F.sum("_n").over(whole)}).filter("_all > 1")
+    named = lookup(kids, landed(counts.select(*like, "_name", "_n"), "url-groups"), like, "_n").filter("_name IS NOT NULL")
     named = named.select("host", "_prefix", "_child", F.concat(F.lit("{"), "_name", F.lit("|..}")).alias("_name"), "_w")
     found = lookup(rows, landed(named, "url-branches"), ["host", "_prefix", "_child"], "_w")
     now = F.when(F.col("_name").isNotNull(), _with_child(level, F.col("_name"))).otherwise(F.col("now"))
     return found.withColumn("now", now).select(*leaves.columns)
 
 
-def _reach(leaves: DataFrame) -> tuple[int, int]:
-    """The levels at which some host has MANY leaves or more, and those at which one has two: no other node can change."""
-    deeper = F.sum("_n").over(Window.partitionBy("host").orderBy(F.desc("_depth")))
-    depths = leaves.groupBy("host", F.size("shape").alias("_depth")).agg(F.count("*").alias("_n")).withColumn("_deeper", deeper)
-    most = [F.max(F.when(F.col("_deeper") >= n, F.col("_depth"))) for n in (MANY, 2)]
-    wide, two = depths.agg(*most).first()
-    return wide or 0, two or 0
+def _hosts(leaves: DataFrame) -> DataFrame:
+    return leaves.groupBy("host").agg(F.first("host_purity").alias("_host_purity"), F.count("*").alias("_hw"))
+
+
+def _node(level: Column) -> Column:
+    """A name of fixed length for a path's first segments."""
+    prefix = F.slice("now", F.lit(1), level)
+    return F.struct(F.xxhash64(prefix).alias("a"), F.xxhash64(F.lit(1), prefix).alias("b"))
+
+
+def _forks(leaves: DataFrame, after: int, least: int, alike: bool) -> DataFrame:
+    """(host, _next, _w): the first level behind ``after`` at which a node of the host has so
+    many different children, with the same subtree if ``alike``; other nodes cannot change."""
+    level = F.col("_level")
+    kids = leaves.select("host", "now", F.posexplode("now").alias("_level", "_child")).filter(level > after)
+    below = F.xxhash64(F.slice("now", level + 2, F.size("now"))) if alike else F.lit(0).cast("long")
+    kids = kids.groupBy("host", "_level", _node(level).alias("_node"), "_child", below.alias("_below")).agg(F.lit(1).alias("_one"))
+    kids = kids.groupBy("host", "_level", "_node", "_child").agg(F.bit_xor("_below").alias("_shape"), F.count("*").alias("_kinds"))
+    nodes = kids.groupBy("host", "_level", "_node", "_shape", "_kinds").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    first = nodes.groupBy("host").agg(F.min("_level").alias("_next"))
+    return first.join(leaves.groupBy("host").agg(F.count("*").alias("_w")), "host")
+
+
+def _in_rounds(leaves: DataFrame, step, least: int, alike: bool) -> DataFrame:
+    """``step`` at each level with forks; hosts that have none left are set aside."""
+    live, aside, level = leaves, [], -1
+    while True:
+        forks = landed(_forks(live, level, least, alike), "url-forks")
+        level = forks.agg(F.min("_next")).first()[0]
+        if level is None:
+            return reduce(DataFrame.unionByName, aside, live)
+        marked = landed(lookup(live, forks, ["host"], "_w"), "url-marked")
+        aside.append(marked.filter("_next IS NULL").select(*leaves.columns))
+        now = marked.filter(F.col("_next") == level).select(*leaves.columns)
+        later = marked.filter(F.col("_next") > level).select(*leaves.columns)
+        live = landed(step(now, level).unionByName(later), "url-leaves")
+
+
+def _purities(leaves: DataFrame) -> DataFrame:
+    """(host, now, bad_share, _w): each template's purity, smoothed down its path from the host's."""
+    paths = landed(leaves.groupBy("host", "now").agg(F.count("*").alias("_w"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"),
+                                                     F.first("host_purity").alias("host_purity")), "url-paths")
+    levels = F.explode(F.sequence(F.lit(1), F.size("now")))
+    steps = paths.withColumn("_level", levels).withColumn("_node", _node(F.col("_level")))
+    nodes = steps.groupBy("host", "_level", "_node").agg(F.sum("bad").alias("_bad"), F.sum("labelled").alias("_labelled"), F.count("*").alias("_paths"))
+    steps = lookup(steps.select("host", "now", "_level", "_node"), landed(nodes, "url-nodes"), ["host", "_level", "_node"], "_paths")
+    lists = steps.groupBy("host", "now").agg(F.sort_array(F.collect_list(F.struct("_level", "_bad", "_labelled"))).alias("_steps"))
+    smoothed = F.aggregate("_steps", F.col("host_purity"), lambda p, n: (n["_bad"] + ALPHA * p) / (n["_labelled"] + ALPHA))
+    return paths.join(lists, ["host", "now"]).select("host", "now", smoothed.alias("bad_share"), "_w")
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -132,15 +184,14 @@ def templates(pages: DataFrame) -> DataFrame:
     labelled = F.count("bad").alias("labelled")
     leaves = pages.groupBy("host", "shape").agg(F.count("*").alias("pages"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), labelled)
     leaves = landed(leaves.withColumn("now", F.col("shape")), "url-leaves")
-    wide, two = _reach(leaves)
-    for level in range(wide):
-        leaves = landed(_generalise(leaves, level), "url-leaves")
-    for level in range(two):
-        leaves = landed(_merge(leaves, level), "url-leaves")
-    sums = leaves.groupBy("host", "now").agg(F.sum("bad").alias("_bad"), F.sum("labelled").alias("_labelled"), F.count("*").alias("_w"))
-    purity = (F.col("_bad") + ALPHA / 2) / (F.col("_labelled") + ALPHA)
-    sums = landed(sums.select("host", "now", purity.alias("bad_share"), "_w"), "url-templates")
-    out = lookup(leaves.select("host", "shape", "pages", "now"), sums, ["host", "now"], "_w")
+    bad, known = leaves.agg(F.sum("bad"), F.sum("labelled")).first()
+    prior = bad / known if known else 0.5
+    hosts = leaves.groupBy("host").agg(F.sum("bad").alias("_bad"), F.sum("labelled").alias("_labelled"), F.count("*").alias("_w"))
+    own = (F.col("_bad") + ALPHA * prior) / (F.col("_labelled") + ALPHA)
+    leaves = lookup(leaves, landed(hosts.select("host", own.alias("host_purity"), "_w"), "url-hosts"), ["host"], "_w").drop("_w")
+    leaves = _in_rounds(landed(leaves, "url-leaves"), _generalise, MANY, alike=False)
+    leaves = landed(_in_rounds(leaves, _merge, 2, alike=True), "url-leaves")
+    out = lookup(leaves.select("host", "shape", "pages", "now"), landed(_purities(leaves), "url-templates"), ["host", "now"], "_w")
     return out.select("host", "shape", "pages", F.concat(F.lit("/"), F.array_join("now", "/")).alias("template"), "bad_share")
 
 
