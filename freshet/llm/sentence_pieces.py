@@ -13,7 +13,8 @@ the encoding of the text before it, so each position is left at most once and th
 work is linear in the text.
 
 Texts are cut where no piece of the vocabulary can reach over (before white space,
-and around characters that stand in no longer piece); a worker remembers short units.
+between letters and marks, around characters that stand in no longer piece); a worker
+remembers short units.
 
 Defined results: a null text is empty and has no ids; ids are whole for any length of
 text; characters without a piece become their bytes' pieces; null ids decode to an
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 
 import ahocorasick
 import numpy as np
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from freshet.llm.textbytes import slices
 
 SPACE = "▁"
-#: Units and pairs a worker remembers, each at most so many; longer units are encoded anew.
+#: Units a worker remembers in each of two generations, and pairs at most; longer units are encoded anew.
 REMEMBERED, SHORT = 400_000, 48
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 
@@ -64,10 +66,12 @@ class Vocabulary:
         self.shorter = {p: self._shorter(p) for p in self.id_of}
         self.automaton = ahocorasick.Automaton()
         for p in self.id_of:
-            self.automaton.add_word(p, len(p))
+            self.automaton.add_word(p, (len(p) - 1, p))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
         self.units: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.cut = self._cut()
 
         self.bytes_of = [p.piece.replace(SPACE, " ").encode() for p in proto.pieces]
@@ -79,18 +83,25 @@ class Vocabulary:
         self.is_byte = [p.type == BYTE for p in proto.pieces]
         self.opens = [p.type == NORMAL and p.piece.startswith(SPACE) for p in proto.pieces]
 
-    def _shorter(self, piece: str) -> int:
-        """The length of the longest proper prefix that is a piece or a single character; 0 if there is none."""
-        return next((n for n in range(len(piece) - 1, 0, -1) if n == 1 or piece[:n] in self.id_of), 0)
+    def _shorter(self, piece: str) -> str:
+        """The longest proper prefix that is a piece or a single character; empty if there is none."""
+        return next((piece[:n] for n in range(len(piece) - 1, 0, -1) if n == 1 or piece[:n] in self.id_of), "")
 
     def _cut(self) -> re.Pattern:
         """Units of a text: no piece reaches from one into the next."""
         longer = [p for p in self.id_of if len(p) > 1]
         joined = set("".join(longer))
-        alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined)
+        alone = {chr(c) for c in range(128)} - joined
+        # Characters, letters aside, that share pieces with each other and with white space only.
+        marks = {c for c in joined if c != SPACE and not c.isalpha()}
+        while mixed := {c for p in longer for c in p if c in marks and not marks.issuperset(p.replace(SPACE, ""))}:
+            marks -= mixed
+        kind = lambda chars: "".join(map(re.escape, sorted(chars)))
+        parts = [f"[{kind(alone)}]"] * bool(alone)
         if any(b == SPACE and a != SPACE for p in longer for a, b in zip(p, p[1:])):
-            return re.compile(f"[^{alone}]+|[{alone}]" if alone else "(?s).+")
-        return re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else ""))
+            return re.compile("|".join([*parts, f"[^{kind(alone)}]+"]) if alone else "(?s:.+)")
+        parts += [f"{SPACE}*[{kind(marks)}]+"] * bool(marks)
+        return re.compile("|".join([f"{SPACE}*[^{SPACE}{kind(alone | marks)}]+", *parts, f"{SPACE}+"]))
 
     def _holds(self, text: str, cut: int) -> bool:
         """Whether merging ``text`` ends with pieces that meet at ``cut`` only (0: with one piece), none crossing it."""
@@ -111,50 +122,57 @@ class Vocabulary:
 
     def compatible(self, a: str, b: str) -> bool:
         """Whether ``b`` can follow ``a``; an empty ``a`` asks whether ``b`` is formed at all."""
-        found = self.pairs.get((a, b))
+        found = self.pairs.get(a, {}).get(b)
         if found is None:
-            if len(self.pairs) >= REMEMBERED:
+            if self.n_pairs >= REMEMBERED:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self._holds(a + b, len(a))
+                self.n_pairs = 0
+            found = self.pairs.setdefault(a, {})[b] = self._holds(a + b, len(a))
+            self.n_pairs += 1
         return found
 
     def split(self, unit: str) -> list[str]:
         """The pieces of a unit, characters without a piece included."""
         n = len(unit)
-        longest = [1] * n
-        for end, size in self.automaton.iter(unit):
-            if size > longest[end - size + 1]:
-                longest[end - size + 1] = size
+        longest = list(unit)
+        for end, (back, piece) in self.automaton.iter(unit):
+            longest[end - back] = piece  # ends ascend, so the longest comes last
         failed = bytearray((n >> 3) + 1)
-        out: list[str] = []
-        at, size = 0, longest[0]
-        while at < n:
-            piece, end = unit[at : at + size], at + size
-            if not failed[end >> 3] >> (end & 7) & 1 and self.compatible(out[-1] if out else "", piece):
-                out.append(piece)
-                at = end
-                size = longest[at] if at < n else 0
-                continue
-            size = self.shorter.get(piece, 0)
-            while not size:
+        shorter, pairs, out = self.shorter.get, self.pairs, []
+        at, last, piece = 0, "", longest[0]
+        while True:
+            end = at + len(piece)
+            if not failed[end >> 3] >> (end & 7) & 1:
+                fits = pairs[last].get(piece) if last in pairs else None
+                if self.compatible(last, piece) if fits is None else fits:
+                    out.append(piece)
+                    if end == n:
+                        return out
+                    at, last, piece = end, piece, longest[end]
+                    continue
+            piece = shorter(piece, "")
+            while not piece:
                 failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
                 at -= len(piece)
-                size = self.shorter.get(piece, 0)
-        return out
+                last = out[-1] if out else ""
+                piece = shorter(piece, "")
 
     def _learn(self, unit: str) -> bytes:
-        ids = []
-        for p in self.split(unit):
-            i = self.id_of.get(p)
-            if i is not None:
-                ids.append(i)
-            else:
-                ids += [self.byte_id.get(b, self.unknown) for b in p.encode()] if self.byte_id else [self.unknown]
-        found = np.array(ids, "<i4").tobytes()
+        """The ids of a unit that is not among the last ones remembered."""
+        found = self.before.get(unit)
+        if found is None:
+            ids = []
+            for p in self.split(unit):
+                i = self.id_of.get(p)
+                if i is not None:
+                    ids.append(i)
+                else:
+                    ids += [self.byte_id.get(b, self.unknown) for b in p.encode()] if self.byte_id else [self.unknown]
+            found = struct.pack(f"<{len(ids)}i", *ids)
         if len(unit) <= SHORT:
             if len(self.units) >= REMEMBERED:
-                self.units.clear()
+                self.units, self.before = {}, self.units
             self.units[unit] = found
         return found
 
@@ -162,8 +180,8 @@ class Vocabulary:
         """The ids as little-endian 32-bit numbers."""
         if not text:
             return b""
-        get = self.units.get
-        return b"".join([get(u) or self._learn(u) for u in self.cut.findall(self.prefix + text.replace(" ", SPACE))])
+        units = self.cut.findall(self.prefix + text.replace(" ", SPACE))
+        return b"".join([self.units.get(u) or self._learn(u) for u in units])
 
     def decode(self, ids: list[int]) -> str:
         head, n = [], 0
