@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from freshet.llm.textbytes import slices
 
 #: Units a worker remembers in each of two generations; longer ones are encoded anew.
-REMEMBERED, SHORT = 400_000, 64
+REMEMBERED, SHORT = 600_000, 64
 
 UNIT = re.compile(
     rb"[\x20\x09-\x0D]*[A-Za-z]+(?=[.,;:!?])"  # letters before a stop
@@ -76,12 +76,13 @@ class Encoder:
 
     def _learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
         """Remembers the units of some texts; gives those too long to be kept."""
-        new = {u for units in texts for u in units if u not in self.known}
+        new = [u for u in set().union(*texts) if u not in self.known]
         found = {u: self.before[u] for u in new if u in self.before}
         found.update(self._encoded([u for u in new if u not in found]))
         kept = {u: ids for u, ids in found.items() if len(u) <= SHORT}
         if len(self.known) > REMEMBERED:
-            self.known, self.before = {u: self.known[u] for units in texts for u in units if u in self.known}, self.known
+            now = set().union(*texts)
+            self.known, self.before = {u: self.known[u] for u in now if u in self.known}, self.known
         self.known.update(kept)
         return {u: ids for u, ids in found.items() if len(u) > SHORT}
 
@@ -94,7 +95,10 @@ class Encoder:
         units = [[] if i in apart else UNIT.findall(t) for i, t in enumerate(texts)]
         long = self._learn(units)
         known = self.known
-        out = [b"".join([known[u] if u in known else long[u] for u in own]) for own in units]
+        known.update(long)  # for this slice
+        out = [b"".join(map(known.__getitem__, own)) for own in units]
+        for u in long:
+            del known[u]
         for i, ids in zip(odd, self.whole([texts[i].decode("utf-8", "replace") for i in odd])):
             out[i] = ids
         return out
