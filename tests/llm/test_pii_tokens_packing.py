@@ -163,6 +163,10 @@ def test_packing_is_near_the_best(spark, seed):
     assert n <= -(-sum(r.length for r in out) // 100) * 1.02 + 1
 
 
+def counted(spark, counts):
+    return spark.createDataFrame(list(counts.items()), "length long, n long")
+
+
 def test_packing_edges(spark):
     schema = "doc_id long, length long"
     assert packing.pack(spark.createDataFrame([], schema), 10, ["doc_id"]).count() == 0
@@ -170,7 +174,9 @@ def test_packing_edges(spark):
     out = packing.pack(hot, 10, ["doc_id"]).collect()
     assert len(out) == 20_000 and placed_well(out, 10) == 6667 + 2222
     with pytest.raises(ValueError):
-        packing.plan({11: 1}, 10)
+        packing.plan(counted(spark, {11: 1}), 10)
+    with pytest.raises(ValueError):
+        packing.plan(counted(spark, {0: 1}), 10)
 
 
 def best_fit_decreasing(lengths, capacity):
@@ -185,12 +191,49 @@ def best_fit_decreasing(lengths, capacity):
     return len(gaps)
 
 
-def test_rounds_are_as_good_as_one_by_one():
+def state_table(rows):
+    names = ["part", "kind", "size", "first", "n", "sequence", "gap"]
+    return pa.Table.from_pylist([dict(zip(names, r)) for r in rows], schema=pa.schema([(c, pa.int32() if c in names[:2] else pa.int64()) for c in names]))
+
+
+def pairs(table):
+    """(length, rank) of every document and the sequence and gap it got, if any."""
+    out = {}
+    for r in table.to_pylist():
+        for j in range(r["n"]) if r["kind"] != packing.GAP else ():
+            out[r["size"], r["first"] + j] = (r["sequence"] + j, r["gap"]) if r["kind"] == packing.PLACED else None
+    return out
+
+
+def test_sweeps_of_ranges_pair_as_one_by_one():
+    rng = random.Random(11)
+    for _ in range(200):
+        sizes = rng.sample(range(1, 65), rng.randint(1, 30))
+        rows, sequence = [], 0
+        for g in [rng.randint(1, 64) for _ in range(rng.randint(0, 30))]:
+            n = rng.randint(1, 5)
+            rows.append((0, packing.GAP, g, sequence, n, None, None))
+            sequence += n
+        rows += [(0, packing.WAITING, s, rng.randint(0, 9), rng.randint(1, 6), None, None) for s in sizes]
+        whole = pairs(packing.sweep(state_table(rows)))
+        parts = [packing.sweep(state_table([r for r in rows if r[2] * packing.PARTS // 65 == p])) for p in range(packing.PARTS)]
+        assert pairs(packing.sweep(pa.concat_tables(parts))) == whole
+        gaps = sorted((r[2], r[3] + j) for r in rows if r[1] == packing.GAP for j in range(r[4]))
+        for s, rank in sorted(whole, key=lambda d: (-d[0], d[1])):
+            got = whole[s, rank]
+            fits = [g for g, _ in gaps if g >= s]
+            assert (got is not None) == bool(fits)
+            if got:
+                assert got[1] == min(fits)
+                gaps.remove((got[1], got[0]))
+
+
+def test_rounds_are_as_good_as_one_by_one(spark):
     rng = random.Random(7)
-    for _ in range(20):
+    for _ in range(6):  # each takes some ten Spark rounds
         lengths = [rng.randint(1, 64) for _ in range(rng.randint(1, 300))]
         counts = defaultdict(int)
         for n in lengths:
             counts[n] += 1
-        got = max(s + n for _, _, n, s, _ in packing.plan(dict(counts), 64))
+        got = max(r["_sequence"] + r["_n"] for r in packing.plan(counted(spark, counts), 64).collect())
         assert got <= best_fit_decreasing(lengths, 64) + 1 + len(lengths) // 100
