@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from freshet.catalog.domain import KAF
 from freshet.catalog.registry import query
-from freshet.plans import folds, postprocess as pp
+from freshet.plans import folds, likelihood, postprocess as pp
 
 KEYS = ["site", "issue_date"]
 Q3 = "q10 num, q50 num, q90 num"
@@ -299,6 +299,48 @@ def _(d):
     return pp.best_dist(history(d), ["site", "fold"], "y")
 
 
+# Newton steps on a and b of z = a * u - b, u the standardised values (or logarithms) of a fold.
+_LIKELY = f"""SELECT site, fold, family, loc, scale, nll FROM (
+  WITH RECURSIVE h AS MATERIALIZED (SELECT site, fold, y FROM {_HISTORY} WHERE y IS NOT NULL),
+  v AS MATERIALIZED (SELECT site, fold, kind, CASE kind WHEN 'loglogistic' THEN ln(y) ELSE y END AS x
+    FROM h, (VALUES ('logistic'), ('gumbel'), ('loglogistic')) k(kind)),
+  f AS MATERIALIZED (SELECT site, fold, kind, count(*)::DOUBLE AS n, avg(x) AS mean, stddev_samp(x) AS sd FROM v GROUP BY ALL HAVING min(x) < max(x)),
+  u AS MATERIALIZED (SELECT v.site, v.fold, v.kind, (x - mean) / sd AS u, n FROM v JOIN f USING (site, fold, kind)),
+  r(site, fold, kind, step, a, b) AS (
+    SELECT site, fold, kind, 0, CASE kind WHEN 'gumbel' THEN pi() / sqrt(6.0::DOUBLE) ELSE pi() / sqrt(3.0::DOUBLE) END,
+      CASE kind WHEN 'gumbel' THEN -0.5772156649015329::DOUBLE ELSE 0.0::DOUBLE END FROM f
+    UNION ALL
+    SELECT site, fold, kind, step + 1, a + (ab * gb - bb * ga) / (aa * bb - ab * ab), b + (ab * ga - aa * gb) / (aa * bb - ab * ab) FROM (
+      SELECT site, fold, kind, step, a, b, sum(d * u) - max(n) / a AS ga, -sum(d) AS gb, sum(c * u * u) + max(n) / (a * a) AS aa,
+        -sum(c * u) AS ab, sum(c) AS bb FROM (
+        SELECT r.*, u.u, u.n, CASE r.kind WHEN 'gumbel' THEN 1 - exp(-(a * u - b)) ELSE 2 / (1 + exp(-(a * u - b))) - 1 END AS d,
+          CASE r.kind WHEN 'gumbel' THEN exp(-(a * u - b)) ELSE 2 * exp(-(a * u - b)) / (1 + exp(-(a * u - b))) ** 2 END AS c
+        FROM r JOIN u ON r.site = u.site AND r.fold = u.fold AND r.kind = u.kind WHERE step < 20)
+      GROUP BY site, fold, kind, step, a, b)),
+  e AS (SELECT r.site, r.fold, r.kind, mean + sd * b / a AS loc, sd / a AS scale FROM r JOIN f USING (site, fold, kind) WHERE step = 20)
+  SELECT e.site, e.fold, e.kind AS family, e.loc, e.scale,
+    sum(CASE e.kind WHEN 'gumbel' THEN (x - loc) / scale + exp(-(x - loc) / scale) ELSE (x - loc) / scale + 2 * ln(1 + exp(-(x - loc) / scale)) END
+      + ln(scale) + CASE e.kind WHEN 'loglogistic' THEN x ELSE 0 END) AS nll
+  FROM e JOIN v USING (site, fold, kind) GROUP BY ALL
+  UNION ALL SELECT site, fold, 'uniform', min(y), max(y) - min(y), count(*) * ln(max(y) - min(y)) FROM h GROUP BY site, fold
+  UNION ALL SELECT site, fold, 'lognormal', avg(ln(y)), stddev_pop(ln(y)),
+    count(*) * (ln(stddev_pop(ln(y))) + 0.5 + ln(2 * pi()) / 2) + sum(ln(y)) FROM h GROUP BY site, fold)"""
+
+
+@query("k14_likelihood_fits", "site int, fold int, family str, loc num3, scale num3, nll num3", _LIKELY)
+def _(d):
+    return likelihood.fit_likelihood(history(d), ["site", "fold"], "y")
+
+
+@query(
+    "k14_best_likelihood",
+    "site int, fold int, family str, loc num3, scale num3, nll num3",
+    f"SELECT * FROM ({_LIKELY}) QUALIFY row_number() OVER (PARTITION BY site, fold ORDER BY nll) = 1",
+)
+def _(d):
+    return likelihood.best_likelihood(history(d), ["site", "fold"], "y")
+
+
 def _polynomial(coefficients, x: str) -> str:
     out = f"{coefficients[0]!r}::DOUBLE"
     for c in coefficients[1:]:

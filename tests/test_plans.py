@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshet.operators.windows import roll_mean
-from freshet.plans import explain, folds, metrics, models, postprocess as pp, selection
+from freshet.plans import explain, folds, likelihood, metrics, models, postprocess as pp, selection
 
 D = dt.date
 
@@ -355,3 +355,36 @@ def test_trees_beat_the_climatology(spark):
                 F.avg(F.col("y").between(F.col("q10"), F.col("q90")).cast("int")).alias("inside")).head()
     ys = np.array([row[4] for row in rows])
     assert r.n == 120 and r.err < 0.3 * np.abs(ys - np.median(ys)).mean() and 0.7 <= r.inside <= 0.95
+
+
+def nll_of(family, x, loc, scale):
+    logs = np.log(x) if family in ("loglogistic", "lognormal") else x
+    z = (logs - loc) / scale
+    plain = {"gumbel": z + np.exp(-z), "lognormal": z * z / 2 + np.log(2 * np.pi) / 2, "uniform": 0 * z}.get(family, z + 2 * np.log1p(np.exp(-z)))
+    return float((plain + np.log(scale) + (np.log(x) if logs is not x else 0)).sum())
+
+
+def test_likelihood_fits_are_the_best_of_their_family(spark):
+    rng = np.random.default_rng(5)
+    data = {1: rng.gamma(4, 100, 40), 2: rng.lognormal(3, 1.5, 25), 3: rng.normal(0, 1, 30), 4: np.r_[rng.gumbel(50, 5, 60), 900.0], 5: np.array([3.0, 8.0])}
+    rows = [(k, float(v)) for k, xs in data.items() for v in xs] + [(6, 7.0), (7, 1.0), (7, 1.0), (1, None), (None, 1.0), (None, 2.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "site int, y double")
+    fits = likelihood.fit_likelihood(df, ["site"], "y").collect()
+    assert {r.site for r in fits} == {1, 2, 3, 4, 5, None}
+    assert {r.family for r in fits if r.site == 3} == {"logistic", "gumbel", "uniform"}
+    for r in fits:
+        x = data.get(r.site, np.array([1.0, 2.0, 4.0]))
+        assert r.nll == pytest.approx(nll_of(r.family, x, r["loc"], r.scale), rel=1e-9, abs=1e-9)
+        if r.family == "uniform":
+            continue
+        for by in (1e-3, 1e-2, 0.1, 1.0):  # one valley: no point around is lower
+            for turn in np.linspace(0, 2 * np.pi, 8, endpoint=False):
+                other = nll_of(r.family, x, r["loc"] + by * r.scale * np.cos(turn), r.scale * np.exp(by * np.sin(turn)))
+                assert r.nll <= other + 1e-9
+    best = {r.site: r for r in likelihood.best_likelihood(df, ["site"], "y").collect()}
+    for site, r in best.items():
+        least = min((f for f in fits if f.site == site), key=lambda f: f.nll)
+        assert r.family == least.family and r.nll == pytest.approx(least.nll, rel=1e-12)
+    moments = {r.site: r.nll for r in pp.best_dist(df.where("site IN (1, 2, 4)"), ["site"], "y").collect()}
+    assert all(best[s].nll <= nll + 1e-9 for s, nll in moments.items())
+    assert likelihood.fit_likelihood(df.limit(0), ["site"], "y").count() == 0
