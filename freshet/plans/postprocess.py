@@ -154,7 +154,7 @@ def conformal(
 
 def calibrate(df: DataFrame, md: str = "md_id", step: float = 0.005, start: float = 1.0, last: int = 27) -> DataFrame:
     """Factors linear in the issue ordinal, neutral at the last one."""
-    end = 1 - (start - 1) if start > 1 else start
+    end = min(start, 2 - start)  # a start above 1 is mirrored
     back = last - F.col(md)
     return df.withColumns(
         {"q10": F.col("q10") * (start - back * step), "q90": F.col("q90") * (end + back * step)}
