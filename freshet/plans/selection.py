@@ -214,23 +214,50 @@ def regr_fill(df: DataFrame, y: str, x: str) -> DataFrame:
     return joined.withColumn(y, F.coalesce(F.col(y), F.col("_a") + F.col("_b") * F.col(x))).drop("_a", "_b")
 
 
-def _robust_rmse(x: np.ndarray, y: np.ndarray) -> float:
-    """RMSE over all rows of a least-squares fit refitted without far residuals."""
-    design = np.column_stack([np.ones(len(x)), x])
-    coef = np.linalg.lstsq(design, y, rcond=None)[0]
+def _robust_rmse(x: np.ndarray, y: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """RMSE over all seen rows of least-squares fits refitted without far residuals.
+
+    ``x``: (sets, rows, columns); ``y`` and ``seen``: (sets, rows). All sets are
+    solved together; a row that a fit leaves out has weight nothing.
+    """
+    design = np.concatenate([np.ones((*y.shape, 1)), np.where(seen[..., None], x, 0.0)], axis=2)
+    target = np.where(seen, y, 0.0)
+    tiny = np.finfo(float).eps * max(design.shape[1:])
+
+    def fit(keep: np.ndarray, which: np.ndarray) -> np.ndarray:
+        inverse = np.linalg.pinv(design[which] * keep[which][..., None], rcond=tiny)
+        return (inverse @ (target * keep)[which][..., None])[..., 0]
+
+    n = seen.sum(axis=1)
+    coef = fit(seen, np.arange(len(y)))
+    going = np.arange(len(y))
     for _ in range(3):
-        resid = np.abs(y - design @ coef)
-        keep = resid <= 3.0 * max(float(np.median(resid)), 1e-12)
-        if keep.sum() <= design.shape[1]:
+        resid = np.abs(target - (design @ coef[..., None])[..., 0])
+        ordered = np.sort(np.where(seen, resid, np.inf), axis=1)
+        at = np.arange(len(y))
+        median = (ordered[at, (n - 1) // 2] + ordered[at, n // 2]) / 2
+        keep = seen & (resid <= 3.0 * np.maximum(median, 1e-12)[:, None])
+        going = going[keep[going].sum(axis=1) > design.shape[2]]
+        if not len(going):
             break
-        coef = np.linalg.lstsq(design[keep], y[keep], rcond=None)[0]
-    return float(np.sqrt(np.mean((y - design @ coef) ** 2)))
+        coef[going] = fit(keep, going)
+    resid = np.where(seen, target - (design @ coef[..., None])[..., 0], 0.0)
+    return np.sqrt((resid**2).sum(axis=1) / n)
 
 
 @F.pandas_udf(T.DoubleType())
-def _set_rmse(xs: pd.Series, ys: pd.Series) -> pd.Series:
-    """Fit error of each candidate set from its yearly station values."""
-    return pd.Series([_robust_rmse(np.vstack(x), np.asarray(y, dtype=float)) for x, y in zip(xs, ys)], dtype=float)
+def _set_rmse(xs: pd.Series, ys: pd.Series, least: pd.Series) -> pd.Series:
+    """Fit error of each candidate set; ``xs`` holds its stations' years one after another, null where unseen."""
+    out = np.full(len(xs), np.nan)
+    shapes = pd.DataFrame({"x": xs.map(len), "y": ys.map(len)})
+    for (size, years), rows in shapes.groupby(["x", "y"]).indices.items():
+        x = np.stack(xs.iloc[rows].to_list()).astype(float).reshape(len(rows), size // years, years).transpose(0, 2, 1)
+        y = np.stack(ys.iloc[rows].to_list()).astype(float)
+        seen = ~np.isnan(x).any(axis=2)
+        enough = seen.sum(axis=1) >= max(int(least.iloc[0]), 1)
+        if enough.any():
+            out[rows[enough]] = _robust_rmse(x[enough], y[enough], seen[enough])
+    return pd.Series(out)
 
 
 def greedy_stations(rows: DataFrame, rounds: int = 5, min_years: int = 30) -> DataFrame:
@@ -238,48 +265,51 @@ def greedy_stations(rows: DataFrame, rounds: int = 5, min_years: int = 30) -> Da
 
     ``rows``: fold, site, station, yr, x, vol (training rows). Every single
     station is scored, then in each round the best set so far is merged with
-    every other scored set. A candidate set is one row holding the yearly values
-    of its stations, so no task gathers the stations of a site; scored sets are
-    checkpointed per round so that the plan does not grow.
+    every other scored set. Rows meet the label once: each station becomes one
+    array over the years of its site, bounded by the record's length, and a
+    candidate carries the arrays of its at most 2^rounds stations. A round then
+    joins only the best set of each (fold, site), and no task gathers the stations
+    of a site; new sets are checkpointed so that the plan does not grow.
+
+    Defined results: null and NaN x are unseen; of repeated (station, year) rows
+    the largest x counts; a set fits on the years that all of its stations have.
     """
     keys = ["fold", "site"]
-    base = cut_lineage(
-        rows.where(F.col("x").isNotNull() & F.col("vol").isNotNull()).select(*keys, "station", "yr", "x", "vol")
+    own = [*keys, "station"]
+    seen = rows.where(F.col("x").isNotNull() & ~F.isnan(F.col("x").cast("double")) & F.col("vol").isNotNull())
+    axis = (
+        seen.groupBy(*keys, "yr").agg(F.max("vol").cast("double").alias("vol"))
+        .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("yr", "vol"))).alias("_axis"))
+    )
+    stations = (
+        spread(seen.select(*own, "yr", F.col("x").cast("double").alias("x")), own)
+        .groupBy(*own, "yr").agg(F.max("x").alias("x"))
+        .groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("yr", "x"))).alias("_of"))
     )
+    member = F.struct("station", F.transform("_axis", lambda a: F.try_element_at("_of", a["yr"])).alias("x"))
+    single = stations.join(axis, keys).select(*keys, F.array("station").alias("stations"), F.array(member).alias("_members"), F.col("_axis.vol").alias("_ys"))
 
     def scored(candidates: DataFrame) -> DataFrame:
-        yearly = (
-            candidates.withColumn("station", F.explode("stations"))
-            .join(base, [*keys, "station"])
-            .groupBy(*keys, "stations", "yr")
-            .agg(F.sort_array(F.collect_list(F.struct("station", "x"))).alias("_s"), F.max("vol").alias("_y"))
-            .where(F.size("_s") == F.size("stations"))
-            .withColumn("_x", F.transform("_s", lambda s: s["x"]))
-        )
-        sets = yearly.groupBy(*keys, "stations").agg(
-            F.sort_array(F.collect_list(F.struct("yr", "_x", "_y"))).alias("_rows")
-        )
-        usable = spread(sets.where(F.size("_rows") >= min_years), [*keys, "stations"])
-        rmse = _set_rmse(F.transform("_rows", lambda r: r["_x"]), F.transform("_rows", lambda r: r["_y"]))
-        return usable.select(*keys, "stations", rmse.alias("rmse"))
+        xs = F.flatten(F.transform("_members", lambda m: m["x"]))
+        fits = spread(candidates, [*keys, "stations"]).withColumn("rmse", _set_rmse(xs, "_ys", F.lit(min_years)))
+        return cut_lineage(fits.where(F.col("rmse").isNotNull() & ~F.isnan("rmse")))
 
     def best(sets: DataFrame) -> DataFrame:
         # Rounded so that equal fits fall to the smaller, then lower, set.
         rank = F.struct(F.round("rmse", 9), F.size("stations"), F.col("stations"))
-        return sets.groupBy(*keys).agg(F.min_by(F.struct("stations", "rmse"), rank).alias("_b")).select(
-            *keys, F.col("_b.stations").alias("stations"), F.col("_b.rmse").alias("rmse")
-        )
+        picked = F.min_by(F.struct("stations", "_members", "_ys", "rmse"), rank).alias("_b")
+        return sets.groupBy(*keys).agg(picked).select(*keys, "_b.*")
 
-    sets = cut_lineage(scored(base.select(*keys, F.array("station").alias("stations")).distinct()))
+    known = scored(single)
+    top = cut_lineage(best(known))
     for _ in range(rounds):
-        top = best(sets).select(*keys, F.col("stations").alias("_top"))
-        merged = sets.join(top, keys).withColumn("_new", F.array_sort(F.array_union("_top", "stations")))
-        wider = (F.size("_new") > F.size("_top")) & (F.size("_new") > F.size("stations"))
-        fresh = (
-            merged.where(wider)
-            .select(*keys, F.col("_new").alias("stations"))
-            .distinct()
-            .join(sets.select(*keys, "stations"), [*keys, "stations"], "left_anti")
-        )
-        sets = cut_lineage(sets.unionByName(scored(fresh)))
-    return best(sets)
+        lead = top.select(*keys, F.col("stations").alias("_top"), F.col("_members").alias("_lead"))
+        more = F.filter("_members", lambda m: ~F.array_contains("_top", m["station"]))
+        merged = known.join(lead, keys).withColumn("_members", F.array_sort(F.concat("_lead", more)))
+        wider = (F.size("_members") > F.size("_top")) & (F.size("_members") > F.size("stations"))
+        merged = merged.where(wider).withColumn("stations", F.transform("_members", lambda m: m["station"]))
+        fresh = merged.dropDuplicates([*keys, "stations"]).join(known.select(*keys, "stations"), [*keys, "stations"], "left_anti")
+        fresh = scored(fresh.select(*keys, "stations", "_members", "_ys"))
+        known = known.unionByName(fresh)
+        top = cut_lineage(best(top.unionByName(fresh.select(*top.columns))))
+    return top.select(*keys, "stations", "rmse")

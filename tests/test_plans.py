@@ -93,6 +93,66 @@ def test_greedy_set_beats_single_stations(spark):
     assert row.rmse < 0.1
 
 
+def one_set_rmse(x, y):
+    """Trimmed refits of one candidate set, on its own."""
+    design = np.column_stack([np.ones(len(x)), x])
+    coef = np.linalg.lstsq(design, y, rcond=None)[0]
+    for _ in range(3):
+        far = np.abs(y - design @ coef)
+        keep = far <= 3 * max(np.median(far), 1e-12)
+        if keep.sum() <= design.shape[1]:
+            break
+        coef = np.linalg.lstsq(design[keep], y[keep], rcond=None)[0]
+    return np.sqrt(np.mean((y - design @ coef) ** 2))
+
+
+def test_fits_of_many_sets_equal_the_fit_of_each():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(40, 12, 3)), rng.normal(size=(40, 12))
+    x[5, :, 2] = x[5, :, 1]  # stations that say the same
+    y[7] = 2.0 * x[7, :, 0] + 1.0
+    y[:, 0] += 50.0  # a far year
+    seen = rng.random((40, 12)) < 0.8
+    seen[:, :5] = True
+    got = selection._robust_rmse(np.where(seen[..., None], x, np.nan), y, seen)
+    want = [one_set_rmse(a[s], b[s]) for a, b, s in zip(x, y, seen)]
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_greedy_sets_equal_a_plain_search(spark):
+    rng = np.random.default_rng(11)
+    rows, by = [], {}
+    for site in (1, 2):
+        vol = {y: float(rng.normal(100, 20)) for y in range(1980, 1995)}
+        for station in range(6):
+            for y in vol:
+                if rng.random() < 0.9:
+                    x = float(vol[y] * (station + 1) + rng.normal(0, 40))
+                    rows.append((1990, site, station, y, x, vol[y]))
+                    by.setdefault(site, {}).setdefault(station, {})[y] = x
+        rows += [(1990, site, 0, 1979, None, 5.0), (1990, site, 1, 1979, float("nan"), 5.0), (1990, site, 9, 1980, 1.0, vol[1980])]
+        by[site]["vol"] = vol
+    got = selection.greedy_stations(spark.createDataFrame(rows, "fold int, site int, station int, yr int, x double, vol double"), rounds=2, min_years=8)
+    assert got.columns == ["fold", "site", "stations", "rmse"]
+    for r in got.collect():
+        vol = by[r.site]["vol"]
+
+        def fit(members):
+            years = [y for y in vol if all(y in by[r.site][m] for m in members)]
+            if len(years) >= 8:
+                return one_set_rmse(np.array([[by[r.site][m][y] for m in members] for y in years]), np.array([vol[y] for y in years]))
+
+        known = {(m,): fit((m,)) for m in range(6)}
+
+        def best():
+            return min((round(v, 9), len(k), k) for k, v in known.items() if v is not None)[2]
+
+        for _ in range(2):
+            top = best()
+            known |= {k: fit(k) for k in {tuple(sorted({*top, *k})) for k in known if known[k] is not None} if k not in known}
+        assert tuple(r.stations) == best() and r.rmse == pytest.approx(known[best()])
+
+
 def test_conformal_reaches_its_share(spark):
     rng = np.random.default_rng(0)
     rows = [(1, 50.0, 50.0, 50.0, float(y)) for y in rng.normal(50, 10, 2000)]
