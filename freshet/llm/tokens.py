@@ -2,7 +2,7 @@
 
 Byte-level BPE never joins bytes across the end of a word, so a text is cut after
 each word (a word takes the white space before it), and between a word's letters and
-the stops behind them; a worker encodes each distinct unit once and remembers it by
+an ASCII mark or digit behind them; a worker encodes each distinct unit once and remembers it by
 its bytes.  Texts with white space beyond ASCII are encoded as a whole.
 
 Defined results: a null text is empty; rows, repeated ones included, are cut one by
@@ -25,10 +25,15 @@ from freshet.llm.textbytes import slices
 #: Units a worker remembers in each of two generations; longer ones are encoded anew.
 REMEMBERED, SHORT = 600_000, 64
 
+#: Bytes of text cut into units at once.
+SLICE_BYTES = 8 << 20
+
+#: White space and then letters before another ASCII character, or all up to the next
+#: white space.  Of the letters beyond ASCII only U+00C0 to U+00FF are told here; a unit
+#: starts at a character, so other characters end their run before a byte above 127.
 UNIT = re.compile(
-    rb"[\x20\x09-\x0D]*[A-Za-z]+(?=[.,;:!?])"  # letters before a stop
-    rb"|[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
-    rb"|[\x20\x09-\x0D]+"
+    rb"[\x20\x09-\x0D]*+(?:[A-Za-z\xC3\x80-\x96\x98-\xB6\xB8-\xBF]++(?=[!-@\[-`{-~])|[^\x20\x09-\x0D]++)"
+    rb"|[\x20\x09-\x0D]++"
 )
 #: White space beyond ASCII, as UTF-8.
 ODD_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -75,16 +80,17 @@ class Encoder:
         return out
 
     def _learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
-        """Remembers the units of some texts; gives those too long to be kept."""
-        new = [u for u in set().union(*texts) if u not in self.known]
-        found = {u: self.before[u] for u in new if u in self.before}
-        found.update(self._encoded([u for u in new if u not in found]))
-        kept = {u: ids for u, ids in found.items() if len(u) <= SHORT}
+        """Ids of the units of some texts; remembers the short ones."""
+        wanted = set().union(*texts)
+        found = {u: self.known[u] for u in wanted if u in self.known}
+        new = [u for u in wanted if u not in found]
+        more = {u: self.before[u] for u in new if u in self.before}
+        more.update(self._encoded([u for u in new if u not in more]))
         if len(self.known) > REMEMBERED:
-            now = set().union(*texts)
-            self.known, self.before = {u: self.known[u] for u in now if u in self.known}, self.known
-        self.known.update(kept)
-        return {u: ids for u, ids in found.items() if len(u) > SHORT}
+            self.known, self.before = found.copy(), self.known
+        self.known.update((u, ids) for u, ids in more.items() if len(u) <= SHORT)
+        found.update(more)
+        return found
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
@@ -93,12 +99,8 @@ class Encoder:
         odd = [i for i, t in enumerate(texts) if not t.isascii() and ODD_SPACE.search(t.decode("utf-8", "replace"))]
         apart = set(odd)
         units = [[] if i in apart else UNIT.findall(t) for i, t in enumerate(texts)]
-        long = self._learn(units)
-        known = self.known
-        known.update(long)  # for this slice
-        out = [b"".join(map(known.__getitem__, own)) for own in units]
-        for u in long:
-            del known[u]
+        found = self._learn(units)
+        out = [b"".join(map(found.__getitem__, own)) for own in units]
         for i, ids in zip(odd, self.whole([texts[i].decode("utf-8", "replace") for i in odd])):
             out[i] = ids
         return out
@@ -129,7 +131,7 @@ def pieces(
     def run(batches):
         own_encoder = encoder(source.value)
         for batch in batches:
-            for begin, end, data, at in slices(batch, "text"):
+            for begin, end, data, at in slices(batch, "text", SLICE_BYTES):
                 ids = own_encoder.encode(data, at)
                 rows = {k: [] for k in ("row", "piece", "start", "length", "crc", "ids")}
                 for d in range(end - begin):
