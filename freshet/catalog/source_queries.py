@@ -14,22 +14,22 @@ from freshet.sources import tables, text
 from freshet.sources.schemas import DISCHARGE
 
 
-def joined(lines: str, order: str):
-    """Lines of one file in order; a file holds at most one site-year."""
-    rows = F.sort_array(F.collect_list(F.struct(order, lines)))
-    return F.array_join(F.transform(rows, lambda r: r[lines]), "\n")
+def land(d, name: str, lines, by: list[str], order: str) -> str:
+    """Writes lines (``value``) as text, one file per value of ``by`` (integers) in ``order``; gives the folder."""
+    path = run_path(d.spark, name)
+    dealt = lines.repartition(*by).sortWithinPartitions(*by, order)
+    dealt.select(*by, "value").write.partitionBy(*by).text(path)
+    return path
 
 
-def station_files(d):
-    """``FY{year}/{station}.csv`` files; early years lack the second measure."""
+def station_lines(d):
+    """Lines of station-year files with a header; early years lack the second measure."""
     rows = d.station_day.withColumn("fy", forecast_year("d"))
     late = F.col("fy") >= 1998
     line = F.concat_ws(",", F.col("d").cast("string"), F.col("v").cast("string"), F.when(late, (F.col("v") * 2).cast("string")))
-    files = rows.withColumn("line", line).groupBy("station", "fy").agg(joined("line", "d").alias("body"))
     head = F.when(late, "date,WTEQ_DAILY,PREC_DAILY").otherwise("date,WTEQ_DAILY")
-    return files.select(
-        F.format_string("/landed/FY%d/%d.csv", "fy", "station").alias("path"), F.concat_ws("\n", head, "body").alias("value")
-    )
+    heads = rows.select("fy", "station").distinct().select("fy", "station", F.lit(None).cast("date").alias("d"), head.alias("value"))
+    return heads.unionByName(rows.select("fy", "station", "d", line.alias("value")))
 
 
 @query(
@@ -39,7 +39,8 @@ def station_files(d):
     FROM (SELECT *, CASE WHEN month(d) < 8 THEN year(d) ELSE year(d) + 1 END AS fy FROM station_day)""",
 )
 def _(d):
-    rows = text.parse_station_years(station_files(d))
+    path = land(d, "station-years", station_lines(d), ["fy", "station"], "d")
+    rows = text.scan_station_years(d.spark, path, files="", year=r"fy=(\d+)/", station=r"station=(\d+)/")
     return rows.withColumnsRenamed({"WTEQ_DAILY": "wteq", "PREC_DAILY": "prec", "TAVG_DAILY": "tavg"})
 
 
@@ -81,18 +82,14 @@ def _(d):
 )
 def _(d):
     flow = F.when(F.col("v") > 20, F.col("v").cast("string")).otherwise("Ice")
-    data = d.site_day.select(
-        F.concat_ws("\t", F.lit("USGS"), F.lpad(F.col("site").cast("string"), 8, "0"), F.col("d").cast("string"), flow).alias("value")
-    )
+    line = F.concat_ws("\t", F.lit("USGS"), F.lpad(F.col("site").cast("string"), 8, "0"), F.col("d").cast("string"), flow)
+    data = d.site_day.select("site", F.struct(F.lit(1).alias("part"), F.dayofyear("d").alias("k")).alias("o"), line.alias("value"))
     # Each site's file starts with comments, a header and a format line.
-    heads = d.site_meta.select(
-        F.explode(
-            F.array(
-                F.concat(F.lit("# site "), F.col("name")), F.lit("agency_cd\tsite_no\tdatetime\tflow"), F.lit("5s\t15s\t20d\t14n")
-            )
-        ).alias("value")
-    )
-    return text.parse_rdb(heads.unionByName(data), ["agency_cd", "site_no", "date", "flow"], ["flow"])
+    opening = F.array(F.concat(F.lit("# site "), F.col("name")), F.lit("agency_cd\tsite_no\tdatetime\tflow"), F.lit("5s\t15s\t20d\t14n"))
+    heads = d.site_meta.select("site", F.posexplode(opening).alias("k", "value"))
+    heads = heads.select("site", F.struct(F.lit(0).alias("part"), "k").alias("o"), "value")
+    path = land(d, "rdb", heads.unionByName(data), ["site"], "o")
+    return text.read_rdb(d.spark, path, ["agency_cd", "site_no", "date", "flow"], ["flow"])
 
 
 @query(
@@ -104,15 +101,11 @@ def _(d):
     names = d.site_meta.select("site", "name")
     unit = F.when(F.col("vol") > 300, "cfs").otherwise("af")
     line = F.concat_ws(",", "name", F.lit("Inflow"), F.col("vol").cast("string"), unit, F.concat(F.col("d").cast("string"), F.lit(" 00:00:00")))
-    files = (
-        d.flow_day.join(names, "site").withColumn("line", line)
-        .groupBy("site", F.year("d").alias("yr")).agg(joined("line", "d").alias("body"))
-    )
-    preamble = "\n".join([f"note {i}" for i in range(7)] + ["Location,Parameter,Result,Units,Datetime (UTC)"])
-    files = files.select(
-        F.format_string("/landed/%d-%d.csv", "site", "yr").alias("path"), F.concat_ws("\n", F.lit(preamble), "body").alias("value")
-    )
-    return text.parse_reservoir(files, {f"NATION_{i}": f"site_{i}" for i in range(25)}, "Inflow", unit="cfs")
+    rows = d.flow_day.join(names, "site").select("site", F.year("d").alias("yr"), "d", line.alias("value"))
+    preamble = F.lit("\n".join([f"note {i}" for i in range(7)] + ["Location,Parameter,Result,Units,Datetime (UTC)"]))
+    heads = rows.select("site", "yr").distinct().select("site", "yr", F.lit(None).cast("date").alias("d"), preamble.alias("value"))
+    path = land(d, "reservoir", heads.unionByName(rows), ["site", "yr"], "d")
+    return text.read_reservoir_csv(d.spark, path, {f"NATION_{i}": f"site_{i}" for i in range(25)}, "Inflow", unit="cfs")
 
 
 def monthly_lines(d, width: int, digits: int, scale: float = 1.0):
@@ -125,7 +118,22 @@ def monthly_lines(d, width: int, digits: int, scale: float = 1.0):
             F.format_string(f"%{width}.{digits}f", F.element_at("e", m) * scale), F.lpad(F.lit("99.99"), width, " ")
         ),
     )
-    return rows.select("station", "yr", F.concat(F.format_string("%4d", "yr"), F.array_join(cells, "")).alias("line"))
+    return rows.select("station", "yr", F.concat(F.format_string("%4d", "yr"), F.array_join(cells, "")).alias("value"))
+
+
+def index_tables(d, *parts, marker: str | None = None):
+    """Lands the parts one below the other in a file per station and reads them by the fixed widths."""
+    lines = None
+    for k, part in enumerate(parts):
+        rows = part.select("station", F.struct(F.lit(k).alias("part"), "yr").alias("o"), "value")
+        lines = rows if lines is None else lines.unionByName(rows)
+    read = text.read_lines(d.spark, land(d, "index", lines, ["station"], "o"))
+    months = text.parse_fwf(read, (4, *[9] * 12), ("year", *[f"m{m}" for m in range(1, 13)]), marker=marker)
+    return months.withColumn("path", F.regexp_extract("path", r"station=(\d+)/", 1))
+
+
+def opening(d, body: str):
+    return d.station_month.select("station", F.lit(0).alias("yr"), F.lit(body).alias("value")).distinct()
 
 
 @query(
@@ -135,9 +143,7 @@ def monthly_lines(d, width: int, digits: int, scale: float = 1.0):
     max(v) FILTER (month(t) = 12) AS m12 FROM station_month GROUP BY 1, 2""",
 )
 def _(d):
-    files = monthly_lines(d, 9, 1).groupBy("station").agg(joined("line", "yr").alias("body"))
-    files = files.select(F.col("station").cast("string").alias("path"), F.concat(F.lit("INDEX\nYEAR  JAN  FEB\n"), "body").alias("value"))
-    return text.parse_fwf(files, (4, *[9] * 12), ("year", *[f"m{m}" for m in range(1, 13)]))
+    return index_tables(d, opening(d, "INDEX\nYEAR  JAN  FEB"), monthly_lines(d, 9, 1))
 
 
 @query(
@@ -147,15 +153,9 @@ def _(d):
     FROM station_month GROUP BY 1, 2""",
 )
 def _(d):
-    plain = monthly_lines(d, 9, 1, 3.0).groupBy("station").agg(joined("line", "yr").alias("first"))
-    second = monthly_lines(d, 9, 1).groupBy("station").agg(joined("line", "yr").alias("second"))
-    files = plain.join(second, "station").select(
-        F.col("station").cast("string").alias("path"),
-        F.concat_ws("\n", F.lit("ANOMALY"), "first", F.lit("  STANDARDIZED    DATA  "), F.lit("YEAR JAN"), "second").alias("value"),
-    )
-    return text.parse_fwf(
-        files, (4, *[9] * 12), ("year", *[f"m{m}" for m in range(1, 13)]), marker="STANDARDIZED    DATA"
-    )
+    between = opening(d, "  STANDARDIZED    DATA  \nYEAR JAN")
+    parts = [opening(d, "ANOMALY"), monthly_lines(d, 9, 1, 3.0), between, monthly_lines(d, 9, 1)]
+    return index_tables(d, *parts, marker="STANDARDIZED    DATA")
 
 
 @query(
@@ -165,11 +165,11 @@ def _(d):
 )
 def _(d):
     anom = F.when(F.col("v") > 100, F.format_string("%8.2f", F.col("v") - 100)).otherwise("*****")
-    lines = d.station_month.select(
-        F.concat_ws("  ", F.format_string(" %5d %d   %d", "station", F.year("t"), F.month("t")), F.format_string("%9.2f", "v"), anom).alias("value")
-    )
-    heads = d.station_meta.select(F.explode(F.array(F.lit("STN YR MON VALUE ANOM"), F.lit(""))).alias("value"))
-    rows = text.parse_ws(heads.unionByName(lines), ["station", "yr", "m", "v", "anom"], skip=("STN",))
+    line = F.concat_ws("  ", F.format_string(" %5d %d   %d", "station", F.year("t"), F.month("t")), F.format_string("%9.2f", "v"), anom)
+    lines = d.station_month.select("station", "t", line.alias("value"))
+    heads = lines.select("station", F.lit(None).cast("date").alias("t"), F.lit("STN YR MON VALUE ANOM\n").alias("value")).distinct()
+    path = land(d, "ws", heads.unionByName(lines.withColumn("t", F.to_date("t"))), ["station"], "t")
+    rows = text.read_ws(d.spark, path, ["station", "yr", "m", "v", "anom"], skip=("STN",))
     return rows.select(*[F.col(c).try_cast("int").alias(c) for c in ("station", "yr", "m")], *[F.col(c).try_cast("double").alias(c) for c in ("v", "anom")])
 
 
@@ -192,14 +192,14 @@ def _(d):
         F.struct("t", F.lit(0).alias("k")).alias("o"),
         F.concat_ws("\n", F.concat(F.format_string("%2d%2d %4d", F.month("t"), F.dayofmonth("t"), F.year("t")), F.lit("  FORECAST TEMPERATURE PERCENTILES")), F.lit("YEAR MN LEAD CD VALUE")).alias("line"),
     )
-    files = rows.unionByName(heads).groupBy("site", F.year("o.t").alias("yr")).agg(joined("line", "o").alias("body"))
-    files = files.select(
-        F.format_string("/landed/%d-%d.txt", "site", "yr").alias("path"),
-        F.concat_ws("\n", "body", F.lit("9999"), F.lit("2050  1  1   1  1.0")).alias("value"),
+    lines = rows.unionByName(heads).select("site", F.year("o.t").alias("yr"), F.struct(F.lit(0).alias("part"), "o.t", "o.k").alias("o"), F.col("line").alias("value"))
+    closing = lines.select("site", "yr").distinct().select(
+        "site", "yr", F.struct(F.lit(1).alias("part"), F.lit(None).cast("date").alias("t"), F.lit(0).alias("k")).alias("o"), F.lit("9999\n2050  1  1   1  1.0").alias("value")
     )
+    path = land(d, "sections", lines.unionByName(closing), ["site", "yr"], "o")
     normal = [("year", 4), ("mn", 3), ("lead", 3), ("cd", 4), ("v", 12)]
-    return text.parse_sectioned(
-        files, "FORECAST TEMPERATURE PERCENTILES", {1998: [("year", 4), ("mn", 5), ("lead", 5), ("cd", 5), ("v", 14)]}, normal
+    return text.read_sectioned(
+        d.spark, path, "FORECAST TEMPERATURE PERCENTILES", {1998: [("year", 4), ("mn", 5), ("lead", 5), ("cd", 5), ("v", 14)]}, normal
     )
 
 

@@ -1,4 +1,9 @@
-"""Text formats (inventory A1 to A7)."""
+"""Text formats (inventory A1 to A7).
+
+All readers work on lines, never on a file as one value, so a large file is split
+between tasks. ``block`` and ``at`` order the lines of a file: a split's first byte
+and the place within the split.
+"""
 
 from __future__ import annotations
 
@@ -10,50 +15,55 @@ from freshet.functions.scalars import af_to_kaf, cfs_to_kaf, null_if
 from freshet.sources.schemas import DISCHARGE, RESERVOIR, SNOW_MEASURES
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole small text files, one row each: path, value."""
-    df = spark.read.text(path, wholetext=True)
-    return df.select(F.col("_metadata.file_path").alias("path"), "value")
-
-
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their file path; files may be split between tasks."""
+    """path, block, at, value of each line; files may be split between tasks."""
     df = spark.read.text(path)
-    return df.select(F.col("_metadata.file_path").alias("path"), "value")
+    return df.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        "value",
+    )
 
 
-def _lines(value: str | Column = "value") -> Column:
-    return F.split(value, "\r?\n")
+def lines_after(lines: DataFrame, marker: Column) -> DataFrame:
+    """Lines after the first marker line of their file; a file without one gives none."""
+    first = lines.where(marker).groupBy("path").agg(F.min(F.struct("block", "at")).alias("_first"))
+    return lines.join(first, "path").where(F.struct("block", "at") > F.col("_first")).drop("_first")
 
 
-def parse_station_years(files: DataFrame, measures: Sequence[str] = SNOW_MEASURES) -> DataFrame:
+def parse_station_years(
+    lines: DataFrame,
+    measures: Sequence[str] = SNOW_MEASURES,
+    year: str = r"FY(\d{4})/[^/]*$",
+    station: str = r"/([^/]*)\.csv$",
+) -> DataFrame:
     """A1: one file per station and year, ``.../FY{year}/{station}.csv``.
 
-    Columns are matched by each file's own header, so an absent measure is
-    null. Station and forecast year come from the path.
+    Columns are matched by each file's own header, the line with a ``date`` cell,
+    so an absent measure is null; a file without one gives no rows. Station and
+    forecast year come from the path.
     """
-    lines = _lines()
-    head = F.split(lines[0], ",")
-    rows = files.select(
-        F.regexp_extract("path", r"FY(\d{4})/[^/]*$", 1).cast("int").alias("forecast_year"),
-        F.regexp_extract("path", r"/([^/]*)\.csv$", 1).alias("station"),
-        head.alias("_head"),
-        F.explode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("_line"),
-    ).where(F.length("_line") > 0)
-    cells = F.map_from_arrays("_head", F.slice(F.split("_line", ",", -1), F.lit(1), F.size("_head")))
+    is_head = F.array_contains(F.split("value", ","), "date")
+    heads = lines.where(is_head).groupBy("path").agg(F.split(F.min_by("value", F.struct("block", "at")), ",").alias("_head"))
+    rows = lines.where(~is_head & (F.length("value") > 0)).join(heads, "path")
+    cells = F.map_from_arrays("_head", F.slice(F.split("value", ",", -1), F.lit(1), F.size("_head")))
     named = rows.withColumn("_c", cells)
     return named.select(
-        "station",
-        "forecast_year",
+        F.regexp_extract("path", station, 1).alias("station"),
+        F.regexp_extract("path", year, 1).cast("int").alias("forecast_year"),
         F.to_date(F.element_at("_c", F.lit("date"))).alias("date"),
         *[null_if(F.element_at("_c", F.lit(m))).alias(m) for m in measures],
     )
 
 
-def scan_station_years(spark: SparkSession, root: str, measures: Sequence[str] = SNOW_MEASURES) -> DataFrame:
+def scan_station_years(
+    spark: SparkSession, root: str, measures: Sequence[str] = SNOW_MEASURES, files: str = "FY*/*.csv", **names: str
+) -> DataFrame:
     """A1 from storage; missing files are simply not listed. Ids hold no colon
-    in file names (``scalars.norm_id``)."""
-    return parse_station_years(read_files(spark, f"{root}/FY*/*.csv"), measures)
+    in file names (``scalars.norm_id``). ``names``: other patterns for ``year``
+    and ``station`` in the path."""
+    return parse_station_years(read_lines(spark, f"{root}/{files}"), measures, **names)
 
 
 def clean_discharge(df: DataFrame, drop_negative: bool = False) -> DataFrame:
@@ -89,14 +99,12 @@ def read_rdb(spark: SparkSession, path: str, names: Sequence[str], numeric: Sequ
 
 
 def parse_reservoir(
-    files: DataFrame, sites: Mapping[str, str], parameter: str, skiprows: int = 7, unit: str = "cfs"
+    lines: DataFrame, sites: Mapping[str, str], parameter: str, header: str = "Location,", unit: str = "cfs"
 ) -> DataFrame:
-    """A4: csv after a preamble; one parameter and unit, locations mapped to
-    sites, result in thousand acre-feet."""
-    lines = files.select("path", F.posexplode(_lines()).alias("_pos", "_line"))
-    # The line at ``skiprows`` is the header.
-    data = lines.where((F.col("_pos") > skiprows) & (F.length("_line") > 0))
-    parsed = data.withColumn("_r", F.from_csv("_line", RESERVOIR, {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}))
+    """A4: csv after a preamble of any length and a header line; one parameter and
+    unit, locations mapped to sites, result in thousand acre-feet."""
+    data = lines_after(lines, F.startswith("value", F.lit(header))).where(F.length("value") > 0)
+    parsed = data.withColumn("_r", F.from_csv("value", RESERVOIR, {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}))
     table = F.create_map(*[F.lit(x) for kv in sites.items() for x in kv])
     value = F.col("_r.Result")
     return (
@@ -111,14 +119,14 @@ def parse_reservoir(
 
 
 def read_reservoir_csv(
-    spark: SparkSession, path: str, sites: Mapping[str, str], parameter: str, skiprows: int = 7, unit: str = "cfs"
+    spark: SparkSession, path: str, sites: Mapping[str, str], parameter: str, header: str = "Location,", unit: str = "cfs"
 ) -> DataFrame:
     """A4 from storage."""
-    return parse_reservoir(read_files(spark, path), sites, parameter, skiprows, unit)
+    return parse_reservoir(read_lines(spark, path), sites, parameter, header, unit)
 
 
 def parse_fwf(
-    files: DataFrame,
+    lines: DataFrame,
     widths: Sequence[int],
     names: Sequence[str],
     na: Sequence[str] = ("99.99", "-99.99", "-999.9"),
@@ -126,14 +134,10 @@ def parse_fwf(
 ) -> DataFrame:
     """A5: fixed-width cells; with ``marker`` only the lines after it. Lines
     that do not begin with a year (headers, footers) fall away."""
-    lines = _lines()
-    if marker is not None:
-        at = F.array_position(F.transform(lines, lambda s: F.contains(s, F.lit(marker))), F.lit(True)).cast("int")
-        lines = F.when(at > 0, F.slice(lines, at + 1, F.size(lines)))
-    rows = files.select("path", F.explode(lines).alias("_line"))
+    rows = lines if marker is None else lines_after(lines, F.contains("value", F.lit(marker)))
     cells, start = [], 1
     for name, width in zip(names, widths):
-        cells.append((name, F.trim(F.substring("_line", start, width))))
+        cells.append((name, F.trim(F.substring("value", start, width))))
         start += width
     year_name, year_cell = cells[0]
     out = rows.select(
@@ -148,7 +152,7 @@ def read_fwf(
     spark: SparkSession, path: str, widths: Sequence[int], names: Sequence[str], marker: str | None = None
 ) -> DataFrame:
     """A5 from storage."""
-    return parse_fwf(read_files(spark, path), widths, names, marker=marker).drop("path")
+    return parse_fwf(read_lines(spark, path), widths, names, marker=marker).drop("path")
 
 
 def parse_ws(
@@ -171,7 +175,7 @@ def read_ws(spark: SparkSession, path: str, names: Sequence[str], skip: Sequence
 
 
 def parse_sectioned(
-    files: DataFrame,
+    lines: DataFrame,
     header: str,
     layouts: Mapping[int, Sequence[tuple[str, int]]],
     default: Sequence[tuple[str, int]],
@@ -180,32 +184,35 @@ def parse_sectioned(
     """Header lines date the data lines after them; ``end`` closes a file.
 
     ``layouts`` gives other (name, width) lists for single years of the header
-    date. Each file is one year of issues, so its lines are one small window.
+    date. Dates are carried down within each split of a file, then from split to
+    split by one row each, so no window is longer than a split.
     """
-    lines = files.select("path", F.posexplode(_lines()).alias("_pos", "_line"))
-    is_head = F.contains("_line", F.lit(header))
+    is_head = F.contains("value", F.lit(header))
     stamp = F.make_date(
-        F.substring("_line", 6, 4).try_cast("int"),
-        F.trim(F.substring("_line", 1, 2)).try_cast("int"),
-        F.substring("_line", 3, 2).try_cast("int"),
+        F.substring("value", 6, 4).try_cast("int"),
+        F.trim(F.substring("value", 1, 2)).try_cast("int"),
+        F.substring("value", 3, 2).try_cast("int"),
     )
-    w = Window.partitionBy("path").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumns(
-        {
-            "issue_date": F.last(F.when(is_head, stamp), ignorenulls=True).over(w),
-            "_ended": F.max(F.startswith("_line", F.lit(end)).cast("int")).over(w),
-        }
+    dated, ended = F.when(is_head, stamp), F.startswith("value", F.lit(end)).cast("int")
+    own = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max_by(dated, F.when(dated.isNotNull(), F.col("at")))
+    carried = (
+        lines.groupBy("path", "block").agg(last.alias("_last"), F.max(ended).alias("_end"))
+        .select("path", "block", F.last("_last", ignorenulls=True).over(before).alias("_before"), F.max("_end").over(before).alias("_over"))
     )
+    here = lines.withColumns({"_here": F.last(dated, ignorenulls=True).over(own), "_ended": F.max(ended).over(own)})
+    marked = here.join(carried, ["path", "block"]).withColumn("issue_date", F.coalesce("_here", "_before"))
     data = marked.where(
-        ~is_head & (F.col("_ended") == 0) & ~F.startswith("_line", F.lit("YEAR"))
-        & (F.length(F.trim("_line")) > 0) & F.col("issue_date").isNotNull()
+        ~is_head & (F.col("_ended") == 0) & (F.coalesce("_over", F.lit(0)) == 0) & ~F.startswith("value", F.lit("YEAR"))
+        & (F.length(F.trim("value")) > 0) & F.col("issue_date").isNotNull()
     )
     names = [n for n, _ in default]
 
     def cells(layout: Sequence[tuple[str, int]]) -> dict[str, Column]:
         out, start = {}, 1
         for name, width in layout:
-            out[name] = F.trim(F.substring("_line", start, width)).try_cast("double")
+            out[name] = F.trim(F.substring("value", start, width)).try_cast("double")
             start += width
         return out
 
@@ -219,4 +226,4 @@ def parse_sectioned(
 
 def read_sectioned(spark: SparkSession, path: str, header: str, layouts, default) -> DataFrame:
     """A7 from storage."""
-    return parse_sectioned(read_files(spark, path), header, layouts, default).drop("path")
+    return parse_sectioned(read_lines(spark, path), header, layouts, default).drop("path")

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from freshet.session import shared_dir
@@ -61,6 +62,44 @@ def test_sections_carry_their_header_date_and_stop_at_the_end_mark(spark, tmp_pa
     assert [(r.issue_date, r.mn, r.v) for r in rows] == [(dt.date(1999, 1, 15), 2.0, 1.5), (dt.date(1999, 2, 15), 3.0, 2.5)]
 
 
+@pytest.fixture
+def small_splits(spark):
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, "2k")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_one_file_over_many_splits(spark, tmp_path, small_splits):
+    sections, fwf = [], ["ANOMALY", *[f"{1800 + i}   1.0" for i in range(400)], "STANDARDIZED", *[f"{1801 + i}{i:6.1f}" for i in range(399)]]
+    for m in range(1, 13):
+        sections += [f"{m:2d}15 1999 FORECAST X", "YEAR MN V", *[f"1999{m:3d}{i:6.1f}" for i in range(200)]]
+    p = write(tmp_path / "c.txt", "\n".join([*sections, "9999", *["1999  4 999.9"] * 500]))
+    lines = text.read_lines(spark, str(p))
+    assert lines.select("block").distinct().count() > 5
+    rows = text.read_sectioned(spark, str(p), "FORECAST X", {}, [("y", 4), ("mn", 3), ("v", 6)]).collect()
+    assert sorted((r.issue_date, r.mn, r.v) for r in rows) == [(dt.date(1999, m, 15), float(m), float(i)) for m in range(1, 13) for i in range(200)]
+    p = write(tmp_path / "soi.txt", "\n".join(fwf))
+    rows = text.read_fwf(spark, str(p), (4, 6), ("year", "m1"), marker="STANDARDIZED").collect()
+    assert sorted((r.year, r.m1) for r in rows) == [(1801 + i, float(i)) for i in range(399)]
+    body = ["date,WTEQ_DAILY", *[f"{dt.date(1999, 10, 1) + dt.timedelta(i)},{i}" for i in range(366)]]
+    write(tmp_path / "FY2000/301.csv", "\n".join(body))
+    rows = text.scan_station_years(spark, str(tmp_path)).collect()
+    assert sorted(r.WTEQ_DAILY for r in rows) == [float(i) for i in range(366)]
+
+
+def test_files_without_header_or_marker_and_empty_files_give_no_rows(spark, tmp_path):
+    write(tmp_path / "FY2000/301.csv", "1999-10-01,1.5\n")
+    write(tmp_path / "FY2000/302.csv", "")
+    assert text.scan_station_years(spark, str(tmp_path)).count() == 0
+    p = write(tmp_path / "soi.txt", "1999   1.0\n")
+    assert text.read_fwf(spark, str(p), (4, 6), ("year", "m1"), marker="STANDARDIZED").count() == 0
+    p = write(tmp_path / "r.csv", "Lake,Inflow,1000,cfs,2000-01-01 00:00:00\n")
+    assert text.read_reservoir_csv(spark, str(p), {"Lake": "s"}, "Inflow").count() == 0
+    p = write(tmp_path / "c.txt", "1999  2 1.5\n")
+    assert text.read_sectioned(spark, str(p), "FORECAST X", {}, [("y", 4), ("mn", 3), ("v", 4)]).count() == 0
+
+
 def test_positional_json_dates_and_codes(spark):
     payload = '{"data":[{"meta":{"name":"S"},"data":[["T","50"],["M","51"],["0.2","M"]]}]}'
     df = spark.createDataFrame([(payload, dt.date(2000, 2, 28))], "payload string, start date")
