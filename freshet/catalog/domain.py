@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from freshet.functions.calendar import forecast_year, md_id, water_year
 from freshet.operators.frames import scaffold
+from freshet.session import parts_of
 
 KAF = 0.0019834591996927  # one cfs day in thousand acre-feet
 
@@ -28,6 +29,11 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @cached_property
+    def parts(self) -> int:
+        """Tasks for shuffles of the shipped lines: as many as their bytes ask for."""
+        return parts_of(self.spark, f"{self.dir}/lineitem.parquet")
+
     @cached_property
     def years(self) -> tuple[int, int]:
         """First calendar year and last forecast year of the shipped lines."""

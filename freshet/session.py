@@ -59,6 +59,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of a stored table that one task of a shuffle takes.
+PART_BYTES = 8 << 20
+
+
+def parts_of(spark: SparkSession, path: str) -> int:
+    """Tasks for a shuffle of a stored table's rows, by its size, so that a task's memory does not grow with the table."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    size = files.getContentSummary(place).getLength()
+    return max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+
+
 def spread(df: DataFrame, by: list[str]) -> DataFrame:
     """Hash-partition by key before a Python step over groups.
 

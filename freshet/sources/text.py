@@ -26,6 +26,21 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def bundle_lines(lines: DataFrame, by: Sequence[str], order: str, parts: int) -> DataFrame:
+    """Lines (``value``) of many small files as those of few: each after the name of its
+    file (``station=7/``) and a tab. A name's lines lie in one part, in ``order``."""
+    name = F.concat(*[F.concat(F.lit(f"{c}="), F.col(c).cast("string"), F.lit("/")) for c in by])
+    cut = lines.select(name.alias("_name"), F.col(order).alias("_o"), F.posexplode(F.split("value", "\n")).alias("_k", "_line"))
+    dealt = cut.repartition(parts, "_name").sortWithinPartitions("_name", "_o", "_k")
+    return dealt.select(F.concat_ws("\t", "_name", "_line").alias("value"))
+
+
+def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`read_lines` of small files kept in few by :func:`bundle_lines`; ``path`` is the name of the small file."""
+    name = F.substring_index("value", "\t", 1)
+    return read_lines(spark, path).select(name.alias("path"), "block", "at", F.substring("value", F.length(name) + 2, F.length("value")).alias("value"))
+
+
 def lines_after(lines: DataFrame, marker: Column) -> DataFrame:
     """Lines after the first marker line of their file; a file without one gives none."""
     first = lines.where(marker).groupBy("path").agg(F.min(F.struct("block", "at")).alias("_first"))

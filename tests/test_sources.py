@@ -142,3 +142,17 @@ def test_metadata_override_and_padding(spark):
     meta = spark.createDataFrame([("s", 123, 1.0), ("t", 4, 2.0)], "site string, gauge int, elev double")
     fix = spark.createDataFrame([("t", 9.0)], "site string, elev double")
     assert {(r.gauge, r.elev) for r in tables.read_metadata(meta, "gauge", fix).collect()} == {("00000123", 1.0), ("00000004", 9.0)}
+
+
+def test_many_small_files_are_kept_in_few(spark, tmp_path, small_splits):
+    rows = [(s, y, k, f"{1990 + k},{s * k}.5") for s in range(150) for y in (1998, 1999) for k in range(3)]
+    lines = spark.createDataFrame([*rows, *[(s, y, None, "notes\n\ndate,WTEQ_DAILY") for s in range(150) for y in (1998, 1999)]], "station int, fy int, k int, value string")
+    path = f"{tmp_path}/bundles"
+    text.bundle_lines(lines, ["fy", "station"], "k", 4).write.text(path)
+    assert len(list((tmp_path / "bundles").glob("part-*"))) <= 4
+    read = text.read_bundles(spark, path)
+    assert read.select("block").distinct().count() > 2
+    own = sorted((r.block, r.at, r.value) for r in read.where("path = 'fy=1999/station=7/'").collect())
+    assert [v for _, _, v in own] == ["notes", "", "date,WTEQ_DAILY", "1990,0.5", "1991,7.5", "1992,14.5"]
+    got = text.parse_station_years(read.where("value <> 'notes'"), year=r"fy=(\d+)/", station=r"station=(\d+)/")
+    assert sorted((int(r.station), r.forecast_year, r.date.year, r.WTEQ_DAILY) for r in got.collect()) == sorted((s, y, 1990 + k, s * k + 0.5) for s, y, k, _ in rows)
