@@ -204,7 +204,7 @@ def _(d):
     GROUP BY station""",
 )
 def _(d):
-    return quality.drop_sparse(d.station_day, ["station"], "d", "v", 530).groupBy("station").agg(F.count(F.lit(1)).alias("n"))
+    return quality.drop_sparse(d.station_day, ["station"], "d", "v", 530, d.parts).groupBy("station").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from freshet.functions.scalars import draw
 from freshet.operators.quantiles import spread_quantiles
+from freshet.session import spread
 
 
 def null_outliers_ma(
@@ -39,15 +40,20 @@ def zscore_outliers(df: DataFrame, by: Sequence[str], value: str, limit: float =
     return df.join(stats, list(by)).withColumn("z", z).where(F.abs("z") >= limit).drop("_m", "_s")
 
 
-def drop_sparse(df: DataFrame, series: Sequence[str], period: str, value: str, thresh: int) -> DataFrame:
-    """Keep series with at least ``thresh`` periods that have a value."""
+def drop_sparse(df: DataFrame, series: Sequence[str], period: str, value: str, thresh: int, parts: int = 1) -> DataFrame:
+    """Keep series with at least ``thresh`` periods that have a value.
+
+    The rows are dealt by series over at least ``parts`` tasks, not cut down by their
+    bytes: a few million short rows are few bytes, but much memory to sort. The join is
+    an inner one (a series is there once), as Spark moves a semi join before the dealing."""
     full = (
         df.where(F.col(value).isNotNull())
         .groupBy(*series)
         .agg(F.count_distinct(period).alias("_n"))
         .where(F.col("_n") >= thresh)
     )
-    return df.join(full, list(series), "left_semi")
+    keep = spread(full.select(*series), list(series), parts)
+    return spread(df, list(series), parts).join(keep, list(series)).select(*df.columns)
 
 
 def column_screen(

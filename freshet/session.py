@@ -71,12 +71,13 @@ def parts_of(spark: SparkSession, path: str) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
 
 
-def spread(df: DataFrame, by: list[str]) -> DataFrame:
-    """Hash-partition by key before a Python step over groups.
+def spread(df: DataFrame, by: list[str], least: int = 1) -> DataFrame:
+    """Hash-partition by key before a Python step over groups or a step that holds many short rows.
 
-    Python work is not proportional to bytes, so these shuffles must not be
-    coalesced by size; the grouping reuses this partitioning.
+    Python work and memory are not proportional to bytes, so these shuffles must not
+    be coalesced by size; the grouping reuses this partitioning. ``least``: tasks that
+    the rows' table asks for (:func:`parts_of`).
     """
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, least)
     return df.repartition(n, *by)
