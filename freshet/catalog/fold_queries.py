@@ -6,6 +6,7 @@ from freshet.catalog.registry import query
 from freshet.functions.calendar import md_id, snap_up, water_year
 from freshet.operators import asof
 from freshet.plans import features, folds, selection
+from freshet.session import spread
 
 YEARS = "(SELECT yr FROM years)"
 
@@ -103,16 +104,19 @@ def _(d):
 
 def issue_rows(d):
     """Last station value before each issue date of the season, January to July, next to its volume."""
+    # Dealt by station once; values, candidate sites and the correlations after them stay in that
+    # task. The volumes come along as a map with one entry per year of a site.
     latest = (
-        d.station_day.groupBy("station", snap_up(F.date_add("d", 1)).alias("issue"))
+        spread(d.station_day, ["station"], d.parts).groupBy("station", snap_up(F.date_add("d", 1)).alias("issue"))
         .agg(F.max_by("v", "d").alias("x"))
         .where(F.month("issue") <= 7)
+        .withColumn("yr", F.year("issue"))
     )
+    volumes = d.site_year.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("yr", "vol"))).alias("_vol"))
     return (
-        latest.join(d.area_pairs, "station")
-        .withColumn("yr", F.year("issue"))
-        .join(d.site_year, ["site", "yr"])
-        .select("site", "station", "yr", md_id(F.month("issue"), F.dayofmonth("issue")).alias("md"), "x", "vol")
+        latest.join(spread(d.area_pairs.join(volumes, "site"), ["station"], d.parts), "station")
+        .where(F.map_contains_key("_vol", F.col("yr")))
+        .select("site", "station", "yr", md_id(F.month("issue"), F.dayofmonth("issue")).alias("md"), "x", F.try_element_at("_vol", F.col("yr")).alias("vol"))
     )
 
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from freshet.functions.scalars import line, pearson
@@ -144,15 +144,13 @@ def donors(chosen: DataFrame, sites: DataFrame, candidates: DataFrame, minimum:
 def max_corr_issue(rows: DataFrame) -> DataFrame:
     """Per site the station and issue ordinal with the highest correlation,
     and for each issue ordinal whether it is later."""
-    scored = issue_corr(rows).withColumn("_r", F.round("r", 9))
-    best = scored.groupBy("site").agg(
-        F.min(F.struct((-F.col("_r")).alias("s"), "md", "station")).alias("_b")
-    )
-    flat = best.select(
-        "site", F.col("_b.station").alias("best_station"), F.col("_b.md").alias("best_md"), (-F.col("_b.s")).alias("best_r")
-    )
-    marks = scored.select("site", "md").distinct()
-    return marks.join(flat, "site").withColumn("is_later", F.col("md") > F.col("best_md"))
+    best = F.min(F.struct((-F.round("r", 9)).alias("s"), "md", "station")).alias("_b")
+    # One row per issue ordinal of a site, then the best of those.
+    marks = issue_corr(rows).groupBy("site", "md").agg(best)
+    top = marks.withColumn("_b", F.min("_b").over(Window.partitionBy("site")))
+    return top.select(
+        "site", "md", F.col("_b.station").alias("best_station"), F.col("_b.md").alias("best_md"), (-F.col("_b.s")).alias("best_r")
+    ).withColumn("is_later", F.col("md") > F.col("best_md"))
 
 
 def mask_weak(monthly: DataFrame, labels: DataFrame, limit: float = 0.12) -> DataFrame:

@@ -32,3 +32,11 @@ def test_station_days_are_dealt_by_the_size_of_the_lines(spark, small_parts):
 def test_sparse_series_are_sorted_in_parts(spark, small_parts):
     n = Domain(spark, DIR).parts
     assert {("station, d", n), ("station", n)} <= dealt(ENTRIES["d13_drop_sparse"].run(spark, DIR))
+
+
+def test_issue_rows_are_dealt_once_and_grouped_there(spark, small_parts):
+    n = Domain(spark, DIR).parts
+    df = ENTRIES["j8_max_corr_issue"].run(spark, DIR)
+    assert ("station", n) in dealt(df)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\([^()]*station#\d+, md#", plan)
