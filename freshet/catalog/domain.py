@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from freshet.functions.calendar import forecast_year, md_id, water_year
 from freshet.operators.frames import scaffold
-from freshet.session import parts_of
+from freshet.session import parts_of, spread
 
 KAF = 0.0019834591996927  # one cfs day in thousand acre-feet
 
@@ -92,7 +92,8 @@ class Domain:
 
     @cached_property
     def station_month(self) -> DataFrame:
-        return self.station_day.groupBy("station", "site", F.trunc("d", "MM").alias("t")).agg(F.sum("v").alias("v"))
+        days = spread(self.station_day, ["station"], self.parts)  # months and years of a station stay in its task
+        return days.groupBy("station", "site", F.trunc("d", "MM").alias("t")).agg(F.sum("v").alias("v"))
 
     @cached_property
     def _cust_day(self) -> DataFrame:

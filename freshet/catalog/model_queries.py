@@ -22,7 +22,7 @@ def _(d):
 def _(d):
     yearly = d.station_month.drop("site").groupBy("station", F.year("t").alias("yr")).agg(F.max("v").alias("x"))
     rows = yearly.join(d.area_pairs, "station").join(d.site_year, ["site", "yr"])
-    best = selection.greedy_stations(folds.loocv(rows, "yr", *d.years), min_years=5)
+    best = selection.greedy_stations(folds.loocv(rows, "yr", *d.years), min_years=5, parts=d.parts)
     return best.withColumn("n_stations", F.size("stations"))
 
 

@@ -258,7 +258,7 @@ def _set_rmse(xs: pd.Series, ys: pd.Series, least: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def greedy_stations(rows: DataFrame, rounds: int = 5, min_years: int = 30) -> DataFrame:
+def greedy_stations(rows: DataFrame, rounds: int = 5, min_years: int = 30, parts: int = 1) -> DataFrame:
     """Per (fold, site) the station set with the lowest fit error.
 
     ``rows``: fold, site, station, yr, x, vol (training rows). Every single
@@ -267,7 +267,9 @@ def greedy_stations(rows: DataFrame, rounds: int = 5, min_years: int = 30) -> Da
     array over the years of its site, bounded by the record's length, and a
     candidate carries the arrays of its at most 2^rounds stations. A round then
     joins only the best set of each (fold, site), and no task gathers the stations
-    of a site; new sets are checkpointed so that the plan does not grow.
+    of a site; new sets are checkpointed so that the plan does not grow. Sets are dealt
+    by their stations over at least ``parts`` tasks and are made single, told from the
+    known ones and fitted there.
 
     Defined results: null and NaN x are unseen; of repeated (station, year) rows
     the largest x counts; a set fits on the years that all of its stations have.
@@ -280,7 +282,7 @@ def greedy_stations(rows: DataFrame, rounds: int = 5, min_years: int = 30) -> Da
         .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("yr", "vol"))).alias("_axis"))
     )
     stations = (
-        spread(seen.select(*own, "yr", F.col("x").cast("double").alias("x")), own)
+        spread(seen.select(*own, "yr", F.col("x").cast("double").alias("x")), own, parts)
         .groupBy(*own, "yr").agg(F.max("x").alias("x"))
         .groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("yr", "x"))).alias("_of"))
     )
@@ -289,7 +291,7 @@ def greedy_stations(rows: DataFrame, rounds: int = 5, min_years: int = 30) -> Da
 
     def scored(candidates: DataFrame) -> DataFrame:
         xs = F.flatten(F.transform("_members", lambda m: m["x"]))
-        fits = spread(candidates, [*keys, "stations"]).withColumn("rmse", _set_rmse(xs, "_ys", F.lit(min_years)))
+        fits = candidates.withColumn("rmse", _set_rmse(xs, "_ys", F.lit(min_years)))
         return cut_lineage(fits.where(F.col("rmse").isNotNull() & ~F.isnan("rmse")))
 
     def best(sets: DataFrame) -> DataFrame:
@@ -298,7 +300,10 @@ def greedy_stations(rows: DataFrame, rounds: int = 5, min_years: int = 30) -> Da
         picked = F.min_by(F.struct("stations", "_members", "_ys", "rmse"), rank).alias("_b")
         return sets.groupBy(*keys).agg(picked).select(*keys, "_b.*")
 
-    known = scored(single)
+    def dealt(sets: DataFrame) -> DataFrame:
+        return spread(sets, [*keys, "stations"], parts)
+
+    known = scored(dealt(single))
     top = cut_lineage(best(known))
     for _ in range(rounds):
         lead = top.select(*keys, F.col("stations").alias("_top"), F.col("_members").alias("_lead"))
@@ -306,7 +311,10 @@ def greedy_stations(rows: DataFrame, rounds: int = 5, min_years: int = 30) -> Da
         merged = known.join(lead, keys).withColumn("_members", F.array_sort(F.concat("_lead", more)))
         wider = (F.size("_members") > F.size("_top")) & (F.size("_members") > F.size("stations"))
         merged = merged.where(wider).withColumn("stations", F.transform("_members", lambda m: m["station"]))
-        fresh = merged.dropDuplicates([*keys, "stations"]).join(known.select(*keys, "stations"), [*keys, "stations"], "left_anti")
+        once = dealt(merged.select(*keys, "stations", "_members", "_ys")).dropDuplicates([*keys, "stations"])
+        # A marked left join, as Spark moves an anti join before the dealing.
+        old = dealt(known.select(*keys, "stations")).withColumn("_old", F.lit(True))
+        fresh = once.join(old, [*keys, "stations"], "left").where(F.col("_old").isNull())
         fresh = scored(fresh.select(*keys, "stations", "_members", "_ys"))
         known = known.unionByName(fresh)
         top = cut_lineage(best(top.unionByName(fresh.select(*top.columns))))
