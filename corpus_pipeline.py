@@ -19,6 +19,10 @@ from freshet.llm.queries import gpt2_tokenizer
 
 CAPACITY = 2048
 
+#: Units that a packing worker remembers in a generation, and the text it cuts at once: an idle
+#: worker keeps them beside the executor's other stages, so less than ``tokens`` does alone.
+REMEMBERED, SLICE_BYTES = 100_000, 2 << 20
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: no letter, or no language that is likelier than all others together."""
@@ -44,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the mixed documents and their places in sequences of 2048 tokens."""
-    cut = tokens.pieces(docs, gpt2_tokenizer(), CAPACITY)
+    cut = tokens.pieces(docs, gpt2_tokenizer(), CAPACITY, remembered=REMEMBERED, slice_bytes=SLICE_BYTES)
     return packing.pack(cut, CAPACITY, ["doc_id", "piece", "ids_crc32"])
 
 

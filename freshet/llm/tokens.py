@@ -40,7 +40,7 @@ ODD_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 
 
 class Encoder:
-    """Token ids of texts.  Remembers units it has seen, up to ``REMEMBERED``."""
+    """Token ids of texts.  Remembers units it has seen, up to ``remembered`` in a generation."""
 
     def __init__(self, source: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,6 +52,7 @@ class Encoder:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # one character of a token stands for one byte
             self.n_bytes[i] = len(token)
+        self.remembered = REMEMBERED
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
@@ -86,7 +87,7 @@ class Encoder:
         new = [u for u in wanted if u not in found]
         more = {u: self.before[u] for u in new if u in self.before}
         more.update(self._encoded([u for u in new if u not in more]))
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.before = found.copy(), self.known
         self.known.update((u, ids) for u, ids in more.items() if len(u) <= SHORT)
         found.update(more)
@@ -118,20 +119,23 @@ def encoder(source: str) -> Encoder:
 
 
 def pieces(
-    docs: DataFrame, tokenizer_json: str, capacity: int, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_json: str, capacity: int, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text",
+    remembered: int = REMEMBERED, slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every document.
 
     A document is its ids and then ``end_id``; only one of more than ``capacity``
     ids is cut, into pieces of ``capacity`` of which the first may be shorter.  A
-    null text is empty: one piece that holds ``end_id`` alone.
+    null text is empty: one piece that holds ``end_id`` alone.  ``remembered`` and
+    ``slice_bytes`` trade a worker's memory for time; the pieces are the same.
     """
     source = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches):
         own_encoder = encoder(source.value)
+        own_encoder.remembered = remembered
         for batch in batches:
-            for begin, end, data, at in slices(batch, "text", SLICE_BYTES):
+            for begin, end, data, at in slices(batch, "text", slice_bytes):
                 ids = own_encoder.encode(data, at)
                 rows = {k: [] for k in ("row", "piece", "start", "length", "crc", "ids")}
                 for d in range(end - begin):

@@ -237,3 +237,13 @@ def test_rounds_are_as_good_as_one_by_one(spark):
             counts[n] += 1
         got = max(r["_sequence"] + r["_n"] for r in packing.plan(counted(spark, counts), 64).collect())
         assert got <= best_fit_decreasing(lengths, 64) + 1 + len(lengths) // 100
+
+
+def test_a_worker_that_remembers_less_gives_the_same_ids():
+    texts = [f"alpha{i % 40} beta{i} gamma" for i in range(400)]
+    much, little = tokens.Encoder(queries.gpt2_tokenizer()), tokens.Encoder(queries.gpt2_tokenizer())
+    little.remembered = 50
+    for t in (texts[i : i + 20] for i in range(0, 400, 20)):
+        data, at = np.frombuffer("".join(t).encode(), np.uint8), np.cumsum([0, *map(len, t)])
+        assert much.encode(data, at) == little.encode(data, at)
+    assert len(little.known) + len(little.before) < len(much.known) / 2
